@@ -16,13 +16,19 @@ from sliceforge.config import ChunkOptions
 from sliceforge.functions.sentences import get_splitter
 from sliceforge.functions.tokens import regex_count
 from sliceforge.plans import oracle
+from sliceforge.operators.verify import corrupt_chunks, verification_summary, verify_documents
 from sliceforge.plans.import_job import (
+    _manifest_id,
     chunks_table,
     document_info_table,
     import_summary,
+    manifest_entries_table,
+    manifest_header,
     prepare,
+    processing_runs_table,
     processing_state_table,
     spread,
+    versions_table,
 )
 from sliceforge.sources.corpus import corpus_from_table
 
@@ -143,6 +149,73 @@ def q_import_summary(spark, sf_dir):
     return import_summary(prepare(corpus(spark, sf_dir), opts))
 
 
+def _verify_inputs(spark, sf_dir):
+    """Import once (checkpointed: the records and the store are two reads of
+    one result), then corrupt a deterministic subset of the stored chunks."""
+    opts = options()
+    prepared = prepare(corpus(spark, sf_dir), opts).checkpoint()
+    info = document_info_table(prepared, opts, "m")
+    stored = corrupt_chunks(chunks_table(prepared, opts))
+    return info, stored
+
+
+def q_verify(mode: str) -> QueryFn:
+    """J1-J5 on a corrupted store."""
+
+    def run(spark, sf_dir):
+        info, stored = _verify_inputs(spark, sf_dir)
+        return verify_documents(info, stored, mode)
+
+    return run
+
+
+def q_verification_summary(spark, sf_dir):
+    """A6 per mode."""
+    info, stored = _verify_inputs(spark, sf_dir)
+    parts = [verification_summary(verify_documents(info, stored, m)).select(F.lit(m).alias("mode"), "*") for m in ("strict", "lenient", "token")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_versions(spark, sf_dir):
+    """V1."""
+    opts = options()
+    return versions_table(prepare(corpus(spark, sf_dir), opts), opts).drop("created_at")
+
+
+def q_processing_runs(spark, sf_dir):
+    """R3 / R4 / A9."""
+    opts = options()
+    runs = processing_runs_table(prepare(corpus(spark, sf_dir), opts), opts, "m")
+    return runs.select(
+        "processing_id",
+        "manifest_id",
+        "version_id",
+        F.element_at("document_ids", 1).alias("doc_id"),
+        F.size("chunk_ids").cast("bigint").alias("chunk_id_count"),
+        F.md5(F.array_join("chunk_ids", ",")).alias("chunk_ids_md5"),
+        "status",
+        F.col("processing_stats.total_tokens").cast("bigint").alias("total_tokens"),
+        F.col("processing_stats.total_chunks").cast("bigint").alias("total_chunks"),
+        F.col("processing_stats.model_name").alias("model_name"),
+        F.col("processing_stats.token_limit").cast("bigint").alias("token_limit"),
+        F.col("processing_stats.duration").alias("duration"),
+    )
+
+
+def q_manifest_append(spark, sf_dir):
+    """A3 / A4 / V6 / V7: import documents (run 1), then benchmark items
+    (run 2) into the same manifest; header over both."""
+    o1 = options()
+    o2 = ChunkOptions(model_name="gpt-4", factor=F64, run_id="r2", run_ts="2024-01-02 00:00:00")
+    mid = _manifest_id(o1)
+    e1 = manifest_entries_table(prepare(corpus(spark, sf_dir), o1), o1, mid, run_seq=0)
+    e2 = manifest_entries_table(prepare(corpus(spark, sf_dir, "benchmark", "item_id"), o2), o2, mid, run_seq=1)
+    header = manifest_header(e1.unionByName(e2), o2, mid, created_at=o1.run_ts)
+    return header.select(
+        "manifest_id", "document_count", "total_chunks", "total_tokens", "model_name", "latest_version_id", "content_hashes_digest"
+    )
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "chunks_greedy_64": q_chunks(),
@@ -158,6 +231,13 @@ def queries() -> dict[str, QueryFn]:
         "document_info_64": q_document_info,
         "processing_state_64": q_processing_state,
         "import_summary_64": q_import_summary,
+        "verify_strict_64": q_verify("strict"),
+        "verify_lenient_64": q_verify("lenient"),
+        "verify_token_64": q_verify("token"),
+        "verification_summary_64": q_verification_summary,
+        "versions_64": q_versions,
+        "processing_runs_64": q_processing_runs,
+        "manifest_append_64": q_manifest_append,
     }
 
 
@@ -176,4 +256,11 @@ def oracle_sql() -> dict[str, str]:
         "document_info_64": oracle.document_info_sql(64),
         "processing_state_64": oracle.processing_state_sql(64),
         "import_summary_64": oracle.import_summary_sql(64),
+        "verify_strict_64": oracle.verify_sql(64, "strict"),
+        "verify_lenient_64": oracle.verify_sql(64, "lenient"),
+        "verify_token_64": oracle.verify_sql(64, "token"),
+        "verification_summary_64": oracle.verification_summary_sql(64),
+        "versions_64": oracle.versions_sql(64),
+        "processing_runs_64": oracle.processing_runs_sql(64),
+        "manifest_append_64": oracle.manifest_append_sql(64),
     }

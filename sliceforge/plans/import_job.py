@@ -188,6 +188,9 @@ def manifest_header(entries: DataFrame, opts: ChunkOptions, manifest_id: str, cr
         F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("total_tokens"),
         F.lit(opts.model_name).alias("model_name"),
         F.max_by("version_id", F.struct("run_seq", "doc_id")).alias("latest_version_id"),
+        F.coalesce(F.sum(F.conv(F.substring("content_hash", 1, 8), 16, 10).cast("bigint")), F.lit(0))
+        .cast("bigint")
+        .alias("content_hashes_digest"),
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
 

@@ -102,11 +102,11 @@ ch AS (
 
 
 def chunk_base(limit: int, order: str = "reference", splitter: str = "dot", table: str = "documents",
-               id_col: str = "doc_id", text_col: str = "text", prefix: str = "documents") -> str:
+               id_col: str = "doc_id", text_col: str = "text", prefix: str = "documents", norm: str | None = None) -> str:
     """``WITH RECURSIVE norm, okdocs, sent, bis, leaves, pk, ch`` (no final SELECT)."""
     return (
         "WITH RECURSIVE\n"
-        + norm_cte(table, id_col, text_col, prefix) + ",\n"
+        + (norm or norm_cte(table, id_col, text_col, prefix)) + ",\n"
         + ok_cte() + ",\n"
         + sentences_cte(splitter) + ",\n"
         + greedy_ctes(limit, order)
@@ -196,3 +196,90 @@ def import_summary_sql(limit: int) -> str:
         "CAST(coalesce(sum(total_chunks), 0) AS BIGINT) AS total_chunks, "
         "CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens FROM st"
     )
+
+
+def verify_ctes(extra_word: str = "extra") -> str:
+    """Clean chunks, document totals, corrupted store, listed-vs-stored join."""
+    letter = "regexp_extract(text, '^[^\\p{L}]*(\\p{L})', 1)"
+    return f""",
+clean AS (SELECT doc_id, number, doc_id || '-chunk-' || CAST(number AS VARCHAR) AS id, text,
+  {cnt('text')} AS tokens, md5(text) AS content_hash FROM ch),
+info AS (SELECT doc_id, sum(tokens) AS doc_total FROM clean GROUP BY doc_id),
+keyed AS (SELECT *, ('0x' || substr(md5(id), 1, 8))::BIGINT % 97 AS r FROM clean),
+stored AS (SELECT id, doc_id,
+  CASE WHEN r = 1 AND {letter} <> ''
+       THEN regexp_replace(text, '^([^\\p{{L}}]*)\\p{{L}}', '\\1' || CASE WHEN {letter} = 'Q' THEN 'Z' ELSE 'Q' END)
+       WHEN r = 2 THEN text || ' {extra_word}' ELSE text END AS text
+  FROM keyed WHERE r <> 0),
+j AS (SELECT c.doc_id, c.number, c.tokens, c.content_hash, s.id IS NULL AS missing,
+  {cnt('s.text')} AS tokens_now, md5(s.text) AS hash_now
+  FROM clean c LEFT JOIN stored s ON s.id = c.id AND s.doc_id = c.doc_id)"""
+
+
+def _verify_mode_select(mode: str) -> str:
+    if mode == "strict":
+        rc = ("CASE WHEN missing THEN 'missing' WHEN tokens_now <> tokens THEN 'token mismatch' "
+              "WHEN hash_now <> content_hash THEN 'hash mismatch' END")
+    else:
+        rc = "CASE WHEN missing THEN 'missing' END"
+    agg = (f"SELECT j.doc_id, arg_min({rc}, number) FILTER (WHERE {rc} IS NOT NULL) AS first_reason, "
+           "sum(tokens_now) AS sum_now FROM j GROUP BY j.doc_id")
+    if mode == "lenient":
+        final = "first_reason"
+    else:
+        final = "coalesce(first_reason, CASE WHEN sum_now IS NULL OR sum_now <> i.doc_total THEN 'total mismatch' END)"
+    return (f"SELECT a.doc_id, {final} IS NULL AS is_valid, {final} AS reason "
+            f"FROM ({agg}) a JOIN info i ON i.doc_id = a.doc_id")
+
+
+def verify_sql(limit: int, mode: str) -> str:
+    return chunk_base(limit) + verify_ctes() + "\n" + _verify_mode_select(mode)
+
+
+def verification_summary_sql(limit: int) -> str:
+    parts = [f"SELECT '{m}' AS mode, * FROM ({_verify_mode_select(m)})" for m in ("strict", "lenient", "token")]
+    body = " UNION ALL ".join(f"({p})" for p in parts)
+    return (chunk_base(limit) + verify_ctes() + "\n"
+            f"SELECT mode, CAST(count(*) FILTER (WHERE is_valid) AS BIGINT) AS valid, "
+            f"CAST(count(*) FILTER (WHERE NOT is_valid) AS BIGINT) AS invalid FROM ({body}) v GROUP BY mode")
+
+
+def _hash8(expr: str) -> str:
+    return f"('0x' || substr({expr}, 1, 8))::BIGINT"
+
+
+def versions_sql(limit: int, run_id: str = "r1") -> str:
+    return (chunk_base(limit) + ",\n" + chunk_agg_cte() + "\n"
+            f"SELECT md5('{run_id}|' || n.doc_id || '|version') AS version_id, md5(n.text) AS content_hash, "
+            "CAST(NULL AS VARCHAR) AS parent_version_id, CAST(NULL AS VARCHAR) AS changes_description, n.doc_id "
+            "FROM norm n JOIN agg a ON a.doc_id = n.doc_id")
+
+
+def processing_runs_sql(limit: int, run_id: str = "r1", manifest_id: str = "m", model_name: str = "gpt-4") -> str:
+    return (chunk_base(limit) + ",\n" + chunk_agg_cte() + "\n"
+            f"SELECT md5('{run_id}|' || doc_id || '|processing') AS processing_id, '{manifest_id}' AS manifest_id, "
+            f"md5('{run_id}|' || doc_id || '|version') AS version_id, doc_id, "
+            "CAST(total_chunks AS BIGINT) AS chunk_id_count, chunk_ids_md5, 'completed' AS status, "
+            "CAST(total_tokens AS BIGINT) AS total_tokens, CAST(total_chunks AS BIGINT) AS total_chunks, "
+            f"'{model_name}' AS model_name, CAST({limit} AS BIGINT) AS token_limit, CAST(0.0 AS DOUBLE) AS duration "
+            "FROM agg")
+
+
+def manifest_append_sql(limit: int, model_name: str = "gpt-4") -> str:
+    """V7: documents imported in run r1, then benchmark items in run r2, into one manifest."""
+    norm = (
+        "norm AS ("
+        "SELECT 'documents:' || CAST(doc_id AS VARCHAR) AS doc_id, CAST(doc_id AS VARCHAR) AS raw_id, 0 AS run_seq, 'r1' AS run_id, "
+        "'documents/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents "
+        "UNION ALL "
+        "SELECT 'benchmark:' || CAST(item_id AS VARCHAR), CAST(item_id AS VARCHAR), 1, 'r2', "
+        "'benchmark/' || CAST(item_id AS VARCHAR) || '.txt', regexp_replace(text, '\\r\\n?', chr(10), 'g') FROM benchmark)"
+    )
+    return (chunk_base(limit, norm=norm) + ",\n" + chunk_agg_cte() + ",\n"
+            "e AS (SELECT n.raw_id, n.run_seq, n.run_id, md5(n.text) AS content_hash, a.total_chunks, a.total_tokens "
+            "FROM norm n JOIN agg a ON a.doc_id = n.doc_id)\n"
+            "SELECT md5('manifest|r1') AS manifest_id, CAST(count(*) AS BIGINT) AS document_count, "
+            "CAST(sum(total_chunks) AS BIGINT) AS total_chunks, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, "
+            f"'{model_name}' AS model_name, "
+            "(SELECT md5(run_id || '|' || raw_id || '|version') FROM e ORDER BY run_seq DESC, raw_id DESC LIMIT 1) AS latest_version_id, "
+            f"CAST(sum({_hash8('content_hash')}) AS BIGINT) AS content_hashes_digest FROM e")
