@@ -37,6 +37,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 # gpt-4 (8,192 tokens) with reduction factors 1/128 and 1/32: limits 64 and 256.
 F64 = 1 / 128
 F256 = 1 / 32
+F8 = 1 / 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,17 @@ def q_chunks(factor=F64, order="reference", splitter="dot", name="documents", id
     return run
 
 
+def q_sentence_chunks(factor: float) -> QueryFn:
+    """Strategy B (punctuation sentences, word / character split, ' ' join)."""
+
+    def run(spark, sf_dir):
+        opts = options(factor)
+        prepared = prepare(corpus(spark, sf_dir), opts, strategy="sentence")
+        return flat_chunks(chunks_table(prepared, opts))
+
+    return run
+
+
 def q_sentences(splitter: str) -> QueryFn:
     """One row per sentence of every non-blank document."""
 
@@ -224,6 +236,8 @@ def queries() -> dict[str, QueryFn]:
         "chunks_lossless_64": q_chunks(splitter="lossless"),
         "chunks_pages_64": q_chunks(name="pages", id_col="page_id", text_col="html"),
         "chunks_benchmark_64": q_chunks(name="benchmark", id_col="item_id"),
+        "chunks_sentence_64": q_sentence_chunks(F64),
+        "chunks_sentence_8": q_sentence_chunks(F8),
         "sentences_dot": q_sentences("dot"),
         "sentences_lossless": q_sentences("lossless"),
         "sentences_punct": q_sentences("punct"),
@@ -249,6 +263,8 @@ def oracle_sql() -> dict[str, str]:
         "chunks_lossless_64": oracle.chunks_sql(64, splitter="lossless"),
         "chunks_pages_64": oracle.chunks_sql(64, table="pages", id_col="page_id", text_col="html", prefix="pages"),
         "chunks_benchmark_64": oracle.chunks_sql(64, table="benchmark", id_col="item_id", prefix="benchmark"),
+        "chunks_sentence_64": oracle.sentence_chunks_sql(64),
+        "chunks_sentence_8": oracle.sentence_chunks_sql(8),
         "sentences_dot": oracle.sentences_sql("dot"),
         "sentences_lossless": oracle.sentences_sql("lossless"),
         "sentences_punct": oracle.sentences_sql("punct"),

@@ -283,3 +283,68 @@ def manifest_append_sql(limit: int, model_name: str = "gpt-4") -> str:
             f"'{model_name}' AS model_name, "
             "(SELECT md5(run_id || '|' || raw_id || '|version') FROM e ORDER BY run_seq DESC, raw_id DESC LIMIT 1) AS latest_version_id, "
             f"CAST(sum({_hash8('content_hash')}) AS BIGINT) AS content_hashes_digest FROM e")
+
+
+def sentence_strategy_ctes(limit: int) -> str:
+    """Strategy B (T7-T10) over ``sent``: ``ch(doc_id, number, text)``, numbers from 0."""
+    wsplit = f"string_split_regex(s.s, '[{WS_CLASS_JAVA}]+')"
+    cand = "substr(c.w, c.start, c.pos + 1 - c.start + 1)"
+    return f"""
+sn AS MATERIALIZED (SELECT doc_id, i, s, {cnt('s')} AS n FROM sent),
+words AS MATERIALIZED (
+  SELECT s.doc_id, s.i, u.j, u.w, {cnt("u.w || ' '")} AS wn
+  FROM sn s, unnest({wsplit}) WITH ORDINALITY AS u(w, j)
+  WHERE s.n > {limit} AND u.w <> ''),
+wp(doc_id, i, j, kind, g, used) AS (
+  SELECT doc_id, i, j,
+    CASE WHEN wn > {limit} THEN 'C' ELSE 'N' END,
+    CASE WHEN wn > {limit} THEN NULL ELSE j END,
+    CASE WHEN wn > {limit} THEN 0 ELSE wn END
+  FROM words WHERE j = 1
+  UNION ALL
+  SELECT w.doc_id, w.i, w.j,
+    CASE WHEN p.used + w.wn > {limit} THEN (CASE WHEN p.g IS NOT NULL THEN 'N' ELSE 'C' END)
+         ELSE (CASE WHEN p.g IS NOT NULL THEN 'A' ELSE 'N' END) END,
+    CASE WHEN p.used + w.wn > {limit} THEN (CASE WHEN p.g IS NOT NULL THEN w.j ELSE NULL END)
+         ELSE coalesce(p.g, w.j) END,
+    CASE WHEN p.used + w.wn > {limit} THEN (CASE WHEN p.g IS NOT NULL THEN w.wn ELSE 0 END)
+         ELSE p.used + w.wn END
+  FROM wp p JOIN words w ON w.doc_id = p.doc_id AND w.i = p.i AND w.j = p.j + 1),
+cw AS (SELECT w.doc_id, w.i, w.j, w.w FROM wp JOIN words w USING (doc_id, i, j) WHERE wp.kind = 'C'),
+cs(doc_id, i, j, w, pos, start, sub, piece) AS (
+  SELECT doc_id, i, j, w, 0, 1, 0, CAST(NULL AS VARCHAR) FROM cw
+  UNION ALL
+  SELECT c.doc_id, c.i, c.j, c.w, c.pos + 1,
+    CASE WHEN {cnt(cand)} > {limit} THEN (CASE WHEN c.pos + 1 > c.start THEN c.pos + 1 ELSE c.pos + 2 END) ELSE c.start END,
+    CASE WHEN {cnt(cand)} > {limit} AND c.pos + 1 > c.start THEN c.sub + 1 ELSE c.sub END,
+    CASE WHEN {cnt(cand)} > {limit} AND c.pos + 1 > c.start THEN substr(c.w, c.start, c.pos + 1 - c.start) END
+  FROM cs c WHERE c.pos < length(c.w)),
+pieces AS (
+  SELECT doc_id, i, g AS pj, 0 AS sub, string_agg(w.w, ' ' ORDER BY j) AS t
+  FROM wp JOIN words w USING (doc_id, i, j) WHERE wp.kind IN ('N', 'A') GROUP BY doc_id, i, g
+  UNION ALL
+  SELECT doc_id, i, j, sub, piece FROM cs WHERE piece IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i, j, sub + 1, substr(w, start) FROM cs WHERE pos = length(w) AND start <= length(w)),
+items AS MATERIALIZED (
+  SELECT doc_id, kind, t, n, row_number() OVER (PARTITION BY doc_id ORDER BY i, pj, sub) AS k FROM (
+    SELECT doc_id, i, 0 AS pj, 0 AS sub, 'S' AS kind, s AS t, n FROM sn WHERE n <= {limit}
+    UNION ALL
+    SELECT doc_id, i, pj, sub, 'W', t, 0 FROM pieces) x),
+pk(doc_id, k, c, used, open) AS (
+  SELECT doc_id, k, 0, CASE WHEN kind = 'S' THEN n ELSE 0 END, kind = 'S' FROM items WHERE k = 1
+  UNION ALL
+  SELECT it.doc_id, it.k,
+    CASE WHEN it.kind = 'S' AND p.open AND p.used + it.n <= {limit} THEN p.c ELSE p.c + 1 END,
+    CASE WHEN it.kind = 'W' THEN 0 WHEN p.open AND p.used + it.n <= {limit} THEN p.used + it.n ELSE it.n END,
+    it.kind = 'S'
+  FROM pk p JOIN items it ON it.doc_id = p.doc_id AND it.k = p.k + 1),
+ch AS (
+  SELECT it.doc_id, p.c AS number, string_agg(it.t, ' ' ORDER BY it.k) AS text
+  FROM items it JOIN pk p ON it.doc_id = p.doc_id AND it.k = p.k
+  GROUP BY it.doc_id, p.c)"""
+
+
+def sentence_chunks_sql(limit: int) -> str:
+    return ("WITH RECURSIVE\n" + norm_cte() + ",\n" + ok_cte() + ",\n" + sentences_cte("punct") + ",\n"
+            + sentence_strategy_ctes(limit) + "\n" + CHUNK_SELECT)
