@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sliceforge.config import ChunkOptions
 from sliceforge.functions.tokens import Counter, get_counter
-from sliceforge.operators.chunker import annotate_chunks, chunk_arrays, explode_chunks
+from sliceforge.operators.chunker import annotate_chunks, chunk_arrays, explode_chunks, sentence_pieces
 from sliceforge.operators.stats import chunk_id_list, chunk_info_list, document_stats
 from sliceforge.operators.validate import first_error, no_chunks_error, pre_chunk_error
 
@@ -66,26 +66,28 @@ def prepare(
     total_chunks, total_tokens, total_chars, total_lines, file_size, md5_hash.
     """
     counter = counter or counter_for(opts)
-    checked = corpus.withColumn("error", pre_chunk_error(corpus, counter))
-    checked = checked.withColumn("_src", F.when(F.col("error").isNull(), F.col("text")))
-    arrays = chunk_arrays(checked, opts.limit, counter, strategy, opts.splitter, opts.order, text_col="_src")
-    ann = annotate_chunks(arrays, counter, first_number=1 if strategy == "greedy" else 0).drop("_src", "chunks")
-    err = first_error(F.col("error"), F.when(F.col("error").isNull(), no_chunks_error(F.col("chunk_meta"), F.col("path"))))
-    return (
-        ann.withColumn("error", err)
+    pre = corpus.withColumn("error", pre_chunk_error(corpus, counter))
+    pieces = sentence_pieces(F.col("text"), strategy, opts.splitter)
+    # P4 from the (Catalyst) sentence array, not from the packer output.
+    err = first_error(F.col("error"), no_chunks_error(F.col("_pieces"), F.col("path")))
+    checked = (
+        pre.withColumn("_pieces", F.when(F.col("error").isNull(), pieces))
+        .withColumn("error", err)
         .withColumn("ok", F.col("error").isNull())
-        .select(
-            "doc_id",
-            "filename",
-            "path",
-            "text",
-            "error",
-            "ok",
-            "chunk_meta",
-            F.when(F.col("ok"), F.col("total_chunks")).alias("total_chunks"),
-            F.when(F.col("ok"), F.col("total_tokens")).alias("total_tokens"),
-            *document_stats(F.col("text")),
-        )
+    )
+    arrays = chunk_arrays(checked, opts.limit, counter, strategy, opts.splitter, opts.order, pieces_col="_pieces")
+    ann = annotate_chunks(arrays, counter, first_number=1 if strategy == "greedy" else 0)
+    return ann.select(
+        "doc_id",
+        "filename",
+        "path",
+        "text",
+        "error",
+        "ok",
+        "chunk_meta",
+        F.when(F.col("ok"), F.col("total_chunks")).alias("total_chunks"),
+        F.when(F.col("ok"), F.col("total_tokens")).alias("total_tokens"),
+        *document_stats(F.col("text")),
     )
 
 
@@ -104,8 +106,12 @@ class ImportTables:
 
 
 def chunks_table(prepared: DataFrame, opts: ChunkOptions) -> DataFrame:
-    """K2 content: one row per chunk with text and ``ChunkInfo`` fields."""
-    return explode_chunks(prepared.where("ok")).withColumn("created_at", run_ts(opts))
+    """K2 content: one row per chunk with text and ``ChunkInfo`` fields.
+
+    Failed documents carry a null chunk array and produce no rows, so no
+    filter is needed (and none is pushed under the packer).
+    """
+    return explode_chunks(prepared).withColumn("created_at", run_ts(opts))
 
 
 def document_info_table(prepared: DataFrame, opts: ChunkOptions, manifest_id: str) -> DataFrame:
