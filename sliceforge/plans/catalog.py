@@ -16,6 +16,7 @@ from sliceforge.config import ChunkOptions
 from sliceforge.functions.sentences import get_splitter
 from sliceforge.functions.tokens import regex_count
 from sliceforge.plans import oracle
+from sliceforge.operators.records import create_chunk_records, created_history, delete_records, document_chunk_entries, update_records, upsert_document_chunks
 from sliceforge.operators.verify import corrupt_chunks, verification_summary, verify_documents
 from sliceforge.plans.import_job import (
     _manifest_id,
@@ -228,6 +229,90 @@ def q_manifest_append(spark, sf_dir):
     )
 
 
+def _key(col, mod):
+    return F.pmod(F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("bigint"), F.lit(mod))
+
+
+def _records(spark, sf_dir):
+    opts = options(F256)
+    chunks = chunks_table(prepare(corpus(spark, sf_dir), opts), opts)
+    # The record table is read by several branches and checks: materialise it
+    # once (reliable checkpoint in spark.checkpoint.dir), as a stored table would be.
+    records = create_chunk_records(chunks, opts.run_ts).checkpoint()
+    return records, created_history(records, opts.run_ts)
+
+
+def q_records_update(spark, sf_dir):
+    """V2 + V3 + V6: create chunk records, apply 0-2 changes each."""
+    records, created = _records(spark, sf_dir)
+    n = _key(F.col("id"), 3)
+    changes = records.select("id", "tokens", "content_hash", n.alias("n")).select(
+        "*", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))).alias("seq")
+    ).where(F.col("seq") <= F.col("n"))
+    changes = changes.select(
+        F.col("id").alias("chunk_id"),
+        F.col("seq").cast("int").alias("seq"),
+        F.md5(F.concat(F.col("id"), F.lit("|v"), F.col("seq").cast("string"))).alias("version_id"),
+        F.when(
+            F.col("seq") == 1,
+            F.create_map(F.lit("llm_analysis.topic"), F.substring("content_hash", 1, 6), F.lit("status"), F.lit("reviewed")),
+        )
+        .otherwise(
+            F.create_map(
+                F.lit("llm_analysis.topic"), F.substring("content_hash", 7, 6), F.lit("tokens"), (F.col("tokens") + 1).cast("string")
+            )
+        )
+        .alias("fields"),
+    )
+    updated, history, _ = update_records(records, changes, "2024-01-03 00:00:00")
+    hist = created.unionByName(history)
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "version_id", F.coalesce("parent_version_id", F.lit("")))), 1, 8), 16, 10)
+    hagg = hist.groupBy(F.col("record_id").alias("id")).agg(
+        F.count("*").cast("bigint").alias("history_count"), F.sum(digest.cast("bigint")).cast("bigint").alias("history_digest")
+    )
+    return updated.join(hagg, "id").select(
+        "id",
+        "version_id",
+        F.col("tokens").cast("bigint").alias("tokens"),
+        F.col("llm_analysis")["topic"].alias("topic"),
+        F.col("attributes")["status"].alias("status"),
+        "history_count",
+        "history_digest",
+    )
+
+
+def q_records_delete(spark, sf_dir):
+    """V4: delete a deterministic set of ids, some of which do not exist."""
+    records, _ = _records(spark, sf_dir)
+    ids = records.where(_key(F.col("id"), 5) == 0).select("id").unionByName(
+        records.where(_key(F.col("id"), 7) == 0).select(F.concat("id", F.lit("-gone")).alias("id"))
+    )
+    kept, _missing = delete_records(records, ids)
+    return kept.select("id", "doc_id", F.col("number").cast("bigint").alias("number"), "version_id")
+
+
+def q_document_upsert(spark, sf_dir):
+    """V5: upsert chunk entries of document records (merge or append)."""
+    opts = options(F256)
+    info = document_info_table(prepare(corpus(spark, sf_dir), opts), opts, "m")
+    entries = document_chunk_entries(info)
+    docs = info.select("id", "version_id")
+    n = _key(F.col("id"), 3)
+    updates = docs.select("id", n.alias("n")).select(
+        "*", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))).alias("seq")
+    ).where(F.col("seq") <= F.col("n"))
+    updates = updates.select(
+        F.col("id").alias("doc_id"),
+        F.col("seq").cast("int").alias("seq"),
+        F.md5(F.concat(F.col("id"), F.lit("|dv"), F.col("seq").cast("string"))).alias("version_id"),
+        F.concat(F.col("id"), F.lit("-chunk-"), (F.col("seq") * 2).cast("string")).alias("chunk_id"),
+        F.create_map(F.lit("reviewed"), F.col("seq").cast("string"), F.lit("tokens"), F.lit("0")).alias("fields"),
+    )
+    merged, _hist, _versions = upsert_document_chunks(docs, entries, updates, "2024-01-03 00:00:00")
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return merged.select("doc_id", "chunk_id", text.alias("fields_text"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "chunks_greedy_64": q_chunks(),
@@ -252,6 +337,9 @@ def queries() -> dict[str, QueryFn]:
         "versions_64": q_versions,
         "processing_runs_64": q_processing_runs,
         "manifest_append_64": q_manifest_append,
+        "records_update_256": q_records_update,
+        "records_delete_256": q_records_delete,
+        "document_upsert_256": q_document_upsert,
     }
 
 
@@ -279,4 +367,7 @@ def oracle_sql() -> dict[str, str]:
         "versions_64": oracle.versions_sql(64),
         "processing_runs_64": oracle.processing_runs_sql(64),
         "manifest_append_64": oracle.manifest_append_sql(64),
+        "records_update_256": oracle.records_update_sql(256),
+        "records_delete_256": oracle.records_delete_sql(256),
+        "document_upsert_256": oracle.document_upsert_sql(256),
     }

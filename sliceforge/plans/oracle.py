@@ -348,3 +348,56 @@ ch AS (
 def sentence_chunks_sql(limit: int) -> str:
     return ("WITH RECURSIVE\n" + norm_cte() + ",\n" + ok_cte() + ",\n" + sentences_cte("punct") + ",\n"
             + sentence_strategy_ctes(limit) + "\n" + CHUNK_SELECT)
+
+
+def _k(expr: str, mod: int) -> str:
+    return f"({_hash8('md5(' + expr + ')')} % {mod})"
+
+
+def records_base(limit: int) -> str:
+    return (chunk_base(limit) + ",\n"
+            "rec AS MATERIALIZED (SELECT doc_id || '-chunk-' || CAST(number AS VARCHAR) AS id, doc_id, number, "
+            f"CAST({cnt('text')} AS INTEGER) AS tokens, md5(text) AS content_hash FROM ch)")
+
+
+def records_update_sql(limit: int) -> str:
+    return (records_base(limit) + ",\n"
+            "chg AS (SELECT r.id, g.s AS seq, md5(r.id || '|v' || CAST(g.s AS VARCHAR)) AS version_id "
+            f"FROM rec r, generate_series(1, 2) g(s) WHERE g.s <= {_k('r.id', 3)}),\n"
+            "hist AS (SELECT id, md5('created|' || id) AS version_id, CAST(NULL AS VARCHAR) AS parent FROM rec "
+            "UNION ALL SELECT id, version_id, CASE WHEN seq = 1 THEN md5('created|' || id) "
+            "ELSE md5(id || '|v' || CAST(seq - 1 AS VARCHAR)) END FROM chg),\n"
+            "hagg AS (SELECT id, count(*) AS history_count, "
+            f"sum({_hash8(chr(109) + 'd5(version_id || ' + q('|') + ' || coalesce(parent, ' + q('') + '))')}) AS history_digest "
+            "FROM hist GROUP BY id),\n"
+            "fin AS (SELECT id, max(seq) AS n FROM chg GROUP BY id)\n"
+            "SELECT r.id, coalesce(md5(r.id || '|v' || CAST(f.n AS VARCHAR)), md5('created|' || r.id)) AS version_id, "
+            "CAST(CASE WHEN f.n >= 2 THEN r.tokens + 1 ELSE r.tokens END AS BIGINT) AS tokens, "
+            "CASE WHEN f.n = 1 THEN substr(r.content_hash, 1, 6) WHEN f.n = 2 THEN substr(r.content_hash, 7, 6) END AS topic, "
+            "CASE WHEN f.n >= 1 THEN 'reviewed' END AS status, "
+            "CAST(h.history_count AS BIGINT) AS history_count, CAST(h.history_digest AS BIGINT) AS history_digest "
+            "FROM rec r LEFT JOIN fin f ON f.id = r.id JOIN hagg h ON h.id = r.id")
+
+
+def records_delete_sql(limit: int) -> str:
+    return (records_base(limit) + ",\n"
+            f"del AS (SELECT id FROM rec WHERE {_k('id', 5)} = 0 "
+            f"UNION ALL SELECT id || '-gone' FROM rec WHERE {_k('id', 7)} = 0)\n"
+            "SELECT r.id, r.doc_id, CAST(r.number AS BIGINT) AS number, md5('created|' || r.id) AS version_id "
+            "FROM rec r WHERE r.id NOT IN (SELECT id FROM del)")
+
+
+def document_upsert_sql(limit: int) -> str:
+    entry = ("array_to_string(list_sort(list_transform(map_entries(fields), lambda e: e.key || '=' || e.value)), ',')")
+    return (records_base(limit) + ",\n"
+            "ent AS (SELECT doc_id, id AS chunk_id, MAP {'number': CAST(number AS VARCHAR), "
+            "'tokens': CAST(tokens AS VARCHAR), 'content_hash': content_hash} AS fields FROM rec),\n"
+            "docs AS (SELECT DISTINCT doc_id FROM rec),\n"
+            "upd AS (SELECT d.doc_id, g.s AS seq, d.doc_id || '-chunk-' || CAST(g.s * 2 AS VARCHAR) AS chunk_id, "
+            "MAP {'reviewed': CAST(g.s AS VARCHAR), 'tokens': '0'} AS fields "
+            f"FROM docs d, generate_series(1, 2) g(s) WHERE g.s <= {_k('d.doc_id', 3)}),\n"
+            "lastu AS (SELECT doc_id, chunk_id, arg_max(fields, seq) AS nf FROM upd GROUP BY doc_id, chunk_id),\n"
+            "m AS (SELECT coalesce(e.doc_id, u.doc_id) AS doc_id, coalesce(e.chunk_id, u.chunk_id) AS chunk_id, "
+            "CASE WHEN e.fields IS NULL THEN u.nf WHEN u.nf IS NULL THEN e.fields ELSE map_concat(e.fields, u.nf) END AS fields "
+            "FROM ent e FULL OUTER JOIN lastu u ON e.doc_id = u.doc_id AND e.chunk_id = u.chunk_id)\n"
+            f"SELECT doc_id, chunk_id, {entry} AS fields_text FROM m")
