@@ -246,3 +246,28 @@ def vocab_path_available(encoding: str) -> bool:
         except ImportError:
             return False
     return False
+
+
+def vocabulary(texts, text_col: str = "text"):
+    """C6 support: the corpus vocabulary ``(id, token)`` of the rule tokenizer.
+
+    ``explode`` + ``distinct``: a shuffle on the token, partially
+    de-duplicated map-side.
+    """
+    toks = texts.select(F.explode(regex_tokens(F.col(text_col))).alias("token")).distinct()
+    return toks.select(token_id(F.col("token")).alias("id"), "token")
+
+
+def decode_with_vocabulary(encoded, vocab, ids_col: str = "ids", key: str = "doc_id"):
+    """Ids -> text through the vocabulary table (tokens joined by ' ').
+
+    ``posexplode`` the ids, join the vocabulary on id (shuffle on id, so a
+    frequent token is spread by the join, not grouped), then rebuild each
+    row's text in position order.  The regrouped row is the size of the input
+    row it came from.
+    """
+    pos = encoded.select(key, F.posexplode(ids_col).alias("pos", "id"))
+    joined = pos.join(vocab, "id", "left")
+    return joined.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ").alias("decoded")
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sliceforge.config import ChunkOptions
 from sliceforge.functions.sentences import get_splitter
-from sliceforge.functions.tokens import regex_count
+from sliceforge.functions.tokens import decode_with_vocabulary, get_counter, regex_count, vocabulary
 from sliceforge.plans import oracle
 from sliceforge.operators.records import create_chunk_records, created_history, delete_records, document_chunk_entries, update_records, upsert_document_chunks
 from sliceforge.operators.verify import corrupt_chunks, verification_summary, verify_documents
@@ -313,6 +313,49 @@ def q_document_upsert(spark, sf_dir):
     return merged.select("doc_id", "chunk_id", text.alias("fields_text"))
 
 
+def q_rule_encode(spark, sf_dir):
+    """C5 + C6 (parity form): rule-based token ids; decode joins ids with ' '."""
+    c = get_counter("regex")
+    enc = corpus(spark, sf_dir).select("doc_id", c.encode(F.col("text")).alias("ids"))
+    return enc.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_ids"),
+        F.md5(c.decode(F.col("ids"))).alias("decoded_ids_md5"),
+        F.element_at("ids", 1).alias("first_id"),
+    )
+
+
+def q_vocabulary_decode(spark, sf_dir):
+    """C6 (vocabulary form): decode ids through the corpus vocabulary table."""
+    c = corpus(spark, sf_dir)
+    enc = c.select("doc_id", get_counter("regex").encode(F.col("text")).alias("ids"))
+    dec = decode_with_vocabulary(enc.where(F.size("ids") > 0), vocabulary(c))
+    n = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
+    return dec.join(n, "doc_id").select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_tokens")
+
+
+def _bpe():
+    return get_counter("bpe", encoding="byte_bpe_50k", on_special="text")
+
+
+def q_bpe_counts(spark, sf_dir):
+    """C1 + C3 + C4: BPE count, encode and the decode round trip per document."""
+    c = _bpe()
+    enc = corpus(spark, sf_dir).select("doc_id", "text", c.encode(F.col("text")).alias("ids"))
+    return enc.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("bpe_tokens"),
+        (c.decode(F.col("ids")) == F.col("text")).alias("round_trip"),
+    )
+
+
+def q_chunks_bpe(spark, sf_dir):
+    """T6 with the BPE counter (C1 inside the packer and for the recount)."""
+    opts = options(F256, counter="bpe", on_special="text", extra={"encoding": "byte_bpe_50k"})
+    prepared = prepare(corpus(spark, sf_dir), opts)
+    return flat_chunks(chunks_table(prepared, opts))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "chunks_greedy_64": q_chunks(),
@@ -340,6 +383,10 @@ def queries() -> dict[str, QueryFn]:
         "records_update_256": q_records_update,
         "records_delete_256": q_records_delete,
         "document_upsert_256": q_document_upsert,
+        "rule_encode": q_rule_encode,
+        "vocabulary_decode": q_vocabulary_decode,
+        "bpe_counts": q_bpe_counts,
+        "chunks_bpe_256": q_chunks_bpe,
     }
 
 
@@ -370,4 +417,8 @@ def oracle_sql() -> dict[str, str]:
         "records_update_256": oracle.records_update_sql(256),
         "records_delete_256": oracle.records_delete_sql(256),
         "document_upsert_256": oracle.document_upsert_sql(256),
+        "rule_encode": oracle.rule_encode_sql(),
+        "vocabulary_decode": oracle.vocabulary_decode_sql(),
+        # bpe_counts, chunks_bpe_256: no BPE in DuckDB -> rows-only check; the
+        # tests compare them with the same counter run outside Spark.
     }

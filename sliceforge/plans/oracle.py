@@ -401,3 +401,23 @@ def document_upsert_sql(limit: int) -> str:
             "CASE WHEN e.fields IS NULL THEN u.nf WHEN u.nf IS NULL THEN e.fields ELSE map_concat(e.fields, u.nf) END AS fields "
             "FROM ent e FULL OUTER JOIN lastu u ON e.doc_id = u.doc_id AND e.chunk_id = u.chunk_id)\n"
             f"SELECT doc_id, chunk_id, {entry} AS fields_text FROM m")
+
+
+def _tok_id_sql(x: str) -> str:
+    return f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
+
+
+def rule_encode_sql() -> str:
+    toks = f"regexp_extract_all(text, {q(TOKEN_PATTERN_JAVA)})"
+    ids_text = f"array_to_string(list_transform({toks}, lambda x: CAST({_tok_id_sql('x')} AS VARCHAR)), ' ')"
+    return ("WITH " + norm_cte() + "\n"
+            f"SELECT doc_id, CAST(len({toks}) AS BIGINT) AS n_ids, md5({ids_text}) AS decoded_ids_md5, "
+            f"CAST({_tok_id_sql('list_extract(' + toks + ', 1)')} AS BIGINT) AS first_id FROM norm")
+
+
+def vocabulary_decode_sql() -> str:
+    return ("WITH " + norm_cte() + ",\n"
+            f"toks AS (SELECT n.doc_id, u.x AS token, u.i FROM norm n, unnest(regexp_extract_all(n.text, {q(TOKEN_PATTERN_JAVA)})) WITH ORDINALITY AS u(x, i)),\n"
+            f"vocab AS (SELECT DISTINCT {_tok_id_sql('token')} AS id, token FROM toks)\n"
+            "SELECT t.doc_id, md5(string_agg(v.token, ' ' ORDER BY t.i)) AS decoded_md5, CAST(count(*) AS BIGINT) AS n_tokens "
+            f"FROM toks t JOIN vocab v ON v.id = {_tok_id_sql('t.token')} GROUP BY t.doc_id")
