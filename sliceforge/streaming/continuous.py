@@ -21,10 +21,14 @@ from sliceforge.operators.validate import decode_utf8
 from sliceforge.sources.corpus import assign_doc_id
 
 
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def stream_corpus(spark: SparkSession, input_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """A streaming corpus of ``*.txt`` files (raw bytes, decoded strictly)."""
     raw = (
         spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE_SCHEMA)
         .option("pathGlobFilter", "*.txt")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files_per_trigger)

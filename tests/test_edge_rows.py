@@ -1,0 +1,74 @@
+"""Made-up edge rows (FIXTURES section 3) and option checks."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sliceforge.config import ChunkOptions, token_limit, validate_factor
+from sliceforge.functions.text import WS_CHARS
+from sliceforge.plans.import_job import prepare, processing_state_table
+from sliceforge.sources.corpus import corpus_from_table
+
+
+def _prep(spark, texts, **kw):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    opts = ChunkOptions(limit_override=kw.pop("limit", 64), **kw)
+    return prepare(corpus_from_table(df), opts)
+
+
+def test_blank_and_no_chunks(spark):
+    rows = {r.doc_id: r for r in _prep(spark, [" \n\t\n", "...", "ok."]).collect()}
+    assert rows["0"].error == "File documents/0.txt is empty."
+    assert rows["1"].error == "No chunks created for file documents/1.txt."
+    assert rows["2"].ok and rows["2"].total_chunks == 1
+    st = {r.doc_id: r for r in processing_state_table(_prep(spark, [" \n\t\n", "ok."])).collect()}
+    assert st["0"].is_complete is False and st["0"].current_chunk == 0 and st["0"].processed_chunks == []
+    assert st["1"].is_complete and st["1"].processed_chunks == ["1-chunk-1"]
+
+
+def test_line_ends_and_stats(spark):
+    r = _prep(spark, ["one\r\ntwo\rthree\n"]).collect()[0]
+    assert (r.total_lines, r.total_chars, r.file_size) == (4, 14, 14)
+    assert r.text == "one\ntwo\nthree\n"
+
+
+def test_bom_kept(spark):
+    r = _prep(spark, ["\ufeffhi."]).collect()[0]
+    assert (r.total_chars, r.file_size) == (4, 6)
+
+
+def test_unicode_whitespace_stripped(spark):
+    r = _prep(spark, [" \u001c Hello world　. "], limit=100).collect()[0]
+    assert [c.text for c in r.chunk_meta] == ["Hello world."]
+    assert len(WS_CHARS) == 29 and all(c.isspace() for c in WS_CHARS)
+    assert sum(chr(i).isspace() for i in range(0x110000)) == 29
+
+
+def test_invalid_utf8_rejected(spark):
+    from sliceforge.operators.validate import decode_utf8
+
+    df = spark.createDataFrame([(bytearray(b"ok \xff\xfe ."),), (bytearray(b"fine."),)], "content binary")
+    text, err = decode_utf8(F.col("content"))
+    out = df.select(text.alias("t"), err.alias("e")).collect()
+    assert out[0].t is None and out[0].e
+    assert out[1].t == "fine." and out[1].e is None
+
+
+def test_special_token(spark):
+    bad = "hello <|endoftext|> there."
+    rej = _prep(spark, [bad], counter="bpe", on_special="error", extra={"encoding": "byte_bpe_50k"}).collect()[0]
+    assert not rej.ok and "disallowed special token" in rej.error
+    ok = _prep(spark, [bad], counter="bpe", on_special="text", extra={"encoding": "byte_bpe_50k"}).collect()[0]
+    assert ok.ok and ok.total_tokens > 0
+
+
+def test_options():
+    assert token_limit("gpt-4", 1 / 128) == 64
+    assert token_limit("gpt-4", 0.2) == 1638
+    with pytest.raises(ValueError):
+        validate_factor(0)
+    with pytest.raises(ValueError):
+        validate_factor(1.5)
+    with pytest.raises(ValueError):
+        token_limit("gpt-4", 0.0001)  # int(8192 * 0.0001) = 0
+    with pytest.raises(ValueError, match="Choose from"):
+        token_limit("nope")

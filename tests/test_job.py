@@ -1,0 +1,85 @@
+"""The import job over files and tables, append-import, lookups, streaming."""
+
+import os
+import tempfile
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from sliceforge.config import ChunkOptions
+from sliceforge.plans.run import run_import
+from sliceforge.sources.corpus import scan_corpus
+from sliceforge.sources.tables import read_chunk, read_document, read_manifest
+
+from .conftest import SF_SMALL
+
+
+def _tree():
+    src = tempfile.mkdtemp(prefix="sliceforge-src-")
+    os.makedirs(f"{src}/sub")
+    with open(f"{src}/a.txt", "w") as f:
+        f.write("Hello there. General Kenobi.")
+    with open(f"{src}/sub/n.txt", "w") as f:
+        f.write("Nested file. Two sentences.")
+    with open(f"{src}/blank.txt", "w") as f:
+        f.write("  \n ")
+    for name, body in (("note.md", "not me."), ("UP.TXT", "not me either.")):
+        with open(f"{src}/{name}", "w") as f:
+            f.write(body)
+    with open(f"{src}/bad.txt", "wb") as f:
+        f.write(b"ok \xff\xfe .")
+    return src
+
+
+def test_scan_rules(spark):
+    src = _tree()
+    names = sorted(r.filename for r in scan_corpus(spark, src).collect())
+    assert names == ["a.txt", "bad.txt", "blank.txt", "n.txt"]
+    with pytest.raises(ValueError, match="neither a directory nor a .txt file"):
+        scan_corpus(spark, f"{src}/note.md")
+    assert scan_corpus(spark, f"{src}/a.txt").count() == 1
+
+
+def test_import_append_and_verify(spark, tmp_out):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    r1 = run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 32, run_id="one"), verify_mode="strict")
+    assert r1["files"] == r1["processed_files"] == docs.count()
+    assert r1["verification"]["invalid"] == 0
+    r2 = run_import(spark, _tree(), tmp_out, ChunkOptions(factor=1 / 32, run_id="two"), verify_mode="lenient")
+    assert (r2["files"], r2["processed_files"], r2["failed_files"]) == (4, 2, 2)
+    header, entries = read_manifest(spark, tmp_out)
+    h = header.first()
+    assert h.manifest_id == r1["manifest_id"] == r2["manifest_id"]
+    assert h.document_count == r1["processed_files"] + 2 == entries.count()
+    assert h.total_chunks == r1["chunks"] + r2["chunks"]
+    state = spark.read.parquet(f"{tmp_out}/processing_state").where("run_seq = 1")
+    errors = sorted(r.error_message[:12] for r in state.where("not is_complete").collect())
+    assert errors[0].startswith("'utf-8'") and errors[1].startswith("File ")
+    first = spark.read.parquet(f"{tmp_out}/chunks").where("run_seq = 0").orderBy("doc_id", "number").first()
+    assert read_chunk(spark, tmp_out, first.id).first().text == first.text
+    assert read_document(spark, tmp_out, first.doc_id).count() == 1
+
+
+def test_rerun_same_run_is_idempotent(spark, tmp_out):
+    docs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
+    opts = ChunkOptions(factor=1 / 128, run_id="same")
+    run_import(spark, docs, tmp_out, opts)
+    n = spark.read.parquet(f"{tmp_out}/chunks").count()
+    # A second run appends a new run_seq; the first run's partitions stay as they were.
+    run_import(spark, docs, tmp_out, opts)
+    assert spark.read.parquet(f"{tmp_out}/chunks").count() == 2 * n
+    assert spark.read.parquet(f"{tmp_out}/chunks").where("run_seq = 0").count() == n
+
+
+def test_continuous_import(spark, tmp_out):
+    from sliceforge.streaming.continuous import start_continuous_import
+
+    src = _tree()
+    ckpt = tempfile.mkdtemp(prefix="sliceforge-stream-")
+    q = start_continuous_import(spark, src, tmp_out, ckpt, ChunkOptions(factor=1 / 128, run_id="s"), available_now=True)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    st = spark.read.parquet(f"{tmp_out}/processing_state")
+    assert st.count() == 4 and st.where("is_complete").count() == 2
+    assert spark.read.parquet(f"{tmp_out}/chunks").agg(F.count("*")).first()[0] >= 2
