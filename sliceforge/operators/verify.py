@@ -45,15 +45,19 @@ def stored_state(stored: DataFrame, counter: Counter) -> DataFrame:
     )
 
 
-def _chunk_reason(mode: str) -> Column:
+REASONS = {1: "missing", 2: "token mismatch", 3: "hash mismatch"}
+
+
+def _chunk_reason_code(mode: str) -> Column:
+    """1 missing, 2 token mismatch, 3 hash mismatch (check order of J2)."""
     missing = F.col("hash_now").isNull()
     if mode == "strict":
         return (
-            F.when(missing, "missing")
-            .when(F.col("tokens_now") != F.col("tokens"), "token mismatch")
-            .when(F.col("hash_now") != F.col("content_hash"), "hash mismatch")
+            F.when(missing, 1)
+            .when(F.col("tokens_now") != F.col("tokens"), 2)
+            .when(F.col("hash_now") != F.col("content_hash"), 3)
         )
-    return F.when(missing, "missing")
+    return F.when(missing, 1)
 
 
 def verify_documents(
@@ -67,7 +71,9 @@ def verify_documents(
     * other modes: every document invalid (``unknown mode``).
 
     ``reason`` (J5) is the first failing check in chunk order, as the reference
-    logs it; null when valid.
+    logs it; null when valid.  The first failure is found as
+    ``min(number * 4 + code)``: numeric buffers keep the aggregate a hash
+    aggregate with map-side partial results.
     """
     counter = get_counter(counter) if isinstance(counter, str) else counter
     listed = listed_chunks(document_info)
@@ -75,17 +81,16 @@ def verify_documents(
         docs = listed.select("doc_id").distinct()
         return docs.select("doc_id", F.lit(False).alias("is_valid"), F.lit("unknown mode").alias("reason"))
     joined = listed.join(stored_state(stored, counter), on=["doc_id", "chunk_id"], how="left")
-    reason = _chunk_reason(mode)
+    code = _chunk_reason_code(mode)
     per_doc = joined.groupBy("doc_id").agg(
-        F.first("doc_total").alias("doc_total"),
-        F.min_by(reason, F.when(reason.isNotNull(), F.col("number"))).alias("first_reason"),
+        F.max("doc_total").alias("doc_total"),
+        F.min(F.col("number").cast("bigint") * 4 + code).alias("first_bad"),
         F.sum("tokens_now").alias("sum_now"),  # A8
     )
+    first = F.col("first_bad") % 4
+    chunk_reason = F.when(first == 1, "missing").when(first == 2, "token mismatch").when(first == 3, "hash mismatch")
     total_bad = F.when(F.col("sum_now").isNull() | (F.col("sum_now") != F.col("doc_total")), F.lit("total mismatch"))
-    if mode == "lenient":
-        final = F.col("first_reason")
-    else:
-        final = F.coalesce(F.col("first_reason"), total_bad)
+    final = chunk_reason if mode == "lenient" else F.coalesce(chunk_reason, total_bad)
     return per_doc.select("doc_id", final.isNull().alias("is_valid"), final.alias("reason"))
 
 

@@ -79,6 +79,20 @@ def q_chunks(factor=F64, order="reference", splitter="dot", name="documents", id
     return run
 
 
+def q_conversation_chunks(spark, sf_dir):
+    """T6 over conversation turns: each turn is a document ``<conv_id>-<turn>``.
+
+    Turns are chunked where they are; a whole conversation is never gathered
+    into one row (a hot conversation would otherwise be one task).
+    """
+    opts = options(F64)
+    conv = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text"
+    )
+    prepared = prepare(spread(corpus_from_table(conv, prefix="conversations")), opts)
+    return flat_chunks(chunks_table(prepared, opts))
+
+
 def q_sentence_chunks(factor: float) -> QueryFn:
     """Strategy B (punctuation sentences, word / character split, ' ' join)."""
 
@@ -364,6 +378,7 @@ def queries() -> dict[str, QueryFn]:
         "chunks_lossless_64": q_chunks(splitter="lossless"),
         "chunks_pages_64": q_chunks(name="pages", id_col="page_id", text_col="html"),
         "chunks_benchmark_64": q_chunks(name="benchmark", id_col="item_id"),
+        "chunks_conversations_64": q_conversation_chunks,
         "chunks_sentence_64": q_sentence_chunks(F64),
         "chunks_sentence_8": q_sentence_chunks(F8),
         "sentences_dot": q_sentences("dot"),
@@ -398,6 +413,11 @@ def oracle_sql() -> dict[str, str]:
         "chunks_lossless_64": oracle.chunks_sql(64, splitter="lossless"),
         "chunks_pages_64": oracle.chunks_sql(64, table="pages", id_col="page_id", text_col="html", prefix="pages"),
         "chunks_benchmark_64": oracle.chunks_sql(64, table="benchmark", id_col="item_id", prefix="benchmark"),
+        "chunks_conversations_64": oracle.chunks_sql(
+            64, norm="norm AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS doc_id, "
+            "'conversations/' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '.txt' AS path, "
+            "regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM conversations)"
+        ),
         "chunks_sentence_64": oracle.sentence_chunks_sql(64),
         "chunks_sentence_8": oracle.sentence_chunks_sql(8),
         "sentences_dot": oracle.sentences_sql("dot"),

@@ -50,6 +50,8 @@ def run_import(
     if opts.run_ts == ChunkOptions().run_ts:
         opts = replace(opts, run_ts=_now())
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # Rows are whole documents: small Arrow batches into the packer.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     t0 = time.time()
 
     if isinstance(source, str):
