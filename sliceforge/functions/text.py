@@ -43,8 +43,9 @@ def ws_chars_sql() -> str:
 
 
 def normalize_newlines(text: Column) -> Column:
-    """Text-mode read: ``\\r\\n`` and lone ``\\r`` become ``\\n``."""
-    return F.regexp_replace(text, "\r\n?", "\n")
+    """Text-mode read: ``\\r\\n`` and lone ``\\r`` become ``\\n`` (two literal
+    replacements, no regex)."""
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def py_strip(text: Column) -> Column:

@@ -50,7 +50,9 @@ def options(factor: float = F64, **kw) -> ChunkOptions:
 
 
 def corpus(spark, sf_dir, name="documents", id_col="doc_id", text_col="text"):
-    return spread(corpus_from_table(table(spark, sf_dir, name), id_col, text_col, prefix=name))
+    """Scan only the id and text columns; spread before any per-row work."""
+    raw = table(spark, sf_dir, name).select(id_col, text_col)
+    return corpus_from_table(spread(raw), id_col, text_col, prefix=name)
 
 
 def _bigint(*names):
@@ -89,7 +91,7 @@ def q_conversation_chunks(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text"
     )
-    prepared = prepare(spread(corpus_from_table(conv, prefix="conversations")), opts)
+    prepared = prepare(corpus_from_table(spread(conv), prefix="conversations"), opts)
     return flat_chunks(chunks_table(prepared, opts))
 
 
