@@ -7,7 +7,8 @@ of it.  Skew-safe by construction:
 * a change batch carries a dense ``seq`` (1, 2, ...) per record; the parent
   of change ``s`` is found with an equi-join on ``(key, s - 1)``, so a record
   changed a million times is spread over many tasks (no window, no group);
-* final values are ``max_by(..., seq)`` aggregates, combined map-side;
+* final values come from ``max(seq)`` (a hash aggregate, combined map-side)
+  joined back on the unique ``(key, seq)``;
 * version history lives in its own table (one row per version) instead of an
   ever-growing nested array in the record.
 
@@ -86,6 +87,17 @@ def get_records(records: DataFrame, ids: DataFrame | list) -> DataFrame:
     return records.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def last_by_seq(df: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
+    """Value of the highest ``seq`` per key.
+
+    ``max(seq)`` is a hash aggregate with map-side partial results; the value
+    is fetched back with an equi-join on the unique ``(keys, seq)``.  (A
+    ``max_by`` over a string would force a sort-based aggregate.)
+    """
+    top = df.groupBy(*keys).agg(F.max("seq").alias("seq"))
+    return top.join(df.select(*keys, "seq", F.col(value).alias(alias)), [*keys, "seq"]).drop("seq")
+
+
 def check_dense_seq(changes: DataFrame, key: str) -> None:
     """``seq`` must run 1..n per record (partial aggregates only)."""
     bad = changes.groupBy(key).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n")).where(
@@ -133,10 +145,10 @@ def update_records(records: DataFrame, changes: DataFrame, ts: str, check: bool
         F.lit("updated").alias("action"),
         F.col("fields").alias("details"),
     )
-    final_version = matched.groupBy("record_id").agg(F.max_by("version_id", "seq").alias("_new_version"))
-    # Last value per (record, key): explode the maps, max_by over seq.
+    final_version = last_by_seq(matched, ["record_id"], "version_id", "_new_version")
+    # Last value per (record, key): explode the maps, take the highest seq.
     kv = matched.select("record_id", "seq", F.explode("fields").alias("k", "v"))
-    last = kv.groupBy("record_id", "k").agg(F.max_by("v", "seq").alias("v"))
+    last = last_by_seq(kv, ["record_id", "k"], "v", "v")
     merged = last.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_set"))
     upd = (
         records.join(final_version.withColumnRenamed("record_id", "id"), "id", "left")
@@ -180,8 +192,8 @@ def delete_records(records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
 
 
 def latest_version(history: DataFrame, key: str = "record_id") -> DataFrame:
-    """V6: last history element per record (``max_by`` over seq)."""
-    return history.groupBy(key).agg(F.max_by("version_id", "seq").alias("version_id"))
+    """V6: last history element per record."""
+    return last_by_seq(history, [key], "version_id", "version_id")
 
 
 # --------------------------------------------------------------------------
@@ -216,10 +228,9 @@ def upsert_document_chunks(
     Returns ``(entries, history_rows, doc_versions)``.
     """
     check_dense_seq(updates, "doc_id")
+    kv = updates.select("doc_id", "chunk_id", "seq", F.explode("fields").alias("k", "v"))
     last_fields = (
-        updates.select("doc_id", "chunk_id", "seq", F.explode("fields").alias("k", "v"))
-        .groupBy("doc_id", "chunk_id", "k")
-        .agg(F.max_by("v", "seq").alias("v"))
+        last_by_seq(kv, ["doc_id", "chunk_id", "k"], "v", "v")
         .groupBy("doc_id", "chunk_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_new"))
     )
@@ -241,7 +252,7 @@ def upsert_document_chunks(
         F.lit("chunk_updated").alias("action"),
         F.map_concat(F.create_map(F.lit("id"), F.col("chunk_id")), F.col("fields")).alias("details"),
     )
-    final = updates.groupBy("doc_id").agg(F.max_by("version_id", "seq").alias("_v"))
+    final = last_by_seq(updates, ["doc_id"], "version_id", "_v")
     versions = doc_versions.join(final.withColumnRenamed("doc_id", "id"), "id", "left").select(
         "id", F.coalesce("_v", "version_id").alias("version_id")
     )

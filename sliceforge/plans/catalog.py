@@ -31,6 +31,7 @@ from sliceforge.plans.import_job import (
     spread,
     versions_table,
 )
+from sliceforge.session import materialize
 from sliceforge.sources.corpus import corpus_from_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -179,10 +180,10 @@ def q_import_summary(spark, sf_dir):
 
 
 def _verify_inputs(spark, sf_dir):
-    """Import once (checkpointed: the records and the store are two reads of
+    """Import once (materialised: the records and the store are two reads of
     one result), then corrupt a deterministic subset of the stored chunks."""
     opts = options()
-    prepared = prepare(corpus(spark, sf_dir), opts).checkpoint()
+    prepared = materialize(prepare(corpus(spark, sf_dir), opts), "prepared")
     info = document_info_table(prepared, opts, "m")
     stored = corrupt_chunks(chunks_table(prepared, opts))
     return info, stored
@@ -253,8 +254,8 @@ def _records(spark, sf_dir):
     opts = options(F256)
     chunks = chunks_table(prepare(corpus(spark, sf_dir), opts), opts)
     # The record table is read by several branches and checks: materialise it
-    # once (reliable checkpoint in spark.checkpoint.dir), as a stored table would be.
-    records = create_chunk_records(chunks, opts.run_ts).checkpoint()
+    # once (a table in spark.checkpoint.dir), as a stored table would be.
+    records = materialize(create_chunk_records(chunks, opts.run_ts), "chunk_records")
     return records, created_history(records, opts.run_ts)
 
 

@@ -57,6 +57,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def materialize(df, name: str = "table"):
+    """Cut lineage: write ``df`` once as parquet under ``spark.checkpoint.dir``
+    (the cluster's shared folder) and return a DataFrame reading it back.
+
+    Unlike an eager ``Dataset.checkpoint()`` without persistence, the plan is
+    computed once (the checkpoint write would recompute it).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/sliceforge/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``sliceforge`` importable by Python workers (``--py-files`` equivalent).
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sliceforge.config import ChunkOptions
 from sliceforge.operators.verify import corrupt_chunks, verify_documents
 from sliceforge.plans.import_job import chunks_table, document_info_table, prepare
+from sliceforge.session import materialize
 from sliceforge.sources.corpus import corpus_from_table
 
 from .conftest import SF_SMALL
@@ -12,7 +13,7 @@ from .conftest import SF_SMALL
 
 def _import(spark):
     opts = ChunkOptions(factor=1 / 128)
-    prepared = prepare(corpus_from_table(spark.read.parquet(f"{SF_SMALL}/documents.parquet")), opts).checkpoint()
+    prepared = materialize(prepare(corpus_from_table(spark.read.parquet(f"{SF_SMALL}/documents.parquet")), opts))
     return document_info_table(prepared, opts, "m"), chunks_table(prepared, opts)
 
 
