@@ -52,6 +52,7 @@ class ChunkOptions:
     splitter: str = "dot"  # dot | lossless  (strategy A sentence split)
     order: str = "reference"  # reference (right halves first) | document
     on_special: str = "error"  # bpe only: error | text
+    engine: str = "arrow"  # arrow (pandas UDF packer) | catalyst (JVM only; strategy A, regex/chars)
     run_id: str = "run-0"
     run_ts: str = "1970-01-01 00:00:00"
     limit_override: int | None = None

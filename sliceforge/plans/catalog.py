@@ -73,9 +73,9 @@ def list_md5(arr, fn) -> F.Column:
 # --------------------------------------------------------------------------
 
 
-def q_chunks(factor=F64, order="reference", splitter="dot", name="documents", id_col="doc_id", text_col="text") -> QueryFn:
+def q_chunks(factor=F64, order="reference", splitter="dot", name="documents", id_col="doc_id", text_col="text", engine="arrow") -> QueryFn:
     def run(spark, sf_dir):
-        opts = options(factor, order=order, splitter=splitter)
+        opts = options(factor, order=order, splitter=splitter, engine=engine)
         prepared = prepare(corpus(spark, sf_dir, name, id_col, text_col), opts)
         return flat_chunks(chunks_table(prepared, opts))
 
@@ -378,6 +378,8 @@ def queries() -> dict[str, QueryFn]:
         "chunks_greedy_64": q_chunks(),
         "chunks_greedy_256": q_chunks(F256),
         "chunks_greedy_document_order_64": q_chunks(order="document"),
+        "chunks_greedy_catalyst_64": q_chunks(engine="catalyst"),
+        "chunks_greedy_catalyst_8": q_chunks(F8, engine="catalyst"),
         "chunks_lossless_64": q_chunks(splitter="lossless"),
         "chunks_pages_64": q_chunks(name="pages", id_col="page_id", text_col="html"),
         "chunks_benchmark_64": q_chunks(name="benchmark", id_col="item_id"),
@@ -413,6 +415,8 @@ def oracle_sql() -> dict[str, str]:
         "chunks_greedy_64": oracle.chunks_sql(64),
         "chunks_greedy_256": oracle.chunks_sql(256),
         "chunks_greedy_document_order_64": oracle.chunks_sql(64, order="document"),
+        "chunks_greedy_catalyst_64": oracle.chunks_sql(64),
+        "chunks_greedy_catalyst_8": oracle.chunks_sql(8),
         "chunks_lossless_64": oracle.chunks_sql(64, splitter="lossless"),
         "chunks_pages_64": oracle.chunks_sql(64, table="pages", id_col="page_id", text_col="html", prefix="pages"),
         "chunks_benchmark_64": oracle.chunks_sql(64, table="benchmark", id_col="item_id", prefix="benchmark"),

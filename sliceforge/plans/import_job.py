@@ -75,7 +75,9 @@ def prepare(
         .withColumn("error", err)
         .withColumn("ok", F.col("error").isNull())
     )
-    arrays = chunk_arrays(checked, opts.limit, counter, strategy, opts.splitter, opts.order, pieces_col="_pieces")
+    arrays = chunk_arrays(
+        checked, opts.limit, counter, strategy, opts.splitter, opts.order, pieces_col="_pieces", engine=opts.engine
+    )
     ann = annotate_chunks(arrays, counter, first_number=1 if strategy == "greedy" else 0)
     return ann.select(
         "doc_id",
