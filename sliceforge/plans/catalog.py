@@ -346,7 +346,8 @@ def q_vocabulary_decode(spark, sf_dir):
     """C6 (vocabulary form): decode ids through the corpus vocabulary table."""
     c = corpus(spark, sf_dir)
     enc = c.select("doc_id", get_counter("regex").encode(F.col("text")).alias("ids"))
-    dec = decode_with_vocabulary(enc.where(F.size("ids") > 0), vocabulary(c))
+    vocab = materialize(vocabulary(c), "vocabulary")  # a stored table: its row count is metadata
+    dec = decode_with_vocabulary(enc.where(F.size("ids") > 0), vocab, vocab_rows=vocab.count())
     n = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
     return dec.join(n, "doc_id").select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_tokens")
 
