@@ -311,7 +311,8 @@ def q_records_delete(spark, sf_dir):
 def q_document_upsert(spark, sf_dir):
     """V5: upsert chunk entries of document records (merge or append)."""
     opts = options(F256)
-    info = document_info_table(prepare(corpus(spark, sf_dir), opts), opts, "m")
+    # Read by two branches (entries and versions): materialise once, as the stored table.
+    info = materialize(document_info_table(prepare(corpus(spark, sf_dir), opts), opts, "m"), "document_info")
     entries = document_chunk_entries(info)
     docs = info.select("id", "version_id")
     n = _key(F.col("id"), 3)
