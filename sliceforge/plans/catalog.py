@@ -96,11 +96,11 @@ def q_conversation_chunks(spark, sf_dir):
     return flat_chunks(chunks_table(prepared, opts))
 
 
-def q_sentence_chunks(factor: float) -> QueryFn:
+def q_sentence_chunks(factor: float, engine: str = "arrow") -> QueryFn:
     """Strategy B (punctuation sentences, word / character split, ' ' join)."""
 
     def run(spark, sf_dir):
-        opts = options(factor)
+        opts = options(factor, engine=engine)
         prepared = prepare(corpus(spark, sf_dir), opts, strategy="sentence")
         return flat_chunks(chunks_table(prepared, opts))
 
@@ -388,6 +388,7 @@ def queries() -> dict[str, QueryFn]:
         "chunks_conversations_64": q_conversation_chunks,
         "chunks_sentence_64": q_sentence_chunks(F64),
         "chunks_sentence_8": q_sentence_chunks(F8),
+        "chunks_sentence_catalyst_8": q_sentence_chunks(F8, engine="catalyst"),
         "sentences_dot": q_sentences("dot"),
         "sentences_lossless": q_sentences("lossless"),
         "sentences_punct": q_sentences("punct"),
@@ -429,6 +430,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "chunks_sentence_64": oracle.sentence_chunks_sql(64),
         "chunks_sentence_8": oracle.sentence_chunks_sql(8),
+        "chunks_sentence_catalyst_8": oracle.sentence_chunks_sql(8),
         "sentences_dot": oracle.sentences_sql("dot"),
         "sentences_lossless": oracle.sentences_sql("lossless"),
         "sentences_punct": oracle.sentences_sql("punct"),
