@@ -96,7 +96,7 @@ def prepare(
 @dataclass
 class ImportTables:
     prepared: DataFrame
-    chunks: DataFrame
+    chunks: DataFrame | None
     document_info: DataFrame
     processing_state: DataFrame
     versions: DataFrame
@@ -252,13 +252,14 @@ def build_tables(
     description: str | None = None,
     completed_ts: str | None = None,
     manifest_created_at: str | None = None,
+    with_chunks: bool = True,
 ) -> ImportTables:
     manifest_id = manifest_id or _manifest_id(opts)
     entries = manifest_entries_table(prepared, opts, manifest_id, run_seq)
     all_entries = entries if old_entries is None else old_entries.unionByName(entries)
     return ImportTables(
         prepared=prepared,
-        chunks=chunks_table(prepared, opts),
+        chunks=chunks_table(prepared, opts) if with_chunks else None,
         document_info=document_info_table(prepared, opts, manifest_id),
         processing_state=processing_state_table(prepared),
         versions=versions_table(prepared, opts, parent_version_id, description),

@@ -1,7 +1,10 @@
 """Running the import (and verification) as a job that writes tables.
 
-    prepare -> write ``documents`` (source copy + chunk arrays)   <- lineage cut
-            -> read back -> chunks / document_info / state / versions /
+    prepare (persisted once on executor disk)
+            -> write ``chunks`` (chunk texts)                     narrow
+            -> write ``documents`` (source text, per-document results,
+               chunk metadata without texts)                      <- lineage cut
+            -> read back (no text) -> document_info / state / versions /
                manifest entries / runs                            (narrow)
             -> manifest header over all entries                   (tiny agg)
             -> optional verification over the stored tables       (join)
@@ -18,12 +21,13 @@ import hashlib
 import time
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sliceforge.config import ChunkOptions
 from sliceforge.operators.verify import verification_summary, verify_documents
-from sliceforge.plans.import_job import build_tables, counter_for, manifest_header, prepare, spread
+from sliceforge.plans.import_job import build_tables, chunks_table, counter_for, manifest_header, prepare, spread
 from sliceforge.sinks.writers import write_chunks, write_table
 from sliceforge.sources.corpus import corpus_from_table, scan_corpus
 from sliceforge.sources.tables import read_chunk_texts, read_document_info, read_manifest, read_table
@@ -66,7 +70,7 @@ def run_import(
         manifest_id = hashlib.md5(f"manifest|{opts.run_id}".encode()).hexdigest()
         created_at, run_seq = opts.run_ts, 0
 
-    # Progress metrics collected while the documents table is written.
+    # Progress metrics collected while the first table is written.
     obs = Observation("import_progress")
     prepared = prepare(spread(corpus), opts, counter_for(opts), strategy).withColumn("run_seq", F.lit(run_seq))
     observed = prepared.observe(
@@ -76,8 +80,19 @@ def run_import(
         F.sum(F.when(F.col("ok"), F.col("total_chunks"))).alias("chunks"),
         F.sum(F.when(F.col("ok"), F.col("total_tokens"))).alias("tokens"),
     )
-    write_table(observed, output_dir, "documents", "overwrite", ["run_seq"])  # K1 + lineage cut
-    docs = read_table(spark, output_dir, "documents").where(F.col("run_seq") == run_seq)
+    # The packer runs once: the prepared rows are kept on executor disk for
+    # the two writes (a lost block is recomputed; the plan is deterministic).
+    observed = observed.persist(StorageLevel.DISK_ONLY)
+    try:
+        # K2: chunk texts, written once.
+        write_chunks(chunks_table(observed, opts).withColumn("run_seq", F.lit(run_seq)), output_dir, "overwrite")
+        # K1 + lineage cut: source text and per-document results; chunk
+        # metadata without the chunk texts (those live in ``chunks``).
+        meta = F.transform("chunk_meta", lambda c: c.dropFields("text"))
+        write_table(observed.withColumn("chunk_meta", meta), output_dir, "documents", "overwrite", ["run_seq"])
+    finally:
+        observed.unpersist()
+    docs = read_table(spark, output_dir, "documents").where(F.col("run_seq") == run_seq).drop("text")
     completed = _now()
 
     tables = build_tables(
@@ -90,8 +105,8 @@ def run_import(
         description=changes_description,
         completed_ts=completed,
         manifest_created_at=created_at,
+        with_chunks=False,
     )
-    write_chunks(tables.chunks.withColumn("run_seq", F.lit(run_seq)), output_dir, "overwrite")
     for name, df in (
         ("document_info", tables.document_info),
         ("processing_state", tables.processing_state),
