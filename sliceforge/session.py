@@ -83,6 +83,13 @@ def ship_package(spark: SparkSession) -> None:
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    # Already shipped by the deployment (--py-files / spark.submit.pyFiles), or
+    # explicitly disabled because executors have the package installed.
+    if "sliceforge" in (sc.getConf().get("spark.submit.pyFiles", "") or "") or (
+        spark.conf.get("spark.sliceforge.shipPackage", "true").lower() == "false"
+    ):
+        _SHIPPED.add(key)
+        return
     out = os.path.join(tempfile.mkdtemp(prefix="sliceforge-pyfiles-"), "sliceforge.zip")
     root = os.path.dirname(_PKG_DIR)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
