@@ -47,6 +47,7 @@ def run_import(
     changes_description: str | None = None,
     strategy: str = "greedy",
     prepared_corpus: bool = False,
+    run_seq: int | None = None,
 ) -> dict:
     """Import a folder / file of ``.txt`` or a ``(doc_id, text)`` table."""
     opts = opts or ChunkOptions()
@@ -65,10 +66,15 @@ def run_import(
     old_header, old_entries = read_manifest(spark, output_dir)
     if old_header is not None:
         h = old_header.select("manifest_id", "created_at", "run_seq").first()
-        manifest_id, created_at, run_seq = h.manifest_id, str(h.created_at), h.run_seq + 1
+        manifest_id, created_at, next_seq = h.manifest_id, str(h.created_at), h.run_seq + 1
     else:
         manifest_id = hashlib.md5(f"manifest|{opts.run_id}".encode()).hexdigest()
-        created_at, run_seq = opts.run_ts, 0
+        created_at, next_seq = opts.run_ts, 0
+    if run_seq is None:
+        run_seq = next_seq
+    elif old_entries is not None:
+        # A given run_seq (streaming epochs) is rewritten in place: drop its old entries.
+        old_entries = old_entries.where(F.col("run_seq") != run_seq)
 
     # Progress metrics collected while the first table is written.
     obs = Observation("import_progress")

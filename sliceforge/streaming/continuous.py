@@ -37,7 +37,7 @@ def stream_corpus(spark: SparkSession, input_dir: str, max_files_per_trigger: in
     return raw.select("path", "content")
 
 
-def _batch_runner(output_dir: str, opts: ChunkOptions):
+def _batch_runner(output_dir: str, opts: ChunkOptions, run_seq_base: int = 0):
     from sliceforge.plans.run import run_import
 
     def run(batch: DataFrame, epoch_id: int) -> None:
@@ -52,7 +52,8 @@ def _batch_runner(output_dir: str, opts: ChunkOptions):
             text.alias("text"),
             error.alias("decode_error"),
         )
-        run_import(batch.sparkSession, corpus, output_dir, run_opts, prepared_corpus=True)
+        # run_seq from the epoch: a replayed epoch rewrites its own partitions.
+        run_import(batch.sparkSession, corpus, output_dir, run_opts, prepared_corpus=True, run_seq=run_seq_base + epoch_id)
 
     return run
 
@@ -65,11 +66,12 @@ def start_continuous_import(
     opts: ChunkOptions | None = None,
     trigger_seconds: int | None = None,
     available_now: bool = False,
+    run_seq_base: int = 0,
 ):
     """Start the streaming import; returns the ``StreamingQuery``."""
     opts = opts or ChunkOptions()
     opts.limit  # validate options before starting
-    writer = stream_corpus(spark, input_dir).writeStream.foreachBatch(_batch_runner(output_dir, opts)).option(
+    writer = stream_corpus(spark, input_dir).writeStream.foreachBatch(_batch_runner(output_dir, opts, run_seq_base)).option(
         "checkpointLocation", checkpoint_dir
     )
     if available_now:
