@@ -34,6 +34,14 @@ class RecordError(ValueError):
     pass
 
 
+def merge_maps(old: Column, new: Column) -> Column:
+    """``old`` updated with ``new`` (later wins), whatever the session's
+    ``spark.sql.mapKeyDedupPolicy``: old keys that ``new`` sets are removed
+    before concatenating."""
+    kept = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k))
+    return F.map_concat(kept, new)
+
+
 def _ts(ts: str | Column) -> Column:
     return ts if isinstance(ts, Column) else F.to_timestamp(F.lit(ts))
 
@@ -172,7 +180,7 @@ def update_records(records: DataFrame, changes: DataFrame, ts: str, check: bool
 def _merge_prefixed(old: Column, setm: Column, prefix: str) -> Column:
     picked = F.map_filter(setm, lambda k, v: k.startswith(prefix))
     renamed = F.transform_keys(picked, lambda k, v: F.substring(k, len(prefix) + 1, 1 << 20))
-    return F.when(setm.isNull(), old).otherwise(F.map_concat(old, renamed))
+    return F.when(setm.isNull(), old).otherwise(merge_maps(old, renamed))
 
 
 def _merge_open(old: Column, setm: Column) -> Column:
@@ -181,7 +189,7 @@ def _merge_open(old: Column, setm: Column) -> Column:
         setm,
         lambda k, v: ~(k.startswith(MAP_COLUMNS[0] + ".") | k.startswith(MAP_COLUMNS[1] + ".") | k.isin(*known)),
     )
-    return F.when(setm.isNull(), old).otherwise(F.map_concat(old, picked))
+    return F.when(setm.isNull(), old).otherwise(merge_maps(old, picked))
 
 
 def delete_records(records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +247,7 @@ def upsert_document_chunks(
         "chunk_id",
         F.when(F.col("fields").isNull(), F.col("_new"))
         .when(F.col("_new").isNull(), F.col("fields"))
-        .otherwise(F.map_concat("fields", "_new"))
+        .otherwise(merge_maps(F.col("fields"), F.col("_new")))
         .alias("fields"),
     )
     linked = chain_versions(updates, "doc_id", doc_versions.select(F.col("id"), "version_id"))
@@ -250,7 +258,7 @@ def upsert_document_chunks(
         "parent_version_id",
         _ts(ts).alias("timestamp"),
         F.lit("chunk_updated").alias("action"),
-        F.map_concat(F.create_map(F.lit("id"), F.col("chunk_id")), F.col("fields")).alias("details"),
+        merge_maps(F.col("fields"), F.create_map(F.lit("id"), F.col("chunk_id"))).alias("details"),
     )
     final = last_by_seq(updates, ["doc_id"], "version_id", "_v")
     versions = doc_versions.join(final.withColumnRenamed("doc_id", "id"), "id", "left").select(

@@ -29,7 +29,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # (also bounded by spark.sql.execution.arrow.maxBytesPerBatch).
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         .config("spark.driver.memory", os.environ.get("SLICEFORGE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )

@@ -23,7 +23,6 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sliceforge-test-ckpt-"))
         .getOrCreate()
     )
