@@ -34,9 +34,21 @@ def write_chunks(chunks: DataFrame, root: str, mode: str = "append") -> str:
     return write_table(chunks.withColumn("bucket", chunk_bucket(F.col("doc_id"))), root, "chunks", mode, parts)
 
 
-def export_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K7: JSON records, timestamps as ISO-8601 strings."""
-    df.write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def export_json(df: DataFrame, path: str, mode: str = "overwrite", pretty: bool = False) -> None:
+    """K7: JSON records, timestamps as ISO-8601 strings.
+
+    Default: JSON Lines (splittable, readable back with :func:`read_json_records`).
+    ``pretty=True``: each record indented over several lines, for people;
+    read back with ``multiLine``-style tooling, not as JSON Lines.
+    """
+    if not pretty:
+        df.write.mode(mode).option("timestampFormat", ISO_TS).json(path)
+        return
+    opts = {"pretty": "true", "timestampFormat": ISO_TS}
+    df.select(F.to_json(F.struct(*df.columns), opts).alias("value")).write.mode(mode).text(path)
 
 
 def export_chunk_texts(chunks: DataFrame, path: str) -> None:

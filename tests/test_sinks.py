@@ -42,3 +42,14 @@ def test_text_export(spark, tmp_out):
     path = os.path.join(tmp_out, "texts")
     export_chunk_texts(chunks, path)
     assert spark.read.text(path).count() >= chunks.count()
+
+
+def test_pretty_json(spark, tmp_out):
+    import json
+
+    info, _ = _tables(spark)
+    path = os.path.join(tmp_out, "pretty")
+    export_json(info.limit(1), path, pretty=True)
+    body = "".join(open(f).read() for f in sorted(glob.glob(f"{path}/part-*")))
+    rec = json.loads(body)
+    assert rec["model_name"] == "gpt-4" and body.count("\n") > 5 and rec["processed_at"].startswith("2024-01-01T12:00:00")
