@@ -380,6 +380,7 @@ def queries() -> dict[str, QueryFn]:
     return {
         "chunks_greedy_64": q_chunks(),
         "chunks_greedy_256": q_chunks(F256),
+        "chunks_greedy_8192": q_chunks(1.0),
         "chunks_greedy_document_order_64": q_chunks(order="document"),
         "chunks_greedy_catalyst_64": q_chunks(engine="catalyst"),
         "chunks_greedy_catalyst_8": q_chunks(F8, engine="catalyst"),
@@ -418,6 +419,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "chunks_greedy_64": oracle.chunks_sql(64),
         "chunks_greedy_256": oracle.chunks_sql(256),
+        "chunks_greedy_8192": oracle.chunks_sql(8192),
         "chunks_greedy_document_order_64": oracle.chunks_sql(64, order="document"),
         "chunks_greedy_catalyst_64": oracle.chunks_sql(64),
         "chunks_greedy_catalyst_8": oracle.chunks_sql(8),

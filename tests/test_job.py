@@ -41,6 +41,14 @@ def test_scan_rules(spark):
     assert scan_corpus(spark, f"{src}/a.txt").count() == 1
 
 
+def test_zero_byte_file_is_not_listed(spark):
+    # Documented divergence: Spark's file listing skips empty files (the
+    # reference reports them as failed "is empty").
+    src = _tree()
+    open(f"{src}/empty.txt", "w").close()
+    assert "empty.txt" not in [r.filename for r in scan_corpus(spark, src).collect()]
+
+
 def test_import_append_and_verify(spark, tmp_out):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     r1 = run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 32, run_id="one"), verify_mode="strict")
