@@ -6,8 +6,6 @@ with text decoded and newline-normalised.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +38,14 @@ def assign_doc_id(path, run_id: str):
     return F.md5(F.concat(path, F.lit("\u0000"), F.lit(run_id)))
 
 
+def _is_dir(spark: SparkSession, location: str) -> bool:
+    """Directory test through Hadoop's FileSystem (works for hdfs://, s3a://, file:)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(location)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(path) and fs.getFileStatus(path).isDirectory()
+
+
 def scan_corpus(spark: SparkSession, location: str, run_id: str = "run-0") -> DataFrame:
     """Read ``.txt`` files below a folder, or one ``.txt`` file.
 
@@ -47,7 +53,7 @@ def scan_corpus(spark: SparkSession, location: str, run_id: str = "run-0") -> Da
     zero-byte files and names starting with ``.`` or ``_`` (documented
     divergence: the reference reports empty files as failed).
     """
-    if os.path.isdir(location) or location.endswith("/"):
+    if _is_dir(spark, location):
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
     elif location.endswith(".txt"):
         reader = spark.read.format("binaryFile")
