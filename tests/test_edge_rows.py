@@ -72,3 +72,12 @@ def test_options():
         token_limit("gpt-4", 0.0001)  # int(8192 * 0.0001) = 0
     with pytest.raises(ValueError, match="Choose from"):
         token_limit("nope")
+
+
+def test_model_limit_join(spark):
+    from sliceforge.operators.stats import model_limits, with_model_limit
+
+    docs = spark.createDataFrame([("a", "gpt-4"), ("b", "claude-2"), ("c", "nope")], "doc_id string, model_name string")
+    got = {r.doc_id: r.token_limit for r in with_model_limit(docs, model_limits(spark, "gpt-4", 0.5)).collect()}
+    assert got == {"a": 4096, "b": 50000, "c": None}
+    assert model_limits(spark, "gpt-4", 1.0).count() == 6
