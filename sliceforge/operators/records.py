@@ -126,6 +126,39 @@ def chain_versions(changes: DataFrame, key: str, base_versions: DataFrame) -> Da
     ).drop("_prev", "_base")
 
 
+def validate_changes(changes: DataFrame, records: DataFrame, key: str = "record_id") -> None:
+    """All checks of a change batch in one job: no ``version_id`` in fields,
+    ``seq`` dense 1..n per record, every record exists.
+
+    A left join to the record ids (unique key) and a per-record aggregate with
+    map-side partial results, then one global row of counts.
+    """
+    ids = records.select(F.col("id").alias(key), F.lit(True).alias("_exists"))
+    per_key = (
+        changes.join(ids, key, "left")
+        .groupBy(key)
+        .agg(
+            F.min("seq").alias("lo"),
+            F.max("seq").alias("hi"),
+            F.count("*").alias("n"),
+            F.max(F.coalesce(F.col("_exists"), F.lit(False)).cast("int")).alias("exists"),
+            F.sum(F.array_contains(F.map_keys("fields"), "version_id").cast("int")).alias("vkeys"),
+        )
+    )
+    summary = per_key.agg(
+        F.coalesce(F.sum("vkeys"), F.lit(0)).alias("vkeys"),
+        F.count_if((F.col("lo") != 1) | (F.col("hi") != F.col("n"))).alias("bad_seq"),
+        F.count_if(F.col("exists") == 0).alias("missing"),
+    ).first()
+    if summary.vkeys:
+        raise RecordError("fields may not set version_id")
+    if summary.bad_seq:
+        raise RecordError(f"change seq numbers must be 1..n per {key}")
+    if summary.missing:
+        missing = changes.join(ids, key, "left_anti").select(key).distinct().limit(5).collect()
+        raise RecordError(f"Chunk(s) do not exist: {', '.join(r[0] for r in missing)}")
+
+
 def update_records(records: DataFrame, changes: DataFrame, ts: str, check: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """V3: apply a batch of changes.
 
@@ -135,13 +168,8 @@ def update_records(records: DataFrame, changes: DataFrame, ts: str, check: bool
     """
     changes = changes.withColumnRenamed("chunk_id", "record_id") if "chunk_id" in changes.columns else changes
     if check:
-        if not changes.where(F.array_contains(F.map_keys("fields"), "version_id")).isEmpty():
-            raise RecordError("fields may not set version_id")
-        check_dense_seq(changes, "record_id")
+        validate_changes(changes, records)
     unmatched = changes.join(records.select(F.col("id").alias("record_id")), "record_id", "left_anti")
-    if check and not unmatched.isEmpty():
-        ids = [r.record_id for r in unmatched.select("record_id").distinct().limit(5).collect()]
-        raise RecordError(f"Chunk(s) do not exist: {', '.join(ids)}")
     matched = changes.join(records.select(F.col("id").alias("record_id")), "record_id", "left_semi")
     linked = chain_versions(matched, "record_id", records)
     history = linked.select(
