@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 
 from sliceforge.config import ChunkOptions
 from sliceforge.functions.sentences import get_splitter
+from sliceforge.functions.text import is_blank
 from sliceforge.functions.tokens import decode_with_vocabulary, get_counter, regex_count, vocabulary
-from sliceforge.plans import oracle
-from sliceforge.operators.records import create_chunk_records, created_history, delete_records, document_chunk_entries, update_records, upsert_document_chunks
+from sliceforge.operators.records import (
+    create_chunk_records,
+    created_history,
+    delete_records,
+    document_chunk_entries,
+    update_records,
+    upsert_document_chunks,
+)
 from sliceforge.operators.verify import corrupt_chunks, verification_summary, verify_documents
+from sliceforge.plans import oracle
 from sliceforge.plans.import_job import (
     _manifest_id,
     chunks_table,
@@ -111,7 +119,7 @@ def q_sentences(splitter: str) -> QueryFn:
     """One row per sentence of every non-blank document."""
 
     def run(spark, sf_dir):
-        c = corpus(spark, sf_dir).where(F.btrim("text", F.lit(oracle_ws())) != "")
+        c = corpus(spark, sf_dir).where(~is_blank(F.col("text")))
         rows = c.select("doc_id", F.posexplode_outer(get_splitter(splitter)(F.col("text"))).alias("pos", "s")).where(
             F.col("s").isNotNull()
         )
@@ -126,12 +134,6 @@ def q_sentences(splitter: str) -> QueryFn:
     return run
 
 
-def oracle_ws():
-    from sliceforge.functions.text import WS_CHARS
-
-    return WS_CHARS
-
-
 def q_token_counts(spark, sf_dir):
     """C2 over whole documents."""
     c = corpus(spark, sf_dir)
