@@ -54,9 +54,19 @@ def run_import(
     opts.limit  # validates model, factor and limit before any job starts (P2)
     if opts.run_ts == ChunkOptions().run_ts:
         opts = replace(opts, run_ts=_now())
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    # Rows are whole documents: small Arrow batches into the packer.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    # Rows are whole documents: small Arrow batches into the packer (restored after the job).
+    batch_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    previous_batch = spark.conf.get(batch_key)
+    spark.conf.set(batch_key, "1024")
+    try:
+        return _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description,
+                           strategy, prepared_corpus, run_seq)
+    finally:
+        spark.conf.set(batch_key, previous_batch)
+
+
+def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description, strategy,
+                prepared_corpus, run_seq) -> dict:
     t0 = time.time()
 
     if isinstance(source, str):

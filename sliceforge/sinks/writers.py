@@ -23,7 +23,8 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", pa
     path = os.path.join(root, name)
     w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        # Overwrite only the partitions this write produces (a run's run_seq).
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
     return path
 
