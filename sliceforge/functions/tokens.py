@@ -120,11 +120,26 @@ def regex_decode_ids(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
+def _safe(count):
+    """Null instead of an exception for one text (``on_special="error"`` and a
+    special-token string): one bad row must not fail the task."""
+
+    def run(t):
+        if t is None:
+            return None
+        try:
+            return count(t)
+        except ValueError:
+            return None
+
+    return run
+
+
 def _bpe_count_udf(spec: CounterSpec):
     @F.pandas_udf(T.IntegerType())
     def bpe_count(texts: pd.Series) -> pd.Series:
-        count = py_counter(spec)
-        return pd.Series([None if t is None else count(t) for t in texts], dtype="Int32")
+        count = _safe(py_counter(spec))
+        return pd.Series([count(t) for t in texts], dtype="Int32")
 
     return bpe_count
 
@@ -132,7 +147,7 @@ def _bpe_count_udf(spec: CounterSpec):
 def _bpe_count_array_udf(spec: CounterSpec):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def bpe_count_array(arrays: pd.Series) -> pd.Series:
-        count = py_counter(spec)
+        count = _safe(py_counter(spec))
         return pd.Series([None if a is None else [count(t) for t in a] for a in arrays])
 
     return bpe_count_array

@@ -54,7 +54,8 @@ def _chunk_reason_code(mode: str) -> Column:
     if mode == "strict":
         return (
             F.when(missing, 1)
-            .when(F.col("tokens_now") != F.col("tokens"), 2)
+            # a recount that failed (null) counts as a mismatch, as an error does in the reference
+            .when(F.col("tokens_now").isNull() | (F.col("tokens_now") != F.col("tokens")), 2)
             .when(F.col("hash_now") != F.col("content_hash"), 3)
         )
     return F.when(missing, 1)

@@ -42,3 +42,17 @@ def test_unknown_mode(spark):
     res = verify_documents(info, chunks, "paranoid")
     assert res.where(F.col("is_valid")).count() == 0
     assert {r.reason for r in res.collect()} == {"unknown mode"}
+
+
+def test_bpe_recount_error_makes_document_invalid(spark):
+    from sliceforge.functions.tokens import get_counter
+
+    bpe = get_counter("bpe", encoding="byte_bpe_50k", on_special="error")
+    info = spark.createDataFrame(
+        [("d", 4, [("d-chunk-1", 1, 4, "d", "x", 5, None)])],
+        "id string, total_tokens int, chunks array<struct<id:string,number:int,tokens:int,doc_id:string,"
+        "content_hash:string,character_count:int,created_at:timestamp>>",
+    )
+    stored = spark.createDataFrame([("d-chunk-1", "d", "hi <|endoftext|>")], "id string, doc_id string, text string")
+    res = verify_documents(info, stored, "strict", bpe).collect()
+    assert [(r.is_valid, r.reason) for r in res] == [(False, "token mismatch")]
