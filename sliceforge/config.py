@@ -48,7 +48,7 @@ class ChunkOptions:
 
     model_name: str = "gpt-4"
     factor: float = 1.0
-    counter: str = "regex"  # regex | chars | bpe
+    counter: str = "regex"  # regex | chars | bpe | auto (bpe, else regex + lossless split; reported)
     splitter: str = "dot"  # dot | lossless  (strategy A sentence split)
     order: str = "reference"  # reference (right halves first) | document
     on_special: str = "error"  # bpe only: error | text

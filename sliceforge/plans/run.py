@@ -52,6 +52,17 @@ def run_import(
     """Import a folder / file of ``.txt`` or a ``(doc_id, text)`` table."""
     opts = opts or ChunkOptions()
     opts.limit  # validates model, factor and limit before any job starts (P2)
+    fell_back = False
+    if opts.counter == "auto":
+        # BPE with the model's encoding, else the rule counter (and the
+        # lossless splitter), decided once on the driver and reported.
+        from sliceforge.config import model_config
+        from sliceforge.functions.tokens import resolve_counter
+
+        encoding = opts.extra.get("encoding", model_config(opts.model_name)["encoding"])
+        counter, splitter, fell_back = resolve_counter("bpe", encoding=encoding)
+        extra = dict(opts.extra, encoding=counter.spec.encoding) if counter.name == "bpe" else opts.extra
+        opts = replace(opts, counter=counter.name, splitter=splitter, extra=extra)
     if opts.run_ts == ChunkOptions().run_ts:
         opts = replace(opts, run_ts=_now())
     # Rows are whole documents: small Arrow batches into the packer (restored after the job).
@@ -59,8 +70,10 @@ def run_import(
     previous_batch = spark.conf.get(batch_key)
     spark.conf.set(batch_key, "1024")
     try:
-        return _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description,
-                           strategy, prepared_corpus, run_seq)
+        result = _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description,
+                             strategy, prepared_corpus, run_seq)
+        result.update(counter=opts.counter, splitter=opts.splitter, counter_fallback=fell_back)
+        return result
     finally:
         spark.conf.set(batch_key, previous_batch)
 

@@ -106,3 +106,12 @@ def test_replayed_epoch_is_idempotent(spark, tmp_out):
     assert first == again
     header, entries = read_manifest(spark, tmp_out)
     assert header.first().document_count == entries.count() == 2
+
+
+def test_auto_counter_falls_back_and_reports(spark, tmp_out):
+    docs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
+    # cl100k_base (the registry's encoding) is not available offline: fallback, reported.
+    r = run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 128, run_id="auto", counter="auto"))
+    assert (r["counter"], r["splitter"], r["counter_fallback"]) == ("regex", "lossless", True)
+    r2 = run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 128, run_id="auto2", counter="auto", extra={"encoding": "byte_bpe_50k"}))
+    assert (r2["counter"], r2["counter_fallback"]) == ("bpe", False) and r2["tokens"] > 0
