@@ -61,6 +61,36 @@ def _chunk_reason_code(mode: str) -> Column:
     return F.when(missing, 1)
 
 
+def verify_all_modes(document_info: DataFrame, stored: DataFrame, counter: Counter | str = "regex") -> DataFrame:
+    """J1-J5 for all three modes from one join and one aggregate.
+
+    Returns ``doc_id`` and ``reason_strict``, ``reason_lenient``,
+    ``reason_token`` (null = valid).  ``reason`` (J5) is the first failing
+    check in chunk order, as the reference logs it.  The first failure is
+    ``min(number * 4 + code)``: numeric buffers keep the aggregate a hash
+    aggregate with map-side partial results.
+    """
+    counter = get_counter(counter) if isinstance(counter, str) else counter
+    joined = listed_chunks(document_info).join(stored_state(stored, counter), on=["doc_id", "chunk_id"], how="left")
+    number = F.col("number").cast("bigint")
+    per_doc = joined.groupBy("doc_id").agg(
+        F.max("doc_total").alias("doc_total"),
+        F.min(number * 4 + _chunk_reason_code("strict")).alias("first_bad"),
+        F.min(F.when(F.col("hash_now").isNull(), number)).alias("first_missing"),
+        F.sum("tokens_now").alias("sum_now"),  # A8
+    )
+    code = F.col("first_bad") % 4
+    strict_chunk = F.when(code == 1, "missing").when(code == 2, "token mismatch").when(code == 3, "hash mismatch")
+    missing = F.when(F.col("first_missing").isNotNull(), F.lit("missing"))
+    total_bad = F.when(F.col("sum_now").isNull() | (F.col("sum_now") != F.col("doc_total")), F.lit("total mismatch"))
+    return per_doc.select(
+        "doc_id",
+        F.coalesce(strict_chunk, total_bad).alias("reason_strict"),
+        missing.alias("reason_lenient"),
+        F.coalesce(missing, total_bad).alias("reason_token"),
+    )
+
+
 def verify_documents(
     document_info: DataFrame, stored: DataFrame, mode: str = "strict", counter: Counter | str = "regex"
 ) -> DataFrame:
@@ -70,29 +100,21 @@ def verify_documents(
     * strict  (J2): exists, recount equal, MD5 equal, recount total equal.
     * token   (J3): exists, recount total equal.
     * other modes: every document invalid (``unknown mode``).
-
-    ``reason`` (J5) is the first failing check in chunk order, as the reference
-    logs it; null when valid.  The first failure is found as
-    ``min(number * 4 + code)``: numeric buffers keep the aggregate a hash
-    aggregate with map-side partial results.
     """
-    counter = get_counter(counter) if isinstance(counter, str) else counter
-    listed = listed_chunks(document_info)
     if mode not in MODES:
-        docs = listed.select("doc_id").distinct()
+        docs = listed_chunks(document_info).select("doc_id").distinct()
         return docs.select("doc_id", F.lit(False).alias("is_valid"), F.lit("unknown mode").alias("reason"))
-    joined = listed.join(stored_state(stored, counter), on=["doc_id", "chunk_id"], how="left")
-    code = _chunk_reason_code(mode)
-    per_doc = joined.groupBy("doc_id").agg(
-        F.max("doc_total").alias("doc_total"),
-        F.min(F.col("number").cast("bigint") * 4 + code).alias("first_bad"),
-        F.sum("tokens_now").alias("sum_now"),  # A8
+    reason = F.col(f"reason_{mode}")
+    return verify_all_modes(document_info, stored, counter).select("doc_id", reason.isNull().alias("is_valid"), reason.alias("reason"))
+
+
+def verification_summary_all(all_modes: DataFrame) -> DataFrame:
+    """A6 for every mode from :func:`verify_all_modes`: ``(mode, valid, invalid)``."""
+    stack = F.expr("stack(3, 'strict', reason_strict, 'lenient', reason_lenient, 'token', reason_token) as (mode, reason)")
+    return all_modes.select(stack).groupBy("mode").agg(
+        F.count_if(F.col("reason").isNull()).cast("bigint").alias("valid"),
+        F.count_if(F.col("reason").isNotNull()).cast("bigint").alias("invalid"),
     )
-    first = F.col("first_bad") % 4
-    chunk_reason = F.when(first == 1, "missing").when(first == 2, "token mismatch").when(first == 3, "hash mismatch")
-    total_bad = F.when(F.col("sum_now").isNull() | (F.col("sum_now") != F.col("doc_total")), F.lit("total mismatch"))
-    final = chunk_reason if mode == "lenient" else F.coalesce(chunk_reason, total_bad)
-    return per_doc.select("doc_id", final.isNull().alias("is_valid"), final.alias("reason"))
 
 
 def verification_summary(result: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from sliceforge.operators.records import (
     update_records,
     upsert_document_chunks,
 )
-from sliceforge.operators.verify import corrupt_chunks, verification_summary, verify_documents
+from sliceforge.operators.verify import corrupt_chunks, verification_summary_all, verify_all_modes, verify_documents
 from sliceforge.plans import oracle
 from sliceforge.plans.import_job import (
     _manifest_id,
@@ -205,8 +205,7 @@ def q_verify(mode: str) -> QueryFn:
 def q_verification_summary(spark, sf_dir):
     """A6 per mode."""
     info, stored = _verify_inputs(spark, sf_dir)
-    parts = [verification_summary(verify_documents(info, stored, m)).select(F.lit(m).alias("mode"), "*") for m in ("strict", "lenient", "token")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return verification_summary_all(verify_all_modes(info, stored))
 
 
 def q_versions(spark, sf_dir):
