@@ -2,7 +2,6 @@
 
 import os
 import tempfile
-import time
 
 import pytest
 from pyspark.sql import functions as F

@@ -1,7 +1,6 @@
 """Record services as batch operators (V2-V5)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from sliceforge.operators.records import (
     RecordError,

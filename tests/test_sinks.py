@@ -4,7 +4,6 @@ import glob
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from sliceforge.config import ChunkOptions
 from sliceforge.plans.import_job import chunks_table, document_info_table, prepare
