@@ -38,12 +38,14 @@ def assign_doc_id(path, run_id: str):
     return F.md5(F.concat(path, F.lit("\u0000"), F.lit(run_id)))
 
 
-def _is_dir(spark: SparkSession, location: str) -> bool:
-    """Directory test through Hadoop's FileSystem (works for hdfs://, s3a://, file:)."""
+def _kind(spark: SparkSession, location: str) -> str:
+    """``dir``, ``file`` or ``missing``, through Hadoop's FileSystem (hdfs://, s3a://, file:)."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(location)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(path) and fs.getFileStatus(path).isDirectory()
+    if not fs.exists(path):
+        return "missing"
+    return "dir" if fs.getFileStatus(path).isDirectory() else "file"
 
 
 def scan_corpus(spark: SparkSession, location: str, run_id: str = "run-0") -> DataFrame:
@@ -53,9 +55,10 @@ def scan_corpus(spark: SparkSession, location: str, run_id: str = "run-0") -> Da
     zero-byte files and names starting with ``.`` or ``_`` (documented
     divergence: the reference reports empty files as failed).
     """
-    if _is_dir(spark, location):
+    kind = _kind(spark, location)
+    if kind == "dir":
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-    elif location.endswith(".txt"):
+    elif kind == "file" and location.endswith(".txt"):
         reader = spark.read.format("binaryFile")
     else:
         raise ValueError(f"{location} is neither a directory nor a .txt file")

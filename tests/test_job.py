@@ -31,6 +31,13 @@ def _tree():
     return src
 
 
+def _empty_dir():
+    d = tempfile.mkdtemp(prefix="sliceforge-empty-")
+    with open(f"{d}/readme.md", "w") as f:
+        f.write("no text files here.")
+    return d
+
+
 def test_scan_rules(spark):
     src = _tree()
     names = sorted(r.filename for r in scan_corpus(spark, src).collect())
@@ -38,6 +45,10 @@ def test_scan_rules(spark):
     with pytest.raises(ValueError, match="neither a directory nor a .txt file"):
         scan_corpus(spark, f"{src}/note.md")
     assert scan_corpus(spark, f"{src}/a.txt").count() == 1
+    with pytest.raises(ValueError, match="neither a directory nor a .txt file"):
+        scan_corpus(spark, f"{src}/missing.txt")
+    with pytest.raises(ValueError, match="No .txt files"):
+        scan_corpus(spark, _empty_dir())
 
 
 def test_zero_byte_file_is_not_listed(spark):
