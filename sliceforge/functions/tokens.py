@@ -273,9 +273,21 @@ def vocabulary(texts, text_col: str = "text"):
     return toks.select(token_id(F.col("token")).alias("id"), "token")
 
 
+def _assemble(joined, key: str, segment: int):
+    """Rebuild each row's text from ``(key, pos, token)`` in two levels:
+    segments of at most ``segment`` tokens (bounded groups), then a per-row
+    concatenation of ``ceil(n / segment)`` segment strings.  A hot row never
+    puts its whole token list into one aggregation buffer."""
+    ordered = lambda col, field: F.transform(F.array_sort(F.collect_list(col)), lambda s: s[field])
+    parts = joined.groupBy(key, F.floor(F.col("pos") / segment).alias("seg")).agg(
+        F.array_join(ordered(F.struct("pos", "token"), "token"), " ").alias("part")
+    )
+    return parts.groupBy(key).agg(F.array_join(ordered(F.struct("seg", "part"), "part"), " ").alias("decoded"))
+
+
 def decode_with_vocabulary(
     encoded, vocab, ids_col: str = "ids", key: str = "doc_id", salt: int = 16, vocab_rows: int | None = None,
-    broadcast_max_rows: int = 500_000,
+    broadcast_max_rows: int = 500_000, segment: int = 4096,
 ):
     """Ids -> text through the vocabulary table (tokens joined by ' ').
 
@@ -283,22 +295,16 @@ def decode_with_vocabulary(
     are Zipfian (one id can be a third of all rows), so the join is salted:
     the big side gets ``pos % salt``, the vocabulary is replicated ``salt``
     times; a hot id is spread over ``salt`` tasks whatever the join strategy.
-    Each row's text is then rebuilt in position order; the regrouped row is
-    the size of the input row it came from.
-
     When the caller proves the vocabulary small (``vocab_rows``, e.g. the row
     count of a stored vocabulary table, at most ``broadcast_max_rows``), it is
-    broadcast instead: no shuffle on the token side at all.
+    broadcast instead: no shuffle on the token side at all.  Texts are rebuilt
+    in bounded segments (:func:`_assemble`).
     """
+    pos = encoded.select(key, F.posexplode(ids_col).alias("pos", "id"))
     if vocab_rows is not None and vocab_rows <= broadcast_max_rows:
-        pos = encoded.select(key, F.posexplode(ids_col).alias("pos", "id"))
         joined = pos.join(F.broadcast(vocab.select("id", "token")), "id", "left")
-        return joined.groupBy(key).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ").alias("decoded")
-        )
-    pos = encoded.select(key, F.posexplode(ids_col).alias("pos", "id")).withColumn("_salt", F.pmod(F.col("pos"), F.lit(salt)))
-    salted = vocab.select("id", "token", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-    joined = pos.join(salted, ["id", "_salt"], "left")
-    return joined.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ").alias("decoded")
-    )
+    else:
+        salted_pos = pos.withColumn("_salt", F.pmod(F.col("pos"), F.lit(salt)))
+        salted = vocab.select("id", "token", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
+        joined = salted_pos.join(salted, ["id", "_salt"], "left")
+    return _assemble(joined, key, segment)

@@ -5,7 +5,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sliceforge.functions.tokens import CounterSpec, TOKEN_PATTERN_PY, get_counter, py_counter, resolve_counter
+from sliceforge.functions.tokens import (
+    TOKEN_PATTERN_JAVA,
+    TOKEN_PATTERN_PY,
+    CounterSpec,
+    get_counter,
+    py_counter,
+    resolve_counter,
+)
 
 from .conftest import SF_SMALL
 
@@ -47,3 +54,16 @@ def test_fallback_is_reported():
     assert fell_back and counter.name == "regex" and splitter == "lossless"
     counter, splitter, fell_back = resolve_counter("bpe", encoding="byte_bpe_50k")
     assert not fell_back and counter.name == "bpe" and splitter == "dot"
+
+
+def test_vocabulary_decode_paths_agree(spark):
+    from sliceforge.functions.tokens import decode_with_vocabulary, vocabulary
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    enc = docs.select("doc_id", get_counter("regex").encode(F.col("text")).alias("ids")).where(F.size("ids") > 0)
+    vocab = vocabulary(docs)
+    tokens = F.regexp_extract_all("text", F.lit(TOKEN_PATTERN_JAVA), 0)
+    want = {r.doc_id: r.decoded for r in docs.select("doc_id", F.array_join(tokens, " ").alias("decoded")).collect()}
+    salted = {r.doc_id: r.decoded for r in decode_with_vocabulary(enc, vocab, segment=7).collect()}
+    broadcast = {r.doc_id: r.decoded for r in decode_with_vocabulary(enc, vocab, vocab_rows=10, segment=50).collect()}
+    assert salted == broadcast == {k: v for k, v in want.items() if k in salted} and len(salted) == enc.count()
