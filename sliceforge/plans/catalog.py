@@ -386,6 +386,7 @@ def queries() -> dict[str, QueryFn]:
         "chunks_greedy_catalyst_64": q_chunks(engine="catalyst"),
         "chunks_greedy_catalyst_8": q_chunks(F8, engine="catalyst"),
         "chunks_lossless_64": q_chunks(splitter="lossless"),
+        "chunks_lossless_catalyst_8": q_chunks(F8, splitter="lossless", engine="catalyst"),
         "chunks_pages_64": q_chunks(name="pages", id_col="page_id", text_col="html"),
         "chunks_benchmark_64": q_chunks(name="benchmark", id_col="item_id"),
         "chunks_conversations_64": q_conversation_chunks,
@@ -425,6 +426,7 @@ def oracle_sql() -> dict[str, str]:
         "chunks_greedy_catalyst_64": oracle.chunks_sql(64),
         "chunks_greedy_catalyst_8": oracle.chunks_sql(8),
         "chunks_lossless_64": oracle.chunks_sql(64, splitter="lossless"),
+        "chunks_lossless_catalyst_8": oracle.chunks_sql(8, splitter="lossless"),
         "chunks_pages_64": oracle.chunks_sql(64, table="pages", id_col="page_id", text_col="html", prefix="pages"),
         "chunks_benchmark_64": oracle.chunks_sql(64, table="benchmark", id_col="item_id", prefix="benchmark"),
         "chunks_conversations_64": oracle.chunks_sql(
