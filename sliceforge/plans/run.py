@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sliceforge.config import ChunkOptions
 from sliceforge.operators.verify import verification_summary, verify_documents
-from sliceforge.plans.import_job import build_tables, chunks_table, counter_for, manifest_header, prepare, spread
+from sliceforge.plans.import_job import advance_manifest_header, build_tables, chunks_table, counter_for, prepare, spread
 from sliceforge.sinks.writers import write_chunks, write_table
 from sliceforge.sources.corpus import corpus_from_table, scan_corpus
 from sliceforge.sources.tables import read_chunk_texts, read_document_info, read_manifest, read_table
@@ -145,8 +145,13 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         write_table(df.withColumn("run_seq", F.lit(run_seq)), output_dir, name, "overwrite", ["run_seq"])
     new_entries = tables.manifest_entries.where(F.col("run_seq") == run_seq)
     write_table(new_entries, output_dir, "manifest_entries", "overwrite", ["run_seq"])
-    all_entries = read_table(spark, output_dir, "manifest_entries")
-    header = manifest_header(all_entries, opts, manifest_id, created_at).withColumn("run_seq", F.lit(run_seq))
+    # The header of the run before this one (one row) + this run's entries.
+    previous = None
+    if old_header is not None:
+        earlier = read_table(spark, output_dir, "manifest_headers").where(F.col("run_seq") < run_seq)
+        previous = earlier.orderBy(F.col("run_seq").desc()).limit(1).first()
+    this_run = read_table(spark, output_dir, "manifest_entries").where(F.col("run_seq") == run_seq)
+    header = advance_manifest_header(previous, this_run, opts, manifest_id, created_at).withColumn("run_seq", F.lit(run_seq))
     write_table(header, output_dir, "manifest_headers", "overwrite", ["run_seq"])
 
     metrics = dict(obs.get)
