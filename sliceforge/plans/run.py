@@ -171,10 +171,18 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
     return result
 
 
-def run_verification(spark: SparkSession, output_dir: str, mode: str = "strict", opts: ChunkOptions | None = None) -> dict:
-    """Verify every stored document (all runs) and write the per-document result."""
+def run_verification(
+    spark: SparkSession, output_dir: str, mode: str = "strict", opts: ChunkOptions | None = None, run_seqs: list | None = None
+) -> dict:
+    """Verify every stored document (all runs, as the reference does) and write
+    the per-document result.  ``run_seqs`` restricts it to some runs; the
+    ``run_seq`` partitions of both tables are then pruned at the scan."""
     opts = opts or ChunkOptions()
-    res = verify_documents(read_document_info(spark, output_dir), read_chunk_texts(spark, output_dir), mode, counter_for(opts))
+    info, chunks = read_document_info(spark, output_dir), read_chunk_texts(spark, output_dir)
+    if run_seqs is not None:
+        info = info.where(F.col("run_seq").isin(list(run_seqs)))
+        chunks = chunks.where(F.col("run_seq").isin(list(run_seqs)))
+    res = verify_documents(info, chunks, mode, counter_for(opts))
     write_table(res, output_dir, f"verification_{mode}", "overwrite")
     s = verification_summary(read_table(spark, output_dir, f"verification_{mode}")).first()
     return {"mode": mode, "valid": int(s.valid), "invalid": int(s.invalid)}

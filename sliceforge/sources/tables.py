@@ -32,7 +32,7 @@ def read_document_info(spark: SparkSession, root: str) -> DataFrame:
 
 def read_chunk_texts(spark: SparkSession, root: str) -> DataFrame:
     """The stored chunk bodies, pruned to what verification needs."""
-    return read_table(spark, root, "chunks").select("id", "doc_id", "text")
+    return read_table(spark, root, "chunks").select("id", "doc_id", "text", "run_seq")
 
 
 def read_chunk(spark: SparkSession, root: str, chunk_id: str) -> DataFrame:

@@ -74,6 +74,10 @@ def test_import_append_and_verify(spark, tmp_out):
     state = spark.read.parquet(f"{tmp_out}/processing_state").where("run_seq = 1")
     errors = sorted(r.error_message[:12] for r in state.where("not is_complete").collect())
     assert errors[0].startswith("'utf-8'") and errors[1].startswith("File ")
+    from sliceforge.plans.run import run_verification
+
+    only_second = run_verification(spark, tmp_out, "strict", run_seqs=[1])
+    assert (only_second["valid"], only_second["invalid"]) == (2, 0)
     first = spark.read.parquet(f"{tmp_out}/chunks").where("run_seq = 0").orderBy("doc_id", "number").first()
     assert read_chunk(spark, tmp_out, first.id).first().text == first.text
     assert read_document(spark, tmp_out, first.doc_id).count() == 1
