@@ -3,10 +3,11 @@ micro-batch with the same plan as the batch job.
 
 The reference is a batch job; this is the streaming form of its import
 (file-source ``readStream`` + ``foreachBatch``), nothing more.  Each
-micro-batch is one run (``run_id = <base>-<epoch>``, ``run_seq = epoch``);
-outputs are deterministic per epoch and written with dynamic partition
-overwrite, so a replayed epoch after a failure rewrites the same partitions
-instead of duplicating rows.
+micro-batch is one run (``run_id = <base>-<epoch>``, ``run_seq = base +
+epoch``, the base fixed at the stream's first start and kept in its
+checkpoint folder); outputs are deterministic per epoch and written with
+dynamic partition overwrite, so a replayed epoch after a failure rewrites the
+same partitions instead of duplicating rows.
 """
 
 from __future__ import annotations
@@ -58,6 +59,23 @@ def _batch_runner(output_dir: str, opts: ChunkOptions, run_seq_base: int = 0):
     return run
 
 
+def _run_seq_base(spark: SparkSession, output_dir: str, checkpoint_dir: str) -> int:
+    """The run_seq of epoch 0, fixed when the stream first starts (the next free
+    run_seq of the output) and kept in the stream's checkpoint folder, so that
+    after a restart a replayed epoch maps to the same run_seq again."""
+    from sliceforge.sources.tables import read_table, table_exists
+
+    marker = checkpoint_dir.rstrip("/") + "/sliceforge_run_seq_base"
+    if table_exists(spark, checkpoint_dir, "sliceforge_run_seq_base"):
+        return int(spark.read.text(marker).first()[0])
+    base = 0
+    if table_exists(spark, output_dir, "manifest_headers"):
+        last = read_table(spark, output_dir, "manifest_headers").agg(F.max("run_seq")).first()[0]
+        base = 0 if last is None else int(last) + 1
+    spark.createDataFrame([(str(base),)], "value string").coalesce(1).write.text(marker)
+    return base
+
+
 def start_continuous_import(
     spark: SparkSession,
     input_dir: str,
@@ -66,11 +84,13 @@ def start_continuous_import(
     opts: ChunkOptions | None = None,
     trigger_seconds: int | None = None,
     available_now: bool = False,
-    run_seq_base: int = 0,
+    run_seq_base: int | None = None,
 ):
     """Start the streaming import; returns the ``StreamingQuery``."""
     opts = opts or ChunkOptions()
     opts.limit  # validate options before starting
+    if run_seq_base is None:
+        run_seq_base = _run_seq_base(spark, output_dir, checkpoint_dir)
     writer = stream_corpus(spark, input_dir).writeStream.foreachBatch(_batch_runner(output_dir, opts, run_seq_base)).option(
         "checkpointLocation", checkpoint_dir
     )

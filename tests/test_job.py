@@ -129,3 +129,19 @@ def test_auto_counter_falls_back_and_reports(spark, tmp_out):
     assert (r["counter"], r["splitter"], r["counter_fallback"]) == ("regex", "lossless", True)
     r2 = run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 128, run_id="auto2", counter="auto", extra={"encoding": "byte_bpe_50k"}))
     assert (r2["counter"], r2["counter_fallback"]) == ("bpe", False) and r2["tokens"] > 0
+
+
+def test_stream_after_batch_runs_does_not_overwrite(spark, tmp_out):
+    from sliceforge.streaming.continuous import start_continuous_import
+
+    docs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
+    first = run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 128, run_id="batch"))
+    ckpt = tempfile.mkdtemp(prefix="sliceforge-stream-")
+    q = start_continuous_import(spark, _tree(), tmp_out, ckpt, ChunkOptions(factor=1 / 128, run_id="s"), available_now=True)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    state = spark.read.parquet(f"{tmp_out}/processing_state")
+    assert state.where("run_seq = 0").count() == first["files"]  # the batch run is intact
+    assert state.where("run_seq = 1").count() == 4
+    header, entries = read_manifest(spark, tmp_out)
+    assert header.first().document_count == entries.count() == first["processed_files"] + 2
