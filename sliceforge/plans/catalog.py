@@ -27,7 +27,7 @@ from sliceforge.operators.records import (
 from sliceforge.operators.verify import corrupt_chunks, verification_summary_all, verify_all_modes, verify_documents
 from sliceforge.plans import oracle
 from sliceforge.plans.import_job import (
-    _manifest_id,
+    default_manifest_id,
     chunks_table,
     document_info_table,
     import_summary,
@@ -44,7 +44,7 @@ from sliceforge.sources.corpus import corpus_from_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-# gpt-4 (8,192 tokens) with reduction factors 1/128 and 1/32: limits 64 and 256.
+# gpt-4 (8,192 tokens) with reduction factors 1/128, 1/32 and 1/1024: limits 64, 256 and 8.
 F64 = 1 / 128
 F256 = 1 / 32
 F8 = 1 / 1024
@@ -239,7 +239,7 @@ def q_manifest_append(spark, sf_dir):
     (run 2) into the same manifest; header over both."""
     o1 = options()
     o2 = ChunkOptions(model_name="gpt-4", factor=F64, run_id="r2", run_ts="2024-01-02 00:00:00")
-    mid = _manifest_id(o1)
+    mid = default_manifest_id(o1)
     e1 = manifest_entries_table(prepare(corpus(spark, sf_dir), o1), o1, mid, run_seq=0)
     e2 = manifest_entries_table(prepare(corpus(spark, sf_dir, "benchmark", "item_id"), o2), o2, mid, run_seq=1)
     header = manifest_header(e1.unionByName(e2), o2, mid, created_at=o1.run_ts)

@@ -276,7 +276,7 @@ def build_tables(
     manifest_created_at: str | None = None,
     with_chunks: bool = True,
 ) -> ImportTables:
-    manifest_id = manifest_id or _manifest_id(opts)
+    manifest_id = manifest_id or default_manifest_id(opts)
     entries = manifest_entries_table(prepared, opts, manifest_id, run_seq)
     all_entries = entries if old_entries is None else old_entries.unionByName(entries)
     return ImportTables(
@@ -292,7 +292,7 @@ def build_tables(
     )
 
 
-def _manifest_id(opts: ChunkOptions) -> str:
+def default_manifest_id(opts: ChunkOptions) -> str:
     import hashlib
 
     return hashlib.md5(f"manifest|{opts.run_id}".encode()).hexdigest()
