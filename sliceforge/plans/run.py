@@ -17,7 +17,6 @@ overwrites its ``run_seq`` partitions (dynamic partition overwrite).
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import time
 from dataclasses import replace
 
@@ -27,7 +26,15 @@ from pyspark.sql import functions as F
 
 from sliceforge.config import ChunkOptions
 from sliceforge.operators.verify import verification_summary, verify_documents
-from sliceforge.plans.import_job import advance_manifest_header, build_tables, chunks_table, counter_for, prepare, spread
+from sliceforge.plans.import_job import (
+    advance_manifest_header,
+    build_tables,
+    chunks_table,
+    counter_for,
+    default_manifest_id,
+    prepare,
+    spread,
+)
 from sliceforge.sinks.writers import write_chunks, write_table
 from sliceforge.sources.corpus import corpus_from_table, scan_corpus
 from sliceforge.sources.tables import read_chunk_texts, read_document_info, read_manifest, read_table
@@ -91,7 +98,7 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         h = old_header.select("manifest_id", "created_at", "run_seq").first()
         manifest_id, created_at, next_seq = h.manifest_id, str(h.created_at), h.run_seq + 1
     else:
-        manifest_id = hashlib.md5(f"manifest|{opts.run_id}".encode()).hexdigest()
+        manifest_id = default_manifest_id(opts)
         created_at, next_seq = opts.run_ts, 0
     if run_seq is None:
         run_seq = next_seq
