@@ -1,7 +1,8 @@
 """Sinks (K1-K7): tables instead of one JSON file per record.
 
-Chunks are written partitioned by a hash bucket of ``doc_id`` (point lookups
-prune to one folder) instead of one folder per document; JSON export writes
+Chunks are written sorted by ``doc_id`` within each task's file (parquet
+row-group statistics then let point lookups skip data) instead of one folder
+per document; JSON export writes
 JSON Lines (splittable) rather than indented files.
 """
 
@@ -9,16 +10,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BUCKETS = 64
-
-
-def chunk_bucket(doc_id: Column, buckets: int = CHUNK_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
-
-
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", partition_by: list | None = None) -> str:
     path = os.path.join(root, name)
     w = df.write.mode(mode)
@@ -30,9 +24,15 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", pa
 
 
 def write_chunks(chunks: DataFrame, root: str, mode: str = "append") -> str:
-    """K2: chunk text and metadata together, bucketed by document."""
-    parts = (["run_seq"] if "run_seq" in chunks.columns else []) + ["bucket"]
-    return write_table(chunks.withColumn("bucket", chunk_bucket(F.col("doc_id"))), root, "chunks", mode, parts)
+    """K2: chunk text and metadata together.
+
+    Each task writes one file, sorted by ``(doc_id, number)`` (a local sort,
+    no shuffle): a lookup by document or chunk id reads only the row groups
+    whose min/max statistics can hold it.  Hash-bucket folders would instead
+    make every task write a small file into every bucket.
+    """
+    parts = ["run_seq"] if "run_seq" in chunks.columns else None
+    return write_table(chunks.sortWithinPartitions("doc_id", "number"), root, "chunks", mode, parts)
 
 
 ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -53,8 +53,6 @@ def export_json(df: DataFrame, path: str, mode: str = "overwrite", pretty: bool
 
 
 def export_chunk_texts(chunks: DataFrame, path: str) -> None:
-    """Optional plain-text export of chunk bodies, one text file per bucket
-    folder (Spark's text sink; not one file per chunk)."""
-    chunks.select(chunk_bucket(F.col("doc_id")).alias("bucket"), F.col("text")).write.mode("overwrite").partitionBy(
-        "bucket"
-    ).text(path)
+    """Optional plain-text export of chunk bodies: one text file per task,
+    in document and chunk order (Spark's text sink; not one file per chunk)."""
+    chunks.sortWithinPartitions("doc_id", "number").select("text").write.mode("overwrite").text(path)

@@ -7,7 +7,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceforge.sinks.writers import chunk_bucket
 
 
 def _path(root: str, name: str) -> str:
@@ -36,10 +35,11 @@ def read_chunk_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_chunk(spark: SparkSession, root: str, chunk_id: str) -> DataFrame:
-    """One chunk by id; the bucket partition is pruned from the id."""
+    """One chunk by id.  Both filters reach the parquet scan; files are
+    sorted by doc_id, so row groups that cannot hold the document are skipped."""
     doc_id = chunk_id.rsplit("-chunk-", 1)[0]
     df = read_table(spark, root, "chunks")
-    return df.where((F.col("bucket") == chunk_bucket(F.lit(doc_id))) & (F.col("id") == chunk_id))
+    return df.where((F.col("doc_id") == doc_id) & (F.col("id") == chunk_id))
 
 
 def read_document(spark: SparkSession, root: str, doc_id: str) -> DataFrame:
