@@ -93,6 +93,8 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         corpus = scan_corpus(spark, source, opts.run_id)
     else:
         corpus = source if prepared_corpus else corpus_from_table(source)
+        if corpus.isEmpty():  # S3 for tables (the file scan checks its own listing)
+            raise ValueError("No documents to import")
     old_header, old_entries = read_manifest(spark, output_dir)
     if old_header is not None:
         h = old_header.select("manifest_id", "created_at", "run_seq").first()

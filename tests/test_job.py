@@ -145,3 +145,9 @@ def test_stream_after_batch_runs_does_not_overwrite(spark, tmp_out):
     assert state.where("run_seq = 1").count() == 4
     header, entries = read_manifest(spark, tmp_out)
     assert header.first().document_count == entries.count() == first["processed_files"] + 2
+
+
+def test_empty_table_is_refused(spark, tmp_out):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    with pytest.raises(ValueError, match="No documents"):
+        run_import(spark, empty, tmp_out, ChunkOptions(factor=1 / 128))
