@@ -81,3 +81,10 @@ def test_model_limit_join(spark):
     got = {r.doc_id: r.token_limit for r in with_model_limit(docs, model_limits(spark, "gpt-4", 0.5)).collect()}
     assert got == {"a": 4096, "b": 50000, "c": None}
     assert model_limits(spark, "gpt-4", 1.0).count() == 6
+
+
+def test_null_text_is_an_empty_document(spark):
+    df = spark.createDataFrame([(1, None), (2, "fine.")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in prepare(corpus_from_table(df), ChunkOptions(limit_override=64)).collect()}
+    assert not rows["1"].ok and rows["1"].error == "File documents/1.txt is empty."
+    assert rows["2"].ok and rows["2"].total_chunks == 1
