@@ -151,3 +151,13 @@ def test_empty_table_is_refused(spark, tmp_out):
     empty = spark.createDataFrame([], "doc_id long, text string")
     with pytest.raises(ValueError, match="No documents"):
         run_import(spark, empty, tmp_out, ChunkOptions(factor=1 / 128))
+
+
+def test_version_parent_and_description(spark, tmp_out):
+    docs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
+    run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 128, run_id="v"), previous_version_id="v-prev", changes_description="edited")
+    versions = spark.read.parquet(f"{tmp_out}/versions")
+    assert {(r.parent_version_id, r.changes_description) for r in versions.collect()} == {("v-prev", "edited")}
+    info = spark.read.parquet(f"{tmp_out}/document_info")
+    joined = info.join(versions.select(F.col("version_id"), F.col("doc_id").alias("id")), ["id", "version_id"])
+    assert joined.count() == info.count()  # each record points at its own version
