@@ -161,3 +161,24 @@ def test_version_parent_and_description(spark, tmp_out):
     info = spark.read.parquet(f"{tmp_out}/document_info")
     joined = info.join(versions.select(F.col("version_id"), F.col("doc_id").alias("id")), ["id", "version_id"])
     assert joined.count() == info.count()  # each record points at its own version
+
+
+def test_continuous_import_picks_up_new_files(spark, tmp_out):
+    from sliceforge.streaming.continuous import start_continuous_import
+
+    src = tempfile.mkdtemp(prefix="sliceforge-live-")
+    with open(f"{src}/one.txt", "w") as f:
+        f.write("First file. It has two sentences.")
+    ckpt = tempfile.mkdtemp(prefix="sliceforge-stream-")
+    q = start_continuous_import(spark, src, tmp_out, ckpt, ChunkOptions(factor=1 / 128, run_id="live"), trigger_seconds=1)
+    try:
+        q.processAllAvailable()
+        with open(f"{src}/two.txt", "w") as f:
+            f.write("Second file arrives later.")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    state = spark.read.parquet(f"{tmp_out}/processing_state")
+    assert state.count() == 2 and state.select("run_seq").distinct().count() == 2
+    header, _ = read_manifest(spark, tmp_out)
+    assert header.first().document_count == 2
