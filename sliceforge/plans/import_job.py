@@ -218,7 +218,7 @@ def advance_manifest_header(previous, new_entries: DataFrame, opts: ChunkOptions
         add("document_count"),
         add("total_chunks"),
         add("total_tokens"),
-        "model_name",
+        F.lit(previous["model_name"]).alias("model_name"),  # kept from the manifest's creation, as the reference
         F.coalesce(F.col("latest_version_id"), F.lit(previous["latest_version_id"])).alias("latest_version_id"),
         add("content_hashes_digest"),
         "metadata",

@@ -182,3 +182,13 @@ def test_continuous_import_picks_up_new_files(spark, tmp_out):
     assert state.count() == 2 and state.select("run_seq").distinct().count() == 2
     header, _ = read_manifest(spark, tmp_out)
     assert header.first().document_count == 2
+
+
+def test_manifest_keeps_its_model(spark, tmp_out):
+    docs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
+    run_import(spark, docs, tmp_out, ChunkOptions(model_name="gpt-4", factor=1 / 128, run_id="m1"))
+    run_import(spark, docs, tmp_out, ChunkOptions(model_name="claude", factor=1 / 128, run_id="m2"))
+    header, _ = read_manifest(spark, tmp_out)
+    assert header.first().model_name == "gpt-4"
+    models = {r.model_name for r in spark.read.parquet(f"{tmp_out}/document_info").select("model_name").collect()}
+    assert models == {"gpt-4", "claude"}  # each document records the model it was chunked for
