@@ -83,3 +83,12 @@ def test_document_upsert(spark):
     assert m == {"d-chunk-1": {"tokens": "7", "x": "1"}, "d-chunk-9": {"tokens": "1"}}
     assert versions.first().version_id == "dv2"
     assert sorted((r.seq, r.parent_version_id) for r in hist.collect()) == [(1, "v0"), (2, "dv1")]
+
+
+def test_latest_version(spark):
+    from sliceforge.operators.records import latest_version
+
+    hist = spark.createDataFrame(
+        [("a", 0, "a0"), ("a", 1, "a1"), ("a", 2, "a2"), ("b", 0, "b0")], "record_id string, seq int, version_id string"
+    )
+    assert {r.record_id: r.version_id for r in latest_version(hist).collect()} == {"a": "a2", "b": "b0"}
