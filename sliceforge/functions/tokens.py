@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import functools
 import logging
-import os
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -252,17 +251,6 @@ def resolve_counter(preferred: str = "bpe", encoding: str = "cl100k_base", fallb
     return get_counter(preferred), "dot", False
 
 
-def vocab_path_available(encoding: str) -> bool:
-    if encoding in _LOCAL_VOCABS:
-        try:
-            import public_tokenizers as P
-
-            return os.path.exists(P.path(_LOCAL_VOCABS[encoding]))
-        except ImportError:
-            return False
-    return False
-
-
 def vocabulary(texts, text_col: str = "text"):
     """C6 support: the corpus vocabulary ``(id, token)`` of the rule tokenizer.
 

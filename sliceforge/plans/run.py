@@ -195,7 +195,3 @@ def run_verification(
     write_table(res, output_dir, f"verification_{mode}", "overwrite")
     s = verification_summary(read_table(spark, output_dir, f"verification_{mode}")).first()
     return {"mode": mode, "valid": int(s.valid), "invalid": int(s.invalid)}
-
-
-def import_table(spark: SparkSession, df: DataFrame, output_dir: str, **kw) -> dict:
-    return run_import(spark, df, output_dir, **kw)
