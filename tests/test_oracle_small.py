@@ -35,12 +35,19 @@ def test_entry(spark):
     assert df.count() > 0
 
 
+SPARK_TO_DUCKDB = {"string": "VARCHAR", "bigint": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE", "int": "INTEGER"}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    got = E.queries()[name](spark, SF_SMALL).toPandas()
+    df = E.queries()[name](spark, SF_SMALL)
+    got = df.toPandas()
     sql = E.oracle_sql().get(name)
     if sql is None:
         assert len(got) > 0
         return
     want = con.sql(sql).df()
     assert _digest(got) == _digest(want)
+    spark_types = {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {row[0]: row[1] for row in con.sql(f"DESCRIBE ({sql})").fetchall()}
+    assert spark_types == duck_types
