@@ -55,8 +55,14 @@ def run_import(
     strategy: str = "greedy",
     prepared_corpus: bool = False,
     run_seq: int | None = None,
+    keep_source: bool = True,
 ) -> dict:
-    """Import a folder / file of ``.txt`` or a ``(doc_id, text)`` table."""
+    """Import a folder / file of ``.txt`` or a ``(doc_id, text)`` table.
+
+    ``keep_source`` (default, as the reference copies each input file) stores
+    the source text in ``documents``; for a corpus that already lives in a
+    table, ``False`` avoids writing it a second time.
+    """
     opts = opts or ChunkOptions()
     opts.limit  # validates model, factor and limit before any job starts (P2)
     fell_back = False
@@ -78,7 +84,7 @@ def run_import(
     spark.conf.set(batch_key, "1024")
     try:
         result = _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description,
-                             strategy, prepared_corpus, run_seq)
+                             strategy, prepared_corpus, run_seq, keep_source)
         result.update(counter=opts.counter, splitter=opts.splitter, counter_fallback=fell_back)
         return result
     finally:
@@ -86,7 +92,7 @@ def run_import(
 
 
 def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description, strategy,
-                prepared_corpus, run_seq) -> dict:
+                prepared_corpus, run_seq, keep_source=True) -> dict:
     t0 = time.time()
 
     if isinstance(source, str):
@@ -127,10 +133,14 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         # K1 + lineage cut: source text and per-document results; chunk
         # metadata without the chunk texts (those live in ``chunks``).
         meta = F.transform("chunk_meta", lambda c: c.dropFields("text"))
-        write_table(observed.withColumn("chunk_meta", meta), output_dir, "documents", "overwrite", ["run_seq"])
+        documents = observed.withColumn("chunk_meta", meta)
+        if not keep_source:
+            documents = documents.drop("text")
+        write_table(documents, output_dir, "documents", "overwrite", ["run_seq"])
     finally:
         observed.unpersist()
-    docs = read_table(spark, output_dir, "documents").where(F.col("run_seq") == run_seq).drop("text")
+    docs = read_table(spark, output_dir, "documents").where(F.col("run_seq") == run_seq)
+    docs = docs.drop("text") if "text" in docs.columns else docs
     completed = _now()
 
     tables = build_tables(

@@ -192,3 +192,10 @@ def test_manifest_keeps_its_model(spark, tmp_out):
     assert header.first().model_name == "gpt-4"
     models = {r.model_name for r in spark.read.parquet(f"{tmp_out}/document_info").select("model_name").collect()}
     assert models == {"gpt-4", "claude"}  # each document records the model it was chunked for
+
+
+def test_without_source_copy(spark, tmp_out):
+    docs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
+    r = run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 128, run_id="nosrc"), keep_source=False, verify_mode="strict")
+    assert "text" not in spark.read.parquet(f"{tmp_out}/documents").columns
+    assert r["verification"]["invalid"] == 0 and r["chunks"] > 0
