@@ -67,3 +67,29 @@ def test_vocabulary_decode_paths_agree(spark):
     salted = {r.doc_id: r.decoded for r in decode_with_vocabulary(enc, vocab, segment=7).collect()}
     broadcast = {r.doc_id: r.decoded for r in decode_with_vocabulary(enc, vocab, vocab_rows=10, segment=50).collect()}
     assert salted == broadcast == {k: v for k, v in want.items() if k in salted} and len(salted) == enc.count()
+
+
+def test_bpe_chunking_equals_python_model(spark):
+    """The BPE queries have no SQL oracle; check them against the Python helpers."""
+    import hashlib
+    import re
+
+    from sliceforge.operators.chunker import chunk_documents, pack_greedy, pack_sentences
+
+    spec = CounterSpec("bpe", encoding="byte_bpe_50k", on_special="text")
+    count = py_counter(spec)
+    bpe = get_counter("bpe", encoding="byte_bpe_50k", on_special="text")
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    for strategy, limit in (("greedy", 256), ("sentence", 64)):
+        got = sorted((r.doc_id, r.number, r.tokens, r.content_hash) for r in chunk_documents(rows, limit, bpe, strategy=strategy).collect())
+        want = []
+        for d, t in texts.items():
+            if strategy == "greedy":
+                chunks = pack_greedy([s.strip() + "." for s in t.split(".") if s.strip()], limit, count)
+                first = 1
+            else:
+                chunks = pack_sentences([s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()], limit, count)
+                first = 0
+            want += [(d, first + i, count(c), hashlib.md5(c.encode()).hexdigest()) for i, c in enumerate(chunks)]
+        assert got == sorted(want), strategy
