@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .mixing import mix_sources
 from .packing import pack_documents
+from .simhash import simhash_groups
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.*")
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,4 +45,4 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op8_exact_dedup, op9_pack_documents)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op5_simhash_groups, op6_language_id, op8_exact_dedup, op9_pack_documents)}
