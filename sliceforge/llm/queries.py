@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .langid import language_id
 from .mixing import mix_sources
 from .packing import pack_documents
+from .pii import find_personal_data, span_digests
 from .simhash import simhash_groups
 from .token_counts import token_counts
 
@@ -28,6 +29,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.*")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -45,4 +50,4 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op5_simhash_groups, op6_language_id, op8_exact_dedup, op9_pack_documents)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_personal_data, op5_simhash_groups, op6_language_id, op8_exact_dedup, op9_pack_documents)}
