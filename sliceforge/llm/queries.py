@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import language_id
@@ -49,5 +50,9 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_personal_data, op5_simhash_groups, op6_language_id, op8_exact_dedup, op9_pack_documents)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_personal_data, op5_simhash_groups, op6_language_id, op8_exact_dedup, op9_pack_documents, op10_nearest_neighbours)}
