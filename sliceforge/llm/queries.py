@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import main_text
 from .langid import language_id
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -42,6 +43,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,4 +60,4 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_personal_data, op5_simhash_groups, op6_language_id, op8_exact_dedup, op9_pack_documents, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_personal_data, op5_simhash_groups, op6_language_id, op7_main_text, op8_exact_dedup, op9_pack_documents, op10_nearest_neighbours)}
