@@ -11,17 +11,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sliceforge.llm.exact_dedup import drop_exact_duplicates
+from sliceforge.llm.langid import keep_identified
 from sliceforge.llm.mixing import mix_sources, tempered_weights
 from sliceforge.llm.packing import pack_documents
+from sliceforge.llm.simhash import drop_near_duplicates
 from sliceforge.session import ensure_checkpoint_dir, ship_package
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, and texts of which no language has three words in
+    ten, go."""
+    ship_package(spark)
+    return keep_identified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal up to the case of A-Z, the row with the largest doc_id stays."""
     ship_package(spark)
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by SimHash fingerprints (four-word shingles, at most
+    four differing bits), the one of the smallest doc_id stays."""
+    ship_package(spark)
+    return drop_near_duplicates(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at target weights (document counts to the power 0.8): smaller
     sources are repeated until the largest has been used up once, so every
@@ -36,7 +52,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources", mixing),
+    ("best-fit packing", packing),
+]
 
 #: Language identification is a trained model: SQL can't express the rows.
 ORACLE_SQL = None

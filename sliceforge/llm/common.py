@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,13 @@ def slices(texts: list[str], max_chars: int):
         chars += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose result has been written.
+
+    Its cleaner acts when the driver's heap is collected, which in a job of few
+    objects may be long after the step.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import find_personal_data, span_digests
 from .simhash import simhash_groups
+from .suffix_dedup import removal_digests, remove_repeats
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -60,4 +65,4 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_personal_data, op5_simhash_groups, op6_language_id, op7_main_text, op8_exact_dedup, op9_pack_documents, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_personal_data, op4_remove_repeats, op5_simhash_groups, op6_language_id, op7_main_text, op8_exact_dedup, op9_pack_documents, op10_nearest_neighbours)}
