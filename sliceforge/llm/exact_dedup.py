@@ -15,11 +15,13 @@ from pyspark.sql.window import Window
 from ..session import materialize
 from .common import ascii_lower, whole_text
 
-#: Chunk length bounds in characters; a chunk ends at the first word whose end
-#: looks like CUT once it has MIN_CHARS, or at MAX_CHARS.
-MIN_CHARS = 768
+#: Chunk length bounds in characters; a chunk ends at the first place after
+#: MIN_CHARS that looks like CUT, or at MAX_CHARS.  CUT is rare (one place in some
+#: hundred characters of prose), so that an insertion shifts the cuts of its own
+#: surroundings only.
+MIN_CHARS = 128
 MAX_CHARS = 4096
-CUT = r"[aeiou][a-z]\s"
+CUT = r"[d-p][a-e]\s(?=[a-f])"
 
 
 def content_chunks(text: F.Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> F.Column:
