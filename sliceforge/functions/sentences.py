@@ -12,7 +12,8 @@ from sliceforge.functions.text import WS_CLASS_JAVA, py_strip
 
 # A run of sentence end marks followed by white space (or the end of the
 # text), else the rest.  Pieces concatenate back to the input ("3.14" stays whole).
-LOSSLESS_PATTERN = rf"(?s).*?[.!?]+(?:[{WS_CLASS_JAVA}]+|\z)|.+"
+# A run is tried from its first mark only, and taken whole: linear on long runs.
+LOSSLESS_PATTERN = rf"(?s).*?(?<![.!?])[.!?]++(?:[{WS_CLASS_JAVA}]+|\z)|.+"
 
 # Split after an end mark at a run of white space.
 PUNCT_SPLIT_PATTERN = rf"(?<=[.!?])[{WS_CLASS_JAVA}]+"

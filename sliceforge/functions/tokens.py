@@ -1,9 +1,9 @@
 """Token counters.
 
-A counter has a JVM-side form (a Column expression, used for counting and for
-the recount of finished chunks) and a Python form (used inside the Arrow
-packer, which must count the halves of an oversize sentence).  Both forms of a
-counter must agree exactly; the tests check that.
+A counter is a Column expression.  For ``regex`` and ``chars`` the JVM counts
+everything: the Arrow packer gets the tokens of oversize sentences from it and
+only adds them up, so there is one set of Unicode tables.  ``py_counter`` is the
+Python form of a counter, for the packer under ``bpe`` and for tests.
 
 * ``regex`` (C2)  words and single punctuation marks; pure Catalyst.
 * ``chars``        number of code points; for tests and golden cases.
@@ -32,7 +32,7 @@ _WORD = r"\p{L}\p{M}\p{N}_"
 TOKEN_PATTERN_JAVA = f"[{_WORD}]+|[^{_WORD}{WS_CLASS_JAVA}]"  # Spark (Java) and DuckDB (RE2)
 TOKEN_PATTERN_PY = f"[{_WORD}]+|[^{_WORD}{WS_CLASS_PY}]"  # Python ``regex`` module
 
-# Special-token strings a BPE encoder refuses by default.
+# Special-token strings of the local vocabularies.
 SPECIAL_TOKENS: dict[str, int] = {"<|endoftext|>": 50256}
 
 # Vocabularies that exist offline, by encoding name -> file in public_tokenizers.
@@ -101,22 +101,22 @@ def regex_tokens(text: Column) -> Column:
 
 
 def token_id(tok: Column) -> Column:
-    """Deterministic id of a token string: first 15 hex digits of its MD5.
+    """Deterministic id of a token string: its MD5, in full.
 
     Replaces the salted per-process ``hash`` of the reference (C5), so ids are
-    the same in every process and engine.
+    the same in every process and engine; two tokens do not share one.
     """
-    return F.conv(F.substring(F.md5(tok), 1, 15), 16, 10).cast("bigint")
+    return F.md5(tok)
 
 
 def regex_encode(text: Column) -> Column:
-    """Token ids of the rule-based tokenizer (``array<bigint>``)."""
+    """Token ids of the rule-based tokenizer (``array<string>``)."""
     return F.transform(regex_tokens(text), token_id)
 
 
 def regex_decode_ids(ids: Column) -> Column:
     """C6 parity form: the ids joined with a space (what the reference returns)."""
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+    return F.array_join(ids, " ")
 
 
 def _safe(count):
@@ -181,6 +181,11 @@ class Counter:
     def name(self) -> str:
         return self.spec.name
 
+    @property
+    def token_pattern(self) -> str:
+        """The JVM pattern whose matches are the tokens of the rule counter."""
+        return TOKEN_PATTERN_JAVA
+
     def count(self, text: Column) -> Column:
         if self.spec.name == "regex":
             return regex_count(text)
@@ -216,7 +221,7 @@ class Counter:
             return F.lit(None).cast("string")
         cond = None
         msg = None
-        for tok in SPECIAL_TOKENS:
+        for tok in sorted(_bpe_encoding(self.spec.encoding).special_tokens_set):
             hit = F.instr(text, tok) > 0
             cond = hit if cond is None else (cond | hit)
             m = F.when(hit, F.lit(f"Encountered text corresponding to disallowed special token {tok!r}."))
@@ -261,38 +266,21 @@ def vocabulary(texts, text_col: str = "text"):
     return toks.select(token_id(F.col("token")).alias("id"), "token")
 
 
-def _assemble(joined, key: str, segment: int):
-    """Rebuild each row's text from ``(key, pos, token)`` in two levels:
-    segments of at most ``segment`` tokens (bounded groups), then a per-row
-    concatenation of ``ceil(n / segment)`` segment strings.  A hot row never
-    puts its whole token list into one aggregation buffer."""
-    ordered = lambda col, field: F.transform(F.array_sort(F.collect_list(col)), lambda s: s[field])
-    parts = joined.groupBy(key, F.floor(F.col("pos") / segment).alias("seg")).agg(
-        F.array_join(ordered(F.struct("pos", "token"), "token"), " ").alias("part")
-    )
-    return parts.groupBy(key).agg(F.array_join(ordered(F.struct("seg", "part"), "part"), " ").alias("decoded"))
-
-
-def decode_with_vocabulary(
-    encoded, vocab, ids_col: str = "ids", key: str = "doc_id", salt: int = 16, vocab_rows: int | None = None,
-    broadcast_max_rows: int = 500_000, segment: int = 4096,
-):
+def decode_with_vocabulary(encoded, vocab, ids_col: str = "ids", key: str = "doc_id"):
     """Ids -> text through the vocabulary table (tokens joined by ' ').
 
-    ``posexplode`` the ids and join the vocabulary on id.  Token frequencies
-    are Zipfian (one id can be a third of all rows), so the join is salted:
-    the big side gets ``pos % salt``, the vocabulary is replicated ``salt``
-    times; a hot id is spread over ``salt`` tasks whatever the join strategy.
-    When the caller proves the vocabulary small (``vocab_rows``, e.g. the row
-    count of a stored vocabulary table, at most ``broadcast_max_rows``), it is
-    broadcast instead: no shuffle on the token side at all.  Texts are rebuilt
-    in bounded segments (:func:`_assemble`).
+    Only the distinct ids of each document travel: they meet the vocabulary, the
+    found tokens return to their document as one map (bounded by the document's
+    vocabulary), and the text is rebuilt in place from the ids.  No exchange of
+    token occurrences; how the vocabulary is joined is left to Spark's estimate
+    of its bytes, and a token that most documents use is split by adaptive skew
+    handling.  Documents without tokens decode to the empty text; two tokens of
+    one id would be an error (a map does not take a key twice).
     """
-    pos = encoded.select(key, F.posexplode(ids_col).alias("pos", "id"))
-    if vocab_rows is not None and vocab_rows <= broadcast_max_rows:
-        joined = pos.join(F.broadcast(vocab.select("id", "token")), "id", "left")
-    else:
-        salted_pos = pos.withColumn("_salt", F.pmod(F.col("pos"), F.lit(salt)))
-        salted = vocab.select("id", "token", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-        joined = salted_pos.join(salted, ["id", "_salt"], "left")
-    return _assemble(joined, key, segment)
+    ids = encoded.select(key, F.explode(F.array_distinct(ids_col)).alias("id"))
+    found = ids.join(vocab.select("id", "token"), "id").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("_tokens")
+    )
+    back = encoded.select(key, ids_col).join(found, key, "left")
+    text = F.array_join(F.transform(ids_col, lambda i: F.element_at(F.col("_tokens"), i)), " ")
+    return back.select(key, F.coalesce(text, F.lit("")).alias("decoded"))

@@ -341,7 +341,7 @@ def q_rule_encode(spark, sf_dir):
         "doc_id",
         F.size("ids").cast("bigint").alias("n_ids"),
         F.md5(c.decode(F.col("ids"))).alias("decoded_ids_md5"),
-        F.element_at("ids", 1).alias("first_id"),
+        F.get("ids", F.lit(0)).alias("first_id"),
     )
 
 
@@ -349,8 +349,8 @@ def q_vocabulary_decode(spark, sf_dir):
     """C6 (vocabulary form): decode ids through the corpus vocabulary table."""
     c = corpus(spark, sf_dir)
     enc = c.select("doc_id", get_counter("regex").encode(F.col("text")).alias("ids"))
-    vocab = materialize(vocabulary(c), "vocabulary")  # a stored table: its row count is metadata
-    dec = decode_with_vocabulary(enc.where(F.size("ids") > 0), vocab, vocab_rows=vocab.count())
+    vocab = materialize(vocabulary(c), "vocabulary")  # a stored table, so Spark knows its size
+    dec = decode_with_vocabulary(enc, vocab)
     n = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
     return dec.join(n, "doc_id").select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_tokens")
 

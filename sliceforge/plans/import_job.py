@@ -78,6 +78,9 @@ def prepare(
     arrays = chunk_arrays(
         checked, opts.limit, counter, strategy, opts.splitter, opts.order, pieces_col="_pieces", engine=opts.engine
     )
+    # A packer that gave up on a document fails that document (R2).
+    arrays = arrays.withColumn("error", first_error(F.col("error"), F.col("pack_error")))
+    arrays = arrays.withColumn("ok", F.col("error").isNull())
     ann = annotate_chunks(arrays, counter, first_number=1 if strategy == "greedy" else 0)
     return ann.select(
         "doc_id",

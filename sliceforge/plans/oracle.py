@@ -7,12 +7,15 @@ greedy packing as recursive CTEs, statistics with plain scalar functions.
 
 from __future__ import annotations
 
-from sliceforge.functions.sentences import LOSSLESS_PATTERN
 from sliceforge.functions.text import WS_CLASS_JAVA, ws_chars_sql
 from sliceforge.functions.tokens import TOKEN_PATTERN_JAVA
 
 WS = ws_chars_sql()
 
+# The oracle's own patterns: RE2 has neither look-behind nor possessive runs, and
+# a slip in an engine pattern must not be on both sides.
+LOSSLESS = rf"(?s).*?[.!?]+(?:[{WS_CLASS_JAVA}]+|\z)|.+"
+
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -48,7 +51,7 @@ def sentences_cte(splitter: str = "dot", src: str = "okdocs") -> str:
     if splitter == "lossless":
         return (
             f"sent AS (SELECT n.doc_id, u.i, u.x AS s "
-            f"FROM {src} n, unnest(regexp_extract_all(n.text, {q(LOSSLESS_PATTERN)})) WITH ORDINALITY AS u(x, i))"
+            f"FROM {src} n, unnest(regexp_extract_all(n.text, {q(LOSSLESS)})) WITH ORDINALITY AS u(x, i))"
         )
     if splitter == "punct":
         # RE2 has no look-behind: mark each split point with chr(1) first.
@@ -403,21 +406,15 @@ def document_upsert_sql(limit: int) -> str:
             f"SELECT doc_id, chunk_id, {entry} AS fields_text FROM m")
 
 
-def _tok_id_sql(x: str) -> str:
-    return f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
-
-
 def rule_encode_sql() -> str:
     toks = f"regexp_extract_all(text, {q(TOKEN_PATTERN_JAVA)})"
-    ids_text = f"array_to_string(list_transform({toks}, lambda x: CAST({_tok_id_sql('x')} AS VARCHAR)), ' ')"
+    ids_text = f"array_to_string(list_transform({toks}, lambda x: md5(x)), ' ')"
     return ("WITH " + norm_cte() + "\n"
             f"SELECT doc_id, CAST(len({toks}) AS BIGINT) AS n_ids, md5({ids_text}) AS decoded_ids_md5, "
-            f"CAST({_tok_id_sql('list_extract(' + toks + ', 1)')} AS BIGINT) AS first_id FROM norm")
+            f"md5(list_extract({toks}, 1)) AS first_id FROM norm")
 
 
 def vocabulary_decode_sql() -> str:
-    return ("WITH " + norm_cte() + ",\n"
-            f"toks AS (SELECT n.doc_id, u.x AS token, u.i FROM norm n, unnest(regexp_extract_all(n.text, {q(TOKEN_PATTERN_JAVA)})) WITH ORDINALITY AS u(x, i)),\n"
-            f"vocab AS (SELECT DISTINCT {_tok_id_sql('token')} AS id, token FROM toks)\n"
-            "SELECT t.doc_id, md5(string_agg(v.token, ' ' ORDER BY t.i)) AS decoded_md5, CAST(count(*) AS BIGINT) AS n_tokens "
-            f"FROM toks t JOIN vocab v ON v.id = {_tok_id_sql('t.token')} GROUP BY t.doc_id")
+    toks = f"regexp_extract_all(text, {q(TOKEN_PATTERN_JAVA)})"
+    return ("WITH " + norm_cte() + "\n"
+            f"SELECT doc_id, md5(array_to_string({toks}, ' ')) AS decoded_md5, CAST(len({toks}) AS BIGINT) AS n_tokens FROM norm")

@@ -24,7 +24,7 @@ def _plan(spark, name):
         ("document_info_64", 1),
         ("processing_state_64", 1),
         ("processing_runs_64", 1),
-        ("chunks_bpe_256", 1),
+        ("chunks_bpe_256", 2),  # the packer, and the recount of its chunks
         ("versions_64", 0),  # needs no chunks: the packer is pruned away
         ("chunks_greedy_catalyst_64", 0),
         ("chunks_sentence_catalyst_8", 0),
