@@ -2,21 +2,24 @@
 
 The reference edits one JSON file at a time under a file lock.  Here a batch
 of changes (a DataFrame) is applied to a table and written as a new version
-of it.  Skew-safe by construction:
+of it.  A record may have a third of all changes, so changes of a record are not
+brought together as rows:
 
 * a change batch carries a dense ``seq`` (1, 2, ...) per record; the parent
-  of change ``s`` is found with an equi-join on ``(key, s - 1)``, so a record
-  changed a million times is spread over many tasks (no window, no group);
+  of change ``s`` is found with an equi-join on ``(key, s)``, the record's own
+  version standing in as change 0, so a record changed a million times is spread
+  over many tasks (no window, no group);
 * final values come from ``max(seq)`` (a hash aggregate, combined map-side)
   joined back on the unique ``(key, seq)``;
+* records are checked to exist against the aggregated ids, one row per record;
 * version history lives in its own table (one row per version) instead of an
   ever-growing nested array in the record.
 
 Changes are ``(chunk_id, seq, version_id, fields map<string,string>)``.  A key
 ``llm_analysis.<k>`` / ``llm_entity_extraction.<k>`` sets a key of that map,
-a known scalar column name overwrites the column, other keys go to the open
-``attributes`` map.  ``version_id`` may not be set through ``fields``
-(the reference would then record a wrong parent).
+a column name overwrites the whole column (a map as JSON text; null sets null),
+other keys go to the open ``attributes`` map.  ``id`` and ``version_id`` may not
+be set through ``fields`` (the chain of versions would break).
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAP_COLUMNS = ("llm_analysis", "llm_entity_extraction")
-SCALAR_COLUMNS = {"tokens": "int", "content_hash": "string", "character_count": "int", "number": "int", "doc_id": "string"}
+#: Columns that changes do not reach by name.
+FIXED_COLUMNS = ("id", "version_id", "attributes")
 
 HISTORY_COLUMNS = ["record_id", "seq", "version_id", "parent_version_id", "timestamp", "action", "details"]
 
@@ -36,10 +40,10 @@ class RecordError(ValueError):
 
 def merge_maps(old: Column, new: Column) -> Column:
     """``old`` updated with ``new`` (later wins), whatever the session's
-    ``spark.sql.mapKeyDedupPolicy``: old keys that ``new`` sets are removed
-    before concatenating."""
-    kept = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k))
-    return F.map_concat(kept, new)
+    ``spark.sql.mapKeyDedupPolicy``: the old keys that ``new`` lacks, found by one
+    set difference, then all of ``new``."""
+    kept = F.array_except(F.map_keys(old), F.map_keys(new))
+    return F.map_concat(F.map_from_arrays(kept, F.transform(kept, lambda k: F.element_at(old, k))), new)
 
 
 def _ts(ts: str | Column) -> Column:
@@ -79,11 +83,13 @@ def created_history(records: DataFrame, ts: str) -> DataFrame:
 
 
 def insert_records(existing: DataFrame, new: DataFrame, check: bool = True) -> DataFrame:
-    """V2: insert; an id that already exists is an error (``left_semi`` probe)."""
-    clash = new.select("id").join(existing.select("id"), "id", "left_semi")
-    if check and not clash.isEmpty():
-        ids = [r.id for r in clash.limit(5).collect()]
-        raise RecordError(f"Chunk(s) already exist: {', '.join(ids)}")
+    """V2: insert; an id that exists already, or twice in the batch, is an error."""
+    if check:
+        ids = new.groupBy("id").agg(F.count("*").alias("n"))
+        known = existing.select("id", F.lit(True).alias("known"))
+        clash = ids.join(known, "id", "left").where("known or n > 1").select("id").limit(5).collect()
+        if clash:
+            raise RecordError(f"Chunk(s) already exist: {', '.join(str(r.id) for r in clash)}")
     return existing.unionByName(new)
 
 
@@ -96,14 +102,14 @@ def get_records(records: DataFrame, ids: DataFrame | list) -> DataFrame:
 
 
 def last_by_seq(df: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
-    """Value of the highest ``seq`` per key.
+    """Value of the highest ``seq`` per key, with that ``seq``.
 
     ``max(seq)`` is a hash aggregate with map-side partial results; the value
     is fetched back with an equi-join on the unique ``(keys, seq)``.  (A
     ``max_by`` over a string would force a sort-based aggregate.)
     """
     top = df.groupBy(*keys).agg(F.max("seq").alias("seq"))
-    return top.join(df.select(*keys, "seq", F.col(value).alias(alias)), [*keys, "seq"]).drop("seq")
+    return top.join(df.select(*keys, "seq", F.col(value).alias(alias)), [*keys, "seq"])
 
 
 def check_dense_seq(changes: DataFrame, key: str) -> None:
@@ -116,61 +122,78 @@ def check_dense_seq(changes: DataFrame, key: str) -> None:
 
 
 def chain_versions(changes: DataFrame, key: str, base_versions: DataFrame) -> DataFrame:
-    """Parent of each change: the version of change ``seq - 1`` of the same
-    record, or the record's version before the batch for ``seq = 1``."""
-    prev = changes.select(F.col(key).alias("_k"), (F.col("seq") + 1).alias("_s"), F.col("version_id").alias("_prev"))
-    linked = changes.join(prev, (changes[key] == prev["_k"]) & (changes["seq"] == prev["_s"]), "left").drop("_k", "_s")
-    base = base_versions.select(F.col("id").alias(key), F.col("version_id").alias("_base"))
-    return linked.join(base, key, "left").withColumn(
-        "parent_version_id", F.when(F.col("seq") == 1, F.col("_base")).otherwise(F.col("_prev"))
-    ).drop("_prev", "_base")
+    """Parent of each change: the version of the change before it, or for the
+    first the record's version before the batch (change 0).  The join key holds
+    ``seq``, so the changes of one record spread."""
+    before = changes.select(F.col(key), (F.col("seq") + 1).alias("seq"), F.col("version_id").alias("parent_version_id"))
+    base = base_versions.select(F.col("id").alias(key), F.lit(1).alias("seq"), F.col("version_id").alias("parent_version_id"))
+    return changes.join(before.unionByName(base), [key, "seq"], "left")
+
+
+def _not_a(fields: Column, name: str, kind: str) -> Column:
+    """1 where ``fields`` sets ``name`` to a text that is no ``kind``."""
+    value = fields[name]
+    return (value.isNotNull() & value.try_cast(kind).isNull()).cast("int")
 
 
 def validate_changes(changes: DataFrame, records: DataFrame, key: str = "record_id") -> None:
-    """All checks of a change batch in one job: no ``version_id`` in fields,
-    ``seq`` dense 1..n per record, every record exists.
+    """All checks of a change batch in one job: ``id`` and ``version_id`` are not
+    set, values fit their columns, ``seq`` is dense 1..n per record, every record
+    exists.
 
-    A left join to the record ids (unique key) and a per-record aggregate with
-    map-side partial results, then one global row of counts.
+    The changes are aggregated per record first (partial results map-side); only
+    one row per record meets the record ids.
     """
-    ids = records.select(F.col("id").alias(key), F.lit(True).alias("_exists"))
-    per_key = (
-        changes.join(ids, key, "left")
-        .groupBy(key)
-        .agg(
-            F.min("seq").alias("lo"),
-            F.max("seq").alias("hi"),
-            F.count("*").alias("n"),
-            F.max(F.coalesce(F.col("_exists"), F.lit(False)).cast("int")).alias("exists"),
-            F.sum(F.array_contains(F.map_keys("fields"), "version_id").cast("int")).alias("vkeys"),
-        )
+    typed = [(f.name, f.dataType.simpleString()) for f in records.schema if f.name not in FIXED_COLUMNS and f.name not in MAP_COLUMNS]
+    misfits = [F.coalesce(_not_a(F.col("fields"), n, t), F.lit(0)) for n, t in typed if t != "string"]
+    misfits += [
+        F.coalesce((F.col("fields")[c].isNotNull() & F.from_json(F.col("fields")[c], "map<string,string>").isNull()).cast("int"), F.lit(0))
+        for c in MAP_COLUMNS
+        if c in records.columns
+    ]
+    fixed = F.array(F.lit("version_id"), F.lit("id"))
+    per_key = changes.groupBy(key).agg(
+        F.min("seq").alias("lo"),
+        F.max("seq").alias("hi"),
+        F.count("*").alias("n"),
+        F.sum(F.arrays_overlap(F.map_keys("fields"), fixed).cast("int")).alias("fixed"),
+        F.sum(sum(misfits, F.lit(0))).alias("misfits"),
     )
-    summary = per_key.agg(
-        F.coalesce(F.sum("vkeys"), F.lit(0)).alias("vkeys"),
+    ids = records.select(F.col("id").alias(key), F.lit(True).alias("_exists"))
+    joined = per_key.join(ids, key, "left")
+    summary = joined.agg(
+        F.coalesce(F.sum("fixed"), F.lit(0)).alias("fixed"),
+        F.coalesce(F.sum("misfits"), F.lit(0)).alias("misfits"),
         F.count_if((F.col("lo") != 1) | (F.col("hi") != F.col("n"))).alias("bad_seq"),
-        F.count_if(F.col("exists") == 0).alias("missing"),
+        F.count_if(F.col("_exists").isNull()).alias("missing"),
     ).first()
-    if summary.vkeys:
-        raise RecordError("fields may not set version_id")
+    if summary.fixed:
+        raise RecordError("fields may not set id or version_id")
+    if summary.misfits:
+        bad = per_key.where("misfits > 0").select(key).limit(5).collect()
+        raise RecordError(f"values do not fit their columns, in: {', '.join(str(r[0]) for r in bad)}")
     if summary.bad_seq:
         raise RecordError(f"change seq numbers must be 1..n per {key}")
     if summary.missing:
-        missing = changes.join(ids, key, "left_anti").select(key).distinct().limit(5).collect()
-        raise RecordError(f"Chunk(s) do not exist: {', '.join(r[0] for r in missing)}")
+        missing = joined.where("_exists is null").select(key).limit(5).collect()
+        raise RecordError(f"Chunk(s) do not exist: {', '.join(str(r[0]) for r in missing)}")
 
 
 def update_records(records: DataFrame, changes: DataFrame, ts: str, check: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """V3: apply a batch of changes.
 
     Returns ``(updated_records, new_history_rows, unmatched_changes)``.  With
-    ``check`` a change for a missing record or a bad ``seq`` raises, like the
-    reference's ``FileNotFoundError``.
+    ``check`` a change for a missing record, a bad ``seq`` or a value that does
+    not fit its column raises; without it, changes for missing records are
+    returned as unmatched and values that do not fit become null.
     """
     changes = changes.withColumnRenamed("chunk_id", "record_id") if "chunk_id" in changes.columns else changes
+    ids = records.select(F.col("id").alias("record_id"))
     if check:
         validate_changes(changes, records)
-    unmatched = changes.join(records.select(F.col("id").alias("record_id")), "record_id", "left_anti")
-    matched = changes.join(records.select(F.col("id").alias("record_id")), "record_id", "left_semi")
+        matched, unmatched = changes, changes.limit(0)
+    else:
+        matched, unmatched = changes.join(ids, "record_id", "left_semi"), changes.join(ids, "record_id", "left_anti")
     linked = chain_versions(matched, "record_id", records)
     history = linked.select(
         "record_id",
@@ -181,43 +204,56 @@ def update_records(records: DataFrame, changes: DataFrame, ts: str, check: bool
         F.lit("updated").alias("action"),
         F.col("fields").alias("details"),
     )
-    final_version = last_by_seq(matched, ["record_id"], "version_id", "_new_version")
-    # Last value per (record, key): explode the maps, take the highest seq.
+    final_version = last_by_seq(matched, ["record_id"], "version_id", "_new_version").drop("seq")
+    # Last value per (record, key) and when it was set; a record's distinct keys
+    # come together as its map, the changes do not.
     kv = matched.select("record_id", "seq", F.explode("fields").alias("k", "v"))
     last = last_by_seq(kv, ["record_id", "k"], "v", "v")
-    merged = last.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_set"))
+    merged = last.groupBy("record_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("k", F.struct("v", "seq").alias("e")))).alias("_set")
+    )
     upd = (
         records.join(final_version.withColumnRenamed("record_id", "id"), "id", "left")
         .join(merged.withColumnRenamed("record_id", "id"), "id", "left")
+        .withColumn("_set", F.coalesce("_set", F.create_map().cast("map<string,struct<v:string,seq:int>>")))
     )
     cols = []
-    for c in records.columns:
-        if c in SCALAR_COLUMNS:
-            cols.append(F.coalesce(F.col("_set")[c].cast(SCALAR_COLUMNS[c]), F.col(c)).alias(c))
-        elif c in MAP_COLUMNS:
-            cols.append(_merge_prefixed(F.col(c), F.col("_set"), c + ".").alias(c))
-        elif c == "attributes":
-            cols.append(_merge_open(F.col(c), F.col("_set")).alias(c))
-        elif c == "version_id":
-            cols.append(F.coalesce(F.col("_new_version"), F.col(c)).alias(c))
+    for f in records.schema:
+        old, entry = F.col(f.name), F.col("_set")[f.name]
+        if f.name == "version_id":
+            new = F.coalesce("_new_version", old)
+        elif f.name in MAP_COLUMNS:
+            new = _set_map(old, F.col("_set"), f.name)
+        elif f.name == "attributes":
+            new = _set_open(old, F.col("_set"), records.columns)
+        elif f.name in FIXED_COLUMNS:
+            new = old
         else:
-            cols.append(F.col(c))
+            new = F.when(entry.isNotNull(), entry["v"].try_cast(f.dataType.simpleString())).otherwise(old)
+        cols.append(new.alias(f.name))
     return upd.select(*cols), history, unmatched
 
 
-def _merge_prefixed(old: Column, setm: Column, prefix: str) -> Column:
-    picked = F.map_filter(setm, lambda k, v: k.startswith(prefix))
-    renamed = F.transform_keys(picked, lambda k, v: F.substring(k, len(prefix) + 1, 1 << 20))
-    return F.when(setm.isNull(), old).otherwise(merge_maps(old, renamed))
+def _set_map(old: Column, setm: Column, name: str) -> Column:
+    """Map column after the changes: the whole map if it was set, then the single
+    keys that were set later (``<name>.<key>``)."""
+    whole = setm[name]
+    keys = F.map_filter(
+        setm, lambda k, e: k.startswith(name + ".") & (whole.isNull() | (e["seq"] > whole["seq"]))
+    )
+    single = F.transform_values(
+        F.transform_keys(keys, lambda k, e: F.substring(k, F.lit(len(name) + 2), F.length(k))), lambda k, e: e["v"]
+    )
+    base = F.when(whole.isNotNull(), F.from_json(whole["v"], "map<string,string>")).otherwise(old)
+    return F.when(F.size(keys) == 0, base).otherwise(merge_maps(F.coalesce(base, F.create_map().cast("map<string,string>")), single))
 
 
-def _merge_open(old: Column, setm: Column) -> Column:
-    known = list(SCALAR_COLUMNS) + ["version_id"]
+def _set_open(old: Column, setm: Column, columns: list[str]) -> Column:
+    """``attributes`` after the changes: keys that name no column."""
     picked = F.map_filter(
-        setm,
-        lambda k, v: ~(k.startswith(MAP_COLUMNS[0] + ".") | k.startswith(MAP_COLUMNS[1] + ".") | k.isin(*known)),
+        setm, lambda k, e: ~(k.startswith(MAP_COLUMNS[0] + ".") | k.startswith(MAP_COLUMNS[1] + ".") | k.isin(*columns))
     )
-    return F.when(setm.isNull(), old).otherwise(merge_maps(old, picked))
+    return merge_maps(old, F.transform_values(picked, lambda k, e: e["v"]))
 
 
 def delete_records(records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +265,7 @@ def delete_records(records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
 
 def latest_version(history: DataFrame, key: str = "record_id") -> DataFrame:
     """V6: last history element per record."""
-    return last_by_seq(history, [key], "version_id", "version_id")
+    return last_by_seq(history, [key], "version_id", "version_id").drop("seq")
 
 
 # --------------------------------------------------------------------------
@@ -252,7 +288,7 @@ def document_chunk_entries(document_info: DataFrame) -> DataFrame:
 
 
 def upsert_document_chunks(
-    doc_versions: DataFrame, entries: DataFrame, updates: DataFrame, ts: str
+    doc_versions: DataFrame, entries: DataFrame, updates: DataFrame, ts: str, check: bool = True
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """V5: upsert chunk entries into their documents.
 
@@ -261,9 +297,16 @@ def upsert_document_chunks(
     updates win); otherwise it is appended.  One ``chunk_updated`` history row
     per update; the document's version becomes the last update's.
 
+    A document that does not exist is an error (with ``check``).
+
     Returns ``(entries, history_rows, doc_versions)``.
     """
     check_dense_seq(updates, "doc_id")
+    if check:
+        asked = updates.groupBy("doc_id").agg(F.count("*").alias("n"))
+        missing = asked.join(doc_versions.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").limit(5).collect()
+        if missing:
+            raise RecordError(f"Document(s) not found: {', '.join(str(r.doc_id) for r in missing)}")
     kv = updates.select("doc_id", "chunk_id", "seq", F.explode("fields").alias("k", "v"))
     last_fields = (
         last_by_seq(kv, ["doc_id", "chunk_id", "k"], "v", "v")
@@ -288,7 +331,7 @@ def upsert_document_chunks(
         F.lit("chunk_updated").alias("action"),
         merge_maps(F.col("fields"), F.create_map(F.lit("id"), F.col("chunk_id"))).alias("details"),
     )
-    final = last_by_seq(updates, ["doc_id"], "version_id", "_v")
+    final = last_by_seq(updates, ["doc_id"], "version_id", "_v").drop("seq")
     versions = doc_versions.join(final.withColumnRenamed("doc_id", "id"), "id", "left").select(
         "id", F.coalesce("_v", "version_id").alias("version_id")
     )

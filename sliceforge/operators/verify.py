@@ -1,13 +1,13 @@
 """Verification of stored chunks against document records.
 
-    document_info --inline(chunks)--> listed (doc_id, id, number, tokens, hash)
-    stored chunks --recount, rehash--> (doc_id, id, tokens_now, hash_now)
-    listed LEFT JOIN stored ON (doc_id, id)  -> per-chunk reason
-    groupBy doc_id: partial aggregates only (count_if, sum, min_by)
-
-The join key is the chunk id, so even a document holding a third of all
-chunks spreads over many tasks; the per-document aggregate is algebraic and
-combined map-side, so a hot document never lands whole in one reducer.
+    document_info --inline(chunks)--> listed (run, doc_id, id, number, tokens, hash)
+    stored chunks --recount, rehash--> (run, doc_id, id, tokens_now, hash_now)
+    listed LEFT JOIN stored ON (run, doc_id, id)  -> per-chunk reason
+    groupBy run, doc_id: partial aggregates only (count_if, sum, min)
+
+The join key holds the chunk id, so even a document with a third of all chunks
+spreads over many tasks; the per-document aggregate is algebraic and combined
+map-side, so a hot document never lands whole in one reducer.
 """
 
 from __future__ import annotations
@@ -20,13 +20,19 @@ from sliceforge.functions.tokens import Counter, get_counter
 MODES = ("strict", "lenient", "token")
 
 
-def listed_chunks(document_info: DataFrame) -> DataFrame:
-    """The chunks each document record claims, with its token total."""
-    rows = document_info.select(
-        F.col("id").alias("doc_id"), F.col("total_tokens").alias("doc_total"), F.explode_outer("chunks").alias("c")
+def _keys(document_info: DataFrame, stored: DataFrame) -> list[str]:
+    """Documents are told apart by run and id where both tables say the run."""
+    return ["run_seq", "doc_id"] if "run_seq" in document_info.columns and "run_seq" in stored.columns else ["doc_id"]
+
+
+def listed_chunks(document_info: DataFrame, keys: list[str]) -> DataFrame:
+    """The chunks each document record claims, with its token total; a record
+    with an empty list has one row without a chunk."""
+    rows = document_info.withColumn("doc_id", F.col("id")).select(
+        *keys, F.col("total_tokens").alias("doc_total"), F.explode_outer("chunks").alias("c")
     )
-    return rows.where(F.col("c").isNotNull()).select(
-        "doc_id",
+    return rows.select(
+        *keys,
         "doc_total",
         F.col("c.id").alias("chunk_id"),
         F.col("c.number").alias("number"),
@@ -35,10 +41,10 @@ def listed_chunks(document_info: DataFrame) -> DataFrame:
     )
 
 
-def stored_state(stored: DataFrame, counter: Counter) -> DataFrame:
-    """Read only id / doc_id / text of the stored chunks; recount and rehash."""
-    return stored.select(
-        F.col("doc_id").cast("string").alias("doc_id"),
+def stored_state(stored: DataFrame, counter: Counter, keys: list[str]) -> DataFrame:
+    """Read only the keys and the text of the stored chunks; recount and rehash."""
+    return stored.withColumn("doc_id", F.col("doc_id").cast("string")).select(
+        *keys,
         F.col("id").alias("chunk_id"),
         counter.count(F.col("text")).cast("int").alias("tokens_now"),
         F.md5("text").alias("hash_now"),
@@ -50,12 +56,12 @@ REASONS = {1: "missing", 2: "token mismatch", 3: "hash mismatch"}
 
 def _chunk_reason_code(mode: str) -> Column:
     """1 missing, 2 token mismatch, 3 hash mismatch (check order of J2)."""
-    missing = F.col("hash_now").isNull()
+    missing = F.col("chunk_id").isNotNull() & F.col("hash_now").isNull()
     if mode == "strict":
         return (
             F.when(missing, 1)
-            # a recount that failed (null) counts as a mismatch, as an error does in the reference
-            .when(F.col("tokens_now").isNull() | (F.col("tokens_now") != F.col("tokens")), 2)
+            # a recount that failed (null) counts as a mismatch
+            .when(F.col("chunk_id").isNotNull() & (F.col("tokens_now").isNull() | (F.col("tokens_now") != F.col("tokens"))), 2)
             .when(F.col("hash_now") != F.col("content_hash"), 3)
         )
     return F.when(missing, 1)
@@ -64,27 +70,34 @@ def _chunk_reason_code(mode: str) -> Column:
 def verify_all_modes(document_info: DataFrame, stored: DataFrame, counter: Counter | str = "regex") -> DataFrame:
     """J1-J5 for all three modes from one join and one aggregate.
 
-    Returns ``doc_id`` and ``reason_strict``, ``reason_lenient``,
-    ``reason_token`` (null = valid).  ``reason`` (J5) is the first failing
-    check in chunk order, as the reference logs it.  The first failure is
-    ``min(number * 4 + code)``: numeric buffers keep the aggregate a hash
+    Returns ``run_seq`` (if both tables have it), ``doc_id`` and
+    ``reason_strict``, ``reason_lenient``, ``reason_token`` (null = valid).
+    ``reason`` (J5) is the first failing check in chunk order.  The first failure
+    is ``min(number * 4 + code)``: numeric buffers keep the aggregate a hash
     aggregate with map-side partial results.
+
+    Every record is judged, also one with an empty chunk list: no chunk of it is
+    missing, and its total decides in the other modes.  A failed recount (null)
+    makes the total of its document wrong.
     """
     counter = get_counter(counter) if isinstance(counter, str) else counter
-    joined = listed_chunks(document_info).join(stored_state(stored, counter), on=["doc_id", "chunk_id"], how="left")
+    keys = _keys(document_info, stored)
+    joined = listed_chunks(document_info, keys).join(stored_state(stored, counter, keys), on=[*keys, "chunk_id"], how="left")
     number = F.col("number").cast("bigint")
-    per_doc = joined.groupBy("doc_id").agg(
+    per_doc = joined.groupBy(*keys).agg(
         F.max("doc_total").alias("doc_total"),
         F.min(number * 4 + _chunk_reason_code("strict")).alias("first_bad"),
-        F.min(F.when(F.col("hash_now").isNull(), number)).alias("first_missing"),
-        F.sum("tokens_now").alias("sum_now"),  # A8
+        F.min(F.when(_chunk_reason_code("lenient") == 1, number)).alias("first_missing"),
+        F.coalesce(F.sum("tokens_now"), F.lit(0)).alias("sum_now"),  # A8
+        F.count_if(F.col("hash_now").isNotNull() & F.col("tokens_now").isNull()).alias("not_counted"),
     )
     code = F.col("first_bad") % 4
     strict_chunk = F.when(code == 1, "missing").when(code == 2, "token mismatch").when(code == 3, "hash mismatch")
     missing = F.when(F.col("first_missing").isNotNull(), F.lit("missing"))
-    total_bad = F.when(F.col("sum_now").isNull() | (F.col("sum_now") != F.col("doc_total")), F.lit("total mismatch"))
+    total_ok = (F.col("not_counted") == 0) & (F.col("sum_now") == F.coalesce("doc_total", F.lit(0)))
+    total_bad = F.when(~total_ok, F.lit("total mismatch"))
     return per_doc.select(
-        "doc_id",
+        *keys,
         F.coalesce(strict_chunk, total_bad).alias("reason_strict"),
         missing.alias("reason_lenient"),
         F.coalesce(missing, total_bad).alias("reason_token"),
@@ -94,18 +107,19 @@ def verify_all_modes(document_info: DataFrame, stored: DataFrame, counter: Count
 def verify_documents(
     document_info: DataFrame, stored: DataFrame, mode: str = "strict", counter: Counter | str = "regex"
 ) -> DataFrame:
-    """``(doc_id, is_valid, reason)`` for every stored document record.
+    """``([run_seq,] doc_id, is_valid, reason)`` for every stored document record.
 
     * lenient (J1): every listed chunk exists.
     * strict  (J2): exists, recount equal, MD5 equal, recount total equal.
     * token   (J3): exists, recount total equal.
     * other modes: every document invalid (``unknown mode``).
     """
+    keys = _keys(document_info, stored)
     if mode not in MODES:
-        docs = listed_chunks(document_info).select("doc_id").distinct()
-        return docs.select("doc_id", F.lit(False).alias("is_valid"), F.lit("unknown mode").alias("reason"))
+        docs = document_info.withColumn("doc_id", F.col("id")).select(*keys)
+        return docs.select(*keys, F.lit(False).alias("is_valid"), F.lit("unknown mode").alias("reason"))
     reason = F.col(f"reason_{mode}")
-    return verify_all_modes(document_info, stored, counter).select("doc_id", reason.isNull().alias("is_valid"), reason.alias("reason"))
+    return verify_all_modes(document_info, stored, counter).select(*keys, reason.isNull().alias("is_valid"), reason.alias("reason"))
 
 
 def verification_summary_all(all_modes: DataFrame) -> DataFrame:

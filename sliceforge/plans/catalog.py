@@ -7,12 +7,13 @@ an MD5 of their ordered, joined elements, integers are BIGINT on both sides.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceforge.config import ChunkOptions
+from sliceforge.config import MODEL_CONFIGS, ChunkOptions
 from sliceforge.functions.sentences import get_splitter
 from sliceforge.functions.text import is_blank
 from sliceforge.functions.tokens import decode_with_vocabulary, get_counter, regex_count, vocabulary
@@ -21,15 +22,18 @@ from sliceforge.operators.records import (
     created_history,
     delete_records,
     document_chunk_entries,
+    get_records,
     update_records,
     upsert_document_chunks,
 )
+from sliceforge.operators.stats import model_limits, with_model_limit
 from sliceforge.operators.verify import corrupt_chunks, verification_summary_all, verify_all_modes, verify_documents
 from sliceforge.plans import oracle
 from sliceforge.plans.import_job import (
     default_manifest_id,
     chunks_table,
     document_info_table,
+    hash_xor,
     import_summary,
     manifest_entries_table,
     manifest_header,
@@ -38,6 +42,8 @@ from sliceforge.plans.import_job import (
     processing_state_table,
     spread,
     versions_table,
+    with_texts,
+    without_texts,
 )
 from sliceforge.session import materialize
 from sliceforge.sources.corpus import corpus_from_table
@@ -163,8 +169,10 @@ def q_document_info(spark, sf_dir):
 
 def q_processing_state(spark, sf_dir):
     """State of every document, failed ones included."""
-    opts = options()
-    st = processing_state_table(prepare(corpus(spark, sf_dir), opts))
+    return _state_rows(processing_state_table(prepare(corpus(spark, sf_dir), options())))
+
+
+def _state_rows(st):
     return st.select(
         "doc_id",
         *_bigint("current_chunk"),
@@ -181,15 +189,97 @@ def q_import_summary(spark, sf_dir):
     return import_summary(prepare(corpus(spark, sf_dir), opts))
 
 
+def _stored_import(spark, prepared, opts, name="prepared"):
+    """An import's records and chunk store, written once.  The source text is not
+    needed any more, and chunk texts have a column of their own, so the records'
+    side does not read them."""
+    stored = materialize(without_texts(prepared.drop("text")), name)
+    return document_info_table(stored.drop("chunk_texts"), opts, "m"), chunks_table(with_texts(stored), opts)
+
+
 def _verify_inputs(spark, sf_dir):
-    """Import once (materialised: the records and the store are two reads of
-    one result), then corrupt a deterministic subset of the stored chunks."""
+    """Import once, then corrupt a deterministic subset of the stored chunks."""
+    opts = options()
+    info, chunks = _stored_import(spark, prepare(corpus(spark, sf_dir), opts), opts)
+    return info, corrupt_chunks(chunks)
+
+
+def q_reimport_verify(spark, sf_dir):
+    """The same documents imported in two runs, the chunk store of
+    the first run damaged; every record of both runs is verified."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", "text")
+    infos, stores = [], []
+    for seq, run_id in enumerate(("r1", "r2")):
+        opts = replace(options(), run_id=run_id)
+        prepared = prepare(corpus_from_table(spread(raw), run=f"{run_id}#{seq}"), opts)
+        info, chunks = _stored_import(spark, prepared, opts, f"run-{seq}")
+        infos.append(info.withColumn("run_seq", F.lit(seq)))
+        stores.append((corrupt_chunks(chunks) if seq == 0 else chunks).withColumn("run_seq", F.lit(seq)))
+    info, store = infos[0].unionByName(infos[1]), stores[0].unionByName(stores[1])
+    return verify_documents(info, store, "strict").withColumn("run_seq", F.col("run_seq").cast("bigint"))
+
+
+def q_lookup_chunk(spark, sf_dir):
+    """The first chunk of every labelled document, by chunk id."""
+    opts = options()
+    chunks = chunks_table(prepare(corpus(spark, sf_dir), opts), opts)
+    ids = table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("-chunk-1")).alias("id"))
+    return flat_chunks(get_records(chunks, ids))
+
+
+def q_lookup_document(spark, sf_dir):
+    """The records of all labelled documents, by document id."""
     opts = options()
-    # The source text is not needed once statistics are computed: not written.
-    prepared = materialize(prepare(corpus(spark, sf_dir), opts).drop("text"), "prepared")
-    info = document_info_table(prepared, opts, "m")
-    stored = corrupt_chunks(chunks_table(prepared, opts))
-    return info, stored
+    info = document_info_table(prepare(corpus(spark, sf_dir), opts), opts, "m")
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return get_records(info, ids).select("id", "filename", *_bigint("total_chunks", "total_tokens"), "md5_hash")
+
+
+def q_manifest_entries(spark, sf_dir):
+    """A4: the manifest's lists, one row per document and run."""
+    entries = _two_runs(spark, sf_dir)[0]
+    return entries.select(
+        "manifest_id", *_bigint("run_seq"), "doc_id", "content_hash", "version_id", *_bigint("total_chunks", "total_tokens")
+    )
+
+
+def mixed_documents(spark, sf_dir):
+    """All documents, by a key of their id some made blank, some dots only, some
+    null, some with other line ends: the inputs of the failure paths."""
+    key = _key(F.col("doc_id").cast("string"), 11)
+    text = (
+        F.when(key == 0, F.lit(" \t\r\n "))
+        .when(key == 1, F.lit("..."))
+        .when(key == 2, F.lit(None).cast("string"))
+        .when(key == 3, F.replace(F.col("text"), F.lit(" "), F.lit("\r\n")))
+        .when(key == 4, F.replace(F.col("text"), F.lit(" "), F.lit("\r")))
+        .otherwise(F.col("text"))
+    )
+    return corpus_from_table(spread(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))))
+
+
+def q_processing_state_mixed(spark, sf_dir):
+    """States of good and failed documents."""
+    return _state_rows(processing_state_table(prepare(mixed_documents(spark, sf_dir), options())))
+
+
+def q_import_summary_mixed(spark, sf_dir):
+    """A5 with failed files."""
+    return import_summary(prepare(mixed_documents(spark, sf_dir), options()))
+
+
+def q_document_models(spark, sf_dir):
+    """Each document's model (by a key of its id) and that model's
+    token limit from the registry, against the document's tokens."""
+    names = sorted(MODEL_CONFIGS)
+    c = corpus(spark, sf_dir)
+    docs = c.select(
+        "doc_id",
+        F.element_at(F.array(*map(F.lit, names)), (_key(F.col("doc_id"), len(names)) + 1).cast("int")).alias("model_name"),
+        regex_count(F.col("text")).cast("bigint").alias("tokens"),
+    )
+    joined = with_model_limit(docs, model_limits(spark, "gpt-4", F64))
+    return joined.select("doc_id", "model_name", *_bigint("token_limit"), "tokens", (F.col("tokens") <= F.col("token_limit")).alias("fits"))
 
 
 def q_verify(mode: str) -> QueryFn:
@@ -237,15 +327,21 @@ def q_processing_runs(spark, sf_dir):
 def q_manifest_append(spark, sf_dir):
     """A3 / A4 / V6 / V7: import documents (run 1), then benchmark items
     (run 2) into the same manifest; header over both."""
+    entries, o1, o2, mid = _two_runs(spark, sf_dir)
+    header = manifest_header(entries, o2, mid, created_at=o1.run_ts)
+    return header.select(
+        "manifest_id", "document_count", "total_chunks", "total_tokens", "model_name", "latest_version_id", "content_hashes_xor"
+    )
+
+
+def _two_runs(spark, sf_dir):
+    """Manifest entries of documents (run 0) and benchmark items (run 1)."""
     o1 = options()
     o2 = ChunkOptions(model_name="gpt-4", factor=F64, run_id="r2", run_ts="2024-01-02 00:00:00")
     mid = default_manifest_id(o1)
     e1 = manifest_entries_table(prepare(corpus(spark, sf_dir), o1), o1, mid, run_seq=0)
     e2 = manifest_entries_table(prepare(corpus(spark, sf_dir, "benchmark", "item_id"), o2), o2, mid, run_seq=1)
-    header = manifest_header(e1.unionByName(e2), o2, mid, created_at=o1.run_ts)
-    return header.select(
-        "manifest_id", "document_count", "total_chunks", "total_tokens", "model_name", "latest_version_id", "content_hashes_digest"
-    )
+    return e1.unionByName(e2), o1, o2, mid
 
 
 def _key(col, mod):
@@ -274,20 +370,24 @@ def q_records_update(spark, sf_dir):
         F.md5(F.concat(F.col("id"), F.lit("|v"), F.col("seq").cast("string"))).alias("version_id"),
         F.when(
             F.col("seq") == 1,
-            F.create_map(F.lit("llm_analysis.topic"), F.substring("content_hash", 1, 6), F.lit("status"), F.lit("reviewed")),
+            F.create_map(
+                F.lit("llm_analysis.topic"), F.substring("content_hash", 1, 6), F.lit("status"), F.lit("reviewed"),
+                F.lit("llm_entity_extraction"), F.concat(F.lit('{"kind":"'), F.substring("content_hash", 13, 4), F.lit('"}')),
+            ),
         )
         .otherwise(
             F.create_map(
-                F.lit("llm_analysis.topic"), F.substring("content_hash", 7, 6), F.lit("tokens"), (F.col("tokens") + 1).cast("string")
+                F.lit("llm_analysis.topic"), F.substring("content_hash", 7, 6), F.lit("tokens"), (F.col("tokens") + 1).cast("string"),
+                F.lit("character_count"), F.lit(None).cast("string"),
             )
         )
         .alias("fields"),
     )
     updated, history, _ = update_records(records, changes, "2024-01-03 00:00:00")
     hist = created.unionByName(history)
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "version_id", F.coalesce("parent_version_id", F.lit("")))), 1, 8), 16, 10)
+    hist = hist.withColumn("link", F.md5(F.concat_ws("|", "version_id", F.coalesce("parent_version_id", F.lit("")))))
     hagg = hist.groupBy(F.col("record_id").alias("id")).agg(
-        F.count("*").cast("bigint").alias("history_count"), F.sum(digest.cast("bigint")).cast("bigint").alias("history_digest")
+        F.count("*").cast("bigint").alias("history_count"), hash_xor("link").alias("history_xor")
     )
     return updated.join(hagg, "id").select(
         "id",
@@ -295,8 +395,10 @@ def q_records_update(spark, sf_dir):
         F.col("tokens").cast("bigint").alias("tokens"),
         F.col("llm_analysis")["topic"].alias("topic"),
         F.col("attributes")["status"].alias("status"),
+        F.col("llm_entity_extraction")["kind"].alias("entity_kind"),
+        F.coalesce(F.col("character_count").cast("bigint"), F.lit(-1)).alias("character_count"),  # -1: set to null
         "history_count",
-        "history_digest",
+        "history_xor",
     )
 
 
@@ -404,6 +506,13 @@ def queries() -> dict[str, QueryFn]:
         "verify_lenient_64": q_verify("lenient"),
         "verify_token_64": q_verify("token"),
         "verification_summary_64": q_verification_summary,
+        "reimport_verify_strict": q_reimport_verify,
+        "lookup_chunk": q_lookup_chunk,
+        "lookup_document": q_lookup_document,
+        "manifest_entries_64": q_manifest_entries,
+        "processing_state_mixed_64": q_processing_state_mixed,
+        "import_summary_mixed_64": q_import_summary_mixed,
+        "document_models": q_document_models,
         "versions_64": q_versions,
         "processing_runs_64": q_processing_runs,
         "manifest_append_64": q_manifest_append,
@@ -448,6 +557,13 @@ def oracle_sql() -> dict[str, str]:
         "verify_lenient_64": oracle.verify_sql(64, "lenient"),
         "verify_token_64": oracle.verify_sql(64, "token"),
         "verification_summary_64": oracle.verification_summary_sql(64),
+        "reimport_verify_strict": oracle.reimport_verify_sql(64),
+        "lookup_chunk": oracle.lookup_chunk_sql(64),
+        "lookup_document": oracle.lookup_document_sql(64),
+        "manifest_entries_64": oracle.manifest_entries_sql(64),
+        "processing_state_mixed_64": oracle.processing_state_sql(64, oracle.mixed_norm()),
+        "import_summary_mixed_64": oracle.import_summary_sql(64, oracle.mixed_norm()),
+        "document_models": oracle.document_models_sql(1 / 128),
         "versions_64": oracle.versions_sql(64),
         "processing_runs_64": oracle.processing_runs_sql(64),
         "manifest_append_64": oracle.manifest_append_sql(64),

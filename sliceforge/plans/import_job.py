@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sliceforge.config import ChunkOptions
+from sliceforge.config import ChunkOptions, model_config
 from sliceforge.functions.tokens import Counter, get_counter
 from sliceforge.operators.chunker import annotate_chunks, chunk_arrays, explode_chunks, sentence_pieces
 from sliceforge.operators.stats import chunk_id_list, chunk_info_list, document_stats
@@ -37,21 +37,27 @@ def run_ts(opts: ChunkOptions) -> Column:
 
 
 def counter_for(opts: ChunkOptions) -> Counter:
+    """The counter of a run; BPE uses the encoding of the model's registry entry
+    unless ``extra`` names another."""
     if opts.counter == "bpe":
-        return get_counter("bpe", encoding=opts.extra.get("encoding", "byte_bpe_50k"), on_special=opts.on_special)
+        encoding = opts.extra.get("encoding", model_config(opts.model_name)["encoding"])
+        return get_counter("bpe", encoding=encoding, on_special=opts.on_special)
     return get_counter(opts.counter)
 
 
+#: Session setting: partitions to spread the input over before chunking.
+INPUT_PARTITIONS = "spark.sliceforge.inputPartitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when the scan gives fewer tasks than cores.
+    """The input as it is scanned, or, if the session names a number of
+    partitions, dealt out over them.
 
-    At scale the scan already has thousands of splits and this is a no-op;
-    a single-row-group fixture would otherwise chunk in one task.
+    For sources of a few large row groups only (a scan cannot split a row
+    group): it shuffles the texts, so it is asked for and never guessed.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    asked = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(asked)) if asked else df
 
 
 def prepare(
@@ -62,8 +68,9 @@ def prepare(
 ) -> DataFrame:
     """One row per input document: checks, chunk array, totals, statistics.
 
-    Columns: doc_id, filename, path, text, error, ok, chunk_meta,
-    total_chunks, total_tokens, total_chars, total_lines, file_size, md5_hash.
+    Columns: source_id (if the corpus has it), doc_id, filename, path, text,
+    error, ok, chunk_meta, total_chunks, total_tokens, total_chars, total_lines,
+    file_size, md5_hash.
     """
     counter = counter or counter_for(opts)
     pre = corpus.withColumn("error", pre_chunk_error(corpus, counter))
@@ -83,6 +90,7 @@ def prepare(
     arrays = arrays.withColumn("ok", F.col("error").isNull())
     ann = annotate_chunks(arrays, counter, first_number=1 if strategy == "greedy" else 0)
     return ann.select(
+        *[c for c in ("source_id",) if c in corpus.columns],
         "doc_id",
         "filename",
         "path",
@@ -96,6 +104,30 @@ def prepare(
     )
 
 
+def without_texts(prepared: DataFrame) -> DataFrame:
+    """Chunk texts in a column of their own (``chunk_texts``), so that a reader of
+    the records' metadata does not read them."""
+    texts = F.col("chunk_meta.text")
+    meta = F.transform("chunk_meta", lambda c: c.dropFields("text"))
+    return prepared.withColumn("chunk_texts", texts).withColumn("chunk_meta", meta)
+
+
+def with_texts(stored: DataFrame) -> DataFrame:
+    """Inverse of :func:`without_texts`."""
+    pairs = F.arrays_zip(F.col("chunk_meta").alias("m"), F.col("chunk_texts").alias("t"))
+    meta = F.transform(
+        pairs,
+        lambda p: F.struct(
+            p["m"]["number"].alias("number"),
+            p["t"].alias("text"),
+            p["m"]["tokens"].alias("tokens"),
+            p["m"]["content_hash"].alias("content_hash"),
+            p["m"]["character_count"].alias("character_count"),
+        ),
+    )
+    return stored.withColumn("chunk_meta", meta).drop("chunk_texts")
+
+
 @dataclass
 class ImportTables:
     prepared: DataFrame
@@ -184,6 +216,22 @@ def manifest_entries_table(prepared: DataFrame, opts: ChunkOptions, manifest_id:
     )
 
 
+def _half(md5: str, start: int) -> Column:
+    """16 hex digits of an MD5 as a signed long."""
+    return F.conv(F.substring(md5, start, 16), 16, -10).cast("bigint")
+
+
+def _hex(number: Column) -> Column:
+    return F.lower(F.lpad(F.hex(number), 16, "0"))
+
+
+def hash_xor(md5: str) -> Column:
+    """Exclusive or of whole MD5s (32 hex digits): a digest of a set of rows
+    that cannot overflow and adds up over partial results."""
+    halves = [F.coalesce(F.bit_xor(_half(md5, start)), F.lit(0).cast("bigint")) for start in (1, 17)]
+    return F.concat(*map(_hex, halves))
+
+
 def manifest_header(entries: DataFrame, opts: ChunkOptions, manifest_id: str, created_at: str | None = None) -> DataFrame:
     """A3: totals over all entries (old runs included: V7 append-import).
 
@@ -199,9 +247,7 @@ def manifest_header(entries: DataFrame, opts: ChunkOptions, manifest_id: str, cr
         F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("total_tokens"),
         F.lit(opts.model_name).alias("model_name"),
         F.max_by("version_id", F.struct("run_seq", "doc_id")).alias("latest_version_id"),
-        F.coalesce(F.sum(F.conv(F.substring("content_hash", 1, 8), 16, 10).cast("bigint")), F.lit(0))
-        .cast("bigint")
-        .alias("content_hashes_digest"),
+        hash_xor("content_hash").alias("content_hashes_xor"),
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
 
@@ -214,6 +260,7 @@ def advance_manifest_header(previous, new_entries: DataFrame, opts: ChunkOptions
     if previous is None:
         return new
     add = lambda c: (F.col(c) + F.lit(int(previous[c]))).cast("bigint").alias(c)
+    new = new.withColumn("_previous_xor", F.lit(previous["content_hashes_xor"]))
     return new.select(
         "manifest_id",
         "created_at",
@@ -223,7 +270,12 @@ def advance_manifest_header(previous, new_entries: DataFrame, opts: ChunkOptions
         add("total_tokens"),
         F.lit(previous["model_name"]).alias("model_name"),  # kept from the manifest's creation, as the reference
         F.coalesce(F.col("latest_version_id"), F.lit(previous["latest_version_id"])).alias("latest_version_id"),
-        add("content_hashes_digest"),
+        F.concat(
+            *[
+                _hex(_half("content_hashes_xor", start).bitwiseXOR(_half("_previous_xor", start)))
+                for start in (1, 17)
+            ]
+        ).alias("content_hashes_xor"),
         "metadata",
     )
 

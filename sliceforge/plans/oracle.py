@@ -7,6 +7,7 @@ greedy packing as recursive CTEs, statistics with plain scalar functions.
 
 from __future__ import annotations
 
+from sliceforge.config import MODEL_CONFIGS
 from sliceforge.functions.text import WS_CLASS_JAVA, ws_chars_sql
 from sliceforge.functions.tokens import TOKEN_PATTERN_JAVA
 
@@ -35,6 +36,17 @@ def norm_cte(table: str = "documents", id_col: str = "doc_id", text_col: str = "
     )
 
 
+def mixed_norm() -> str:
+    """Documents with the keyed replacements of the failure queries."""
+    key = f"({_hash8('md5(CAST(doc_id AS VARCHAR))')} % 11)"
+    ends = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
+    return (
+        "norm AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'documents/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, "
+        f"CASE WHEN {key} = 0 THEN ' ' || chr(9) || chr(10) || ' ' WHEN {key} = 1 THEN '...' WHEN {key} = 2 THEN NULL "
+        f"WHEN {key} IN (3, 4) THEN replace({ends}, ' ', chr(10)) ELSE {ends} END AS text FROM documents)"
+    )
+
+
 def ok_cte() -> str:
     """Documents that pass the blank check."""
     return f"okdocs AS (SELECT * FROM norm WHERE trim(text, {WS}) <> '')"
@@ -173,16 +185,16 @@ def state_cte() -> str:
     """Every document with its error, totals and state."""
     return (
         "st AS (SELECT n.doc_id, "
-        f"CASE WHEN trim(n.text, {WS}) = '' THEN 'File ' || n.path || ' is empty.' "
+        f"CASE WHEN coalesce(trim(n.text, {WS}), '') = '' THEN 'File ' || n.path || ' is empty.' "
         "WHEN a.doc_id IS NULL THEN 'No chunks created for file ' || n.path || '.' END AS error_message, "
         "a.total_chunks, a.total_tokens, a.current_chunk, a.chunk_ids_md5 "
         "FROM norm n LEFT JOIN agg a ON a.doc_id = n.doc_id)"
     )
 
 
-def processing_state_sql(limit: int) -> str:
+def processing_state_sql(limit: int, norm: str | None = None) -> str:
     return (
-        chunk_base(limit) + ",\n" + chunk_agg_cte() + ",\n" + state_cte() + "\n"
+        chunk_base(limit, norm=norm) + ",\n" + chunk_agg_cte() + ",\n" + state_cte() + "\n"
         "SELECT doc_id, CAST(coalesce(current_chunk, 0) AS BIGINT) AS current_chunk, "
         "CAST(coalesce(total_chunks, 0) AS BIGINT) AS processed_count, "
         "coalesce(chunk_ids_md5, md5('')) AS processed_chunks_md5, "
@@ -190,9 +202,9 @@ def processing_state_sql(limit: int) -> str:
     )
 
 
-def import_summary_sql(limit: int) -> str:
+def import_summary_sql(limit: int, norm: str | None = None) -> str:
     return (
-        chunk_base(limit) + ",\n" + chunk_agg_cte() + ",\n" + state_cte() + "\n"
+        chunk_base(limit, norm=norm) + ",\n" + chunk_agg_cte() + ",\n" + state_cte() + "\n"
         "SELECT CAST(count(*) AS BIGINT) AS total_files, "
         "CAST(count(*) FILTER (WHERE error_message IS NULL) AS BIGINT) AS processed_files, "
         "CAST(count(*) FILTER (WHERE error_message IS NOT NULL) AS BIGINT) AS failed_files, "
@@ -239,6 +251,41 @@ def verify_sql(limit: int, mode: str) -> str:
     return chunk_base(limit) + verify_ctes() + "\n" + _verify_mode_select(mode)
 
 
+def reimport_verify_sql(limit: int) -> str:
+    """Run 0 against its damaged store; run 1 has the same documents, undamaged."""
+    norm = (
+        "norm AS (SELECT md5('documents/' || CAST(doc_id AS VARCHAR) || '.txt|r1#0') AS doc_id, "
+        "md5('documents/' || CAST(doc_id AS VARCHAR) || '.txt|r2#1') AS again, 'documents/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, "
+        "regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents)"
+    )
+    return (
+        chunk_base(limit, norm=norm) + verify_ctes() + "\n"
+        f"SELECT CAST(0 AS BIGINT) AS run_seq, * FROM ({_verify_mode_select('strict')}) v "
+        "UNION ALL SELECT 1, n.again, TRUE, NULL FROM norm n JOIN info i ON i.doc_id = n.doc_id"
+    )
+
+
+def lookup_chunk_sql(limit: int) -> str:
+    return chunks_sql(limit) + " WHERE id IN (SELECT CAST(doc_id AS VARCHAR) || '-chunk-1' FROM labels)"
+
+
+def lookup_document_sql(limit: int) -> str:
+    return (
+        f"SELECT id, filename, total_chunks, total_tokens, md5_hash FROM ({document_info_sql(limit)}) d "
+        "WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"
+    )
+
+
+def document_models_sql(factor: float) -> str:
+    names = sorted(MODEL_CONFIGS)
+    rows = ", ".join(f"({i}, '{n}', CAST({int(MODEL_CONFIGS[n]['tokens'] * factor)} AS BIGINT))" for i, n in enumerate(names))
+    return (
+        "WITH " + norm_cte() + f", models(k, model_name, token_limit) AS (VALUES {rows})\n"
+        f"SELECT doc_id, model_name, token_limit, CAST({cnt('text')} AS BIGINT) AS tokens, {cnt('text')} <= token_limit AS fits "
+        f"FROM norm JOIN models ON k = {_hash8('md5(doc_id)')} % {len(names)}"
+    )
+
+
 def verification_summary_sql(limit: int) -> str:
     parts = [f"SELECT '{m}' AS mode, * FROM ({_verify_mode_select(m)})" for m in ("strict", "lenient", "token")]
     body = " UNION ALL ".join(f"({p})" for p in parts)
@@ -268,8 +315,14 @@ def processing_runs_sql(limit: int, run_id: str = "r1", manifest_id: str = "m",
             "FROM agg")
 
 
-def manifest_append_sql(limit: int, model_name: str = "gpt-4") -> str:
-    """V7: documents imported in run r1, then benchmark items in run r2, into one manifest."""
+def hash_xor_sql(md5: str) -> str:
+    """Exclusive or of whole MD5s, as 32 hex digits."""
+    half = lambda a: f"lpad(lower(to_hex(bit_xor(('0x' || substr({md5}, {a}, 16))::UBIGINT))), 16, '0')"
+    return f"{half(1)} || {half(17)}"
+
+
+def _two_runs(limit: int) -> str:
+    """``e``: entries of documents (run r1), then benchmark items (run r2), of one manifest."""
     norm = (
         "norm AS ("
         "SELECT 'documents:' || CAST(doc_id AS VARCHAR) AS doc_id, CAST(doc_id AS VARCHAR) AS raw_id, 0 AS run_seq, 'r1' AS run_id, "
@@ -280,12 +333,23 @@ def manifest_append_sql(limit: int, model_name: str = "gpt-4") -> str:
     )
     return (chunk_base(limit, norm=norm) + ",\n" + chunk_agg_cte() + ",\n"
             "e AS (SELECT n.raw_id, n.run_seq, n.run_id, md5(n.text) AS content_hash, a.total_chunks, a.total_tokens "
-            "FROM norm n JOIN agg a ON a.doc_id = n.doc_id)\n"
-            "SELECT md5('manifest|r1') AS manifest_id, CAST(count(*) AS BIGINT) AS document_count, "
+            "FROM norm n JOIN agg a ON a.doc_id = n.doc_id)\n")
+
+
+def manifest_entries_sql(limit: int) -> str:
+    """A4, one row per document and run."""
+    return (_two_runs(limit) + "SELECT md5('manifest|r1') AS manifest_id, CAST(run_seq AS BIGINT) AS run_seq, raw_id AS doc_id, content_hash, "
+            "md5(run_id || '|' || raw_id || '|version') AS version_id, CAST(total_chunks AS BIGINT) AS total_chunks, "
+            "CAST(total_tokens AS BIGINT) AS total_tokens FROM e")
+
+
+def manifest_append_sql(limit: int, model_name: str = "gpt-4") -> str:
+    """V7 / A3: the header over both runs."""
+    return (_two_runs(limit) + "SELECT md5('manifest|r1') AS manifest_id, CAST(count(*) AS BIGINT) AS document_count, "
             "CAST(sum(total_chunks) AS BIGINT) AS total_chunks, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, "
             f"'{model_name}' AS model_name, "
             "(SELECT md5(run_id || '|' || raw_id || '|version') FROM e ORDER BY run_seq DESC, raw_id DESC LIMIT 1) AS latest_version_id, "
-            f"CAST(sum({_hash8('content_hash')}) AS BIGINT) AS content_hashes_digest FROM e")
+            f"{hash_xor_sql('content_hash')} AS content_hashes_xor FROM e")
 
 
 def sentence_strategy_ctes(limit: int) -> str:
@@ -360,7 +424,7 @@ def _k(expr: str, mod: int) -> str:
 def records_base(limit: int) -> str:
     return (chunk_base(limit) + ",\n"
             "rec AS MATERIALIZED (SELECT doc_id || '-chunk-' || CAST(number AS VARCHAR) AS id, doc_id, number, "
-            f"CAST({cnt('text')} AS INTEGER) AS tokens, md5(text) AS content_hash FROM ch)")
+            f"CAST({cnt('text')} AS INTEGER) AS tokens, md5(text) AS content_hash, CAST(length(text) AS BIGINT) AS chars FROM ch)")
 
 
 def records_update_sql(limit: int) -> str:
@@ -371,14 +435,16 @@ def records_update_sql(limit: int) -> str:
             "UNION ALL SELECT id, version_id, CASE WHEN seq = 1 THEN md5('created|' || id) "
             "ELSE md5(id || '|v' || CAST(seq - 1 AS VARCHAR)) END FROM chg),\n"
             "hagg AS (SELECT id, count(*) AS history_count, "
-            f"sum({_hash8(chr(109) + 'd5(version_id || ' + q('|') + ' || coalesce(parent, ' + q('') + '))')}) AS history_digest "
-            "FROM hist GROUP BY id),\n"
+            f"{hash_xor_sql('link')} AS history_xor "
+            "FROM (SELECT *, md5(version_id || '|' || coalesce(parent, '')) AS link FROM hist) l GROUP BY id),\n"
             "fin AS (SELECT id, max(seq) AS n FROM chg GROUP BY id)\n"
             "SELECT r.id, coalesce(md5(r.id || '|v' || CAST(f.n AS VARCHAR)), md5('created|' || r.id)) AS version_id, "
             "CAST(CASE WHEN f.n >= 2 THEN r.tokens + 1 ELSE r.tokens END AS BIGINT) AS tokens, "
             "CASE WHEN f.n = 1 THEN substr(r.content_hash, 1, 6) WHEN f.n = 2 THEN substr(r.content_hash, 7, 6) END AS topic, "
             "CASE WHEN f.n >= 1 THEN 'reviewed' END AS status, "
-            "CAST(h.history_count AS BIGINT) AS history_count, CAST(h.history_digest AS BIGINT) AS history_digest "
+            "CASE WHEN f.n >= 1 THEN substr(r.content_hash, 13, 4) END AS entity_kind, "
+            "CASE WHEN f.n >= 2 THEN CAST(-1 AS BIGINT) ELSE r.chars END AS character_count, "
+            "CAST(h.history_count AS BIGINT) AS history_count, h.history_xor "
             "FROM rec r LEFT JOIN fin f ON f.id = r.id JOIN hagg h ON h.id = r.id")
 
 

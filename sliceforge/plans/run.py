@@ -1,9 +1,8 @@
 """Running the import (and verification) as a job that writes tables.
 
-    prepare (persisted once on executor disk)
-            -> write ``chunks`` (chunk texts)                     narrow
-            -> write ``documents`` (source text, per-document results,
-               chunk metadata without texts)                      <- lineage cut
+    prepare -> write ``documents`` (source text, per-document results, chunk
+               metadata, chunk texts in a column of their own)    <- lineage cut
+            -> read back, explode -> ``chunks``                   narrow
             -> read back (no text) -> document_info / state / versions /
                manifest entries / runs                            (narrow)
             -> manifest header over all entries                   (tiny agg)
@@ -20,7 +19,6 @@ import datetime as dt
 import time
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +32,8 @@ from sliceforge.plans.import_job import (
     default_manifest_id,
     prepare,
     spread,
+    with_texts,
+    without_texts,
 )
 from sliceforge.sinks.writers import write_chunks, write_table
 from sliceforge.sources.corpus import corpus_from_table, scan_corpus
@@ -78,29 +78,17 @@ def run_import(
         opts = replace(opts, counter=counter.name, splitter=splitter, extra=extra)
     if opts.run_ts == ChunkOptions().run_ts:
         opts = replace(opts, run_ts=_now())
-    # Rows are whole documents: small Arrow batches into the packer (restored after the job).
-    batch_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    previous_batch = spark.conf.get(batch_key)
-    spark.conf.set(batch_key, "1024")
-    try:
-        result = _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description,
-                             strategy, prepared_corpus, run_seq, keep_source)
-        result.update(counter=opts.counter, splitter=opts.splitter, counter_fallback=fell_back)
-        return result
-    finally:
-        spark.conf.set(batch_key, previous_batch)
+    result = _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description,
+                         strategy, prepared_corpus, run_seq, keep_source)
+    encoding = counter_for(opts).spec.encoding if opts.counter == "bpe" else None
+    result.update(counter=opts.counter, encoding=encoding, splitter=opts.splitter, counter_fallback=fell_back)
+    return result
 
 
 def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description, strategy,
                 prepared_corpus, run_seq, keep_source=True) -> dict:
     t0 = time.time()
 
-    if isinstance(source, str):
-        corpus = scan_corpus(spark, source, opts.run_id)
-    else:
-        corpus = source if prepared_corpus else corpus_from_table(source)
-        if corpus.isEmpty():  # S3 for tables (the file scan checks its own listing)
-            raise ValueError("No documents to import")
     old_header, old_entries = read_manifest(spark, output_dir)
     if old_header is not None:
         h = old_header.select("manifest_id", "created_at", "run_seq").first()
@@ -114,6 +102,15 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         # A given run_seq (streaming epochs) is rewritten in place: drop its old entries.
         old_entries = old_entries.where(F.col("run_seq") != run_seq)
 
+    # Every run makes documents of its own, from files and tables alike.
+    run = f"{opts.run_id}#{run_seq}"
+    if isinstance(source, str):
+        corpus = scan_corpus(spark, source, run)
+    else:
+        corpus = source if prepared_corpus else corpus_from_table(source, run=run)
+        if corpus.isEmpty():  # S3 for tables (the file scan checks its own listing)
+            raise ValueError("No documents to import")
+
     # Progress metrics collected while the first table is written.
     obs = Observation("import_progress")
     prepared = prepare(spread(corpus), opts, counter_for(opts), strategy).withColumn("run_seq", F.lit(run_seq))
@@ -124,22 +121,16 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         F.sum(F.when(F.col("ok"), F.col("total_chunks"))).alias("chunks"),
         F.sum(F.when(F.col("ok"), F.col("total_tokens"))).alias("tokens"),
     )
-    # The packer runs once: the prepared rows are kept on executor disk for
-    # the two writes (a lost block is recomputed; the plan is deterministic).
-    observed = observed.persist(StorageLevel.DISK_ONLY)
-    try:
-        # K2: chunk texts, written once.
-        write_chunks(chunks_table(observed, opts).withColumn("run_seq", F.lit(run_seq)), output_dir, "overwrite")
-        # K1 + lineage cut: source text and per-document results; chunk
-        # metadata without the chunk texts (those live in ``chunks``).
-        meta = F.transform("chunk_meta", lambda c: c.dropFields("text"))
-        documents = observed.withColumn("chunk_meta", meta)
-        if not keep_source:
-            documents = documents.drop("text")
-        write_table(documents, output_dir, "documents", "overwrite", ["run_seq"])
-    finally:
-        observed.unpersist()
+    # K1 + lineage cut: the packer runs once, in the job that writes source text,
+    # results and chunk texts; everything else is read from that table.
+    documents = without_texts(observed)
+    if not keep_source:
+        documents = documents.drop("text")
+    write_table(documents, output_dir, "documents", "overwrite", ["run_seq"])
     docs = read_table(spark, output_dir, "documents").where(F.col("run_seq") == run_seq)
+    # K2: one row per chunk.
+    write_chunks(chunks_table(with_texts(docs), opts).withColumn("run_seq", F.lit(run_seq)), output_dir, "overwrite")
+    docs = docs.drop("chunk_texts")
     docs = docs.drop("text") if "text" in docs.columns else docs
     completed = _now()
 

@@ -3,12 +3,17 @@ the checkpoint folder."""
 
 from __future__ import annotations
 
+import atexit
+import logging
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
+log = logging.getLogger(__name__)
+
 _PKG_DIR = os.path.dirname(os.path.abspath(__file__))
 _SHIPPED: set[int] = set()
 
@@ -29,7 +34,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # (also bounded by spark.sql.execution.arrow.maxBytesPerBatch).
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("SLICEFORGE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SLICEFORGE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,7 +60,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             # A machine-local folder would scatter the data over executors' disks.
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="sliceforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return configured
 
@@ -65,17 +69,33 @@ def materialize(df, name: str = "table"):
     (the cluster's shared folder) and return a DataFrame reading it back.
 
     Unlike an eager ``Dataset.checkpoint()`` without persistence, the plan is
-    computed once (the checkpoint write would recompute it).
+    computed once (the checkpoint write would recompute it).  The tables of an
+    application are in one folder, which is deleted when the driver ends: the
+    results that are read from them are lazy until then.
     """
-    import uuid
-
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/sliceforge/{name}-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sliceforge-{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        atexit.register(_delete_folder, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
+_SCRATCH: set[str] = set()
+
+
+def _delete_folder(spark: SparkSession, folder: str) -> None:
+    """Best effort at the driver's end (a killed driver leaves the folder)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as exc:  # the JVM may have gone first
+        log.debug("scratch folder %s stays: %s", folder, exc)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``sliceforge`` importable by Python workers (``--py-files`` equivalent).
 

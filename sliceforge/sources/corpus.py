@@ -15,26 +15,31 @@ from sliceforge.operators.validate import decode_utf8
 CORPUS_COLUMNS = ["doc_id", "filename", "path", "text", "decode_error"]
 
 
-def corpus_from_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "documents") -> DataFrame:
-    """A table of texts as a corpus; ``filename`` is ``<id>.txt``."""
-    doc_id = F.col(id_col).cast("string")
-    filename = F.concat(doc_id, F.lit(".txt"))
+def corpus_from_table(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "documents", run: str | None = None
+) -> DataFrame:
+    """A table of texts as a corpus; ``filename`` is ``<id>.txt``.
+
+    With ``run`` every row gets a document id of its own for that run (P7), as a
+    file does, and the table's id stays as ``source_id``: importing a table again
+    makes new documents.  Without it the table's id is the document id.
+    """
+    source_id = F.col(id_col).cast("string")
+    filename = F.concat(source_id, F.lit(".txt"))
+    path = F.concat(F.lit(prefix + "/"), filename)
     return df.select(
-        doc_id.alias("doc_id"),
+        *([] if run is None else [source_id.alias("source_id")]),
+        (source_id if run is None else F.md5(F.concat_ws("|", path, F.lit(run)))).alias("doc_id"),
         filename.alias("filename"),
-        F.concat(F.lit(prefix + "/"), filename).alias("path"),
+        path.alias("path"),
         normalize_newlines(F.col(text_col)).alias("text"),
         F.lit(None).cast("string").alias("decode_error"),
     )
 
 
 def assign_doc_id(path, run_id: str):
-    """Deterministic document id per (file, run).
-
-    The same file imported twice in one run... is one row; in two runs, two
-    documents (like the reference's random UUID4, but reproducible on retry:
-    ``uuid()`` would change when a lost task is recomputed).
-    """
+    """Deterministic document id per (file, run): two runs make two documents,
+    and a task that is computed again makes the same ids."""
     return F.md5(F.concat(path, F.lit("\u0000"), F.lit(run_id)))
 
 

@@ -83,15 +83,43 @@ def test_import_append_and_verify(spark, tmp_out):
     assert read_document(spark, tmp_out, first.doc_id).count() == 1
 
 
-def test_rerun_same_run_is_idempotent(spark, tmp_out):
+def test_import_of_the_same_table_twice(spark, tmp_out):
+    """Two runs make two sets of documents, also under one run id; both verify."""
+    from sliceforge.plans.run import run_verification
+
     docs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
     opts = ChunkOptions(factor=1 / 128, run_id="same")
-    run_import(spark, docs, tmp_out, opts)
-    n = spark.read.parquet(f"{tmp_out}/chunks").count()
-    # A second run appends a new run_seq; the first run's partitions stay as they were.
-    run_import(spark, docs, tmp_out, opts)
-    assert spark.read.parquet(f"{tmp_out}/chunks").count() == 2 * n
-    assert spark.read.parquet(f"{tmp_out}/chunks").where("run_seq = 0").count() == n
+    first = run_import(spark, docs, tmp_out, opts)
+    chunks = spark.read.parquet(f"{tmp_out}/chunks")
+    before = sorted(map(tuple, chunks.select("id", "content_hash").collect()))
+    second = run_import(spark, docs, tmp_out, opts, verify_mode="strict")
+    n = docs.count()
+    assert second["verification"] == {"mode": "strict", "valid": 2 * n, "invalid": 0}
+    for mode in ("token", "lenient"):
+        assert run_verification(spark, tmp_out, mode)["invalid"] == 0
+    chunks = spark.read.parquet(f"{tmp_out}/chunks")
+    assert sorted(map(tuple, chunks.where("run_seq = 0").select("id", "content_hash").collect())) == before
+    assert chunks.count() == 2 * len(before) == chunks.select("id").distinct().count()
+    info = spark.read.parquet(f"{tmp_out}/document_info")
+    assert info.select("id").distinct().count() == 2 * n
+    row = chunks.first()
+    assert read_chunk(spark, tmp_out, row.id).count() == 1 and read_document(spark, tmp_out, row.doc_id).count() == 1
+    sources = spark.read.parquet(f"{tmp_out}/documents").groupBy("source_id").count()
+    assert {r["count"] for r in sources.collect()} == {2}
+    assert first["processed_files"] == second["processed_files"] == n
+
+
+def test_damage_is_found_in_its_run_only(spark, tmp_out):
+    from sliceforge.operators.verify import verify_documents
+    from sliceforge.sources.tables import read_chunk_texts, read_document_info
+
+    docs = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").withColumnRenamed("item_id", "doc_id")
+    for run_id in ("one", "two"):
+        run_import(spark, docs, tmp_out, ChunkOptions(factor=1 / 128, run_id=run_id))
+    stored = read_chunk_texts(spark, tmp_out)
+    damaged = stored.withColumn("text", F.when((F.col("run_seq") == 1) & F.col("id").endswith("-chunk-1"), "x").otherwise(F.col("text")))
+    got = verify_documents(read_document_info(spark, tmp_out), damaged, "strict").collect()
+    assert {(r.run_seq, r.is_valid) for r in got} == {(0, True), (1, False)}
 
 
 def test_continuous_import(spark, tmp_out):

@@ -92,3 +92,89 @@ def test_latest_version(spark):
         [("a", 0, "a0"), ("a", 1, "a1"), ("a", 2, "a2"), ("b", 0, "b0")], "record_id string, seq int, version_id string"
     )
     assert {r.record_id: r.version_id for r in latest_version(hist).collect()} == {"a": "a2", "b": "b0"}
+
+
+def _rec(spark, ids=("a", "b")):
+    from sliceforge.operators.records import create_chunk_records
+
+    rows = [(i, 1, 5, "d", "h" + i, 9) for i in ids]
+    chunks = spark.createDataFrame(rows, "id string, number int, tokens int, doc_id string, content_hash string, character_count int")
+    return create_chunk_records(chunks, "2024-01-01 00:00:00")
+
+
+def _changes(spark, rows):
+    return spark.createDataFrame(rows, "record_id string, seq int, version_id string, fields map<string,string>")
+
+
+def test_insert_refuses_ids_twice_in_the_batch(spark):
+    import pytest
+
+    from sliceforge.operators.records import RecordError, insert_records
+
+    with pytest.raises(RecordError, match="already exist: c"):
+        insert_records(_rec(spark), _rec(spark, ("c", "c", "d")))
+    with pytest.raises(RecordError, match="already exist: a"):
+        insert_records(_rec(spark), _rec(spark, ("a",)))
+    assert insert_records(_rec(spark), _rec(spark, ("c",))).count() == 3
+
+
+def test_whole_fields_are_overwritten_in_order(spark):
+    from sliceforge.operators.records import update_records
+
+    changes = _changes(
+        spark,
+        [
+            ("a", 1, "v1", {"llm_analysis.topic": "t", "llm_analysis.old": "o", "tokens": "7", "created_at": "2025-05-05 00:00:00"}),
+            ("a", 2, "v2", {"llm_analysis": '{"x":"1"}', "character_count": None, "note": "n"}),
+            ("a", 3, "v3", {"llm_analysis.y": "2", "note": None, "parent_version_id": "p"}),
+            ("b", 1, "w1", {"llm_entity_extraction": None}),
+        ],
+    )
+    got = {r.id: r for r in update_records(_rec(spark), changes, "2024-01-02 00:00:00")[0].collect()}
+    a = got["a"]
+    assert (a.llm_analysis, a.tokens, a.character_count) == ({"x": "1", "y": "2"}, 7, None)
+    assert (a.attributes, a.version_id, a.parent_version_id) == ({"note": None}, "v3", "p")
+    assert str(a.created_at).startswith("2025-05-05")
+    assert got["b"].llm_entity_extraction is None and got["b"].tokens == 5
+
+
+def test_bad_batches_are_refused(spark):
+    import pytest
+
+    from sliceforge.operators.records import RecordError, update_records
+
+    for fields, message in (
+        ({"tokens": "many"}, "do not fit"),
+        ({"llm_analysis": "no json"}, "do not fit"),
+        ({"version_id": "x"}, "may not set"),
+        ({"id": "x"}, "may not set"),
+    ):
+        with pytest.raises(RecordError, match=message):
+            update_records(_rec(spark), _changes(spark, [("a", 1, "v", fields)]), "2024-01-02 00:00:00")
+
+
+def test_a_record_with_a_third_of_all_changes(spark):
+    from sliceforge.operators.records import update_records
+
+    n = 3000
+    hot = [("a", i, f"a{i}", {"tokens": str(i), f"k{i % 5}": str(i)}) for i in range(1, n + 1)]
+    ids = [f"r{i}" for i in range(2 * n)]
+    cold = [(i, 1, f"v-{i}", {"note": i}) for i in ids]
+    updated, history, _ = update_records(_rec(spark, ["a", *ids]), _changes(spark, hot + cold), "2024-01-02 00:00:00")
+    a = updated.where("id = 'a'").first()
+    assert (a.tokens, a.version_id) == (n, f"a{n}")
+    assert a.attributes == {f"k{i % 5}": str(i) for i in range(n - 4, n + 1)}
+    parents = {r.seq: r.parent_version_id for r in history.where("record_id = 'a'").collect()}
+    assert all(parents[i] == f"a{i - 1}" for i in range(2, n + 1)) and history.count() == 3 * n
+
+
+def test_upsert_into_a_missing_document(spark):
+    import pytest
+
+    from sliceforge.operators.records import RecordError, upsert_document_chunks
+
+    docs = spark.createDataFrame([("d", "v0")], "id string, version_id string")
+    entries = spark.createDataFrame([], "doc_id string, chunk_id string, fields map<string,string>")
+    updates = spark.createDataFrame([("nope", 1, "v1", "c", {"a": "1"})], "doc_id string, seq int, version_id string, chunk_id string, fields map<string,string>")
+    with pytest.raises(RecordError, match="not found: nope"):
+        upsert_document_chunks(docs, entries, updates, "2024-01-02 00:00:00")

@@ -56,3 +56,48 @@ def test_bpe_recount_error_makes_document_invalid(spark):
     stored = spark.createDataFrame([("d-chunk-1", "d", "hi <|endoftext|>")], "id string, doc_id string, text string")
     res = verify_documents(info, stored, "strict", bpe).collect()
     assert [(r.is_valid, r.reason) for r in res] == [(False, "token mismatch")]
+
+
+def _info(spark, rows):
+    chunk = "struct<id:string,number:int,tokens:int,content_hash:string>"
+    return spark.createDataFrame(rows, f"id string, total_tokens int, chunks array<{chunk}>")
+
+
+def test_records_without_chunks_are_judged(spark):
+    from sliceforge.operators.verify import verify_all_modes, verify_documents
+
+    info = _info(spark, [("none", 0, []), ("null", None, None), ("claims", 5, []), ("gone", 2, [("gone-chunk-1", 1, 2, "x")])])
+    stored = spark.createDataFrame([], "id string, doc_id string, text string")
+    got = {r.doc_id: r[1:] for r in verify_all_modes(info, stored).collect()}
+    total = "total mismatch"
+    assert got == {
+        "none": (None, None, None),
+        "null": (None, None, None),
+        "claims": (total, None, total),
+        "gone": ("missing", "missing", "missing"),
+    }
+    assert {r.reason for r in verify_documents(info, stored, "no such mode").collect()} == {"unknown mode"}
+
+
+def test_a_failed_recount_makes_the_total_wrong(spark):
+    from sliceforge.functions.tokens import get_counter
+    from sliceforge.operators.verify import verify_all_modes
+
+    text, bad = "two tokens", "no <|endoftext|>"
+    counter = get_counter("bpe", encoding="byte_bpe_50k")
+    info = _info(spark, [("d", 2, [("d-chunk-1", 1, 2, "h"), ("d-chunk-2", 2, 0, "h")])])
+    stored = spark.createDataFrame([("d-chunk-1", "d", text), ("d-chunk-2", "d", bad)], "id string, doc_id string, text string")
+    row = verify_all_modes(info, stored, counter).first()
+    assert (row.reason_lenient, row.reason_token) == (None, "total mismatch")
+
+
+def test_records_are_verified_without_reading_their_texts(spark, tmp_out):
+    import re
+
+    from sliceforge.plans.catalog import queries
+
+    from .conftest import SF_SMALL
+
+    plan = queries()["verify_strict_64"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"ReadSchema: (struct<[^\n]*)", plan)
+    assert len(scans) == 2 and sum("chunk_texts" in s for s in scans) == 1
