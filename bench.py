@@ -21,6 +21,7 @@ from sliceforge.config import ChunkOptions  # noqa: E402
 from sliceforge.functions.tokens import get_counter  # noqa: E402
 from sliceforge.operators.chunker import chunk_documents  # noqa: E402
 from sliceforge.plans import catalog  # noqa: E402
+from sliceforge.plans.import_job import INPUT_PARTITIONS  # noqa: E402
 from sliceforge.plans.run import run_import, run_verification  # noqa: E402
 from sliceforge.session import local_session  # noqa: E402
 
@@ -47,6 +48,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="sliceforge-bench")
+    # The fixture is one row group, which one task would read alone.
+    spark.conf.set(INPUT_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     qs = catalog.queries()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in qs]
 

@@ -19,14 +19,14 @@ MODEL_CONFIGS: dict[str, dict] = {
 def validate_factor(factor: float) -> float:
     """The reduction factor must lie in (0, 1]."""
     if not (0 < factor <= 1.0):
-        raise ValueError("chunk reduction factor must be greater than 0 and at most 1.0")
+        raise ValueError(f"factor {factor} is outside (0, 1]")
     return float(factor)
 
 
 def model_config(model_name: str) -> dict:
     """Look a model up; unknown names list the choices."""
     if model_name not in MODEL_CONFIGS:
-        raise ValueError(f"Unsupported model. Choose from: {', '.join(MODEL_CONFIGS)}")
+        raise ValueError(f"no limit is known for model {model_name!r}; known models: {', '.join(MODEL_CONFIGS)}")
     return MODEL_CONFIGS[model_name]
 
 

@@ -6,6 +6,8 @@ with text decoded and newline-normalised.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +58,10 @@ def _kind(spark: SparkSession, location: str) -> str:
 def scan_corpus(spark: SparkSession, location: str, run_id: str = "run-0") -> DataFrame:
     """Read ``.txt`` files below a folder, or one ``.txt`` file.
 
-    Case-sensitive ``*.txt`` suffix, recursive.  Spark's file listing skips
-    zero-byte files and names starting with ``.`` or ``_`` (documented
-    divergence: the reference reports empty files as failed).
+    Case-sensitive ``*.txt`` suffix, recursive.  Empty files are rows with an
+    empty text, which fail as empty later on (Spark's scan leaves them out; they
+    are the listed files that it does not read).  Names that begin with ``.`` or
+    ``_`` are hidden files to Spark and are not listed.
     """
     kind = _kind(spark, location)
     if kind == "dir":
@@ -66,12 +69,16 @@ def scan_corpus(spark: SparkSession, location: str, run_id: str = "run-0") -> Da
     elif kind == "file" and location.endswith(".txt"):
         reader = spark.read.format("binaryFile")
     else:
-        raise ValueError(f"{location} is neither a directory nor a .txt file")
+        raise ValueError(f"{location}: expected a folder or a file with the suffix .txt")
     raw = reader.load(location)
-    if raw.isEmpty():  # S3
-        raise ValueError(f"No .txt files found in {location}")
+    # The driver holds this listing in any case, to plan the scan.
+    listed = [(unquote(p).replace("file:///", "file:/", 1),) for p in raw.inputFiles()]
+    if not listed:  # S3
+        raise ValueError(f"{location}: holds no .txt file")
+    empty = spark.createDataFrame(listed, "path string").join(raw.select("path"), "path", "left_anti")
+    files = raw.select("path", "content").unionByName(empty.withColumn("content", F.lit("").cast("binary")))
     text, error = decode_utf8(F.col("content"))
-    return raw.select(
+    return files.select(
         assign_doc_id(F.col("path"), run_id).alias("doc_id"),
         F.element_at(F.split(F.col("path"), "/"), -1).alias("filename"),
         F.col("path"),

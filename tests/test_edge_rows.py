@@ -70,7 +70,7 @@ def test_options():
         validate_factor(1.5)
     with pytest.raises(ValueError):
         token_limit("gpt-4", 0.0001)  # int(8192 * 0.0001) = 0
-    with pytest.raises(ValueError, match="Choose from"):
+    with pytest.raises(ValueError, match="known models"):
         token_limit("nope")
 
 

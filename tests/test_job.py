@@ -42,21 +42,27 @@ def test_scan_rules(spark):
     src = _tree()
     names = sorted(r.filename for r in scan_corpus(spark, src).collect())
     assert names == ["a.txt", "bad.txt", "blank.txt", "n.txt"]
-    with pytest.raises(ValueError, match="neither a directory nor a .txt file"):
+    with pytest.raises(ValueError, match="expected a folder or a file"):
         scan_corpus(spark, f"{src}/note.md")
     assert scan_corpus(spark, f"{src}/a.txt").count() == 1
-    with pytest.raises(ValueError, match="neither a directory nor a .txt file"):
+    with pytest.raises(ValueError, match="expected a folder or a file"):
         scan_corpus(spark, f"{src}/missing.txt")
-    with pytest.raises(ValueError, match="No .txt files"):
+    with pytest.raises(ValueError, match="holds no .txt file"):
         scan_corpus(spark, _empty_dir())
 
 
-def test_zero_byte_file_is_not_listed(spark):
-    # Documented divergence: Spark's file listing skips empty files (the
-    # reference reports them as failed "is empty").
+def test_empty_files_fail_as_empty(spark, tmp_out):
     src = _tree()
-    open(f"{src}/empty.txt", "w").close()
-    assert "empty.txt" not in [r.filename for r in scan_corpus(spark, src).collect()]
+    os.makedirs(f"{src}/with space é")
+    open(f"{src}/with space é/empty file.txt", "w").close()
+    rows = {r.filename: r for r in scan_corpus(spark, src).collect()}
+    assert rows["empty file.txt"].text == "" and len(rows) == 5
+    r = run_import(spark, src, tmp_out, ChunkOptions(factor=1 / 32, run_id="e"))
+    assert (r["files"], r["processed_files"], r["failed_files"]) == (5, 2, 3)
+    only = tempfile.mkdtemp(prefix="sliceforge-src-")
+    open(f"{only}/empty.txt", "w").close()
+    assert [(x.filename, x.text) for x in scan_corpus(spark, only).collect()] == [("empty.txt", "")]
+    assert scan_corpus(spark, f"{only}/empty.txt").count() == 1
 
 
 def test_import_append_and_verify(spark, tmp_out):
