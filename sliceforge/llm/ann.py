@@ -65,9 +65,10 @@ def mean_vectors(rows: DataFrame) -> dict[int, np.ndarray]:
                 d = len(v)
                 total[d] = total.get(d, 0.0) + np.asarray(v, dtype=np.float64)
                 count[d] = count.get(d, 0) + 1
-        yield pd.DataFrame(
-            {"dim": list(total), "n": [count[d] for d in total], "s": [t.tolist() for t in total.values()]}
-        )
+        if total:
+            yield pd.DataFrame(
+                {"dim": list(total), "n": [count[d] for d in total], "s": [t.tolist() for t in total.values()]}
+            )
 
     parts = rows.select("v").mapInPandas(sums, "dim int, n long, s array<double>")
     place = parts.select("dim", "n", F.posexplode("s").alias("i", "x"))
@@ -148,7 +149,8 @@ def _exact_sample(index: DataFrame, sample: list, k: int) -> dict[int, list[int]
                     if dim == d:
                         rows, dist = nearest(x, reps, q, k + 1)
                         out += [(rep, int(reps[i]), float(s)) for i, s in zip(rows[: k + 1], dist, strict=False)]
-            yield pd.DataFrame(out, columns=["q", "rep", "score"])
+            if out:
+                yield pd.DataFrame(out, columns=["q", "rep", "score"])
 
     near = index.select("rep", "dim", "vec").mapInPandas(scan, "q long, rep long, score double")
     nth = F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))
