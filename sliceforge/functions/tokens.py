@@ -54,17 +54,32 @@ class CounterSpec:
 # --------------------------------------------------------------------------
 
 
+# Fixed value: how text is split before the merges of the rank files.
+PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _rank_file(encoding: str) -> str | None:
+    """Rank file of an encoding: a path to one (``....tiktoken``, on every
+    worker), or a name that the optional package ``public_tokenizers`` holds."""
+    if encoding.endswith(".tiktoken"):
+        return encoding
+    if encoding in _LOCAL_VOCABS:
+        import public_tokenizers
+
+        return public_tokenizers.path(_LOCAL_VOCABS[encoding])
+    return None
+
+
 @functools.lru_cache(maxsize=8)
 def _bpe_encoding(encoding: str):
     import tiktoken
 
-    if encoding in _LOCAL_VOCABS:
-        import public_tokenizers as P
-
-        with open(P.path(_LOCAL_VOCABS[encoding]), "rb") as fh:
-            ranks = {base64.b64decode(tok): int(rank) for tok, rank in (line.split() for line in fh if line.strip())}
-        return tiktoken.Encoding(encoding, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=dict(SPECIAL_TOKENS))
-    return tiktoken.get_encoding(encoding)  # needs the vocabulary file locally
+    path = _rank_file(encoding)
+    if path is None:
+        return tiktoken.get_encoding(encoding)  # needs the vocabulary file locally
+    with open(path, "rb") as fh:
+        ranks = {base64.b64decode(tok): int(rank) for tok, rank in (line.split() for line in fh if line.strip())}
+    return tiktoken.Encoding(encoding, pat_str=PRETOKEN_PATTERN, mergeable_ranks=ranks, special_tokens=dict(SPECIAL_TOKENS))
 
 
 @functools.lru_cache(maxsize=8)

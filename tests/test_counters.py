@@ -92,3 +92,12 @@ def test_bpe_chunking_equals_python_model(spark):
                 first = 0
             want += [(d, first + i, count(c), hashlib.md5(c.encode()).hexdigest()) for i, c in enumerate(chunks)]
         assert got == sorted(want), strategy
+
+
+def test_vocabulary_by_path():
+    import public_tokenizers
+
+    by_name = py_counter(CounterSpec("bpe", encoding="byte_bpe_50k", on_special="text"))
+    by_path = py_counter(CounterSpec("bpe", encoding=public_tokenizers.path("byte_bpe_50k.tiktoken"), on_special="text"))
+    for text in ("Hello there, it's 2024.", "  naïveté\n\n東京 ", ""):
+        assert by_name(text) == by_path(text)
