@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import whole_text
+from .ranks import pair
 
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 1 << 16
@@ -38,7 +39,7 @@ MAX_LANGUAGES = 200
 #: Memory bounds of a worker: words labelled at once (one longer text is a batch
 #: of its own) and words whose emissions are remembered.
 BATCH_WORDS = 1_000_000
-MEMO_SIZE = 600_000
+MEMO_SIZE = 500_000
 UNDETERMINED = "und"
 
 
@@ -51,12 +52,29 @@ def bucket(word: str) -> int:
     return xxhash.xxh32_intdigest(word, 7) % LEXICON
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed affixes of up to four letters and n-grams of two and three."""
-    w = f"^{word}$" if len(word) <= 40 else f"^{word[:20]}{word[-20:]}$"
-    grams = [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
-    affixes = ["<" + w[: n + 1] for n in (1, 2, 3, 4)] + [">" + w[-n - 1 :] for n in (1, 2, 3, 4)]
-    return [xxhash.xxh32_intdigest(f, 3) % FEATURES for f in grams + affixes]
+def feature_parts(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of words as pairs (word number, feature), each pair sorted
+    by word: n-grams of two and three letters with the word's ends marked, and
+    affixes of three and four letters (shorter ones are n-grams that hold an
+    end).  All words are ranked at once; of very long words the ends count."""
+    marked = [f"^{w}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    size = np.fromiter(map(len, marked), dtype=np.int64, count=len(words))
+    start = np.cumsum(size) - size
+    letters = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    one = pair(letters, letters)
+    ranks = {1: one}
+    for n in (2, 3, 4, 5):
+        ranks[n] = pair(ranks[n - 1][:-1], one[n - 1 :])
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(letters)) - start[owner]
+    parts = []
+    for n in (2, 3):
+        at = np.flatnonzero(place + n <= size[owner])
+        parts.append((owner[at], ranks[n][at]))
+    for n in (4, 5):
+        long = np.flatnonzero(size >= n)
+        parts += [(long, ranks[n][start[long]]), (long, ranks[n][start[long] + size[long] - n])]
+    return [(o, (r >> np.uint64(40)).astype(np.int64) % FEATURES) for o, r in parts]
 
 
 @dataclass
@@ -69,12 +87,15 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores (words x L)."""
-        feats = [word_features(w) for w in words]
-        flat = np.fromiter((f for fs in feats for f in fs), dtype=np.int64)
-        size = np.fromiter(map(len, feats), dtype=np.int64, count=len(feats))
-        start = np.concatenate(([0], np.cumsum(size)[:-1]))
+        sums = np.zeros((len(words), len(self.languages)))
+        size = np.zeros(len(words))
+        for owner, features in feature_parts(words):
+            if len(owner):
+                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                sums[owner[first]] += np.add.reduceat(self.weights[features], first, axis=0)
+                size += np.bincount(owner, minlength=len(words))
+        sums /= np.sqrt(size)[:, None]
         lex = self.lexicon[np.fromiter(map(bucket, words), dtype=np.int64, count=len(words))]
-        sums = np.add.reduceat(self.weights[flat], start, axis=0) / np.sqrt(size)[:, None]
         return (sums + lex @ self.lexicon_weight).astype(np.float32)
 
 
@@ -150,12 +171,15 @@ def fit(
     )
     words, labels = switched_sequences(docs, rng, sequences, length)
     vocab = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-    feats = [word_features(w) for w in vocab]
-    width = max(map(len, feats))
+    parts = feature_parts(list(vocab))
+    owner = np.concatenate([o for o, _ in parts])
+    order = np.argsort(owner, kind="stable")
+    owner, feats = owner[order], np.concatenate([f for _, f in parts])[order]
+    count = np.bincount(owner, minlength=len(vocab))
+    width = int(count.max())
     # Features per word in a rectangle; FEATURES is a row of zeros for padding.
     table = np.full((len(vocab), width), FEATURES, dtype=np.int64)
-    for i, f in enumerate(feats):
-        table[i, : len(f)] = f
+    table[owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] = feats
     scale = 1 / np.sqrt((table < FEATURES).sum(axis=1, keepdims=True))
     lex = lexicon[[bucket(w) for w in vocab]]
     index = np.array([[vocab[w] for w in ws] for ws in words])
