@@ -19,9 +19,9 @@ from .common import ascii_lower, whole_text
 #: MIN_CHARS that looks like CUT, or at MAX_CHARS.  CUT is rare (one place in some
 #: hundred characters of prose), so that an insertion shifts the cuts of its own
 #: surroundings only.
-MIN_CHARS = 128
+MIN_CHARS = 256
 MAX_CHARS = 4096
-CUT = r"[d-p][a-e]\s(?=[a-f])"
+CUT = r"[d-p][a-e]\s(?=[a-f][e-t])"
 
 
 def content_chunks(text: F.Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> F.Column:
