@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sources are repeated until the largest has been used up once, so every
     document stays and the mixture holds its weights to less than one block."""
     ship_package(spark)
-    return mix_sources(docs, tempered_weights(docs, alpha=0.8), exhausted="repeat").drop("mix")
+    return mix_sources(docs, tempered_weights(docs, alpha=0.8), exhausted="repeat", out_col="__mix").drop("__mix")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

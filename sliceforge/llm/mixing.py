@@ -126,22 +126,23 @@ def mix_sources(
     id_col: str = "doc_id",
     block_docs: int = BLOCK_DOCS,
     exhausted: str = "continue",
+    out_col: str = "mix",
 ) -> DataFrame:
-    """``df`` with a struct column ``mix``: source_weight, period, epoch, block,
+    """``df`` with a struct column ``out_col``: source_weight, period, epoch, block,
     release, deadline, slot and place (in the block).  Ordered by (slot, place)
     the rows are the mixture.
 
     ``exhausted`` says what happens when a source has no block left for a slot:
     ``continue`` leaves the slot empty (every row is placed once), ``repeat``
     starts the source again until every source has been used up once (rows are
-    repeated, none is lost; ``mix.epoch`` counts from 0), ``stop`` ends the
+    repeated, none is lost; ``epoch`` counts from 0), ``stop`` ends the
     mixture at the first empty slot (rows beyond are not placed: the sampling
     form).
 
     Defined cases: null sources form a source of their own; ties and repeated
     rows are placed one after the other; null ids come first among equal hashes;
     text plays no part, so null, empty and very long texts are all alike; an
-    empty table gives an empty mixture; an input column named ``mix`` is replaced.
+    empty table gives an empty mixture; an input column named ``out_col`` is replaced.
     """
     if exhausted not in ("continue", "repeat", "stop"):
         raise ValueError(f"exhausted: {exhausted!r}")
@@ -165,7 +166,7 @@ def mix_sources(
         F.col("__blocks"),
         (F.max(end_slot) if exhausted == "repeat" else F.min(end_slot)).over(Window.partitionBy()).alias("__horizon"),
     )
-    rows = number_within_source(df.drop("mix"), weights, source_col, id_col).join(F.broadcast(limits), "__key")
+    rows = number_within_source(df.drop(out_col), weights, source_col, id_col).join(F.broadcast(limits), "__key")
     if exhausted == "repeat":
         # Block k of epoch e is block e * blocks + k of the source's endless row.
         last = F.expr("((__horizon * __w + __q - 1) div __q) div __blocks")
@@ -177,7 +178,7 @@ def mix_sources(
     rows = rows.withColumn("__slot", F.expr("(__k div __w) * __q + __slot"))
     if exhausted != "continue":
         rows = rows.filter("__slot < __horizon")
-    keep = [F.col(f"`{c}`") for c in df.columns if c != "mix"]
+    keep = [F.col(f"`{c}`") for c in df.columns if c != out_col]
     return rows.select(
         *keep,
         F.struct(
@@ -189,5 +190,5 @@ def mix_sources(
             F.expr("((__k + 1) * __q + __w - 1) div __w").alias("deadline"),
             F.col("__slot").alias("slot"),
             F.expr(f"__r % {block_docs}").alias("place"),
-        ).alias("mix"),
+        ).alias(out_col),
     )
