@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import ascii_lower, whole_text
+from .common import ascii_lower, release, whole_text
 
 #: Chunk length bounds in characters; a chunk ends at the first place after
 #: MIN_CHARS that looks like CUT, or at MAX_CHARS.  CUT is rare (one place in some
@@ -92,8 +92,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of equal texts (the one of the largest
-    id), all its columns.  The texts move once, to meet the kept ids; rows that
-    repeat id and text meet in the same task and one of them stays."""
+    id), all its columns.  The kept ids are written first; then the texts move
+    once, to meet them.  Rows that repeat id and text meet in the same task and
+    one of them stays."""
     keys = ["__dedup_id", "__dedup_sha"]
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     keep = (
@@ -101,6 +102,8 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         .filter("kept")
         .select(name(F.col("doc_id")).alias(keys[0]), F.col("text_sha256").alias(keys[1]))
     )
+    keep = materialize(keep, "kept-documents")
+    release(df.sparkSession)
     keyed = df.withColumn(keys[0], name(F.col(id_col))).withColumn(keys[1], F.sha2(ascii_lower(whole_text(text_col)), 256))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
     stay = keyed.join(keep, keys, "left_semi").withColumn("__dedup_nth", nth).filter("__dedup_nth = 1")
