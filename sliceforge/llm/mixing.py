@@ -6,8 +6,9 @@ may not start before slot floor(k*Q/w) and must be done by slot ceil((k+1)*Q/w);
 the earliest deadline among the released blocks takes each slot.  The weights
 fill every slot, so all deadlines are met and after any number of slots each
 source is less than one block away from its share.  The schedule repeats every Q
-slots: only one period is worked out (Q is bounded by ``period``), and each
-block looks up its slot there.
+slots: only one period is worked out, and each block looks up its slot there.
+Q grows with the number of sources and the smallest share, so that every weight
+is close to its target; long periods are scheduled by ``long_schedule``.
 """
 
 from __future__ import annotations
@@ -16,10 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 BLOCK_DOCS = 16
 PERIOD = 1000
-#: A table of more sources than this is refused: the period holds a slot of each.
-MAX_SOURCES = 2000
+#: The smallest weight: rounding moves no weight by more than 1 part in 64.
+LEAST_WEIGHT = 32
+#: Slots, and slots times sources, up to which a period is folded in one row.
+FOLD_SLOTS = 4000
+FOLD_STEPS = 400_000
 
 
 def _source_key(col: str) -> F.Column:
@@ -29,13 +35,13 @@ def _source_key(col: str) -> F.Column:
 
 def tempered_weights(df: DataFrame, source_col: str = "source", alpha: float = 0.5, period: int = PERIOD) -> DataFrame:
     """(source_key, n, w): documents and integer weight of every source, the
-    weights in proportion to n ** alpha and about ``period`` in sum."""
+    weights in proportion to n ** alpha and about ``period`` in sum, or more if
+    the smallest would be below LEAST_WEIGHT."""
     counts = df.groupBy(_source_key(source_col).alias("source_key")).agg(F.count("*").alias("n"))
     power = F.sqrt(F.col("n").cast("double")) if alpha == 0.5 else F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
-    total = F.sum(power).over(Window.partitionBy())
-    return counts.select(
-        "source_key", "n", F.greatest(F.lit(1), F.floor(F.lit(float(period)) * power / total + 0.5)).cast("long").alias("w")
-    )
+    total, least = F.sum(power).over(Window.partitionBy()), F.min(power).over(Window.partitionBy())
+    slots = F.greatest(F.lit(float(period)), F.ceil(F.lit(float(LEAST_WEIGHT)) * total / least).cast("double"))
+    return counts.select("source_key", "n", F.greatest(F.lit(1), F.floor(slots * power / total + 0.5)).cast("long").alias("w"))
 
 
 def given_weights(df: DataFrame, weights: dict[str | None, int], source_col: str = "source") -> DataFrame:
@@ -51,20 +57,75 @@ def given_weights(df: DataFrame, weights: dict[str | None, int], source_col: str
     )
 
 
+def _rows_before(part: list[str], order: list[str], count: F.Column | None = None) -> F.Column:
+    w = Window.partitionBy(*part).orderBy(*order)
+    if count is None:
+        return F.row_number().over(w).cast("long") - 1
+    return F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+
+
+def _first_free(part: list[str], order: list[str]) -> F.Column:
+    """Slots of blocks that are taken in order of release: each the first that is
+    released and free."""
+    nth = F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long")
+    before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.max(F.col("at") - F.col("nth")).over(before) + nth
+
+
+def long_schedule(weights: DataFrame, period: int) -> DataFrame:
+    """The slots of one period, by earliest deadline, as window functions over
+    blocks.  Columns are those of ``period_schedule``.
+
+    By earliest deadline, a block takes the first slot from its release on that
+    no block of an earlier deadline takes; which slots a set of blocks takes
+    together does not depend on the order in it.  So the blocks are halved by
+    the bits of the deadline, from the highest: the slots of the earlier half
+    are worked out, and the later half goes on in the numbering of the slots
+    that are left (``at`` is the release there).  Blocks of one deadline
+    are placed by release, and the numberings are undone from the lowest bit up.
+    """
+    total = F.lit(period).cast("long")
+    blocks = weights.select("source_key", "n", "w", total.alias("period"), F.explode(F.expr("sequence(0L, w - 1)")).alias("place"))
+    blocks = blocks.withColumn("at", F.expr("place * period div w"))
+    blocks = blocks.withColumn("deadline", F.expr("((place + 1) * period + w - 1) div w"))
+    bits = int(period).bit_length()
+    order = ["at", "source_key", "place"]
+
+    def halves(df: DataFrame, bit: int) -> DataFrame:
+        late = F.shiftright("deadline", bit).bitwiseAND(F.lit(1).cast("long"))
+        return df.withColumn("half", F.shiftright("deadline", bit + 1)).withColumn("late", late).repartition("half")
+
+    for bit in reversed(range(bits)):
+        blocks = halves(blocks, bit).withColumn("nth", _rows_before(["half", "late"], order))
+        # Early blocks stand at the slots they take, late ones before those at their release.
+        blocks = blocks.withColumn("stand", F.when(F.col("late") == 0, _first_free(["half", "late"], order) - 1).otherwise(F.col("at")))
+        taken = _rows_before(["half"], ["stand", F.desc("late"), "source_key", "place"], 1 - F.col("late"))
+        blocks = blocks.withColumn("at", F.col("at") - F.when(F.col("late") == 1, taken).otherwise(0))
+    blocks = blocks.withColumn("nth", _rows_before(["deadline"], order))
+    blocks = blocks.withColumn("at", _first_free(["deadline"], order) - 1)
+    for bit in range(bits):
+        # An early block stands at the number of free slots before it; all those
+        # up to a late block's number lie before its slot.
+        blocks = halves(blocks, bit).withColumn("nth", _rows_before(["half", "late"], order))
+        blocks = blocks.withColumn("stand", F.when(F.col("late") == 0, F.col("at") - F.col("nth")).otherwise(F.col("at")))
+        taken = _rows_before(["half"], ["stand", "late", "source_key", "place"], 1 - F.col("late"))
+        blocks = blocks.withColumn("at", F.col("at") + F.when(F.col("late") == 1, taken).otherwise(0))
+    return blocks.select("source_key", "n", "w", "period", F.col("at").alias("slot"), "place")
+
+
 def period_schedule(weights: DataFrame) -> DataFrame:
-    """(source_key, n, w, period, horizon, place, slot, release, deadline): the
-    slots of one period, by earliest deadline among the released blocks.
+    """(source_key, n, w, period, slot, place): the slots of one period, by
+    earliest deadline among the released blocks.
 
-    The fold runs over an array of sources in one row; it is bounded by the
-    period (weights of at most a few thousand in sum), not by the documents.
+    A short period is folded over an array of sources in one row; any other
+    goes to ``long_schedule``.
     """
+    size = weights.agg(F.sum("w").alias("q"), F.count("*").alias("n")).first()
+    if size["q"] and (size["q"] > FOLD_SLOTS or size["q"] * size["n"] > FOLD_STEPS):
+        return materialize(long_schedule(weights, size["q"]), "schedule")
     one = weights.agg(
         F.array_sort(F.collect_list(F.struct("source_key", "n", "w"))).alias("s"), F.sum("w").alias("q")
     ).filter("q is not null")
-    one = one.withColumn(
-        "s",
-        F.when(F.size("s") <= MAX_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"over {MAX_SOURCES} sources"))),
-    )
     # State: blocks done per source, and the picks so far.
     # The pick is used twice per step (count it, list it), hence the inner rebuild.
     fold = """
@@ -90,7 +151,7 @@ def period_schedule(weights: DataFrame) -> DataFrame:
         F.col("slot").cast("long").alias("slot"),
     )
     place = F.row_number().over(Window.partitionBy("source_key").orderBy("slot")) - 1
-    return slots.withColumn("place", place.cast("long"))
+    return F.broadcast(slots.withColumn("place", place.cast("long")))
 
 
 def number_within_source(df: DataFrame, n_by_source: DataFrame, source_col: str, id_col: str) -> DataFrame:
@@ -174,7 +235,7 @@ def mix_sources(
     else:
         rows = rows.withColumn("__epoch", F.lit(0).cast("long"))
     rows = rows.withColumn("__k", F.expr(f"__r div {block_docs} + __epoch * __blocks"))
-    rows = rows.withColumn("__place", F.expr("__k % __w")).join(F.broadcast(lookup), ["__key", "__place"])
+    rows = rows.withColumn("__place", F.expr("__k % __w")).join(lookup, ["__key", "__place"])
     rows = rows.withColumn("__slot", F.expr("(__k div __w) * __q + __slot"))
     if exhausted != "continue":
         rows = rows.filter("__slot < __horizon")

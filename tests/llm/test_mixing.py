@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sliceforge.llm.mixing import given_weights, mix_sources, period_schedule, tempered_weights
+from sliceforge.llm.mixing import given_weights, long_schedule, mix_sources, period_schedule, tempered_weights
 
 from .conftest import edge_rows
 
@@ -23,6 +23,31 @@ def test_schedule_meets_all_deadlines(spark):
             assert abs(done[key] - w * (r["slot"] + 1) / 100) < 1
 
 
+def test_long_schedule_meets_all_windows(spark):
+    given = {"a": 50, "b": 31, "c": 15, "d": 3, "e": 1, "f": 27}
+    docs = spark.createDataFrame([(s, i) for i, s in enumerate(given)], "source string, doc_id long")
+    rows = long_schedule(given_weights(docs, given), 127).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(127))
+    for r in rows:
+        assert r["place"] * 127 // r["w"] <= r["slot"] < -(-(r["place"] + 1) * 127 // r["w"])
+
+
+def test_many_uneven_sources(spark):
+    sizes = {f"s{i}": 1 + i % 9 for i in range(2300)}
+    docs = spark.createDataFrame(list(sizes.items()), "source string, n long")
+    docs = docs.selectExpr("source", "explode(sequence(1L, n)) AS nth").selectExpr("source", "hash(source) * 10L + nth AS doc_id")
+    rows = mix_sources(docs, block_docs=2).collect()
+    assert Counter(r["source"] for r in rows) == sizes
+    total = sum(n**0.5 for n in sizes.values())
+    taken = {}
+    for r in rows:
+        m, share = r["mix"], sizes[r["source"]] ** 0.5 / total
+        assert abs(m["source_weight"] / m["period"] / share - 1) < 1 / 32
+        assert m["release"] == m["block"] * m["period"] // m["source_weight"]
+        assert m["release"] <= m["slot"] < m["deadline"]
+        assert taken.setdefault(m["slot"], (r["source"], m["block"])) == (r["source"], m["block"])
+
+
 def test_every_row_is_placed_once(edge_docs):
     rows = mix_sources(edge_docs, block_docs=4).collect()
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in rows) == Counter((i, t, s) for i, t, _, s in edge_rows())
