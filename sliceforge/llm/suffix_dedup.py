@@ -81,15 +81,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Chunk:
     """Documents laid out in one array, with gaps that no window crosses."""
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]]):
-        # pieces: (document number in the batch, first window of the piece, bytes)
-        size = [len(b) for _, _, b in pieces]
-        self.owner = np.array([d for d, _, _ in pieces])
-        self.shift = np.array([s for _, s, _ in pieces], dtype=np.int64)
+    def __init__(self, pieces: list[tuple[int, int, int, bytes]]):
+        # pieces: (document number in the batch, first window of the piece, odd piece, bytes)
+        size = [len(b) for *_, b in pieces]
+        self.owner = np.array([d for d, *_ in pieces])
+        self.shift = np.array([s for _, s, _, _ in pieces], dtype=np.int64)
+        #: 0 or 1 in turn: an anchor near a cut is in both pieces, with other windows.
+        self.odd = np.array([o for _, _, o, _ in pieces], dtype=np.int64)
         self.base = np.concatenate(([0], np.cumsum(np.array(size) + PAD)[:-1])).astype(np.int64) + PAD
         gap = np.full(PAD, 256, dtype=np.uint16)
         parts: list[np.ndarray] = [gap]
-        for _, _, b in pieces:
+        for *_, b in pieces:
             parts += [np.frombuffer(b, dtype=np.uint8).astype(np.uint16), gap]
         symbols = np.concatenate([*parts, gap])
         self.grams = window_ranks(SYMBOLS[symbols], GRAM)
@@ -108,15 +110,16 @@ class Chunk:
         return at - self.base[piece] + self.shift[piece]
 
 
-def chunks(texts: list[bytes]) -> Iterator[Chunk]:
+def chunks(texts: list[bytes], piece_bytes: int | None = None) -> Iterator[Chunk]:
     """Chunks of a batch; texts below LENGTH have no window.  A document longer
-    than a piece is cut so that each window is in one piece."""
-    held: list[tuple[int, int, bytes]] = []
+    than a piece (PIECE_BYTES) is cut so that each window is in one piece."""
+    piece_bytes = piece_bytes or PIECE_BYTES
+    held: list[tuple[int, int, int, bytes]] = []
     size = 0
     for d, b in enumerate(texts):
-        for s in range(0, len(b) - LENGTH + 1, PIECE_BYTES):
-            piece = b[s : s + PIECE_BYTES + LENGTH - 1]
-            held.append((d, s, piece))
+        for s in range(0, len(b) - LENGTH + 1, piece_bytes):
+            piece = b[s : s + piece_bytes + LENGTH - 1]
+            held.append((d, s, s // piece_bytes & 1, piece))
             size += len(piece)
             if size >= CHUNK_BYTES:
                 yield Chunk(held)
@@ -172,17 +175,19 @@ def hot_ranks(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["rank"] for r in hot], dtype=np.int64))
 
 
-ANCHOR_ROWS = "rank long, context long, sides long, doc long, pos long, state int"
+ANCHOR_ROWS = "rank long, context long, sides long, doc long, pos long, odd long, state int"
 
 
 def anchor_rows(rows: DataFrame, hot: np.ndarray) -> DataFrame:
     """Position-rank rows of all anchors.  ``pos`` is the place (upper bits) and
-    the mark; ``state`` 1: covered by an earlier anchor of the batch, 2: hot."""
+    the mark, ``odd`` tells the two pieces of a cut apart; ``state`` 1: covered by
+    an earlier anchor of the batch, 2: hot."""
+    piece_bytes = PIECE_BYTES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for c in chunks(b.column(2).to_pylist()):
+            for c in chunks(b.column(2).to_pylist(), piece_bytes):
                 at, owner = c.anchor, c.owner[c.piece]
                 rank = c.grams[at].view(np.int64)
                 context = ranks_at(c.grams, at - REACH, LENGTH + REACH).view(np.int64)
@@ -198,8 +203,9 @@ def anchor_rows(rows: DataFrame, hot: np.ndarray) -> DataFrame:
                 # Hot ranks meet by context; what is decided meets nobody.
                 rank = np.where(is_hot, rank ^ context, rank)
                 rank = np.where(state == 1, pair(doc.view(np.uint64), pos.view(np.uint64)).view(np.int64), rank)
-                columns = (rank, context, sides, doc, pos, state)
-                yield pa.record_batch([pa.array(v) for v in columns], names=["rank", "context", "sides", "doc", "pos", "state"])
+                columns = (rank, context, sides, doc, pos, c.odd[c.piece], state)
+                names = ["rank", "context", "sides", "doc", "pos", "odd", "state"]
+                yield pa.record_batch([pa.array(v) for v in columns], names=names)
 
     return rows.select("doc", "mark", "t").mapInArrow(scan, ANCHOR_ROWS)
 
@@ -228,13 +234,14 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int = 1 << 18) -> Iterator[pa
 
 
 def decided_anchors(anchors: DataFrame) -> DataFrame:
-    """(doc, pos, flags) of anchors whose windows repeat or may repeat."""
+    """(doc, pos, odd, flags) of anchors whose windows repeat or may repeat."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
-            rank, context, sides, doc, pos, state = (t.column(i).to_numpy() for i in range(6))
+            rank, context, sides, doc, pos, odd, state = (t.column(i).to_numpy() for i in range(7))
             order, new, later = first_of_group([rank, context], doc, pos)
-            rank, sides, doc, pos, state = rank[order], sides[order].view(np.uint64), doc[order], pos[order], state[order]
+            rank, sides, doc, pos = rank[order], sides[order].view(np.uint64), doc[order], pos[order]
+            odd, state = odd[order], state[order]
             flags = np.where(later | (state == 1), COVERED, 0)
             rep = flags == 0
             # One row of each context counts; rows at the same position follow it.
@@ -244,9 +251,10 @@ def decided_anchors(anchors: DataFrame) -> DataFrame:
             )
             flags[rep & (state == 2)] = RIGHT + LEFT
             some = flags > 0
-            yield pa.record_batch([pa.array(doc[some]), pa.array(pos[some]), pa.array(flags[some])], names=["doc", "pos", "flags"])
+            columns = (doc[some], pos[some], odd[some], flags[some])
+            yield pa.record_batch([pa.array(v) for v in columns], names=["doc", "pos", "odd", "flags"])
 
-    return anchors.repartition("rank").sortWithinPartitions("rank").mapInArrow(scan, "doc long, pos long, flags long")
+    return anchors.repartition("rank").sortWithinPartitions("rank").mapInArrow(scan, "doc long, pos long, odd long, flags long")
 
 
 def _by_document(flagged: DataFrame, value: F.Column, name: str) -> DataFrame:
@@ -262,6 +270,7 @@ WINDOW_ROWS = "covered array<struct<a:long,b:long>>, windows array<struct<key:lo
 def open_windows(rows: DataFrame, flagged: DataFrame, hot: np.ndarray) -> DataFrame:
     """(doc, mark, covered, windows) of the documents with flagged anchors: runs of
     windows that repeat, and runs that are to be compared, with their ranks."""
+    piece_bytes = PIECE_BYTES
 
     @F.pandas_udf(f"struct<{WINDOW_ROWS.replace(' array', ':array')}>")
     def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -269,15 +278,16 @@ def open_windows(rows: DataFrame, flagged: DataFrame, hot: np.ndarray) -> DataFr
             covered: list[list] = [[] for _ in texts]
             windows: list[list] = [[] for _ in texts]
             flags = [np.unique(np.asarray(x, dtype=np.int64)) for x in lists]
-            for c in chunks(texts.tolist()):
+            for c in chunks(texts.tolist(), piece_bytes):
                 owner = c.owner[c.piece]
                 # Flag of each anchor: its packed place is looked up in its document's list.
                 place = c.place(c.anchor, c.piece)
+                known = place << 1 | c.odd[c.piece]
                 flag = np.zeros(len(place), dtype=np.int64)
                 for d in np.unique(owner).tolist():
                     at = np.flatnonzero(owner == d) if len(c.owner) > 1 else np.arange(len(place))
-                    i = np.minimum(np.searchsorted(flags[d] >> 3, place[at]), len(flags[d]) - 1)
-                    flag[at] = np.where(flags[d][i] >> 3 == place[at], flags[d][i] & 7, 0)
+                    i = np.minimum(np.searchsorted(flags[d] >> 3, known[at]), len(flags[d]) - 1)
+                    flag[at] = np.where(flags[d][i] >> 3 == known[at], flags[d][i] & 7, 0)
                 shift = place - c.anchor
                 is_hot = np.isin(c.grams[c.anchor].view(np.int64), hot)
                 for i in np.flatnonzero(flag).tolist():
@@ -306,7 +316,7 @@ def open_windows(rows: DataFrame, flagged: DataFrame, hot: np.ndarray) -> DataFr
                 }
             )
 
-    packed = F.shiftleft(F.shiftright("pos", 24), 3) + F.col("flags")
+    packed = F.shiftleft(F.shiftright("pos", 24), 4) + F.shiftleft("odd", 3) + F.col("flags")
     lists = _by_document(flagged, packed, "flagged")
     joined = rows.join(lists, ["doc", "mark"])
     return joined.select("doc", "mark", scan("t", "flagged").alias("w")).select("doc", "mark", "w.*")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from sliceforge.llm import suffix_dedup
@@ -89,5 +90,35 @@ def test_long_document_in_pieces(monkeypatch):
     assert len(owned(whole)) == len(text) - LENGTH + 1
 
 
+def test_passages_at_cuts_of_a_long_document(spark):
+    n = suffix_dedup.PIECE_BYTES
+    rng = np.random.default_rng(5)
+    letters = lambda size, first, last: rng.integers(ord(first), ord(last) + 1, size, dtype=np.uint8).tobytes()
+    passages = [letters(300, "a", "z") for _ in range(6)]
+    text = bytearray(letters(6 * n + 5000, "A", "Z"))
+    starts = [(i + 1) * n - 60 for i in range(6)]
+    for s, p in zip(starts, passages, strict=True):
+        text[s : s + 300] = p
+    rows = [(1, "\n".join(p.decode() for p in passages)), (2, text.decode())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in remove_repeats(df).select("doc_id", "spans").collect()}
+    assert got == {1: [], 2: [(s, s + 300) for s in starts]}
+
+
+def test_passages_at_cuts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 300)
+    rnd = random.Random(11)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passages = [noise(n) for n in (110, 140, 190, 260)]
+    rows = [(i, noise(40) + p + noise(40)) for i, p in enumerate(passages)]
+    # The passages start at every distance from a cut, in documents of several pieces.
+    rows += [(100 + at, noise(at) + passages[at % 4] + noise(rnd.randint(150, 700))) for at in range(60, 640, 3)]
+    rows += [(1000 + at, noise(at) + passages[at % 4][at % 37 :] + noise(rnd.randint(0, 500))) for at in range(200, 330)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: tuple(r)[1:] for r in removal_digests(remove_repeats(df)).collect()}
+    assert got == brute(rows)
+
+
 def test_empty_table(no_docs):
     assert remove_repeats(no_docs).count() == 0
