@@ -45,11 +45,12 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """(rep, ids, v): each distinct vector once with its k + 1 smallest ids, which
-    are all that a list of k neighbours can need of it.  A vector may be a third
-    of all rows: the limit is applied before the shuffle."""
+    are all that a list of k neighbours can need of it.  Repeated rows go first,
+    so that they take no id's place.  A vector may be a third of all rows: the
+    limit is applied before the shuffle by vector."""
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    few = rows.select("vec_id", "v").withColumn("nth", nth).filter(F.col("nth") <= 2 * k + 2)
-    return few.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids")).select(
+    few = rows.select("vec_id", "v").distinct().withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+    return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(
         F.element_at("ids", 1).alias("rep"), "ids", "v"
     )
 

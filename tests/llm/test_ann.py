@@ -69,6 +69,18 @@ def test_edge_vectors(spark):
     assert [j for _, j in got[800]] == [900]
 
 
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 30)]
+    same = [1.0, 2.0, 3.0, 4.0]
+    rows += [(100, same)] * 50 + [(101, same)] * 25 + [(i, same) for i in range(102, 108)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = lists(nearest_neighbours(df, candidates=10_000).collect())
+    want = brute(rows, 10, 100)
+    assert [j for _, j in got[100]] == [j for _, j in want[100]]
+    assert [j for _, j in got[100]][:7] == list(range(101, 108))
+
+
 def test_shared_prefix():
     a = np.array([0b1011 << 28, 7, 7], dtype=np.int64)
     b = np.array([0b1001 << 28, 7, 6], dtype=np.int64)
