@@ -11,8 +11,10 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import main_text
 from .langid import language_id
+from .merkle import merkle_manifest, verification_digests, without_line_ends
 from .mixing import mix_sources
 from .packing import pack_documents
+from .piece_table import decode_ids, encode_texts, encoding_digests
 from .pii import find_personal_data, span_digests
 from .simhash import simhash_groups
 from .suffix_dedup import removal_digests, remove_repeats
@@ -63,5 +65,27 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(decode_ids(encode_texts(table(spark, sf_dir, "documents"))))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification_digests(merkle_manifest(table(spark, sf_dir, "documents"), presented=without_line_ends()))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_personal_data, op4_remove_repeats, op5_simhash_groups, op6_language_id, op7_main_text, op8_exact_dedup, op9_pack_documents, op10_nearest_neighbours)}
+    fns = (
+        op1_token_counts,
+        op2_mix_sources,
+        op3_personal_data,
+        op4_remove_repeats,
+        op5_simhash_groups,
+        op6_language_id,
+        op7_main_text,
+        op8_exact_dedup,
+        op9_pack_documents,
+        op10_nearest_neighbours,
+        op11_sentencepiece,
+        op13_merkle_manifest,
+    )
+    return {f.__name__: f for f in fns}
