@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest_neighbours
 from .common import table
+from .dual_tree import ranked_search
 from .exact_dedup import exact_dedup
 from .html_extract import main_text
 from .langid import language_id
@@ -69,6 +70,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(decode_ids(encode_texts(table(spark, sf_dir, "documents"))))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification_digests(merkle_manifest(table(spark, sf_dir, "documents"), presented=without_line_ends()))
 
@@ -86,6 +91,7 @@ def queries() -> dict[str, Query]:
         op9_pack_documents,
         op10_nearest_neighbours,
         op11_sentencepiece,
+        op12_lexical_search,
         op13_merkle_manifest,
     )
     return {f.__name__: f for f in fns}
