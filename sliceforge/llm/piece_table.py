@@ -2,42 +2,39 @@
 
 If no piece holds a space marker behind another character, no merge crosses the
 place where a marker follows a word, and the ids of a text are those of its
-marked words in a row.  So
-
-    scan: texts in blocks, each block a list of its distinct chunks and, per
-          document, the places of its chunks in that list          (narrow)
-    ->  the chunks of all blocks made distinct                      (shuffle)
-    ->  each distinct chunk is segmented once                       (narrow)
-    ->  ids go back to the blocks' lists by chunk, then to the
-        blocks, and join the documents by position                  (shuffles)
-
-A chunk stands once in a block's list, so no chunk's rows are more than the
-blocks, however frequent it is; texts are not shuffled, only their lists and
-places (32 or 16 bits a chunk).  Character runs that no piece holds but as a
-whole (line ends, for the given vocabulary) are chunks of their own.
+marked words in a row.  A slice of documents is held as the table of its distinct
+chunks and, per document, the places of its chunks in that table.  Each chunk of
+the table is segmented once, and the ids join the documents by position (ragged
+arrays).  What a worker has segmented before it remembers (bounded), whatever
+task comes next.  Character runs that no piece holds but as a whole (line ends,
+for the given vocabulary) are chunks of their own.
+
+The work is narrow: no shuffle, and a lost task is simply run again.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .bytebpe import vocabulary_path
-from .common import slices, whole_text
+from .common import whole_text
 
 MODEL = "piece_bpe_32k.model"
-#: Characters of a block (a longer text is a block of its own).
-BLOCK_CHARS = 2_000_000
+#: Memory bounds of a worker: bytes of a slice (a longer text is a slice of
+#: its own), chunks and characters of a chunk that are remembered.
+SLICE_BYTES = 2_000_000
+MEMO_SIZE = 150_000
+MEMO_CHARS = 48
+#: Chunks handed to the library at once.
+CALL_CHUNKS = 50
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 WALL = "\n"
 
 
@@ -56,7 +53,6 @@ class PieceModel:
         crossing = any(MARK in p.lstrip(MARK) for p in pieces)
         walled = not any(WALL in p for p in pieces)
         self.chunked = not crossing and walled and self._keeps_characters()
-        self.pattern = re.compile(f"[ {MARK}]+[^ {MARK}{WALL}]*|[^ {MARK}{WALL}]+|{WALL}+")
         self.unknown = self.library.unk_id()
         # What each id adds to a decoded text.
         plain = [p.replace(MARK, " ").encode() for p in pieces]
@@ -77,15 +73,63 @@ class PieceModel:
         probe = "  a  " + every + "  "
         return self.library.normalize(probe) == MARK + probe.replace(" ", MARK)
 
-    def chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return self.pattern.findall(" " + text) if self.chunked else [text]
-
-    def segment(self, chunk: str) -> list[int]:
+    def chunk_starts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the chunks of texts begin: ``data`` their bytes, one text after
+        another, each behind the space put first, beginning at ``starts``."""
+        if not self.chunked:
+            return starts
+        space = data == ord(" ")
+        for at in np.flatnonzero((data[:-2] == MARK_BYTES[0]) & (data[1:-1] == MARK_BYTES[1]) & (data[2:] == MARK_BYTES[2])):
+            space[at : at + 3] = True
+        wall = data == ord(WALL)
+        begins = np.zeros(len(data), dtype=bool)
+        begins[1:] = (space[1:] & ~space[:-1]) | (wall[1:] != wall[:-1])
+        begins[starts] = True
+        return np.flatnonzero(begins)
+
+    def cut(self, texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The chunks of texts, one after another, and how many each text has."""
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, dtype=np.uint8)
+        ends = offsets - offsets[0]
+        filled = np.flatnonzero(np.diff(ends))
+        starts = ends[filled]
+        if self.chunked:  # the library puts a marker before a text that is not empty
+            data = np.insert(data, starts, ord(" "))
+            starts = starts + np.arange(len(starts))
+        begin = self.chunk_starts(data, starts)
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[filled] = np.diff(np.append(np.searchsorted(begin, starts), len(begin)))
+        bounds = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+        return pa.LargeStringArray.from_buffers(len(begin), bounds, pa.py_buffer(np.ascontiguousarray(data))), counts
+
+    def segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, one after another, and where each one's begin (and the
+        last one's end).  A call takes some chunks with walls between them."""
         if not self.chunked:
-            return self.library.encode(chunk)
-        return self.library.encode(WALL + chunk)[len(self.wall) :]
+            lists = self.library.encode(chunks)
+            flat = np.array([i for ids in lists for i in ids], dtype=np.int32)
+            return flat, np.cumsum([0, *map(len, lists)])
+        walls = [i for i, c in enumerate(chunks) if c[0] == WALL]
+        if walls:  # runs of walls are their own ids
+            words = [c for c in chunks if c[0] != WALL]
+            flat, start = self.segment(words)
+            sizes = np.diff(start).tolist()
+            parts, at, begin = [], 0, 0
+            for i in walls:
+                parts += [flat[start[at] : start[at + i - begin]], np.full(len(chunks[i]), self.wall[-1], dtype=np.int32)]
+                sizes.insert(i, len(chunks[i]))
+                at, begin = at + i - begin, i + 1
+            parts.append(flat[start[at] :])
+            return np.concatenate(parts), np.cumsum([0, *sizes])
+        flat: list[int] = []
+        for a in range(0, len(chunks), CALL_CHUNKS):
+            flat += self.library.encode(WALL + WALL.join(chunks[a : a + CALL_CHUNKS]))[len(self.wall) - 1 :]
+        ids = np.array(flat, dtype=np.int32)
+        wall = ids == self.wall[-1]
+        place = np.flatnonzero(wall)
+        return ids[~wall], np.append(place - np.arange(len(place)), len(ids) - len(place))
 
     def text_of(self, ids: np.ndarray) -> str:
         """The text of ids, as the library's decode gives it."""
@@ -101,6 +145,11 @@ class PieceModel:
         except UnicodeDecodeError:  # bytes that make no character
             return self.library.decode(ids.tolist())
 
+    def texts_of(self, lists: pa.ListArray) -> pa.StringArray:
+        start = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        return pa.array([self.text_of(flat[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)], pa.string())
+
 
 def _gather(values: np.ndarray, start: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The ragged rows ``values[start[r]:start[r + 1]]``, one after another."""
@@ -114,95 +163,102 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _block(ids: pa.Array, texts: list[str], model: PieceModel) -> pa.RecordBatch:
-    place: defaultdict = defaultdict()
-    place.default_factory = place.__len__
-    counts, codes = [], []
-    for text in texts:
-        parts = model.chunks(text)
-        counts.append(len(parts))
-        codes.append(np.fromiter(map(place.__getitem__, parts), dtype=np.uint32, count=len(parts)))
-    flat = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
-    if len(place) <= 1 << 16:
-        flat = flat.astype(np.uint16)
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.RecordBatch.from_arrays(
-        [one(ids), one(pa.array(counts, pa.int32())), pa.array([flat.tobytes()], pa.binary()), one(pa.array(list(place), pa.string()))],
-        ["ids", "counts", "codes", "chunks"],
-    )
+class ChunkTable:
+    """Ids of chunks, segmented once and remembered as 32-bit words.
+
+    What was asked for lately is remembered: when ``recent`` is full it takes the
+    place of ``older``, whose chunks come back when they are met again."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        if len(self.recent) > MEMO_SIZE:
+            self.recent, self.older = {}, self.recent
+        found = list(map(self.recent.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            ids = self.older.get(chunks[i])
+            if ids is None:
+                new.append(i)
+            else:
+                found[i] = self.recent[chunks[i]] = ids
+        flat, start = self.model.segment([chunks[i] for i in new])
+        raw, ends = flat.tobytes(), (4 * start).tolist()
+        for i, a, b in zip(new, ends[:-1], ends[1:], strict=True):
+            found[i] = ids = raw[a:b]
+            if len(chunks[i]) <= MEMO_CHARS:
+                self.recent[chunks[i]] = ids
+        return found
+
+    def encode(self, texts: pa.LargeStringArray) -> pa.ListArray:
+        """Ids of each text of a slice."""
+        chunks, counts = self.model.cut(texts)
+        coded = chunks.dictionary_encode()
+        rows = coded.indices.to_numpy()
+        lists = self.lookup(coded.dictionary.to_pylist())
+        start = np.cumsum([0, *map(len, lists)]) // 4
+        tokens = _gather(np.frombuffer(b"".join(lists), dtype=np.int32), start, rows)
+        # Tokens up to each chunk, then up to each document's last chunk.
+        upto = np.concatenate(([0], np.cumsum(start[rows + 1] - start[rows])))
+        ends = upto[np.concatenate(([0], np.cumsum(counts)))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))
 
 
-def chunk_blocks(df: DataFrame, id_col: str, text_col: str, model: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of documents: block, ids, counts (chunks of each document), codes
-    (their places in ``chunks``, 16 or 32 bits), chunks (distinct)."""
-    rows = df.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+def text_slices(texts: pa.LargeStringArray, max_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``max_bytes`` bytes (a longer text is its own)."""
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + max_bytes, side="right")) - 1)
+        yield a, b
+        a = b
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, block_chars):
-                yield _block(batch.column(0).slice(a, b - a), texts[a:b], pieces)
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(blocks, f"ids array<{id_type}>, counts array<int>, codes binary, chunks array<string>")
-    return made.withColumn("block", F.monotonically_increasing_id())
-
-
-def segment_chunks(chunks: DataFrame, model: str) -> DataFrame:
-    """(chunk, ids) of distinct chunks."""
-
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = load(model)
-        for chunk in batches:
-            yield pd.Series([np.array(pieces.segment(c), dtype=np.int32) for c in chunk], dtype=object)
-
-    return chunks.select("chunk", ids("chunk").alias("piece_ids"))
-
-
-def _join_positions(blocks: pa.Table, table: pa.Table) -> pa.Table:
-    """Ids of one block's documents from its chunks' ids."""
-    out = []
-    order = np.argsort(table.column("code").to_numpy())
-    lists = table.column("piece_ids").combine_chunks()
-    start = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, dtype=np.int32)
-    for row in range(blocks.num_rows):
-        ids = blocks.column("ids").combine_chunks()[row].values
-        counts = np.array(blocks.column("counts")[row].as_py(), dtype=np.int64)
-        raw = blocks.column("codes")[row].as_py()
-        total = int(counts.sum())
-        codes = np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * total else np.uint32)
-        rows = order[codes] if total else np.zeros(0, dtype=np.int64)
-        tokens = _gather(flat, start, rows) if total else np.zeros(0, dtype=np.int32)
-        # Tokens up to each chunk, then up to each document's last chunk.
-        upto = np.concatenate(([0], np.cumsum(start[rows + 1] - start[rows]))) if total else np.zeros(1, dtype=np.int64)
-        ends = upto[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
-        out.append(pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens, pa.int32()))}))
-    return pa.concat_tables(out)
+
+@lru_cache(maxsize=2)
+def chunk_table(path: str) -> ChunkTable:
+    """The table of a worker, kept over its tasks."""
+    return ChunkTable(load(path))
 
 
 def encode_texts(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, block_chars: int = BLOCK_CHARS
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    model: str | None = None,
+    decoded: bool = False,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """One row per input row: doc_id, ids (array<int>, without begin or end ids).
+    """One row per input row: doc_id, ids (array<int>, without begin or end ids)
+    and, if asked for, ``decoded``, the text that :func:`decode_ids` gives of them.
 
     Ids are those of the library that belongs to the model file.  Defined cases: a
     null or empty text has no ids; repeated rows and null ids are encoded like any
-    other; a text of any length is encoded whole (a block of its own if it is
-    longer than ``block_chars``); a model whose pieces cross markers, or whose
+    other; a text of any length is encoded whole (a slice of its own if it is
+    longer than ``slice_bytes``); a model whose pieces cross markers, or whose
     normaliser changes characters, takes each whole text as one chunk; an empty
     table gives no rows; other columns are ignored.
     """
     path = model or vocabulary_path(MODEL)
-    blocks = materialize(chunk_blocks(df, id_col, text_col, path, block_chars), "chunk-blocks")
-    lists = blocks.select("block", F.posexplode("chunks").alias("code", "chunk"))
-    table = segment_chunks(lists.select("chunk").distinct(), path)
-    found = lists.join(table, "chunk").select(F.col("block").alias("of"), "code", "piece_ids")
-    texts = blocks.select("block", "ids", "counts", "codes")
-    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
-    return texts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_join_positions, f"doc_id {id_type}, ids array<int>")
+    rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = chunk_table(path)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_string())
+            for a, b in text_slices(texts, slice_bytes):
+                ids = table.encode(texts.slice(a, b - a))
+                columns = {"doc_id": batch.column(0).slice(a, b - a), "ids": ids}
+                if decoded:
+                    columns["decoded"] = table.model.texts_of(ids)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(encode, f"doc_id {id_type}, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:
@@ -215,9 +271,7 @@ def decode_ids(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = load(path)
         for lists in batches:
-            start = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            yield pa.array([pieces.text_of(flat[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)], pa.string())
+            yield pieces.texts_of(lists)
 
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
     return encoded.withColumn(out_col, text(ids))

@@ -15,7 +15,7 @@ from .langid import language_id
 from .merkle import merkle_manifest, verification_digests, without_line_ends
 from .mixing import mix_sources
 from .packing import pack_documents
-from .piece_table import decode_ids, encode_texts, encoding_digests
+from .piece_table import encode_texts, encoding_digests
 from .pii import find_personal_data, span_digests
 from .simhash import simhash_groups
 from .suffix_dedup import removal_digests, remove_repeats
@@ -67,7 +67,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(decode_ids(encode_texts(table(spark, sf_dir, "documents"))))
+    return encoding_digests(encode_texts(table(spark, sf_dir, "documents"), decoded=True))
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

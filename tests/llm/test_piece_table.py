@@ -3,16 +3,23 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
 from sliceforge.llm.bytebpe import vocabulary_path
-from sliceforge.llm.piece_table import MODEL, chunk_blocks, decode_ids, encode_texts, encoding_digests, load
-from sliceforge.session import materialize
+from sliceforge.llm import piece_table
+from sliceforge.llm.piece_table import MODEL, ChunkTable, decode_ids, encode_texts, encoding_digests, load
 
 from .conftest import edge_rows
 
 PATH = vocabulary_path(MODEL)
+
+
+def strings(*texts):
+    return pa.array(texts, pa.large_string())
+
+
 LIBRARY = SentencePieceProcessor(model_file=PATH)
 
 
@@ -23,7 +30,7 @@ def test_chunks_and_decoding_against_the_library():
     letters = " \n▁\r\tab.Zé東\U0001f600\x00ﬁ'\";)(*/{}"
     for _ in range(4000):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
-        ids = [i for c in model.chunks(text) for i in model.segment(c)]
+        ids = model.segment(model.cut(strings(text))[0].to_pylist())[0].tolist()
         assert ids == LIBRARY.encode(text)
         assert model.text_of(np.array(ids, dtype=np.int64)) == LIBRARY.decode(ids)
     for _ in range(4000):  # any ids, also ones that no text gives
@@ -31,9 +38,18 @@ def test_chunks_and_decoding_against_the_library():
         assert model.text_of(np.array(ids, dtype=np.int64)) == LIBRARY.decode(ids)
 
 
-@pytest.mark.parametrize("block_chars", [2_000_000, 50])
-def test_edge_rows(edge_docs, block_chars):
-    rows = decode_ids(encode_texts(edge_docs, block_chars=block_chars)).collect()
+def test_chunks_are_segmented_together():
+    model = load(PATH)
+    chunks = ["\n\n", " a", "b", "\n", " ▁", " don't" * 3, "\x00", "\n\n\n"]
+    flat, start = model.segment(chunks)
+    for c, a, b in zip(chunks, start[:-1], start[1:], strict=True):
+        assert flat[a:b].tolist() == LIBRARY.encode("\n" + c)[len(model.wall) :]
+    assert len(model.segment([])[0]) == 0 and model.segment([])[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("slice_bytes", [4_000_000, 50])
+def test_edge_rows(edge_docs, slice_bytes):
+    rows = decode_ids(encode_texts(edge_docs, slice_bytes=slice_bytes)).collect()
     expected = Counter()
     for i, t, *_ in edge_rows():
         ids = LIBRARY.encode(t or "")
@@ -42,7 +58,7 @@ def test_edge_rows(edge_docs, block_chars):
 
 
 def test_digests(edge_docs):
-    rows = encoding_digests(decode_ids(encode_texts(edge_docs))).collect()
+    rows = encoding_digests(encode_texts(edge_docs, decoded=True)).collect()
     expected = Counter()
     for i, t, *_ in edge_rows():
         ids = LIBRARY.encode(t or "")
@@ -51,20 +67,27 @@ def test_digests(edge_docs):
     assert Counter(tuple(r) for r in rows) == expected
 
 
-def test_a_chunk_stands_once_in_a_block(spark):
-    df = spark.createDataFrame([(i, "the same words " * 200 + str(i % 3)) for i in range(30)], "doc_id long, text string")
-    blocks = materialize(chunk_blocks(df.coalesce(1), "doc_id", "text", PATH), "blocks-test").collect()
-    assert sum(len(b.ids) for b in blocks) == 30
-    for b in blocks:
-        assert len(b.chunks) == len(set(b.chunks)) <= 6
-        assert len(b.codes) == 2 * sum(b.counts)  # 16 bits a chunk
+def test_each_distinct_chunk_is_segmented_once(monkeypatch):
+    model, seen = load(PATH), Counter()
+
+    class Counting:
+        cut = model.cut
 
+        def segment(self, chunks):
+            seen.update(chunks)
+            return model.segment(chunks)
 
-def test_more_chunks_than_16_bits(spark):
-    text = " ".join(f"w{i}" for i in range(70_000))
-    df = spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id long, text string")
-    rows = {r.doc_id: r.ids for r in encode_texts(df.coalesce(1)).collect()}
-    assert rows == {1: LIBRARY.encode(text), 2: LIBRARY.encode("w1 w2")}
+    table = ChunkTable(Counting())
+    texts = ["the same words " * 200 + str(i % 3) for i in range(30)]
+    for _ in range(2):  # the second slice finds all of them known
+        assert table.encode(strings(*texts)).to_pylist() == [LIBRARY.encode(t) for t in texts]
+    assert set(seen.values()) == {1} and len(seen) == 6
+    # Over its bound the table begins again; long chunks are not remembered.
+    monkeypatch.setattr(piece_table, "MEMO_SIZE", 10)
+    for k in range(20):
+        texts = [f"w{k}a w{k}b " + "z" * 60, "", f"w{k}c"]
+        assert table.encode(strings(*texts)).to_pylist() == [LIBRARY.encode(t) for t in texts]
+        assert len(table.recent) <= 16 and len(table.older) <= 16
 
 
 def test_one_word_of_a_megabyte(spark):
