@@ -11,51 +11,84 @@ places by their ordinal in their class.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .bytebpe import load, vocabulary_path
-from .common import whole_text
+from .bytebpe import load, split_texts, vocabulary_path
+from .common import slices, whole_text
 
 CAPACITY = 2048
 SEPARATOR = 0
-MEMO_SIZE = 1_000_000
+#: Memory bounds of a worker: characters worked on at once, pre-tokens of each of
+#: the two tables, and characters of a pre-token that is remembered.
+BATCH_CHARS = 2_000_000
+MEMO_SIZE = 300_000
 MEMO_CHARS = 48
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
-def _encoder(path: str):
-    memo: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        """Ids of the text as little-endian 32-bit words."""
-        vocab = load(path)
-        parts, special = vocab.pretokens(text)
-        try:
-            return b"".join(map(memo.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_SIZE:
-            memo.clear()
-        special_ids = vocab.special if special else {}
-        for p in {p for p in parts if p not in memo}:
-            ids = [special_ids[p]] if p in special_ids else vocab.ids_of(p)
-            memo[p] = np.array(ids, dtype="<u4").tobytes()
-        out = b"".join(map(memo.__getitem__, parts))
-        for p in set(parts):
-            if len(p) > MEMO_CHARS:  # not remembered
-                del memo[p]
-        return out
-
-    return encode
+class IdTable:
+    """Ids of pre-tokens as little-endian 32-bit words, remembered by a worker over
+    its tasks: when ``recent`` is full it takes the place of ``older``, whose
+    pre-tokens come back when they are met again."""
+
+    def __init__(self, path: str):
+        self.vocab = load(path)
+        self.ids_of = self.vocab.piece_encoder()
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens."""
+        if len(self.recent) > MEMO_SIZE:
+            self.recent, self.older = {}, self.recent
+        special = self.vocab.special
+        found = list(map(self.recent.get, words))
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = self.older.get(word)
+                if ids is None:
+                    of_word = [special[word]] if word in special else self.ids_of(word.encode("utf-8"))
+                    ids = struct.pack(f"<{len(of_word)}I", *of_word)
+                found[i] = ids
+                if len(word) <= MEMO_CHARS:
+                    self.recent[word] = ids
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text of a slice: its distinct pre-tokens are looked up, and
+        their ids join the texts by position."""
+        vocab = self.vocab
+        odd = [vocab.unstable.search(t) or (vocab.special_pattern is not None and vocab.special_pattern.search(t)) for t in texts]
+        tokens, counts = split_texts([t for t, o in zip(texts, odd, strict=True) if not o], vocab.classes)
+        coded = tokens.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        lists = self.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        start = np.cumsum([0, *map(len, lists)]) // 4
+        sizes = start[codes + 1] - start[codes]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        flat = np.frombuffer(b"".join(lists), dtype="<u4")
+        ids = flat[np.repeat(start[codes] - upto[:-1], sizes) + np.arange(int(upto[-1]))].tobytes()
+        ends = (4 * upto[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]).tolist()
+        plain = iter([ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        # Texts with other characters or special strings, one by one.
+        return [b"".join(self.lookup(vocab.pretokens(t)[0])) if o else next(plain) for t, o in zip(texts, odd, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def id_table(path: str) -> IdTable:
+    return IdTable(path)
 
 
 def token_pieces(
@@ -64,25 +97,32 @@ def token_pieces(
     """(doc_id, piece, start, length, ids_crc32): each document's ids with the
     separator after them, cut only if longer than ``capacity``; the first piece
     takes the remainder, the others are full."""
-    encode = _encoder(vocabulary or vocabulary_path())
+    path = vocabulary or vocabulary_path()
     sep = np.array([SEPARATOR], dtype="<u4").tobytes()
 
-    @F.pandas_udf(PIECES)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for text in texts.tolist():
-                ids = memoryview(encode(text) + sep)
-                n = len(ids) // 4
-                head = n % capacity or capacity
-                bounds = [0, *range(head, n + 1, capacity)]
-                out.append(
-                    [
-                        {"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])}
+    @F.arrow_udf(PIECES)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = id_table(path)
+        for batch in batches:
+            texts = batch.to_pylist()
+            ends, pieces = [0], []
+            for lo, hi in slices(texts, BATCH_CHARS):
+                for raw in table.encode(texts[lo:hi]):
+                    ids = memoryview(raw + sep)
+                    n = len(ids) // 4
+                    head = n % capacity or capacity
+                    bounds = [0, *range(head, n + 1, capacity)]
+                    pieces += [
+                        (i, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))
                         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
                     ]
-                )
-            yield pd.Series(out)
+                    ends.append(len(pieces))
+            columns = np.array(pieces, dtype=np.int64).reshape(-1, 4).T
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            values = pa.StructArray.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "start", "length", "ids_crc32"]
+            )
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("__t"))
     return rows.select("doc_id", F.inline(cut("__t")))

@@ -200,7 +200,7 @@ class ChunkTable:
         chunks, counts = self.model.cut(texts)
         coded = chunks.dictionary_encode()
         rows = coded.indices.to_numpy()
-        lists = self.lookup(coded.dictionary.to_pylist())
+        lists = self.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         start = np.cumsum([0, *map(len, lists)]) // 4
         tokens = _gather(np.frombuffer(b"".join(lists), dtype=np.int32), start, rows)
         # Tokens up to each chunk, then up to each document's last chunk.

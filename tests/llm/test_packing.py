@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -5,8 +6,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sliceforge.llm.bytebpe import vocabulary_path
-from sliceforge.llm.packing import best_fit_plan, pack_documents
+from sliceforge.llm import packing
+from sliceforge.llm.bytebpe import load, split_texts, vocabulary_path
+from sliceforge.llm.packing import IdTable, best_fit_plan, pack_documents
 
 from .conftest import edge_rows
 
@@ -67,3 +69,26 @@ def test_every_constraint_holds(score):
 
 def test_empty_table(no_docs):
     assert pack_documents(no_docs).count() == 0
+
+
+def test_texts_are_split_like_the_library():
+    vocab = load(vocabulary_path())
+    rng = random.Random(4)
+    letters = "  \n\t\xa0abstredlvmZé'’-.,19½²'' \x00"
+    for _ in range(1500):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(rng.randrange(5))]
+        texts = [t for t in texts if not vocab.unstable.search(t)]
+        want = [[t[a:b] for _, (a, b) in vocab.library.pre_tokenizer.pre_tokenize_str(t)] for t in texts]
+        tokens, counts = split_texts(texts, vocab.classes)
+        assert tokens.to_pylist() == [x for w in want for x in w] and counts.tolist() == list(map(len, want))
+
+
+def test_ids_of_any_text_and_a_full_memory(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_SIZE", 5)
+    library = Tokenizer.from_file(vocabulary_path())
+    table = IdTable(vocabulary_path())
+    texts = ["it's we'll 'tis", "", "東京 \U0001f600 text", "a <|endoftext|> b", "word " * 50 + "z" * 90, " \n\n x"]
+    for _ in range(3):
+        for raw, text in zip(table.encode(texts), texts, strict=True):
+            assert np.frombuffer(raw, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(table.recent) <= 5 + 40 and len(table.older) <= 5 + 40
