@@ -7,6 +7,8 @@ an MD5 of their ordered, joined elements, integers are BIGINT on both sides.
 
 from __future__ import annotations
 
+import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from typing import Callable
 
@@ -29,6 +31,7 @@ from sliceforge.operators.records import (
 from sliceforge.operators.stats import model_limits, with_model_limit
 from sliceforge.operators.verify import corrupt_chunks, verification_summary_all, verify_all_modes, verify_documents
 from sliceforge.plans import oracle
+from sliceforge.plans.changes import apply_changes, apply_upserts, create_chunk_store, create_document_store
 from sliceforge.plans.import_job import (
     default_manifest_id,
     chunks_table,
@@ -45,8 +48,14 @@ from sliceforge.plans.import_job import (
     with_texts,
     without_texts,
 )
-from sliceforge.session import materialize
+from sliceforge.plans.journal import read_runs
+from sliceforge.plans.run import run_import
+from sliceforge.session import materialize, scratch_path
+from sliceforge.sinks.record_store import lookup_store, read_history, read_store
 from sliceforge.sources.corpus import corpus_from_table
+from sliceforge.sources.tables import read_manifest, read_table
+
+log = logging.getLogger(__name__)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -220,18 +229,21 @@ def q_reimport_verify(spark, sf_dir):
 
 
 def q_lookup_chunk(spark, sf_dir):
-    """The first chunk of every labelled document, by chunk id."""
+    """The first chunk of every labelled document, by chunk id.  A chunk's
+    document is part of its id: the others are not chunked."""
     opts = options()
-    chunks = chunks_table(prepare(corpus(spark, sf_dir), opts), opts)
-    ids = table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("-chunk-1")).alias("id"))
-    return flat_chunks(get_records(chunks, ids))
+    asked = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id"))
+    asked_docs = corpus(spark, sf_dir).join(asked.distinct(), "doc_id", "left_semi")
+    chunks = chunks_table(prepare(asked_docs, opts), opts)
+    return flat_chunks(get_records(chunks, asked.select(F.concat("doc_id", F.lit("-chunk-1")).alias("id"))))
 
 
 def q_lookup_document(spark, sf_dir):
     """The records of all labelled documents, by document id."""
     opts = options()
-    info = document_info_table(prepare(corpus(spark, sf_dir), opts), opts, "m")
     ids = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    asked = corpus(spark, sf_dir).join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+    info = document_info_table(prepare(asked, opts), opts, "m")
     return get_records(info, ids).select("id", "filename", *_bigint("total_chunks", "total_tokens"), "md5_hash")
 
 
@@ -435,6 +447,150 @@ def q_document_upsert(spark, sf_dir):
     return merged.select("doc_id", "chunk_id", text.alias("fields_text"))
 
 
+def _chunk_store(spark, sf_dir):
+    """A record store of all documents' chunk records."""
+    opts = options(F256)
+    chunks = materialize(chunks_table(prepare(corpus(spark, sf_dir), opts), opts).drop("text"), "chunks")
+    root = scratch_path(spark, "chunk-store")
+    create_chunk_store(chunks, root, opts.run_ts)
+    return root
+
+
+def q_records_apply(spark, sf_dir):
+    """V2 + V3 + V4 on a stored table: two batches in turn (creates, updates and
+    deletes), then the stored records with their history."""
+    root = _chunk_store(spark, sf_dir)
+    records = read_store(spark, root)
+    n = _key(F.col("id"), 3)
+    version = lambda mark, seq: F.md5(F.concat(F.col("id"), F.lit(f"|{mark}"), F.col(seq).cast("string")))
+    none = F.lit(None)
+    updates = records.select("id", "tokens", "content_hash", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("seq")).where(F.col("seq") <= n)
+    updates = updates.select(
+        F.lit("update").alias("action"), "id", "seq", version("v", "seq").alias("version_id"),
+        F.when(F.col("seq") == 1, F.create_map(F.lit("llm_analysis.topic"), F.substring("content_hash", 1, 6), F.lit("status"), F.lit("reviewed")))
+        .otherwise(F.create_map(F.lit("llm_analysis.topic"), F.substring("content_hash", 7, 6), F.lit("tokens"), (F.col("tokens") + 1).cast("string")))
+        .alias("fields"),
+    )
+    ids = records.where(_key(F.col("id"), 5) == 0).select("id")
+    ids = ids.unionByName(records.where(_key(F.col("id"), 7) == 0).select(F.concat("id", F.lit("-gone")).alias("id")))
+    deletes = ids.select(F.lit("delete").alias("action"), "id", none.cast("int").alias("seq"), none.cast("string").alias("version_id"),
+                         none.cast("map<string,string>").alias("fields"))
+    docs = records.where("number = 1").select("doc_id").where(_key(F.col("doc_id"), 7) == 1)
+    creates = docs.select(
+        F.lit("create").alias("action"), F.concat("doc_id", F.lit("-summary")).alias("id"), none.cast("int").alias("seq"),
+        F.md5(F.concat(F.lit("summary|"), F.col("doc_id"))).alias("version_id"),
+        F.create_map(F.lit("doc_id"), F.col("doc_id"), F.lit("number"), F.lit("0"), F.lit("tokens"), F.lit("0"), F.lit("kind"), F.lit("summary")).alias("fields"),
+    )
+    apply_changes(spark, root, updates.unionByName(deletes).unionByName(creates), "2024-01-03 00:00:00")
+
+    records = read_store(spark, root)
+    second = records.where(_key(F.col("id"), 4) == 1).select(
+        F.lit("update").alias("action"), "id", F.lit(1).alias("seq"), F.md5(F.concat("id", F.lit("|w1"))).alias("version_id"),
+        F.create_map(F.lit("tokens"), F.lit("1"), F.lit("note"), F.lit("second")).alias("fields"),
+    )
+    gone = records.where(_key(F.col("id"), 9) == 0).select(
+        F.lit("delete").alias("action"), "id", none.cast("int").alias("seq"), none.cast("string").alias("version_id"),
+        none.cast("map<string,string>").alias("fields"),
+    )
+    apply_changes(spark, root, second.unionByName(gone), "2024-01-04 00:00:00")
+
+    history = read_history(spark, root)
+    history = history.withColumn("link", F.md5(F.concat_ws("|", "version_id", F.coalesce("parent_version_id", F.lit("")))))
+    links = history.groupBy(F.col("record_id").alias("id")).agg(F.count("*").cast("bigint").alias("history_count"), hash_xor("link").alias("history_xor"))
+    return read_store(spark, root).join(links, "id").select(
+        "id", "doc_id", "version_id", *_bigint("number", "tokens"),
+        F.col("llm_analysis")["topic"].alias("topic"),
+        F.col("attributes")["status"].alias("status"),
+        F.col("attributes")["note"].alias("note"),
+        F.col("attributes")["kind"].alias("kind"),
+        "history_count", "history_xor",
+    )
+
+
+def q_documents_apply(spark, sf_dir):
+    """V5 on a stored table: two batches of upserts in turn, then the stored chunk
+    entries and the documents' versions (entry '')."""
+    opts = options(F256)
+    info = materialize(document_info_table(prepare(corpus(spark, sf_dir), opts), opts, "m"), "document_info")
+    root = scratch_path(spark, "document-store")
+    create_document_store(info.select("id", "version_id"), document_chunk_entries(info), root)
+    docs = info.select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("seq"))
+
+    def updates(rows, mark, chunk, fields):
+        return rows.select(
+            "doc_id", "seq", F.md5(F.concat(F.col("doc_id"), F.lit(f"|{mark}"), F.col("seq").cast("string"))).alias("version_id"),
+            F.concat(F.col("doc_id"), F.lit("-chunk-"), chunk.cast("string")).alias("chunk_id"), fields.alias("fields"),
+        )
+
+    seq = F.col("seq").cast("string")
+    first = updates(docs.where(F.col("seq") <= _key(F.col("doc_id"), 3)), "dv", F.col("seq") * 2,
+                    F.create_map(F.lit("reviewed"), seq, F.lit("tokens"), F.lit("0")))
+    apply_upserts(spark, root, first, "2024-01-03 00:00:00")
+    second = updates(docs.where(_key(F.col("doc_id"), 2) == 0), "ew", F.col("seq") + 1, F.create_map(F.lit("second"), seq))
+    apply_upserts(spark, root, second, "2024-01-04 00:00:00")
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return read_store(spark, root).select("doc_id", F.coalesce("chunk_id", F.lit("")).alias("chunk_id"), "version_id", text.alias("fields_text"))
+
+
+def q_lookup_stored(spark, sf_dir):
+    """The first chunk of every labelled document, from a stored table of
+    which only the files of those ids are read."""
+    root = _chunk_store(spark, sf_dir)
+    ids = table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("-chunk-1")).alias("id"))
+    return lookup_store(spark, root, ids).select("id", "doc_id", *_bigint("number", "tokens"), "content_hash", *_bigint("character_count"))
+
+
+def _journal_imports(spark, sf_dir, sources: list, together: bool) -> str:
+    """Imports into one new folder; a source without rows fails."""
+    out = scratch_path(spark, "import")
+
+    def work(i):
+        opts = replace(options(1.0), run_id=f"r{i + 1}", run_ts=f"2024-01-0{i + 1} 00:00:00")
+        try:
+            run_import(spark, sources[i], out, opts, keep_source=False)
+        except ValueError as exc:  # recorded in the journal, which is what is asked for
+            log.info("import %s: %s", opts.run_id, exc)
+
+    if together:
+        with ThreadPoolExecutor(len(sources)) as pool:
+            list(pool.map(work, range(len(sources))))
+    else:
+        for i in range(len(sources)):
+            work(i)
+    return out
+
+
+def _documents_and_items(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+
+
+def q_import_journal(spark, sf_dir):
+    """Documents, then a source without rows, which fails, then
+    benchmark items into one folder: every state of every run."""
+    docs, items = _documents_and_items(spark, sf_dir)
+    out = _journal_imports(spark, sf_dir, [docs, docs.where("doc_id is null and doc_id is not null"), items], together=False)
+    totals = [F.coalesce(F.col(f"totals.{c}"), F.lit(-1)).alias(c) for c in ("document_count", "total_chunks", "total_tokens")]
+    return read_runs(spark, out).select(
+        "version", *_bigint("run_seq", "attempt"), "run_id", "status", F.coalesce("error", F.lit("")).alias("error"),
+        F.coalesce(F.col("duration") > 0, F.lit(False)).alias("has_duration"), *totals,
+    )
+
+
+def q_concurrent_imports(spark, sf_dir):
+    """K5 / V7: documents and benchmark items imported at the same time into one
+    folder; the manifest's totals, and what readers of its tables find."""
+    docs, items = _documents_and_items(spark, sf_dir)
+    out = _journal_imports(spark, sf_dir, [docs, items], together=True)
+    header, entries = read_manifest(spark, out)
+    seen = entries.agg(F.count("*").alias("entries"), F.count_distinct("doc_id").alias("documents"), F.sum("total_tokens").alias("entry_tokens"))
+    chunks = read_table(spark, out, "chunks").agg(F.count("*").alias("chunk_rows"), F.sum("tokens").cast("bigint").alias("chunk_tokens"))
+    totals = header.select("document_count", "total_chunks", "total_tokens", "content_hashes_xor")
+    # One row each; together one row.
+    figures = totals.unionByName(seen, allowMissingColumns=True).unionByName(chunks, allowMissingColumns=True)
+    return figures.agg(*[F.max(c).alias(c) for c in figures.columns])
+
+
 def q_rule_encode(spark, sf_dir):
     """C5 + C6 (parity form): rule-based token ids; decode joins ids with ' '."""
     c = get_counter("regex")
@@ -519,6 +675,11 @@ def queries() -> dict[str, QueryFn]:
         "records_update_256": q_records_update,
         "records_delete_256": q_records_delete,
         "document_upsert_256": q_document_upsert,
+        "records_apply_batches_256": q_records_apply,
+        "documents_apply_upserts_256": q_documents_apply,
+        "lookup_stored_chunks_256": q_lookup_stored,
+        "import_journal": q_import_journal,
+        "concurrent_imports": q_concurrent_imports,
         "rule_encode": q_rule_encode,
         "vocabulary_decode": q_vocabulary_decode,
         "bpe_counts": q_bpe_counts,
@@ -570,6 +731,11 @@ def oracle_sql() -> dict[str, str]:
         "records_update_256": oracle.records_update_sql(256),
         "records_delete_256": oracle.records_delete_sql(256),
         "document_upsert_256": oracle.document_upsert_sql(256),
+        "records_apply_batches_256": oracle.records_apply_sql(256),
+        "documents_apply_upserts_256": oracle.documents_apply_sql(256),
+        "lookup_stored_chunks_256": oracle.lookup_chunk_sql(256),
+        "import_journal": oracle.import_journal_sql(8192),
+        "concurrent_imports": oracle.concurrent_imports_sql(8192),
         "rule_encode": oracle.rule_encode_sql(),
         "vocabulary_decode": oracle.vocabulary_decode_sql(),
         # bpe_counts, chunks_bpe_256: no BPE in DuckDB -> rows-only check; the

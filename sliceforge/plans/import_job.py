@@ -252,34 +252,6 @@ def manifest_header(entries: DataFrame, opts: ChunkOptions, manifest_id: str, cr
     )
 
 
-def advance_manifest_header(previous, new_entries: DataFrame, opts: ChunkOptions, manifest_id: str, created_at: str) -> DataFrame:
-    """A3 / V7 incrementally: the previous run's header (one collected row, or
-    ``None``) plus an aggregate over this run's entries only.  Each import costs
-    O(its own documents), not O(every document ever imported)."""
-    new = manifest_header(new_entries, opts, manifest_id, created_at)
-    if previous is None:
-        return new
-    add = lambda c: (F.col(c) + F.lit(int(previous[c]))).cast("bigint").alias(c)
-    new = new.withColumn("_previous_xor", F.lit(previous["content_hashes_xor"]))
-    return new.select(
-        "manifest_id",
-        "created_at",
-        "updated_at",
-        add("document_count"),
-        add("total_chunks"),
-        add("total_tokens"),
-        F.lit(previous["model_name"]).alias("model_name"),  # kept from the manifest's creation, as the reference
-        F.coalesce(F.col("latest_version_id"), F.lit(previous["latest_version_id"])).alias("latest_version_id"),
-        F.concat(
-            *[
-                _hex(_half("content_hashes_xor", start).bitwiseXOR(_half("_previous_xor", start)))
-                for start in (1, 17)
-            ]
-        ).alias("content_hashes_xor"),
-        "metadata",
-    )
-
-
 def processing_runs_table(prepared: DataFrame, opts: ChunkOptions, manifest_id: str, completed_ts: str | None = None) -> DataFrame:
     """One run record per imported document, in its final state."""
     start = run_ts(opts)

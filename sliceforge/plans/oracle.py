@@ -472,6 +472,73 @@ def document_upsert_sql(limit: int) -> str:
             f"SELECT doc_id, chunk_id, {entry} AS fields_text FROM m")
 
 
+def records_apply_sql(limit: int) -> str:
+    """Two batches in turn: what they do to each record, in closed form."""
+    return (records_base(limit) + ",\n"
+            "all_records AS (SELECT id, doc_id, number, tokens, content_hash, "
+            f"{_k('id', 3)} AS n, {_k('id', 5)} = 0 AS gone_first, false AS added, md5('created|' || id) AS v0 FROM rec "
+            "UNION ALL SELECT doc_id || '-summary', doc_id, 0, 0, NULL, 0, false, true, md5('summary|' || doc_id) "
+            f"FROM rec WHERE number = 1 AND {_k('doc_id', 7)} = 1),\n"
+            f"fin AS (SELECT *, CASE WHEN n > 0 THEN md5(id || '|v' || CAST(n AS VARCHAR)) ELSE v0 END AS va, {_k('id', 4)} = 1 AS again "
+            f"FROM all_records WHERE NOT gone_first AND {_k('id', 9)} <> 0),\n"
+            "hist AS (SELECT id, v0 AS version_id, '' AS parent FROM fin "
+            "UNION ALL SELECT id, md5(id || '|v1'), v0 FROM fin WHERE n >= 1 "
+            "UNION ALL SELECT id, md5(id || '|v2'), md5(id || '|v1') FROM fin WHERE n >= 2 "
+            "UNION ALL SELECT id, md5(id || '|w1'), va FROM fin WHERE again),\n"
+            f"hagg AS (SELECT id, count(*) AS history_count, {hash_xor_sql('link')} AS history_xor "
+            "FROM (SELECT *, md5(version_id || '|' || parent) AS link FROM hist) l GROUP BY id)\n"
+            "SELECT f.id, doc_id, CASE WHEN again THEN md5(f.id || '|w1') ELSE va END AS version_id, CAST(number AS BIGINT) AS number, "
+            "CAST(CASE WHEN again THEN 1 WHEN n = 2 THEN tokens + 1 ELSE tokens END AS BIGINT) AS tokens, "
+            "CASE n WHEN 1 THEN substr(content_hash, 1, 6) WHEN 2 THEN substr(content_hash, 7, 6) END AS topic, "
+            "CASE WHEN n >= 1 THEN 'reviewed' END AS status, CASE WHEN again THEN 'second' END AS note, "
+            "CASE WHEN added THEN 'summary' END AS kind, CAST(h.history_count AS BIGINT) AS history_count, h.history_xor "
+            "FROM fin f JOIN hagg h ON h.id = f.id")
+
+
+def documents_apply_sql(limit: int) -> str:
+    entry = ("array_to_string(list_sort(list_transform(map_entries(fields), lambda e: e.key || '=' || e.value)), ',')")
+    merge = ("SELECT coalesce(e.doc_id, u.doc_id) AS doc_id, coalesce(e.chunk_id, u.chunk_id) AS chunk_id, "
+             "CASE WHEN e.fields IS NULL THEN u.fields WHEN u.fields IS NULL THEN e.fields ELSE map_concat(e.fields, u.fields) END AS fields "
+             "FROM {0} e FULL OUTER JOIN {1} u ON e.doc_id = u.doc_id AND e.chunk_id = u.chunk_id")
+    return (records_base(limit) + ",\n"
+            "ent AS (SELECT doc_id, id AS chunk_id, MAP {'number': CAST(number AS VARCHAR), "
+            "'tokens': CAST(tokens AS VARCHAR), 'content_hash': content_hash} AS fields FROM rec),\n"
+            f"docs AS (SELECT DISTINCT doc_id, {_k('doc_id', 3)} AS n, {_k('doc_id', 2)} = 0 AS again FROM rec),\n"
+            "one AS (SELECT doc_id, doc_id || '-chunk-' || CAST(s * 2 AS VARCHAR) AS chunk_id, "
+            "MAP {'reviewed': CAST(s AS VARCHAR), 'tokens': '0'} AS fields FROM docs, generate_series(1, 2) g(s) WHERE s <= n),\n"
+            f"m1 AS ({merge.format('ent', 'one')}),\n"
+            "two AS (SELECT doc_id, doc_id || '-chunk-' || CAST(s + 1 AS VARCHAR) AS chunk_id, MAP {'second': CAST(s AS VARCHAR)} AS fields "
+            "FROM docs, generate_series(1, 2) g(s) WHERE again),\n"
+            f"m2 AS ({merge.format('m1', 'two')})\n"
+            f"SELECT doc_id, chunk_id, CAST(NULL AS VARCHAR) AS version_id, {entry} AS fields_text FROM m2 "
+            "UNION ALL SELECT doc_id, '', CASE WHEN again THEN md5(doc_id || '|ew2') WHEN n > 0 THEN md5(doc_id || '|dv' || CAST(n AS VARCHAR)) "
+            "ELSE md5('r1|' || doc_id || '|version') END, NULL FROM docs")
+
+
+def import_journal_sql(limit: int) -> str:
+    """States of run 0 (documents), 1 (nothing: fails) and 2 (benchmark items)."""
+    total = lambda c: f"(SELECT CAST({c} AS BIGINT) FROM e WHERE run_seq = "
+    row = lambda v, seq, status, error, done, of: (
+        f"SELECT CAST({v} AS BIGINT) AS version, CAST({seq} AS BIGINT) AS run_seq, CAST(1 AS BIGINT) AS attempt, 'r{seq + 1}' AS run_id, "
+        f"'{status}' AS status, {error} AS error, {done} AS has_duration, "
+        + ", ".join(f"{total(c)}{of}) AS {name}" if of is not None else f"CAST(-1 AS BIGINT) AS {name}"
+                    for c, name in (("count(*)", "document_count"), ("sum(total_chunks)", "total_chunks"), ("sum(total_tokens)", "total_tokens")))
+    )
+    rows = [
+        row(0, 0, "processing", "''", "false", None), row(1, 0, "completed", "''", "true", 0),
+        row(2, 1, "processing", "''", "false", None), row(3, 1, "failed", "'ValueError: No documents to import'", "true", None),
+        row(4, 2, "processing", "''", "false", None), row(5, 2, "completed", "''", "true", 1),
+    ]
+    return _two_runs(limit) + "\nUNION ALL ".join(rows)
+
+
+def concurrent_imports_sql(limit: int) -> str:
+    return (_two_runs(limit) + "SELECT CAST(count(*) AS BIGINT) AS document_count, CAST(sum(total_chunks) AS BIGINT) AS total_chunks, "
+            f"CAST(sum(total_tokens) AS BIGINT) AS total_tokens, {hash_xor_sql('content_hash')} AS content_hashes_xor, "
+            "CAST(count(*) AS BIGINT) AS entries, CAST(count(*) AS BIGINT) AS documents, CAST(sum(total_tokens) AS BIGINT) AS entry_tokens, "
+            "CAST(sum(total_chunks) AS BIGINT) AS chunk_rows, CAST(sum(total_tokens) AS BIGINT) AS chunk_tokens FROM e")
+
+
 def rule_encode_sql() -> str:
     toks = f"regexp_extract_all(text, {q(TOKEN_PATTERN_JAVA)})"
     ids_text = f"array_to_string(list_transform({toks}, lambda x: md5(x)), ' ')"

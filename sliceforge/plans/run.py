@@ -5,18 +5,19 @@
             -> read back, explode -> ``chunks``                   narrow
             -> read back (no text) -> document_info / state / versions /
                manifest entries / runs                            (narrow)
-            -> manifest header over all entries                   (tiny agg)
+            -> totals of this run's entries                       (tiny agg)
+            -> the run's completing entry in the journal          (commit)
             -> optional verification over the stored tables       (join)
 
 Every output is a deterministic function of the input and ``run_id``, so a
-task lost mid-write is recomputed to the same rows.  Re-running a run id
-overwrites its ``run_seq`` partitions (dynamic partition overwrite).
+task lost mid-write is recomputed to the same rows.  Runs into one folder may go
+on at the same time: the journal (``plans.journal``) numbers them, each writes
+``run_seq`` partitions of its own, and readers see them when they have completed.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import time
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,19 +26,20 @@ from pyspark.sql import functions as F
 from sliceforge.config import ChunkOptions
 from sliceforge.operators.verify import verification_summary, verify_documents
 from sliceforge.plans.import_job import (
-    advance_manifest_header,
     build_tables,
     chunks_table,
     counter_for,
     default_manifest_id,
+    manifest_header,
     prepare,
     spread,
     with_texts,
     without_texts,
 )
+from sliceforge.plans.journal import DAY, SUMS, complete_run, fail_run, run_log, start_run
 from sliceforge.sinks.writers import write_chunks, write_table
 from sliceforge.sources.corpus import corpus_from_table, scan_corpus
-from sliceforge.sources.tables import read_chunk_texts, read_document_info, read_manifest, read_table
+from sliceforge.sources.tables import read_chunk_texts, read_document_info, read_run, read_table
 
 
 def _now() -> str:
@@ -56,12 +58,17 @@ def run_import(
     prepared_corpus: bool = False,
     run_seq: int | None = None,
     keep_source: bool = True,
+    abandon_after_s: float = DAY,
 ) -> dict:
     """Import a folder / file of ``.txt`` or a ``(doc_id, text)`` table.
 
     ``keep_source`` (default, as the reference copies each input file) stores
     the source text in ``documents``; for a corpus that already lives in a
     table, ``False`` avoids writing it a second time.
+
+    The run is recorded as processing before it works, and as completed or failed
+    (with the error, which is raised) after.  Runs that began more than
+    ``abandon_after_s`` ago and never ended are recorded as failed at the start.
     """
     opts = opts or ChunkOptions()
     opts.limit  # validates model, factor and limit before any job starts (P2)
@@ -78,30 +85,28 @@ def run_import(
         opts = replace(opts, counter=counter.name, splitter=splitter, extra=extra)
     if opts.run_ts == ChunkOptions().run_ts:
         opts = replace(opts, run_ts=_now())
-    result = _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description,
-                         strategy, prepared_corpus, run_seq, keep_source)
+    log = run_log(spark, output_dir)
+    started = start_run(log, opts, default_manifest_id(opts), run_seq, abandon_after_s)
+    seq, attempt = started["run_seq"], started["attempt"]
+    try:
+        result, totals, completed_ts = _run_import(spark, source, output_dir, opts, previous_version_id, changes_description,
+                                                   strategy, prepared_corpus, seq, started["header"]["manifest_id"], keep_source)
+    except Exception as exc:
+        fail_run(log, seq, attempt, f"{type(exc).__name__}: {exc}"[:2000])
+        raise
+    entry = complete_run(log, seq, attempt, totals, completed_ts)
+    result["elapsed_s"] = round(entry["duration"], 3)
+    if verify_mode:
+        result["verification"] = run_verification(spark, output_dir, verify_mode, opts)
     encoding = counter_for(opts).spec.encoding if opts.counter == "bpe" else None
     result.update(counter=opts.counter, encoding=encoding, splitter=opts.splitter, counter_fallback=fell_back)
     return result
 
 
-def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_id, changes_description, strategy,
-                prepared_corpus, run_seq, keep_source=True) -> dict:
-    t0 = time.time()
-
-    old_header, old_entries = read_manifest(spark, output_dir)
-    if old_header is not None:
-        h = old_header.select("manifest_id", "created_at", "run_seq").first()
-        manifest_id, created_at, next_seq = h.manifest_id, str(h.created_at), h.run_seq + 1
-    else:
-        manifest_id = default_manifest_id(opts)
-        created_at, next_seq = opts.run_ts, 0
-    if run_seq is None:
-        run_seq = next_seq
-    elif old_entries is not None:
-        # A given run_seq (streaming epochs) is rewritten in place: drop its old entries.
-        old_entries = old_entries.where(F.col("run_seq") != run_seq)
-
+def _run_import(spark, source, output_dir, opts, previous_version_id, changes_description, strategy, prepared_corpus, run_seq,
+                manifest_id, keep_source=True) -> tuple[dict, dict, str]:
+    """Writes the partitions of a run; returns its figures, the totals that it adds
+    to the manifest, and when it was done."""
     # Every run makes documents of its own, from files and tables alike.
     run = f"{opts.run_id}#{run_seq}"
     if isinstance(source, str):
@@ -126,10 +131,10 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
     documents = without_texts(observed)
     if not keep_source:
         documents = documents.drop("text")
-    write_table(documents, output_dir, "documents", "overwrite", ["run_seq"])
-    docs = read_table(spark, output_dir, "documents").where(F.col("run_seq") == run_seq)
+    write_table(documents, output_dir, "documents", run_seq=run_seq)
+    docs = read_run(spark, output_dir, "documents", run_seq)
     # K2: one row per chunk.
-    write_chunks(chunks_table(with_texts(docs), opts).withColumn("run_seq", F.lit(run_seq)), output_dir, "overwrite")
+    write_chunks(chunks_table(with_texts(docs), opts), output_dir, "overwrite", run_seq)
     docs = docs.drop("chunk_texts")
     docs = docs.drop("text") if "text" in docs.columns else docs
     completed = _now()
@@ -138,12 +143,10 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         docs,
         opts,
         manifest_id=manifest_id,
-        old_entries=old_entries,
         run_seq=run_seq,
         parent_version_id=previous_version_id,
         description=changes_description,
         completed_ts=completed,
-        manifest_created_at=created_at,
         with_chunks=False,
     )
     for name, df in (
@@ -152,17 +155,11 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         ("versions", tables.versions),
         ("processing_runs", tables.processing_runs),
     ):
-        write_table(df.withColumn("run_seq", F.lit(run_seq)), output_dir, name, "overwrite", ["run_seq"])
-    new_entries = tables.manifest_entries.where(F.col("run_seq") == run_seq)
-    write_table(new_entries, output_dir, "manifest_entries", "overwrite", ["run_seq"])
-    # The header of the run before this one (one row) + this run's entries.
-    previous = None
-    if old_header is not None:
-        earlier = read_table(spark, output_dir, "manifest_headers").where(F.col("run_seq") < run_seq)
-        previous = earlier.orderBy(F.col("run_seq").desc()).limit(1).first()
-    this_run = read_table(spark, output_dir, "manifest_entries").where(F.col("run_seq") == run_seq)
-    header = advance_manifest_header(previous, this_run, opts, manifest_id, created_at).withColumn("run_seq", F.lit(run_seq))
-    write_table(header, output_dir, "manifest_headers", "overwrite", ["run_seq"])
+        write_table(df, output_dir, name, run_seq=run_seq)
+    write_table(tables.manifest_entries, output_dir, "manifest_entries", run_seq=run_seq)
+    # A3: this run's totals, one row; the commit adds them to the manifest's.
+    sums = manifest_header(read_run(spark, output_dir, "manifest_entries", run_seq), opts, manifest_id).first()
+    totals = {c: sums[c] for c in (*SUMS, "latest_version_id", "content_hashes_xor")}
 
     metrics = dict(obs.get)
     result = {
@@ -174,11 +171,8 @@ def _run_import(spark, source, output_dir, opts, verify_mode, previous_version_i
         "failed_files": int((metrics.get("files") or 0) - (metrics.get("processed_files") or 0)),
         "chunks": int(metrics.get("chunks") or 0),
         "tokens": int(metrics.get("tokens") or 0),
-        "elapsed_s": round(time.time() - t0, 3),
     }
-    if verify_mode:
-        result["verification"] = run_verification(spark, output_dir, verify_mode, opts)
-    return result
+    return result, totals, completed
 
 
 def run_verification(

@@ -73,14 +73,19 @@ def materialize(df, name: str = "table"):
     application are in one folder, which is deleted when the driver ends: the
     results that are read from them are lazy until then.
     """
-    spark = df.sparkSession
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder under ``spark.checkpoint.dir``; the
+    folder is deleted when the driver ends."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sliceforge-{spark.sparkContext.applicationId}"
     if folder not in _SCRATCH:
         _SCRATCH.add(folder)
         atexit.register(_delete_folder, spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 _SCRATCH: set[str] = set()

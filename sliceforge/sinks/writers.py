@@ -13,17 +13,20 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", partition_by: list | None = None) -> str:
+def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", run_seq: int | None = None) -> str:
+    """Writes a table, or a run's partition of it.
+
+    A partition is written as a folder of its own, so runs that write at the same
+    time do not share a job's temporary files."""
     path = os.path.join(root, name)
-    w = df.write.mode(mode)
-    if partition_by:
-        # Overwrite only the partitions this write produces (a run's run_seq).
-        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-    w.parquet(path)
+    if run_seq is not None:
+        path = os.path.join(path, f"run_seq={run_seq}")
+        df = df.drop("run_seq")
+    df.write.mode(mode).parquet(path)
     return path
 
 
-def write_chunks(chunks: DataFrame, root: str, mode: str = "append") -> str:
+def write_chunks(chunks: DataFrame, root: str, mode: str = "append", run_seq: int | None = None) -> str:
     """K2: chunk text and metadata together.
 
     Each task writes one file, sorted by ``(doc_id, number)`` (a local sort,
@@ -31,8 +34,7 @@ def write_chunks(chunks: DataFrame, root: str, mode: str = "append") -> str:
     whose min/max statistics can hold it.  Hash-bucket folders would instead
     make every task write a small file into every bucket.
     """
-    parts = ["run_seq"] if "run_seq" in chunks.columns else None
-    return write_table(chunks.sortWithinPartitions("doc_id", "number"), root, "chunks", mode, parts)
+    return write_table(chunks.sortWithinPartitions("doc_id", "number"), root, "chunks", mode, run_seq)
 
 
 ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"

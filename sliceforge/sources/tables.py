@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,18 @@ def table_exists(spark: SparkSession, root: str, name: str) -> bool:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(_path(root, name))
+    """A table of the job; of a table with runs the completed ones."""
+    from sliceforge.plans.journal import visible
+
+    df = spark.read.parquet(_path(root, name))
+    shown = visible(spark, root) if "run_seq" in df.columns else None
+    return df if shown is None else df.where(shown)
+
+
+def read_run(spark: SparkSession, root: str, name: str, run_seq: int) -> DataFrame:
+    """One run's partition, whether or not the run has completed."""
+    df = spark.read.parquet(os.path.join(_path(root, name), f"run_seq={run_seq}"))
+    return df.withColumn("run_seq", F.lit(run_seq))
 
 
 def read_document_info(spark: SparkSession, root: str) -> DataFrame:
@@ -58,11 +70,22 @@ def read_json_records(spark: SparkSession, path: str, schema, mode: str = "PERMI
     return spark.read.schema(schema).option("mode", mode).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+HEADER_SCHEMA = (
+    "manifest_id string, created_at timestamp, updated_at timestamp, document_count long, total_chunks long, total_tokens long, "
+    "model_name string, latest_version_id string, content_hashes_xor string, metadata map<string,string>, run_seq int"
+)
+
+
 def read_manifest(spark: SparkSession, root: str):
-    """The current manifest header and entries, or ``(None, None)`` when
-    there is none yet (a new manifest is then started)."""
-    if not table_exists(spark, root, "manifest_headers"):
+    """The current manifest header (one row) and the entries of completed runs,
+    or ``(None, None)`` when there is none yet (a new manifest is then started)."""
+    from sliceforge.plans.journal import run_log
+
+    last = run_log(spark, root).last()
+    if last is None or last["header"]["run_seq"] is None:
         return None, None
-    headers = read_table(spark, root, "manifest_headers")
-    latest = headers.orderBy(F.col("run_seq").desc()).limit(1)  # one row per run: tiny
-    return latest, read_table(spark, root, "manifest_entries")
+    row = {**last["header"], "metadata": {}}
+    text = spark.createDataFrame([(json.dumps(row),)], "value string")
+    formats = {"timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+    header = text.select(F.from_json("value", HEADER_SCHEMA, formats).alias("h")).select("h.*")
+    return header, read_table(spark, root, "manifest_entries")

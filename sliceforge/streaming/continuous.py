@@ -63,15 +63,14 @@ def _run_seq_base(spark: SparkSession, output_dir: str, checkpoint_dir: str) ->
     """The run_seq of epoch 0, fixed when the stream first starts (the next free
     run_seq of the output) and kept in the stream's checkpoint folder, so that
     after a restart a replayed epoch maps to the same run_seq again."""
-    from sliceforge.sources.tables import read_table, table_exists
+    from sliceforge.plans.journal import run_log
+    from sliceforge.sources.tables import table_exists
 
     marker = checkpoint_dir.rstrip("/") + "/sliceforge_run_seq_base"
     if table_exists(spark, checkpoint_dir, "sliceforge_run_seq_base"):
         return int(spark.read.text(marker).first()[0])
-    base = 0
-    if table_exists(spark, output_dir, "manifest_headers"):
-        last = read_table(spark, output_dir, "manifest_headers").agg(F.max("run_seq")).first()[0]
-        base = 0 if last is None else int(last) + 1
+    last = run_log(spark, output_dir).last()
+    base = 0 if last is None else last["next_run_seq"]
     spark.createDataFrame([(str(base),)], "value string").coalesce(1).write.text(marker)
     return base
 
