@@ -14,6 +14,7 @@ fitted on the driver to a bounded sample of labelled documents.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,23 +31,45 @@ from pyspark.sql.window import Window
 from .common import whole_text
 from .ranks import pair
 
-WORD = re.compile(r"[^\W\d_]+")
+#: A word: letters, with the marks that belong to them.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The same for texts without marks and without numbers that are no digits, which
+#: the faster module takes for letters.
+PLAIN_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _odd_characters() -> re.Pattern:
+    """Characters on which the two patterns differ."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    letters, plain = regex.compile(r"\p{L}+"), set()
+    for run in PLAIN_WORD.findall(every):
+        plain.update(run)
+    both = set("".join(letters.findall(every)))
+    odd = sorted((plain ^ both) | set(regex.findall(r"\p{M}", every)))
+    return re.compile("[" + "".join(re.escape(c) for c in odd) + "]")
+
+
+ODD = _odd_characters()
 FEATURES = 1 << 16
 LEXICON = 1 << 15
 #: Bounds of the labelled sample that the weights are fitted to.
 SAMPLE_PER_LANGUAGE = 150
 SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 200
+SAMPLE_WORD = 40
 #: Memory bounds of a worker: words labelled at once (one longer text is a batch
 #: of its own) and words whose emissions are remembered.
 BATCH_WORDS = 1_000_000
 MEMO_SIZE = 500_000
+MEMO_CHARS = 20_000_000
+#: Characters whose features are made at once; a longer word takes several turns.
+FEATURE_CHARS = 1_000_000
 UNDETERMINED = "und"
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return WORD.findall(text.lower())
+    """Lower-cased runs of letters (``\\p{L}``, marks inside them)."""
+    text = text.lower()
+    return (PLAIN_WORD if text.isascii() or not ODD.search(text) else WORD).findall(text)
 
 
 def bucket(word: str) -> int:
@@ -56,8 +80,8 @@ def feature_parts(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashed features of words as pairs (word number, feature), each pair sorted
     by word: n-grams of two and three letters with the word's ends marked, and
     affixes of three and four letters (shorter ones are n-grams that hold an
-    end).  All words are ranked at once; of very long words the ends count."""
-    marked = [f"^{w}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    end).  All words are ranked at once."""
+    marked = [f"^{w}$" for w in words]
     size = np.fromiter(map(len, marked), dtype=np.int64, count=len(words))
     start = np.cumsum(size) - size
     letters = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
@@ -77,6 +101,39 @@ def feature_parts(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(o, (r >> np.uint64(40)).astype(np.int64) % FEATURES) for o, r in parts]
 
 
+def _split(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about FEATURE_CHARS characters (a longer word is its own)."""
+    a = chars = 0
+    for i, word in enumerate(words):
+        if i > a and chars + len(word) > FEATURE_CHARS:
+            yield a, i
+            a, chars = i, 0
+        chars += len(word)
+    if a < len(words):
+        yield a, len(words)
+
+
+def long_word_features(word: str) -> Iterator[np.ndarray]:
+    """The features of one word, as :func:`feature_parts` gives them, a stretch at a
+    time."""
+    marked = f"^{word}$"
+    for n in (2, 3):
+        for a in range(0, len(marked) - n + 1, FEATURE_CHARS):
+            yield _gram_features(marked[a : a + FEATURE_CHARS + n - 1], n)
+    for n in (4, 5):
+        if len(marked) >= n:
+            yield _gram_features(marked[:n], n)
+            yield _gram_features(marked[-n:], n)
+
+
+def _gram_features(text: str, n: int) -> np.ndarray:
+    letters = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    one = ranks = pair(letters, letters)
+    for k in range(2, n + 1):
+        ranks = pair(ranks[:-1], one[k - 1 :])
+    return (ranks >> np.uint64(40)).astype(np.int64) % FEATURES
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -89,11 +146,17 @@ class Model:
         """Scores (words x L)."""
         sums = np.zeros((len(words), len(self.languages)))
         size = np.zeros(len(words))
-        for owner, features in feature_parts(words):
-            if len(owner):
-                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                sums[owner[first]] += np.add.reduceat(self.weights[features], first, axis=0)
-                size += np.bincount(owner, minlength=len(words))
+        for a, b in _split(words):
+            if len(words[a]) > FEATURE_CHARS:
+                for features in long_word_features(words[a]):
+                    sums[a] += self.weights[features].sum(axis=0)
+                    size[a] += len(features)
+                continue
+            for owner, features in feature_parts(words[a:b]):
+                if len(owner):
+                    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                    sums[a + owner[first]] += np.add.reduceat(self.weights[features], first, axis=0)
+                    size[a:b] += np.bincount(owner, minlength=b - a)
         sums /= np.sqrt(size)[:, None]
         lex = self.lexicon[np.fromiter(map(bucket, words), dtype=np.int64, count=len(words))]
         return (sums + lex @ self.lexicon_weight).astype(np.float32)
@@ -231,9 +294,9 @@ def _pair_marginals(scores: np.ndarray, transition: np.ndarray, batch: int, leng
     for t in range(length - 2, -1, -1):
         b = (beta[:, t + 1] * emit[:, t + 1]) @ move.T
         beta[:, t] = b / b.sum(axis=1, keepdims=True)
-    joint = alpha[:, :-1, :, None] * move * (beta[:, 1:] * emit[:, 1:])[:, :, None, :]
-    joint /= joint.sum(axis=(2, 3), keepdims=True)
-    return joint.sum(axis=(0, 1))
+    before, after = alpha[:, :-1].reshape(-1, n_lang), (beta[:, 1:] * emit[:, 1:]).reshape(-1, n_lang)
+    weight = ((before @ move) * after).sum(axis=1, keepdims=True)
+    return move * ((before / weight).T @ after)
 
 
 def lexicon_counts(train: DataFrame) -> DataFrame:
@@ -260,32 +323,41 @@ def lexicon_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _sample_words(text: str) -> list[str]:
+    return [w[i : i + SAMPLE_WORD] for w in words_of(text) for i in range(0, len(w), SAMPLE_WORD)]
+
+
 def train_model(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE
 ) -> Model | None:
     """Model of the labelled rows of ``docs``; None without any.
 
-    The lexicon covers all labelled rows.  The weights are fitted to at most
-    ``sample`` rows per language of at most SAMPLE_CHARS characters, those with
-    the smallest text hashes.
+    The lexicon covers all labelled rows and their whole words.  The weights are
+    fitted to the first SAMPLE_CHARS characters of at most ``sample`` different
+    texts per language, those of the smallest hashes; there, words of over
+    SAMPLE_WORD letters are cut.  The model takes about 0.5 MB a language.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), whole_text(text_col).alias("text")).filter("lang is not null")
     counts = lexicon_counts(rows).collect()  # at most LEXICON rows per language
     languages = sorted({r["lang"] for r in counts})
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model is made for up to {MAX_LANGUAGES}")
     number = {lang: i for i, lang in enumerate(languages)}
     n = np.zeros((LEXICON, len(languages)))
     for r in counts:
         n[r["bucket"], number[r["lang"]]] = r["n"]
     share = (n / n.sum(axis=0)) + 1e-7
     lexicon = np.log(share) - np.log(share).mean(axis=1, keepdims=True)
-    few = rows.filter(F.length("text").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("text"))
+    # Hashes first, so that copies are one and texts are read for the picked only.
+    hashed = rows.filter(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = few.withColumn("nth", nth).filter(F.col("nth") <= sample).select("lang", "text", "h").collect()
-    picked = sorted(((words_of(r["text"]), number[r["lang"]], r["h"]) for r in picked if r["lang"] in number), key=lambda r: (r[1], r[2]))
+    chosen = hashed.select("lang", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= sample).select("lang", "h")
+    # At most ``sample`` rows per language.
+    texts = hashed.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), ["lang", "h"])
+    picked = texts.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    picked = sorted(
+        ((_sample_words(r["text"]), number[r["lang"]], r["h"]) for r in picked if r["lang"] in number), key=lambda r: (r[1], r[2])
+    )
     # Equal shares of the languages, so that none is favoured by its sample.
     by_lang = [[(w, k) for w, k, _ in picked if k == lang and w] for lang in range(len(languages))]
     most = max(map(len, by_lang), default=0)
@@ -297,6 +369,7 @@ def train_model(
 
 def _labeller(model: Model | None):
     memo: dict[str, int] = {}
+    chars = [0]
     known = [np.empty((0, len(model.languages) if model else 0), dtype=np.float32)]
 
     def index(words: list[str]) -> np.ndarray:
@@ -305,6 +378,7 @@ def _labeller(model: Model | None):
             new = list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None))
             first = len(memo)
             memo.update((w, first + i) for i, w in enumerate(new))
+            chars[0] += sum(map(len, new))
             rows = model.emissions(new)
             if first + len(new) > len(known[0]):
                 grown = np.empty((max(4096, 2 * (first + len(new))), rows.shape[1]), dtype=np.float32)
@@ -331,8 +405,9 @@ def _labeller(model: Model | None):
             for (i, _), k, row in zip(held, best.tolist(), share, strict=True):
                 langs[i], scores[i] = model.languages[k], float(min(1.0, max(0.0, row[k])))
             held.clear()
-            if len(memo) > MEMO_SIZE:
+            if len(memo) > MEMO_SIZE or chars[0] > MEMO_CHARS:
                 memo.clear()
+                chars[0] = 0
 
         total = 0
         for i, text in enumerate(texts):
