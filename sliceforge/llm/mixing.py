@@ -82,11 +82,11 @@ def long_schedule(weights: DataFrame, period: int) -> DataFrame:
     the bits of the deadline, from the highest: the slots of the earlier half
     are worked out, and the later half goes on in the numbering of the slots
     that are left (``at`` is the release there).  Blocks of one deadline
-    are placed by release, and the numberings are undone from the lowest bit up.
+    are placed by release, then source, and the numberings are undone from the lowest bit up.
     """
     total = F.lit(period).cast("long")
     blocks = weights.select("source_key", "n", "w", total.alias("period"), F.explode(F.expr("sequence(0L, w - 1)")).alias("place"))
-    blocks = blocks.withColumn("at", F.expr("place * period div w"))
+    blocks = blocks.withColumn("release", F.expr("place * period div w")).withColumn("at", F.col("release"))
     blocks = blocks.withColumn("deadline", F.expr("((place + 1) * period + w - 1) div w"))
     bits = int(period).bit_length()
     order = ["at", "source_key", "place"]
@@ -101,8 +101,10 @@ def long_schedule(weights: DataFrame, period: int) -> DataFrame:
         blocks = blocks.withColumn("stand", F.when(F.col("late") == 0, _first_free(["half", "late"], order) - 1).otherwise(F.col("at")))
         taken = _rows_before(["half"], ["stand", F.desc("late"), "source_key", "place"], 1 - F.col("late"))
         blocks = blocks.withColumn("at", F.col("at") - F.when(F.col("late") == 1, taken).otherwise(0))
-    blocks = blocks.withColumn("nth", _rows_before(["deadline"], order))
-    blocks = blocks.withColumn("at", _first_free(["deadline"], order) - 1)
+    # Never against the order of ``at``, which follows the release.
+    ties = ["release", "source_key", "place"]
+    blocks = blocks.withColumn("nth", _rows_before(["deadline"], ties))
+    blocks = blocks.withColumn("at", _first_free(["deadline"], ties) - 1)
     for bit in range(bits):
         # An early block stands at the number of free slots before it; all those
         # up to a late block's number lie before its slot.
@@ -115,10 +117,10 @@ def long_schedule(weights: DataFrame, period: int) -> DataFrame:
 
 def period_schedule(weights: DataFrame) -> DataFrame:
     """(source_key, n, w, period, slot, place): the slots of one period, by
-    earliest deadline among the released blocks.
+    earliest deadline among the released blocks, ties by release, then source.
 
     A short period is folded over an array of sources in one row; any other
-    goes to ``long_schedule``.
+    goes to ``long_schedule``, which gives the same slots.
     """
     size = weights.agg(F.sum("w").alias("q"), F.count("*").alias("n")).first()
     if size["q"] and (size["q"] > FOLD_SLOTS or size["q"] * size["n"] > FOLD_STEPS):
@@ -135,8 +137,8 @@ def period_schedule(weights: DataFrame) -> DataFrame:
         (acc, t) -> aggregate(
           array(array_min(transform(s, (x, i) -> if(
               acc.done[i] * q div x.w <= t,
-              named_struct('deadline', ((acc.done[i] + 1) * q + x.w - 1) div x.w, 'i', i),
-              cast(null as struct<deadline: bigint, i: int>)))).i),
+              named_struct('deadline', ((acc.done[i] + 1) * q + x.w - 1) div x.w, 'release', acc.done[i] * q div x.w, 'i', i),
+              cast(null as struct<deadline: bigint, release: bigint, i: int>)))).i),
           acc,
           (a, pick) -> named_struct(
             'done', transform(a.done, (d, i) -> if(i = pick, d + 1L, d)),

@@ -19,9 +19,11 @@ FROM n
 OP2 = """
 WITH RECURSIVE counts AS (
   SELECT coalesce('s' || source, 'null') AS k, count(*) AS n FROM documents GROUP BY 1
+), total AS (
+  SELECT sum(sqrt(n::DOUBLE)) AS s, greatest(1000.0::DOUBLE, ceil(32.0::DOUBLE * sum(sqrt(n::DOUBLE)) / min(sqrt(n::DOUBLE)))) AS slots FROM counts
 ), weights AS (
-  SELECT k, n, greatest(1, CAST(floor(1000.0::DOUBLE * sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM counts) + 0.5) AS BIGINT)) AS w
-  FROM counts
+  SELECT k, n, greatest(1, CAST(floor(slots * sqrt(n::DOUBLE) / s + 0.5) AS BIGINT)) AS w
+  FROM counts, total
 ), per AS (
   SELECT CAST(sum(w) AS BIGINT) AS q, list(k ORDER BY k) AS ks, list(w ORDER BY k) AS ws FROM weights
 ), sched AS (
@@ -32,7 +34,7 @@ WITH RECURSIVE counts AS (
     SELECT slot + 1 AS slot, done,
       list_min(list_transform(
         list_filter(range(1, len(done) + 1), lambda i: done[i] * q // ws[i] <= slot + 1),
-        lambda i: ((done[i] + 1) * q + ws[i] - 1) // ws[i] * 100000 + i)) % 100000 AS p
+        lambda i: {'d': ((done[i] + 1) * q + ws[i] - 1) // ws[i], 'r': done[i] * q // ws[i], 'i': i})).i AS p
     FROM sched, per WHERE slot + 1 < q
   )
 ), slots AS (

@@ -86,3 +86,39 @@ def test_empty_table_and_wrong_weights(edge_docs, no_docs):
     assert mix_sources(no_docs, exhausted="repeat").count() == 0
     with pytest.raises(Exception, match="no weight for source"):
         mix_sources(edge_docs, given_weights(edge_docs, {"a": 1})).collect()
+
+
+def by_hand(given):
+    """Slots by the rule: of the released blocks that of the earliest deadline, then
+    of the earliest release, then of the source that comes first."""
+    period, done, out = sum(given.values()), dict.fromkeys(sorted(given), 0), []
+    for t in range(period):
+        ready = [(-(-(k + 1) * period // given[s]), k * period // given[s], s) for s, k in done.items() if k < given[s] and k * period // given[s] <= t]
+        s = min(ready)[2]
+        out.append((t, s, done[s]))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("given", [{"a": 3, "b": 5, "c": 2}, {"a": 7, "b": 7, "c": 3, "d": 3}, {"a": 1, "b": 1, "c": 1, "d": 9}, {"a": 50, "b": 31, "c": 15, "d": 3, "e": 1}])
+def test_both_schedules_give_the_same_slots(spark, given):
+    docs = spark.createDataFrame([(s, i) for i, s in enumerate(given)], "source string, doc_id long")
+    weights = given_weights(docs, given)
+    want = by_hand(given)
+    for rows in (period_schedule(weights).collect(), long_schedule(weights, sum(given.values())).collect()):
+        assert sorted((r["slot"], r["source_key"][1:], r["place"]) for r in rows) == want
+
+
+def test_the_sql_on_a_table_with_a_rare_source(spark, tmp_path):
+    import duckdb
+
+    from sliceforge.llm.oracle import OP2
+
+    rows = [(i, "hot" if i < 4000 else f"s{i % 3}" if i < 4300 else "rare") for i in range(4301)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    assert tempered_weights(docs).agg({"w": "sum"}).first()[0] > 1100  # the period grows with the rare source
+    got = sorted((r["doc_id"], r["mix"]["slot"], r["mix"]["place"]) for r in mix_sources(docs).collect())
+    con = duckdb.connect()
+    docs.toPandas().to_parquet(tmp_path / "d.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    assert sorted(con.sql(f"SELECT doc_id, slot, place FROM ({OP2})").fetchall()) == got
