@@ -38,15 +38,14 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 PLAIN_WORD = re.compile(r"[^\W\d_]+")
 
 
-def _odd_characters() -> re.Pattern:
+def _odd_characters() -> frozenset:
     """Characters on which the two patterns differ."""
     every = "".join(map(chr, range(sys.maxunicode + 1)))
     letters, plain = regex.compile(r"\p{L}+"), set()
     for run in PLAIN_WORD.findall(every):
         plain.update(run)
     both = set("".join(letters.findall(every)))
-    odd = sorted((plain ^ both) | set(regex.findall(r"\p{M}", every)))
-    return re.compile("[" + "".join(re.escape(c) for c in odd) + "]")
+    return frozenset(plain ^ both) | frozenset(regex.findall(r"\p{M}", every))
 
 
 ODD = _odd_characters()
@@ -69,7 +68,7 @@ UNDETERMINED = "und"
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters (``\\p{L}``, marks inside them)."""
     text = text.lower()
-    return (PLAIN_WORD if text.isascii() or not ODD.search(text) else WORD).findall(text)
+    return (PLAIN_WORD if text.isascii() or ODD.isdisjoint(text) else WORD).findall(text)
 
 
 def bucket(word: str) -> int:
