@@ -6,13 +6,12 @@ with text decoded and newline-normalised.
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sliceforge.functions.text import normalize_newlines
 from sliceforge.operators.validate import decode_utf8
+from sliceforge.sources.listing import list_files, read_files
 
 CORPUS_COLUMNS = ["doc_id", "filename", "path", "text", "decode_error"]
 
@@ -45,43 +44,44 @@ def assign_doc_id(path, run_id: str):
     return F.md5(F.concat(path, F.lit("\u0000"), F.lit(run_id)))
 
 
-def _kind(spark: SparkSession, location: str) -> str:
-    """``dir``, ``file`` or ``missing``, through Hadoop's FileSystem (hdfs://, s3a://, file:)."""
+def _locate(spark: SparkSession, location: str) -> tuple[str, str, int]:
+    """``dir``, ``file`` or ``missing``, the path with its scheme and its bytes,
+    through Hadoop's FileSystem (hdfs://, s3a://, file:)."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(location)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(path).toString()
     if not fs.exists(path):
-        return "missing"
-    return "dir" if fs.getFileStatus(path).isDirectory() else "file"
+        return "missing", whole, 0
+    status = fs.getFileStatus(path)
+    return "dir" if status.isDirectory() else "file", whole, status.getLen()
 
 
 def scan_corpus(spark: SparkSession, location: str, run_id: str = "run-0") -> DataFrame:
     """Read ``.txt`` files below a folder, or one ``.txt`` file.
 
-    Case-sensitive ``*.txt`` suffix, recursive.  Empty files are rows with an
-    empty text, which fail as empty later on (Spark's scan leaves them out; they
-    are the listed files that it does not read).  Names that begin with ``.`` or
-    ``_`` are hidden files to Spark and are not listed.
+    Case-sensitive ``*.txt`` suffix, recursive, whatever the name begins with.
+    Folders are listed and files read by tasks (see ``sources.listing``).  Empty
+    files are rows with an empty text, which fail as empty later on; a file that
+    cannot be read is a row with an error.
     """
-    kind = _kind(spark, location)
+    kind, whole, size = _locate(spark, location)
     if kind == "dir":
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+        files = list_files(spark, whole, ".txt")
+        found = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+        if not found["n"]:  # S3
+            raise ValueError(f"{location}: holds no .txt file")
+        size = found["size"]
     elif kind == "file" and location.endswith(".txt"):
-        reader = spark.read.format("binaryFile")
+        files = spark.createDataFrame([(whole, size)], "path string, size long")
     else:
         raise ValueError(f"{location}: expected a folder or a file with the suffix .txt")
-    raw = reader.load(location)
-    # The driver holds this listing in any case, to plan the scan.
-    listed = [(unquote(p).replace("file:///", "file:/", 1),) for p in raw.inputFiles()]
-    if not listed:  # S3
-        raise ValueError(f"{location}: holds no .txt file")
-    empty = spark.createDataFrame(listed, "path string").join(raw.select("path"), "path", "left_anti")
-    files = raw.select("path", "content").unionByName(empty.withColumn("content", F.lit("").cast("binary")))
+    raw = read_files(files, size)
     text, error = decode_utf8(F.col("content"))
-    return files.select(
+    return raw.select(
         assign_doc_id(F.col("path"), run_id).alias("doc_id"),
         F.element_at(F.split(F.col("path"), "/"), -1).alias("filename"),
         F.col("path"),
         text.alias("text"),
-        error.alias("decode_error"),
+        F.coalesce("read_error", error).alias("decode_error"),
     )
