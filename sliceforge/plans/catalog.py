@@ -30,6 +30,7 @@ from sliceforge.operators.records import (
 )
 from sliceforge.operators.stats import model_limits, with_model_limit
 from sliceforge.operators.verify import corrupt_chunks, verification_summary_all, verify_all_modes, verify_documents
+from sliceforge.operators.vocabulary import decode_texts, encode_texts, extend_vocabulary, read_vocabulary
 from sliceforge.plans import oracle
 from sliceforge.plans.changes import apply_changes, apply_upserts, create_chunk_store, create_document_store
 from sliceforge.plans.import_job import (
@@ -613,6 +614,30 @@ def q_vocabulary_decode(spark, sf_dir):
     return dec.join(n, "doc_id").select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_tokens")
 
 
+def q_vocabulary_ids(spark, sf_dir):
+    """C5 + C6 (integer form): a vocabulary of all documents, stored; the documents
+    encoded by it to dense ids and decoded again."""
+    docs = corpus(spark, sf_dir).select("doc_id", "text")
+    root = scratch_path(spark, "vocabulary")
+    extend_vocabulary(docs, root)
+    vocab = read_vocabulary(spark, root)
+    enc = materialize(encode_texts(docs, vocab), "encoded")
+    n = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+    return n.join(decode_texts(enc, vocab), "doc_id").select("doc_id", "n_ids", "ids_md5", F.md5("decoded").alias("decoded_md5"))
+
+
+def q_vocabulary_extended(spark, sf_dir):
+    """C5 over runs: the vocabulary of all documents, then extended by all
+    conversation turns and benchmark items: earlier ids stay, new tokens follow."""
+    root = scratch_path(spark, "vocabulary")
+    extend_vocabulary(corpus(spark, sf_dir), root)
+    turns = table(spark, sf_dir, "conversations").select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
+    extend_vocabulary(spread(turns), root)
+    earlier = read_vocabulary(spark, root, version=0).select("token", "id", F.lit(0).alias("version"))
+    added = read_vocabulary(spark, root).join(earlier.select("id"), "id", "left_anti").select("token", "id", F.lit(1).alias("version"))
+    return earlier.unionByName(added).select("token", *_bigint("id", "version"))
+
+
 def _bpe():
     return get_counter("bpe", encoding="byte_bpe_50k", on_special="text")
 
@@ -682,6 +707,8 @@ def queries() -> dict[str, QueryFn]:
         "concurrent_imports": q_concurrent_imports,
         "rule_encode": q_rule_encode,
         "vocabulary_decode": q_vocabulary_decode,
+        "vocabulary_ids": q_vocabulary_ids,
+        "vocabulary_extended": q_vocabulary_extended,
         "bpe_counts": q_bpe_counts,
         "chunks_bpe_256": q_chunks_bpe,
     }
@@ -738,6 +765,8 @@ def oracle_sql() -> dict[str, str]:
         "concurrent_imports": oracle.concurrent_imports_sql(8192),
         "rule_encode": oracle.rule_encode_sql(),
         "vocabulary_decode": oracle.vocabulary_decode_sql(),
+        "vocabulary_ids": oracle.vocabulary_ids_sql(),
+        "vocabulary_extended": oracle.vocabulary_extended_sql(),
         # bpe_counts, chunks_bpe_256: no BPE in DuckDB -> rows-only check; the
         # tests compare them with the same counter run outside Spark.
     }

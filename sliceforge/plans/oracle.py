@@ -551,3 +551,26 @@ def vocabulary_decode_sql() -> str:
     toks = f"regexp_extract_all(text, {q(TOKEN_PATTERN_JAVA)})"
     return ("WITH " + norm_cte() + "\n"
             f"SELECT doc_id, md5(array_to_string({toks}, ' ')) AS decoded_md5, CAST(len({toks}) AS BIGINT) AS n_tokens FROM norm")
+
+
+def vocabulary_ids_sql() -> str:
+    toks = f"regexp_extract_all(text, {q(TOKEN_PATTERN_JAVA)})"
+    return ("WITH " + norm_cte() + f""",
+toks AS (SELECT doc_id, {toks} AS t FROM norm),
+vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id
+          FROM (SELECT DISTINCT unnest(t) AS token FROM toks)),
+occ AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks),
+enc AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids FROM occ JOIN vocab USING (token) GROUP BY doc_id)
+SELECT toks.doc_id, CAST(len(t) AS BIGINT) AS n_ids, md5(coalesce(ids, '')) AS ids_md5, md5(array_to_string(t, ' ')) AS decoded_md5
+FROM toks LEFT JOIN enc ON toks.doc_id = enc.doc_id""")
+
+
+def vocabulary_extended_sql() -> str:
+    toks = lambda source: f"SELECT DISTINCT unnest(regexp_extract_all(text, {q(TOKEN_PATTERN_JAVA)})) AS token FROM {source}"
+    return ("WITH " + norm_cte() + f""",
+earlier AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM ({toks("norm")})),
+later AS ({toks("(SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)")}),
+added AS (SELECT token, (SELECT count(*) FROM earlier) + row_number() OVER (ORDER BY token) - 1 AS id
+          FROM later WHERE token NOT IN (SELECT token FROM earlier))
+SELECT token, CAST(id AS BIGINT) AS id, CAST(0 AS BIGINT) AS version FROM earlier
+UNION ALL SELECT token, CAST(id AS BIGINT) AS id, CAST(1 AS BIGINT) AS version FROM added""")
