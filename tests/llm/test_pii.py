@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -11,6 +12,7 @@ from sliceforge.llm.pii import (
     estimate_reliabilities,
     find_personal_data,
     find_spans,
+    islands,
     pattern_features,
     span_digests,
     train_span_classifier,
@@ -108,3 +110,18 @@ def test_empty_table(no_docs):
 def test_long_runs_are_read_once():
     base, _ = find_spans("a" * 200_000 + " 1" * 50_000 + "1." * 50_000 + "+1" + " " * 50_000 + "9" * 50_000)
     assert [k for k, *_ in base].count(0) == 0
+
+
+def test_islands_equal_the_rule_tried_at_every_place():
+    rule = re.compile(r"\+?[0-9(][\x20().0-9-]*[0-9]")
+    rnd = random.Random(7)
+    for _ in range(20_000):
+        text = "".join(rnd.choice("19 ()+.-a+") for _ in range(rnd.randint(0, 24)))
+        assert islands(text) == [m.span() for m in rule.finditer(text)], text
+
+
+def test_megabytes_of_brackets():
+    for unit in ("(", "( ", "1(", "+(", "(.", "1 "):
+        start = time.perf_counter()
+        find_spans(unit * (4_000_000 // len(unit)))
+        assert time.perf_counter() - start < 20, unit
