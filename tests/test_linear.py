@@ -1,5 +1,6 @@
 """Long texts cost linear time, and the packer's failures fail their document."""
 
+import random
 import time
 
 import pytest
@@ -39,6 +40,28 @@ def test_long_word_and_long_document(spark, engine):
     assert _timed(lambda: long.agg(F.count("*")).collect()) < 6
 
 
+@pytest.mark.parametrize("engine", ["arrow", "catalyst"])
+def test_many_short_sentences_and_words(spark, engine):
+    # 100,000 sentences of two tokens; one sentence of 100,000 words.
+    for text, chunks in ((" ".join(f"s{i}." for i in range(100_000)), 25_000), (" ".join(f"w{i}" for i in range(100_000)), 12_500)):
+        rows = chunk_documents(spark.createDataFrame([("1", text)], "doc_id string, text string"), 8, strategy="sentence", engine=engine)
+        start = time.perf_counter()
+        got = [r["text"] for r in rows.orderBy("number").select("text").collect()]
+        assert len(got) == chunks and " ".join(got) == text
+        assert time.perf_counter() - start < 20
+
+
+def test_engines_agree_on_oversize_words_and_sentences(spark):
+    rnd = random.Random(3)
+    word = lambda: "-".join("ab"[: rnd.randint(1, 2)] for _ in range(rnd.choice((1, 1, 1, 2, 9))))
+    docs = [(str(i), " ".join(word() + rnd.choice(("", "", "", ".", "!")) for _ in range(rnd.randint(0, 40)))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    for limit in (1, 3, 8):
+        for counter in ("regex", "chars"):
+            a, b = (sorted(map(tuple, chunk_documents(df, limit, counter, "sentence", engine=e).collect())) for e in ("arrow", "catalyst"))
+            assert a == b and a
+
+
 def test_engines_agree_on_letters_that_are_new_in_unicode(spark):
     # Assigned after the JVM's or before Python's tables were made; either way one counter.
     new = "".join(chr(c) for c in range(0x31350, 0x313B4))
