@@ -24,11 +24,9 @@ from sliceforge.session import materialize
 from sliceforge.sinks.commit_log import CommitLog
 
 VOCABULARY_SCHEMA = "token string, id long"
-#: A value is hot if it has over one in so many of the rows that look values up:
+#: A value is hot if it has over one in so many of the pairs that are looked up:
 #: there are fewer hot values than this, whatever the data.
-HOT_SHARE = 1_000
-#: Hot rows spread over so many parts of the exchange.
-HOT_SALTS = 4_096
+HOT_SHARE = 50_000
 #: Id of a token that is not in the vocabulary, and text of an id that is not.
 UNKNOWN_ID = -1
 UNKNOWN_TOKEN = "�"
@@ -104,16 +102,18 @@ def read_vocabulary(spark: SparkSession, root: str, version: int | None = None)
     return _segments(spark, root, entry)
 
 
-def _placer(out: DataType, unknown):
+def _placer(out: DataType, hot: dict, unknown, spark: SparkSession):
     kind = pa.int64() if out.simpleString() == "bigint" else pa.string()
+    shared = spark.sparkContext.broadcast(hot)
 
     @F.arrow_udf(ArrayType(out))
     def place(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        common = shared.value
         for values, known, found in batches:
             rows = []
             for v, k, f in zip(values.to_pylist(), known.to_pylist(), found.to_pylist(), strict=True):
-                table = dict(zip(k or (), f or (), strict=True))
-                rows.append(None if v is None else [table.get(x, unknown) for x in v])
+                own = dict(zip(k or (), f or (), strict=True))
+                rows.append(None if v is None else [common[x] if x in common else own.get(x, unknown) for x in v])
             yield pa.array(rows, pa.list_(kind))
 
     return place
@@ -122,40 +122,40 @@ def _placer(out: DataType, unknown):
 def translate(rows: DataFrame, array_col: str, table: DataFrame, source: str, target: str, unknown, key: str = "doc_id") -> DataFrame:
     """Each value of an array column looked up in ``table`` (``source`` -> ``target``).
 
-    A row's distinct values travel once to the table and back.  Values that over
-    1 in 1,000 of these have (fewer than 1,000 values, by their share) are looked
-    up by broadcast and dealt over many parts; no other key holds more than that
-    share of an exchange.  A value that the table lacks gives ``unknown``; a null
+    Values that over one in ``HOT_SHARE`` of all (row, distinct value) pairs have are
+    looked up where their row is (fewer than ``HOT_SHARE`` values, by their share); only the
+    pairs of the other values travel to the table and back, and no key holds more
+    than that share of them.  A value that the table lacks gives ``unknown``; a null
     array stays null.  ``key`` names rows: rows of equal or null key keep their own
-    values.
+    values.  ``rows`` is read three times: pass a stored table.
     """
+    spark = rows.sparkSession
     values = rows.select(key, F.explode(F.array_distinct(array_col)).alias("__value"))
     counts = materialize(values.groupBy("__value").agg(F.count("*").alias("__n")), "value-counts")
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("__n") * HOT_SHARE > total).select("__value")
     pairs = table.select(F.col(source).alias("__value"), F.col(target).alias("__target"))
-    hot = materialize(hot.join(pairs, "__value", "left").select("__value", F.col("__target").alias("__hot"), F.lit(True).alias("__is_hot")), "hot-values")
-    salted = values.join(F.broadcast(hot), "__value", "left").withColumn(
-        "__salt", F.when(F.col("__is_hot"), F.pmod(F.xxhash64(key, "__value"), F.lit(HOT_SALTS)) + 1).otherwise(F.lit(0).cast("long"))
-    )
-    met = salted.join(pairs.withColumn("__salt", F.lit(0).cast("long")), ["__value", "__salt"], "left")
-    found = met.select(F.col(key).alias("__key"), "__value", F.coalesce("__hot", "__target").alias("__target")).where("__target is not null")
+    hot = counts.where(F.col("__n") * HOT_SHARE > total).select("__value").join(pairs, "__value", "left").collect()
+    known = spark.createDataFrame([(r["__value"],) for r in hot], counts.select("__value").schema)
+    cold = values.join(F.broadcast(known), "__value", "left_anti")
+    found = cold.join(pairs, "__value").select(F.col(key).alias("__key"), "__value", "__target")
     # Two lists of one collected list, so that their order is the same.
     lists = found.groupBy("__key").agg(F.collect_list(F.struct("__value", "__target")).alias("__pairs"))
     back = rows.join(lists, rows[key].eqNullSafe(lists["__key"]), "left")
-    place = _placer(table.schema[target].dataType, unknown)
+    common = {r["__value"]: unknown if r["__target"] is None else r["__target"] for r in hot}
+    place = _placer(table.schema[target].dataType, common, unknown, spark)
     return back.withColumn(array_col, place(F.col(array_col), F.col("__pairs.__value"), F.col("__pairs.__target"))).drop("__key", "__pairs")
 
 
 def encode_texts(texts: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(key, ids)``, ``ids`` an ``array<long>`` of the rule tokens in order;
     a token that the vocabulary lacks is -1, a null text has null ids."""
-    tokens = texts.select(key, regex_tokens(F.col(text_col)).alias("ids"))
+    tokens = materialize(texts.select(key, regex_tokens(F.col(text_col)).alias("ids")), "document-tokens")
     return translate(tokens, "ids", vocabulary, "token", "id", UNKNOWN_ID, key)
 
 
 def decode_texts(encoded: DataFrame, vocabulary: DataFrame, key: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(key, decoded)``, the tokens of the ids joined by a space; an id that
-    the vocabulary lacks is U+FFFD, null ids give a null text."""
+    the vocabulary lacks is U+FFFD, null ids give a null text.  ``encoded`` is read
+    three times: pass a stored table."""
     tokens = translate(encoded.select(key, ids_col), ids_col, vocabulary, "id", "token", UNKNOWN_TOKEN, key)
     return tokens.select(key, F.array_join(ids_col, " ").alias("decoded"))
