@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sliceforge.functions.sentences import get_splitter
 from sliceforge.functions.tokens import get_counter
-from sliceforge.operators.chunker import Measure, TokenMeasure, bisect_piece, chunk_documents
+from sliceforge.operators.chunker import Measure, TokenMeasure, _pack_one, bisect_piece, chunk_documents
 from sliceforge.plans.import_job import prepare, processing_state_table
 from sliceforge.config import ChunkOptions
 from sliceforge.sources.corpus import corpus_from_table
@@ -99,3 +99,14 @@ def test_a_text_that_the_counter_refuses_fails_its_document(spark):
         rows = {r["doc_id"]: r for r in processing_state_table(prepare(corpus_from_table(docs), opts, c)).collect()}
         assert rows["1"]["is_complete"] and not rows["2"]["is_complete"]
         assert "endoftext" in rows["2"]["error_message"]
+
+
+@pytest.mark.parametrize("strategy", ["greedy", "sentence"])
+def test_any_failure_of_a_counter_fails_its_document_alone(strategy):
+    def count(text):
+        if "bad" in text:
+            raise RuntimeError("no vocabulary entry")
+        return len(text.split())
+
+    assert _pack_one(["Fine text."], None, None, strategy, 4, count, "reference") == (["Fine text."], None)
+    assert _pack_one(["bad text."], None, None, strategy, 4, count, "reference") == (None, "no vocabulary entry")
