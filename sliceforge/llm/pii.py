@@ -302,12 +302,14 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def span_digests(found: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)
-    ]
+
+    def of_kind(k: int) -> F.Column:
+        # A lambda of two arguments would get the span's place as the second one.
+        return F.size(F.filter("base", lambda s: s["kind"] == F.lit(k))).cast("long")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),

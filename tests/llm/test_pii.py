@@ -63,6 +63,19 @@ def test_digests_on_edge_rows(edge_docs):
     assert sorted((str(r["doc_id"]), *tuple(r)[1:6]) for r in rows) == sorted(want)
 
 
+def test_counts_are_those_of_their_kind(spark):
+    texts = [
+        "mail a.b@c.de and x@y.org or z@q.net",
+        "hosts 10.0.0.1, 192.168.1.1 and 300.1.1.1",
+        "card 4111 1111 1111 1111, call +1 (555) 123-4567 or +49 170 1234567",
+        "a.b@c.de, 10.0.0.1, 4111-1111-1111-1111, +1 (555) 123-4567",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:5] for r in span_digests(find_personal_data(df)).collect()}
+    assert got == {0: (3, 0, 0, 0), 1: (0, 2, 0, 0), 2: (0, 0, 1, 2), 3: (1, 1, 1, 1), 4: (0, 0, 0, 0)}
+
+
 def test_added_spans(spark):
     rnd = random.Random(1)
     rows = []
