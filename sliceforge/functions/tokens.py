@@ -7,7 +7,7 @@ Python form of a counter, for the packer under ``bpe`` and for tests.
 
 * ``regex`` (C2)  words and single punctuation marks; pure Catalyst.
 * ``chars``        number of code points; for tests and golden cases.
-* ``bpe``   (C1)   byte-pair encoding through tiktoken, Arrow pandas UDFs.
+* ``bpe``   (C1)   byte-pair encoding through tiktoken, Arrow UDFs.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import functools
 import logging
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,39 +149,54 @@ def _safe(count):
     return run
 
 
+#: Rows of a batch that are Python objects at a time; the others stay Arrow data,
+#: so a worker's memory does not grow with the rows of a batch.
+ROWS_AT_ONCE = 32
+
+
+def in_slices(kind: pa.DataType, work, *arrays: pa.Array) -> pa.Array:
+    """``work`` over the rows of a batch, a few at a time: it takes the values of
+    each array and gives the results, one per row (a list, or Arrow data)."""
+    parts = []
+    for i in range(0, len(arrays[0]), ROWS_AT_ONCE):
+        done = work(*(a.slice(i, ROWS_AT_ONCE).to_numpy(zero_copy_only=False) for a in arrays))
+        parts.append(done if isinstance(done, pa.Array) else pa.array(done, kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _bpe_count_udf(spec: CounterSpec):
-    @F.pandas_udf(T.IntegerType())
-    def bpe_count(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.IntegerType())
+    def bpe_count(texts: pa.Array) -> pa.Array:
         count = _safe(py_counter(spec))
-        return pd.Series([count(t) for t in texts], dtype="Int32")
+        return in_slices(pa.int32(), lambda rows: [count(t) for t in rows], texts)
 
     return bpe_count
 
 
 def _bpe_count_array_udf(spec: CounterSpec):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def bpe_count_array(arrays: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def bpe_count_array(arrays: pa.Array) -> pa.Array:
         count = _safe(py_counter(spec))
-        return pd.Series([None if a is None else [count(t) for t in a] for a in arrays])
+        return in_slices(pa.list_(pa.int32()), lambda rows: [None if a is None else [count(t) for t in a] for a in rows], arrays)
 
     return bpe_count_array
 
 
 def _bpe_encode_udf(spec: CounterSpec):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def bpe_encode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def bpe_encode(texts: pa.Array) -> pa.Array:
         enc = _bpe_encoding(spec.encoding)
         fn = enc.encode_ordinary if spec.on_special == "text" else enc.encode
-        return pd.Series([None if t is None else fn(t) for t in texts])
+        return in_slices(pa.list_(pa.int32()), lambda rows: [None if t is None else fn(t) for t in rows], texts)
 
     return bpe_encode
 
 
 def _bpe_decode_udf(spec: CounterSpec):
-    @F.pandas_udf(T.StringType())
-    def bpe_decode(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def bpe_decode(ids: pa.Array) -> pa.Array:
         enc = _bpe_encoding(spec.encoding)
-        return pd.Series([None if x is None else enc.decode(list(x)) for x in ids])
+        return in_slices(pa.string(), lambda rows: [None if x is None else enc.decode(x.tolist()) for x in rows], ids)
 
     return bpe_decode
 
