@@ -299,18 +299,17 @@ def vocabulary(texts, text_col: str = "text"):
 def decode_with_vocabulary(encoded, vocab, ids_col: str = "ids", key: str = "doc_id"):
     """Ids -> text through the vocabulary table (tokens joined by ' ').
 
-    Only the distinct ids of each document travel: they meet the vocabulary, the
-    found tokens return to their document as one map (bounded by the document's
-    vocabulary), and the text is rebuilt in place from the ids.  No exchange of
-    token occurrences; how the vocabulary is joined is left to Spark's estimate
-    of its bytes, and a token that most documents use is split by adaptive skew
-    handling.  Documents without tokens decode to the empty text; two tokens of
-    one id would be an error (a map does not take a key twice).
+    Only distinct ids of each document travel, and of them only those that few
+    documents use (see ``operators.vocabulary.translate``); the text is rebuilt in
+    place from the ids, each looked up by its hash.  No exchange of token
+    occurrences.  Documents without tokens decode to the empty text; two tokens of
+    one id are an error.  ``encoded`` is read three times: pass a stored table.
     """
-    ids = encoded.select(key, F.explode(F.array_distinct(ids_col)).alias("id"))
-    found = ids.join(vocab.select("id", "token"), "id").groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("_tokens")
+    from sliceforge.operators.vocabulary import translate
+
+    # A token's id is its MD5, so an id with two tokens fails the job.
+    one = vocab.groupBy("id").agg(F.min("token").alias("token"), F.count("*").alias("n")).select(
+        "id", F.when(F.col("n") == 1, F.col("token")).otherwise(F.raise_error(F.lit("two tokens of one id"))).alias("token")
     )
-    back = encoded.select(key, ids_col).join(found, key, "left")
-    text = F.array_join(F.transform(ids_col, lambda i: F.element_at(F.col("_tokens"), i)), " ")
-    return back.select(key, F.coalesce(text, F.lit("")).alias("decoded"))
+    tokens = translate(encoded.select(key, ids_col), ids_col, one, "id", "token", None, key)
+    return tokens.select(key, F.coalesce(F.array_join(ids_col, " "), F.lit("")).alias("decoded"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType
 
-from sliceforge.functions.tokens import regex_tokens
+from sliceforge.functions.tokens import ROWS_AT_ONCE, regex_tokens
 from sliceforge.session import materialize
 from sliceforge.sinks.commit_log import CommitLog
 
@@ -102,6 +102,14 @@ def read_vocabulary(spark: SparkSession, root: str, version: int | None = None)
     return _segments(spark, root, entry)
 
 
+def _lists(rows: pa.Array) -> list:
+    """The rows of a list array as Python lists (through numpy, which is faster
+    where no element is null)."""
+    if rows.flatten().null_count:
+        return rows.to_pylist()
+    return [None if x is None else x.tolist() for x in rows.to_numpy(zero_copy_only=False)]
+
+
 def _placer(out: DataType, hot: dict, unknown, spark: SparkSession):
     kind = pa.int64() if out.simpleString() == "bigint" else pa.string()
     shared = spark.sparkContext.broadcast(hot)
@@ -109,12 +117,15 @@ def _placer(out: DataType, hot: dict, unknown, spark: SparkSession):
     @F.arrow_udf(ArrayType(out))
     def place(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         common = shared.value
-        for values, known, found in batches:
-            rows = []
-            for v, k, f in zip(values.to_pylist(), known.to_pylist(), found.to_pylist(), strict=True):
-                own = dict(zip(k or (), f or (), strict=True))
-                rows.append(None if v is None else [common[x] if x in common else own.get(x, unknown) for x in v])
-            yield pa.array(rows, pa.list_(kind))
+        for batch in batches:
+            parts = []
+            for i in range(0, len(batch[0]), ROWS_AT_ONCE):
+                rows = []
+                for v, k, f in zip(*(_lists(a.slice(i, ROWS_AT_ONCE)) for a in batch), strict=True):
+                    own = dict(zip(k or (), f or (), strict=True))
+                    rows.append(None if v is None else [common[x] if x in common else own.get(x, unknown) for x in v])
+                parts.append(pa.array(rows, pa.list_(kind)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
 
     return place
 

@@ -607,7 +607,7 @@ def q_rule_encode(spark, sf_dir):
 def q_vocabulary_decode(spark, sf_dir):
     """C6 (vocabulary form): decode ids through the corpus vocabulary table."""
     c = corpus(spark, sf_dir)
-    enc = c.select("doc_id", get_counter("regex").encode(F.col("text")).alias("ids"))
+    enc = materialize(c.select("doc_id", get_counter("regex").encode(F.col("text")).alias("ids")), "encoded")
     vocab = materialize(vocabulary(c), "vocabulary")  # a stored table, so Spark knows its size
     dec = decode_with_vocabulary(enc, vocab)
     n = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))

@@ -1,5 +1,6 @@
 """Token counters: JVM and Python forms agree; BPE round trip; fallback."""
 
+import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,3 +102,41 @@ def test_vocabulary_by_path():
     by_path = py_counter(CounterSpec("bpe", encoding=public_tokenizers.path("byte_bpe_50k.tiktoken"), on_special="text"))
     for text in ("Hello there, it's 2024.", "  naïveté\n\n東京 ", ""):
         assert by_name(text) == by_path(text)
+
+
+def test_decoding_long_rows_takes_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sliceforge.functions.tokens import decode_with_vocabulary, regex_encode, vocabulary
+
+    text = " ".join(f"w{i % 20_000}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "a b"), (3, ""), (4, None)], "doc_id long, text string")
+    enc = docs.select("doc_id", regex_encode(F.col("text")).alias("ids"))
+    vocab = vocabulary(docs).where("token <> 'b'")
+    start = time.perf_counter()
+    got = {r.doc_id: r.decoded for r in decode_with_vocabulary(enc, vocab).collect()}
+    assert got == {1: text, 2: "a", 3: "", 4: ""}
+    assert time.perf_counter() - start < 30
+    again = vocab.unionByName(vocab.where("token = 'a'").selectExpr("id", "'other' AS token"))
+    with pytest.raises(Exception, match="two tokens of one id"):
+        decode_with_vocabulary(enc, again).collect()
+
+
+def test_bpe_functions_keep_few_rows_as_objects():
+    import pyarrow as pa
+
+    from sliceforge.functions.tokens import ROWS_AT_ONCE, in_slices
+
+    seen = []
+
+    def work(rows):
+        seen.append(len(rows))
+        return [None if r is None else len(r) for r in rows]
+
+    texts = [None if i % 7 == 0 else "x" * i for i in range(300)]
+    got = in_slices(pa.int32(), work, pa.array(texts, pa.string()))
+    assert got.to_pylist() == [None if t is None else len(t) for t in texts]
+    assert max(seen) <= ROWS_AT_ONCE and sum(seen) == 300
+    assert in_slices(pa.int32(), work, pa.array([], pa.string())).to_pylist() == []
