@@ -148,10 +148,12 @@ def translate(rows: DataFrame, array_col: str, table: DataFrame, source: str, ta
     hot = counts.where(F.col("__n") * HOT_SHARE > total).select("__value").join(pairs, "__value", "left").collect()
     known = spark.createDataFrame([(r["__value"],) for r in hot], counts.select("__value").schema)
     cold = values.join(F.broadcast(known), "__value", "left_anti")
-    found = cold.join(pairs, "__value").select(F.col(key).alias("__key"), "__value", "__target")
+    # A struct of the key is never null and equal to that of another null key, so the
+    # lists are joined as they were grouped, without another exchange.
+    found = cold.join(pairs, "__value").select(F.struct(F.col(key).alias("k")).alias("__key"), "__value", "__target")
     # Two lists of one collected list, so that their order is the same.
     lists = found.groupBy("__key").agg(F.collect_list(F.struct("__value", "__target")).alias("__pairs"))
-    back = rows.join(lists, rows[key].eqNullSafe(lists["__key"]), "left")
+    back = rows.withColumn("__key", F.struct(F.col(key).alias("k"))).join(lists, "__key", "left")
     common = {r["__value"]: unknown if r["__target"] is None else r["__target"] for r in hot}
     place = _placer(table.schema[target].dataType, common, unknown, spark)
     return back.withColumn(array_col, place(F.col(array_col), F.col("__pairs.__value"), F.col("__pairs.__target"))).drop("__key", "__pairs")

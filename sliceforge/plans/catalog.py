@@ -609,9 +609,10 @@ def q_vocabulary_decode(spark, sf_dir):
     c = corpus(spark, sf_dir)
     enc = materialize(c.select("doc_id", get_counter("regex").encode(F.col("text")).alias("ids")), "encoded")
     vocab = materialize(vocabulary(c), "vocabulary")  # a stored table, so Spark knows its size
-    dec = decode_with_vocabulary(enc, vocab)
+    # Only digests meet: a projection is not moved below a join by itself.
+    dec = decode_with_vocabulary(enc, vocab).select("doc_id", F.md5("decoded").alias("decoded_md5"))
     n = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
-    return dec.join(n, "doc_id").select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_tokens")
+    return dec.join(n, "doc_id").select("doc_id", "decoded_md5", "n_tokens")
 
 
 def q_vocabulary_ids(spark, sf_dir):
@@ -623,7 +624,9 @@ def q_vocabulary_ids(spark, sf_dir):
     vocab = read_vocabulary(spark, root)
     enc = materialize(encode_texts(docs, vocab), "encoded")
     n = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
-    return n.join(decode_texts(enc, vocab), "doc_id").select("doc_id", "n_ids", "ids_md5", F.md5("decoded").alias("decoded_md5"))
+    # Only digests meet: a projection is not moved below a join by itself.
+    dec = decode_texts(enc, vocab).select("doc_id", F.md5("decoded").alias("decoded_md5"))
+    return n.join(dec, "doc_id").select("doc_id", "n_ids", "ids_md5", "decoded_md5")
 
 
 def q_vocabulary_extended(spark, sf_dir):
