@@ -27,11 +27,11 @@ own rank instead.  This changes where rows meet, not what is removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +50,8 @@ PAD = LENGTH
 #: Bytes worked on at once, and the longest piece of one document.
 CHUNK_BYTES = 1 << 19
 PIECE_BYTES = 1 << 22
+#: Bytes of text whose decisions are held at once (one longer text is held alone).
+SLICE_BYTES = 1 << 21
 #: Share of the sampled anchors that makes a rank hot, and the sample (1 of n documents).
 HOT_SHARE = 1 / 20_000
 HOT_SAMPLE = 64
@@ -110,7 +112,7 @@ class Chunk:
         return at - self.base[piece] + self.shift[piece]
 
 
-def chunks(texts: list[bytes], piece_bytes: int | None = None) -> Iterator[Chunk]:
+def chunks(texts: Iterable[bytes], piece_bytes: int | None = None) -> Iterator[Chunk]:
     """Chunks of a batch; texts below LENGTH have no window.  A document longer
     than a piece (PIECE_BYTES) is cut so that each window is in one piece."""
     piece_bytes = piece_bytes or PIECE_BYTES
@@ -128,6 +130,26 @@ def chunks(texts: list[bytes], piece_bytes: int | None = None) -> Iterator[Chunk
         yield Chunk(held)
 
 
+def text_slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about SLICE_BYTES of the texts in column ``text``."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def list_rows(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists, and the row of each (null lists have none)."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), size)
+
+
+def lists_of(row: np.ndarray, n: int, values: dict[str, pa.Array]) -> pa.ListArray:
+    """One list of structs for each of ``n`` rows; ``row`` is the row of each value, ascending."""
+    offsets = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(values.values()), names=list(values)))
+
+
 def first_of_group(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray):
     """Rows ordered by ``keys``, doc and pos: (order, starts a group, is after the
     group's first position)."""
@@ -162,7 +184,7 @@ def hot_ranks(rows: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [c.grams[c.anchor] for c in chunks(b.column(0).to_pylist())]
+            found = [c.grams[c.anchor] for c in chunks(x.as_py() for x in b.column(0))]
             if found:
                 rank, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch({"rank": pa.array(rank.view(np.int64)), "n": pa.array(n)})
@@ -187,7 +209,7 @@ def anchor_rows(rows: DataFrame, hot: np.ndarray) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for c in chunks(b.column(2).to_pylist(), piece_bytes):
+            for c in chunks((x.as_py() for x in b.column(2)), piece_bytes):
                 at, owner = c.anchor, c.owner[c.piece]
                 rank = c.grams[at].view(np.int64)
                 context = ranks_at(c.grams, at - REACH, LENGTH + REACH).view(np.int64)
@@ -210,7 +232,7 @@ def anchor_rows(rows: DataFrame, hot: np.ndarray) -> DataFrame:
     return rows.select("doc", "mark", "t").mapInArrow(scan, ANCHOR_ROWS)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], size: int = 1 << 18) -> Iterator[pa.Table]:
+def _runs(batches: Iterator[pa.RecordBatch], size: int = 1 << 16) -> Iterator[pa.Table]:
     """Batches sorted by their first column, put together so that equal values
     stay together."""
     held: list[pa.RecordBatch] = []
@@ -264,7 +286,9 @@ def _by_document(flagged: DataFrame, value: F.Column, name: str) -> DataFrame:
     )
 
 
-WINDOW_ROWS = "covered array<struct<a:long,b:long>>, windows array<struct<key:long,first:long,ranks:binary>>"
+WINDOW_ROWS = (
+    "doc long, mark long, covered array<struct<a:long,b:long>>, windows array<struct<key:long,first:long,ranks:binary>>"
+)
 
 
 def open_windows(rows: DataFrame, flagged: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -272,54 +296,76 @@ def open_windows(rows: DataFrame, flagged: DataFrame, hot: np.ndarray) -> DataFr
     windows that repeat, and runs that are to be compared, with their ranks."""
     piece_bytes = PIECE_BYTES
 
-    @F.pandas_udf(f"struct<{WINDOW_ROWS.replace(' array', ':array')}>")
-    def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, lists in batches:
-            covered: list[list] = [[] for _ in texts]
-            windows: list[list] = [[] for _ in texts]
-            flags = [np.unique(np.asarray(x, dtype=np.int64)) for x in lists]
-            for c in chunks(texts.tolist(), piece_bytes):
-                owner = c.owner[c.piece]
-                # Flag of each anchor: its packed place is looked up in its document's list.
-                place = c.place(c.anchor, c.piece)
-                known = place << 1 | c.odd[c.piece]
-                flag = np.zeros(len(place), dtype=np.int64)
-                for d in np.unique(owner).tolist():
-                    at = np.flatnonzero(owner == d) if len(c.owner) > 1 else np.arange(len(place))
-                    i = np.minimum(np.searchsorted(flags[d] >> 3, known[at]), len(flags[d]) - 1)
-                    flag[at] = np.where(flags[d][i] >> 3 == known[at], flags[d][i] & 7, 0)
-                shift = place - c.anchor
-                is_hot = np.isin(c.grams[c.anchor].view(np.int64), hot)
-                for i in np.flatnonzero(flag).tolist():
-                    d, a, b = int(owner[i]), int(c.first[i]), int(c.last[i])
-                    s, f, middle = int(shift[i]), int(flag[i]), int(c.anchor[i]) - HALF
-                    if f & COVERED:
-                        covered[d].append((a + s, b + s))
-                        continue
-                    if not f & RIGHT:
-                        b = min(b, middle - 1)
-                    if not f & LEFT:
-                        a = max(a, middle)
-                    if a > b:
-                        continue
-                    ranks = ranks_at(c.grams, np.arange(a, b + 1), LENGTH)
-                    if is_hot[i]:
-                        windows[d] += [
-                            (int(r), a + s + j, r.tobytes()) for j, r in enumerate(ranks.view(np.int64))
-                        ]
-                    else:
-                        windows[d].append((int(c.grams[c.anchor[i]].view(np.int64)), a + s, ranks.tobytes()))
-            yield pd.DataFrame(
-                {
-                    "covered": [[{"a": a, "b": b} for a, b in x] for x in covered],
-                    "windows": [[{"key": k, "first": f, "ranks": r} for k, f, r in x] for x in windows],
-                }
-            )
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 2):
+                yield pa.record_batch([part.column(0), part.column(1), *_open(part, hot, piece_bytes)], names=names)
 
+    names = ["doc", "mark", "covered", "windows"]
     packed = F.shiftleft(F.shiftright("pos", 24), 4) + F.shiftleft("odd", 3) + F.col("flags")
     lists = _by_document(flagged, packed, "flagged")
     joined = rows.join(lists, ["doc", "mark"])
-    return joined.select("doc", "mark", scan("t", "flagged").alias("w")).select("doc", "mark", "w.*")
+    return joined.select("doc", "mark", "t", "flagged").mapInArrow(scan, WINDOW_ROWS)
+
+
+def _open(part: pa.RecordBatch, hot: np.ndarray, piece_bytes: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """The lists ``covered`` and ``windows`` of a slice of documents with their flags."""
+    none = np.zeros(0, dtype=np.int64)
+    # Of the runs in order of document: document, first and last window; of the
+    # windows: document, key, first window, and their ranks with the number of them.
+    covered: list[tuple[int, int, int]] = []
+    owners, keys, firsts, counts, values = [none], [none], [none], [none], [none.view(np.uint64)]
+    found, row = list_rows(part.column(3))
+    flags = np.split(found.to_numpy(zero_copy_only=False), np.searchsorted(row, np.arange(1, part.num_rows)))
+    flags = [np.unique(f) for f in flags]
+    for c in chunks((x.as_py() for x in part.column(2)), piece_bytes):
+        owner = c.owner[c.piece]
+        # Flag of each anchor: its packed place is looked up in its document's list.
+        place = c.place(c.anchor, c.piece)
+        known = place << 1 | c.odd[c.piece]
+        flag = np.zeros(len(place), dtype=np.int64)
+        for d in np.unique(owner).tolist():
+            at = np.flatnonzero(owner == d) if len(c.owner) > 1 else np.arange(len(place))
+            i = np.minimum(np.searchsorted(flags[d] >> 3, known[at]), len(flags[d]) - 1)
+            flag[at] = np.where(flags[d][i] >> 3 == known[at], flags[d][i] & 7, 0)
+        shift = place - c.anchor
+        rank = c.grams[c.anchor].view(np.int64)
+        is_hot = np.isin(rank, hot)
+        for i in np.flatnonzero(flag).tolist():
+            d, a, b = int(owner[i]), int(c.first[i]), int(c.last[i])
+            s, f, middle = int(shift[i]), int(flag[i]), int(c.anchor[i]) - HALF
+            if f & COVERED:
+                covered.append((d, a + s, b + s))
+                continue
+            if not f & RIGHT:
+                b = min(b, middle - 1)
+            if not f & LEFT:
+                a = max(a, middle)
+            if a > b:
+                continue
+            windows = np.arange(a, b + 1)
+            values.append(ranks_at(c.grams, windows, LENGTH))
+            # A run goes by the rank of its anchor, windows of hot ranks by their own.
+            m = len(windows) if is_hot[i] else 1
+            owners.append(np.full(m, d))
+            keys.append(values[-1].view(np.int64) if is_hot[i] else rank[i : i + 1])
+            firsts.append(windows[:m] + s)
+            counts.append(np.full(m, len(windows) // m))
+    runs = np.array(covered, dtype=np.int64).reshape(-1, 3)
+    ends = np.concatenate(([0], np.cumsum(np.concatenate(counts) * 8))).astype(np.int32)
+    ranks = pa.py_buffer(np.concatenate(values))
+    return (
+        lists_of(runs[:, 0], part.num_rows, {"a": pa.array(runs[:, 1].copy()), "b": pa.array(runs[:, 2].copy())}),
+        lists_of(
+            np.concatenate(owners),
+            part.num_rows,
+            {
+                "key": pa.array(np.concatenate(keys)),
+                "first": pa.array(np.concatenate(firsts)),
+                "ranks": pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), ranks]),
+            },
+        ),
+    )
 
 
 def repeated_windows(opened: DataFrame) -> DataFrame:
@@ -369,38 +415,53 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     decided = decided.join(starts, (F.col("doc") == F.col("d2")) & (F.col("mark") == F.col("m2")), "left")
     decided = decided.select("doc", "mark", "covered", "starts")
 
-    @F.pandas_udf("spans array<struct<start:long,end:long>>, kept binary")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, covered, starts in batches:
-            spans, kept = [], []
-            for text, runs, single in zip(texts, covered, starts, strict=True):
-                # Window starts a..b repeat: bytes a to b + LENGTH go.
-                a = np.array([r["a"] for r in runs] if runs is not None else [], dtype=np.int64)
-                b = np.array([r["b"] for r in runs] if runs is not None else [], dtype=np.int64)
-                one = np.array([] if single is None else single, dtype=np.int64)
-                found = _merged(np.concatenate((a, one)), np.concatenate((b, one)) + LENGTH)
-                at, parts = 0, []
-                for s, e in found:
-                    parts.append(text[at:s])
-                    at = e
-                spans.append([{"start": s, "end": e} for s, e in found])
-                kept.append(b"".join([*parts, text[at:]]))
-            yield pd.DataFrame({"spans": spans, "kept": kept})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 2):
+                yield pa.record_batch([part.column(0), part.column(1), *_cut(part)], names=names)
 
+    names = ["doc_id", "n_bytes", "spans", "kept"]
     out = rows.withColumn("raw_id", F.when(F.col("doc") > -(2**63), F.col("doc")))
     out = out.join(decided, ["doc", "mark"], "left")
-    out = out.select("raw_id", F.octet_length("t").cast("long").alias("n_bytes"), cut("t", "covered", "starts").alias("c"))
-    return out.select(F.col("raw_id").alias("doc_id"), "n_bytes", "c.spans", "c.kept")
+    out = out.select("raw_id", F.octet_length("t").cast("long").alias("n_bytes"), "t", "covered", "starts")
+    return out.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def _cut(part: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
+    """The removed runs and the remaining bytes of a slice of documents with their
+    runs of windows (a to b) and single windows that repeat."""
+    texts = part.column(2).to_pylist()
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    base = np.cumsum(size) - size
+    # Places in the texts one after another, with a gap so that no runs touch across documents.
+    gap = base + np.arange(len(texts))
+    runs, run_row = list_rows(part.column(3))
+    single, row = list_rows(part.column(4))
+    single = single.to_numpy(zero_copy_only=False) + gap[row]
+    a, b = (runs.field(x).to_numpy(zero_copy_only=False) + gap[run_row] for x in range(2))
+    start, end = _merged(np.concatenate((a, single)), np.concatenate((b, single)) + LENGTH)
+    row = np.searchsorted(gap, start, side="right") - 1
+    step = np.zeros(int(size.sum()) + 1, dtype=np.int8)
+    # Runs of two documents may meet here, so steps are added.
+    np.add.at(step, start - row, -1)
+    np.add.at(step, end - row, 1)
+    stays = np.cumsum(step[:-1], dtype=np.int8) == 0
+    kept = np.frombuffer(b"".join(texts), dtype=np.uint8)[stays]
+    n = np.concatenate(([0], np.cumsum(stays)))
+    ends = np.append(n[base], n[-1]).astype(np.int32)
+    spans = {"start": pa.array(start - gap[row]), "end": pa.array(end - gap[row])}
+    return (
+        lists_of(row, len(texts), spans),
+        pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(kept)]),
+    )
 
 
-def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of bytes (touching runs are one)."""
-    if not len(start):
-        return []
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes (touching runs are one)."""
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
-    return list(zip(start[new].tolist(), end[np.append(new[1:], len(start)) - 1].tolist(), strict=True))
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(start)), dtype=bool), start[1:] > end[:-1])))
+    return start[new], end[np.append(new[1:], len(start)) - 1] if len(start) else end
 
 
 def removal_digests(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sliceforge.llm import suffix_dedup
@@ -122,3 +123,35 @@ def test_passages_at_cuts_equal_brute_force(spark, monkeypatch):
 
 def test_empty_table(no_docs):
     assert remove_repeats(no_docs).count() == 0
+
+
+def test_a_batch_is_decided_in_slices(monkeypatch):
+    rnd = random.Random(4)
+    texts = [bytes(rnd.randrange(97, 123) for _ in range(rnd.randint(0, 900))) for _ in range(300)]
+    flags = [[p << 4 | (1 if p % 2 else 6) for p in range(len(t) + 1)] for t in texts]
+    runs = [None if i % 5 == 0 else [{"a": a, "b": a + 9} for a in range(0, len(t) - 110, 200)] for i, t in enumerate(texts)]
+    starts = [[len(t) - 100] if len(t) > 100 and i % 3 else None for i, t in enumerate(texts)]
+    run_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    ids = pa.array(range(len(texts)))
+    batch = pa.record_batch(
+        [ids, ids, pa.array(texts), pa.array(runs, run_type), pa.array(starts, pa.list_(pa.int64()))], names=list("abcde")
+    )
+    marked = pa.record_batch([ids, ids, pa.array(texts), pa.array(flags, pa.list_(pa.int64()))], names=list("abcd"))
+    whole = [c.to_pylist() for c in suffix_dedup._cut(batch)]
+    for text, covered, single, spans, kept in zip(texts, runs, starts, *whole, strict=True):
+        gone = {p for r in covered or [] for p in range(r["a"], r["b"] + LENGTH)} | {p for s in single or [] for p in range(s, s + LENGTH)}
+        assert kept == bytes(x for p, x in enumerate(text) if p not in gone)
+        assert {p for s in spans for p in range(s["start"], s["end"])} == gone
+
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 5000)
+    parts = list(suffix_dedup.text_slices(batch, 2))
+    assert len(parts) > 20 and sum(p.num_rows for p in parts) == len(texts)
+    assert max(sum(map(len, p.column(2).to_pylist())) for p in parts) < 5000 + 900
+    sliced = [suffix_dedup._cut(p) for p in parts]
+    assert [[x for c in column for x in c.to_pylist()] for column in zip(*sliced, strict=True)] == whole
+
+    hot = np.array([], dtype=np.int64)
+    opened = [suffix_dedup._open(p, hot, 1 << 22) for p in suffix_dedup.text_slices(marked, 2)]
+    want = [c.to_pylist() for c in suffix_dedup._open(marked, hot, 1 << 22)]
+    assert [[x for c in column for x in c.to_pylist()] for column in zip(*opened, strict=True)] == want
+    assert sum(map(len, want[0])) > 500 and sum(len(w["ranks"]) for x in want[1] for w in x) > 50_000
