@@ -299,17 +299,21 @@ def vocabulary(texts, text_col: str = "text"):
 def decode_with_vocabulary(encoded, vocab, ids_col: str = "ids", key: str = "doc_id"):
     """Ids -> text through the vocabulary table (tokens joined by ' ').
 
-    Only distinct ids of each document travel, and of them only those that few
-    documents use (see ``operators.vocabulary.translate``); the text is rebuilt in
-    place from the ids, each looked up by its hash.  No exchange of token
-    occurrences.  Documents without tokens decode to the empty text; two tokens of
-    one id are an error.  ``encoded`` is read three times: pass a stored table.
+    Only the distinct ids of each slice of documents travel, and of them only those
+    that few slices use (see ``operators.vocabulary.translate``); the text is rebuilt
+    from each token's place among them.  Documents without tokens decode to the empty
+    text; two tokens of one id are an error.
     """
     from sliceforge.operators.vocabulary import translate
 
+    def narrow(i):
+        # An MD5 in hex as its 16 bytes, any other id with 17 bytes before it.
+        other = F.concat(F.lit("-" * 17), i).cast("binary")
+        return F.when(F.regexp_like(i, F.lit(r"\A[0-9a-f]{32}\z")), F.unhex(i)).otherwise(other)
+
     # A token's id is its MD5, so an id with two tokens fails the job.
-    one = vocab.groupBy("id").agg(F.min("token").alias("token"), F.count("*").alias("n")).select(
+    one = vocab.groupBy(narrow(F.col("id")).alias("id")).agg(F.min("token").alias("token"), F.count("*").alias("n")).select(
         "id", F.when(F.col("n") == 1, F.col("token")).otherwise(F.raise_error(F.lit("two tokens of one id"))).alias("token")
     )
-    tokens = translate(encoded.select(key, ids_col), ids_col, one, "id", "token", None, key)
+    tokens = translate(encoded.select(key, ids_col), ids_col, one, "id", "token", None, narrow)
     return tokens.select(key, F.coalesce(F.array_join(ids_col, " "), F.lit("")).alias("decoded"))

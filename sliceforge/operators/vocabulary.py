@@ -14,12 +14,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from sliceforge.functions.tokens import ROWS_AT_ONCE, regex_tokens
+from sliceforge.functions.tokens import regex_tokens
 from sliceforge.session import materialize
 from sliceforge.sinks.commit_log import CommitLog
 
@@ -27,6 +31,9 @@ VOCABULARY_SCHEMA = "token string, id long"
 #: A value is hot if it has over one in so many of the pairs that are looked up:
 #: there are fewer hot values than this, whatever the data.
 HOT_SHARE = 50_000
+#: Values and distinct values of a slice of rows, whose distinct values are looked up
+#: together, and values of a piece of it (a row with more is a slice, or piece, alone).
+SLICE_TOKENS, SLICE_VALUES, PIECE_VALUES = 1 << 22, 1 << 18, 1 << 16
 #: Id of a token that is not in the vocabulary, and text of an id that is not.
 UNKNOWN_ID = -1
 UNKNOWN_TOKEN = "�"
@@ -102,73 +109,133 @@ def read_vocabulary(spark: SparkSession, root: str, version: int | None = None)
     return _segments(spark, root, entry)
 
 
-def _lists(rows: pa.Array) -> list:
-    """The rows of a list array as Python lists (through numpy, which is faster
-    where no element is null)."""
-    if rows.flatten().null_count:
-        return rows.to_pylist()
-    return [None if x is None else x.tolist() for x in rows.to_numpy(zero_copy_only=False)]
+def _slicer(array_col: str, columns: list[str], kind: pa.DataType):
+    """Rows as slices, one row each: the rows as an Arrow stream in which an array is a
+    list of places in the slice's distinct values, and these values."""
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # A row counts as one more than its values, so that empty ones fill pieces too.
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(array_col)), 0).to_numpy() + 1, dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + PIECE_VALUES, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 33
+        held: list[pa.RecordBatch] = []
+        values, n = pa.array([], kind), 0
+
+        def whole() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for piece in held:
+                    out.write_batch(piece)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), lists], ["slice", "rows", "values"]
+            )
 
-
-def _placer(out: DataType, hot: dict, unknown, spark: SparkSession):
-    kind = pa.int64() if out.simpleString() == "bigint" else pa.string()
-    shared = spark.sparkContext.broadcast(hot)
-
-    @F.arrow_udf(ArrayType(out))
-    def place(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        common = shared.value
         for batch in batches:
-            parts = []
-            for i in range(0, len(batch[0]), ROWS_AT_ONCE):
-                rows = []
-                for v, k, f in zip(*(_lists(a.slice(i, ROWS_AT_ONCE)) for a in batch), strict=True):
-                    own = dict(zip(k or (), f or (), strict=True))
-                    rows.append(None if v is None else [common[x] if x in common else own.get(x, unknown) for x in v])
-                parts.append(pa.array(rows, pa.list_(kind)))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+            for piece in pieces(batch):
+                arrays = piece.column(array_col)
+                coded = arrays.flatten().dictionary_encode()
+                known = pc.index_in(coded.dictionary, values)
+                new = coded.dictionary.filter(pc.is_null(known))
+                if held and (n + len(arrays) + len(coded) > SLICE_TOKENS or len(values) + len(new) > SLICE_VALUES):
+                    yield whole()
+                    name, held, values, n = name + 1, [], pa.array([], kind), 0
+                    known, new = pa.nulls(len(coded.dictionary), pa.int32()), coded.dictionary
+                place = known.to_numpy(zero_copy_only=False).astype(np.float64)  # a new value's is NaN
+                place[np.isnan(place)] = np.arange(len(values), len(values) + len(new))
+                values = pa.concat_arrays([values, new])
+                places = pa.array(place.astype(np.int32)).take(coded.indices)
+                ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(arrays), 0).to_numpy()], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), places, mask=arrays.is_null())
+                held.append(pa.RecordBatch.from_arrays([lists if c == array_col else piece.column(c) for c in columns], columns))
+                n += len(arrays) + len(coded)
+        if held:
+            yield whole()
+
+    return slices
+
+
+def _placer(array_col: str, columns: list[str], hot: dict, source: pa.DataType, target: pa.DataType, unknown, spark: SparkSession):
+    """The rows of slices again, each place as the target of its value: one of the
+    ``hot`` or of the slice's own ``found``."""
+    shared = spark.sparkContext.broadcast((list(hot), list(hot.values())))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, targets = (pa.array(x, t) for x, t in zip(shared.value, (source, target), strict=True))
+        for batch in batches:
+            for rows, n, values, found in zip(*(batch.column(c) for c in ("rows", "n", "values", "found")), strict=True):
+                at, own = np.full(n.as_py(), np.nan), targets
+                if len(common):
+                    at[:] = pc.index_in(values.values, common).to_numpy(zero_copy_only=False)
+                if found.values is not None:
+                    own = pa.concat_arrays([targets, found.values.field("target").cast(target)])
+                    at[found.values.field("at").to_numpy()] = np.arange(len(targets), len(own))
+                of_value = own.take(pa.array(at, from_pandas=True).cast(pa.int32()))
+                with pa.ipc.open_stream(rows.as_buffer()) as stream:
+                    for piece in stream:
+                        places = piece.column(array_col)
+                        taken = of_value.take(places.flatten())
+                        if unknown is not None:
+                            taken = pc.fill_null(taken, pa.scalar(unknown, target))
+                        arrays = pa.ListArray.from_arrays(places.offsets, taken, mask=places.is_null())
+                        yield pa.RecordBatch.from_arrays([arrays if c == array_col else piece.column(c) for c in columns], columns)
 
     return place
 
 
-def translate(rows: DataFrame, array_col: str, table: DataFrame, source: str, target: str, unknown, key: str = "doc_id") -> DataFrame:
+def translate(rows: DataFrame, array_col: str, table: DataFrame, source: str, target: str, unknown, narrow=None) -> DataFrame:
     """Each value of an array column looked up in ``table`` (``source`` -> ``target``).
 
-    Values that over one in ``HOT_SHARE`` of all (row, distinct value) pairs have are
-    looked up where their row is (fewer than ``HOT_SHARE`` values, by their share); only the
-    pairs of the other values travel to the table and back, and no key holds more
-    than that share of them.  A value that the table lacks gives ``unknown``; a null
-    array stays null.  ``key`` names rows: rows of equal or null key keep their own
-    values.  ``rows`` is read three times: pass a stored table.
+    Rows are stored in slices, in which an array is a list of places in the slice's
+    distinct values (at most ``SLICE_VALUES``, of ``SLICE_TOKENS``, unless one row has
+    more), so only the (slice, distinct value) pairs travel to the table, and their
+    targets back to the slice.  Values that over one in ``HOT_SHARE`` of all pairs have
+    are looked up where their slice is (fewer than ``HOT_SHARE`` values, by their
+    share): no key holds more than that share of the pairs.  A value that the table
+    lacks, or a null, gives ``unknown``; a null array stays null.  ``rows`` is read
+    once.  With ``narrow``, a column function that keeps values apart, ``source`` is
+    compared with its result, which travels in the value's place.
     """
-    spark = rows.sparkSession
-    values = rows.select(key, F.explode(F.array_distinct(array_col)).alias("__value"))
-    counts = materialize(values.groupBy("__value").agg(F.count("*").alias("__n")), "value-counts")
-    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    pairs = table.select(F.col(source).alias("__value"), F.col(target).alias("__target"))
-    hot = counts.where(F.col("__n") * HOT_SHARE > total).select("__value").join(pairs, "__value", "left").collect()
-    known = spark.createDataFrame([(r["__value"],) for r in hot], counts.select("__value").schema)
-    cold = values.join(F.broadcast(known), "__value", "left_anti")
-    # A struct of the key is never null and equal to that of another null key, so the
-    # lists are joined as they were grouped, without another exchange.
-    found = cold.join(pairs, "__value").select(F.struct(F.col(key).alias("k")).alias("__key"), "__value", "__target")
-    # Two lists of one collected list, so that their order is the same.
-    lists = found.groupBy("__key").agg(F.collect_list(F.struct("__value", "__target")).alias("__pairs"))
-    back = rows.withColumn("__key", F.struct(F.col(key).alias("k"))).join(lists, "__key", "left")
-    common = {r["__value"]: unknown if r["__target"] is None else r["__target"] for r in hot}
-    place = _placer(table.schema[target].dataType, common, unknown, spark)
-    return back.withColumn(array_col, place(F.col(array_col), F.col("__pairs.__value"), F.col("__pairs.__target"))).drop("__key", "__pairs")
+    spark, kind = rows.sparkSession, rows.schema[array_col].dataType.elementType
+    sliced = StructType([StructField("slice", LongType()), StructField("rows", BinaryType()), StructField("values", ArrayType(kind))])
+    cut = rows.mapInArrow(_slicer(array_col, rows.columns, to_arrow_type(kind)), sliced)
+    slices = materialize(cut.withColumn("values", F.transform("values", narrow)) if narrow else cut, "slices")
+    values = slices.select("slice", F.posexplode("values").alias("at", "__value"))
+    pairs = table.select(F.col(source).alias("__value"), F.col(target).alias("target"))
+    many, total = slices.agg(F.count("*"), F.coalesce(F.sum(F.size("values")), F.lit(0))).first()
+    cold, hot = values, {}
+    if many * HOT_SHARE > total:  # else no value can be hot: a slice has it once
+        often = values.groupBy("__value").agg(F.count("*").alias("__n")).where(F.col("__n") * HOT_SHARE > total).select("__value")
+        hot = {r["__value"]: None for r in often.collect()}
+        known = F.broadcast(spark.createDataFrame([(v,) for v in hot], often.schema))
+        hot |= {r["__value"]: r["target"] for r in pairs.join(known, "__value", "left_semi").collect()}
+        cold = values.join(known, "__value", "left_anti")
+    found = cold.join(pairs, "__value")
+    lists = found.groupBy("slice").agg(F.collect_list(F.struct("at", "target")).alias("found"))
+    size = F.size("values").alias("n")
+    asked = slices.select("slice", "rows", size, (F.col("values") if hot else F.lit(None).cast(slices.schema["values"].dataType)).alias("values"))
+    goal, narrowed = table.schema[target].dataType, slices.schema["values"].dataType.elementType
+    place = _placer(array_col, rows.columns, hot, to_arrow_type(narrowed), to_arrow_type(goal), unknown, spark)
+    out = StructType([StructField(f.name, ArrayType(goal) if f.name == array_col else f.dataType) for f in rows.schema])
+    return asked.join(lists, "slice", "left").select("rows", "n", "values", "found").mapInArrow(place, out)
 
 
 def encode_texts(texts: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(key, ids)``, ``ids`` an ``array<long>`` of the rule tokens in order;
     a token that the vocabulary lacks is -1, a null text has null ids."""
-    tokens = materialize(texts.select(key, regex_tokens(F.col(text_col)).alias("ids")), "document-tokens")
-    return translate(tokens, "ids", vocabulary, "token", "id", UNKNOWN_ID, key)
+    tokens = texts.select(key, regex_tokens(F.col(text_col)).alias("ids"))
+    return translate(tokens, "ids", vocabulary, "token", "id", UNKNOWN_ID)
 
 
 def decode_texts(encoded: DataFrame, vocabulary: DataFrame, key: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(key, decoded)``, the tokens of the ids joined by a space; an id that
-    the vocabulary lacks is U+FFFD, null ids give a null text.  ``encoded`` is read
-    three times: pass a stored table."""
-    tokens = translate(encoded.select(key, ids_col), ids_col, vocabulary, "id", "token", UNKNOWN_TOKEN, key)
+    the vocabulary lacks is U+FFFD, null ids give a null text."""
+    tokens = translate(encoded.select(key, ids_col), ids_col, vocabulary, "id", "token", UNKNOWN_TOKEN)
     return tokens.select(key, F.array_join(ids_col, " ").alias("decoded"))
