@@ -296,13 +296,13 @@ def vocabulary(texts, text_col: str = "text"):
     return toks.select(token_id(F.col("token")).alias("id"), "token")
 
 
-def decode_with_vocabulary(encoded, vocab, ids_col: str = "ids", key: str = "doc_id"):
+def decode_with_vocabulary(encoded, vocab, ids_col: str = "ids", key: str = "doc_id", keep: tuple = ()):
     """Ids -> text through the vocabulary table (tokens joined by ' ').
 
     Only the distinct ids of each slice of documents travel, and of them only those
     that few slices use (see ``operators.vocabulary.translate``); the text is rebuilt
     from each token's place among them.  Documents without tokens decode to the empty
-    text; two tokens of one id are an error.
+    text; two tokens of one id are an error.  ``keep`` names columns that stay.
     """
     from sliceforge.operators.vocabulary import translate
 
@@ -315,5 +315,5 @@ def decode_with_vocabulary(encoded, vocab, ids_col: str = "ids", key: str = "doc
     one = vocab.groupBy(narrow(F.col("id")).alias("id")).agg(F.min("token").alias("token"), F.count("*").alias("n")).select(
         "id", F.when(F.col("n") == 1, F.col("token")).otherwise(F.raise_error(F.lit("two tokens of one id"))).alias("token")
     )
-    tokens = translate(encoded.select(key, ids_col), ids_col, one, "id", "token", None, narrow)
-    return tokens.select(key, F.coalesce(F.array_join(ids_col, " "), F.lit("")).alias("decoded"))
+    tokens = translate(encoded.select(key, *keep, ids_col), ids_col, one, "id", "token", None, narrow)
+    return tokens.select(key, *keep, F.coalesce(F.array_join(ids_col, " "), F.lit("")).alias("decoded"))

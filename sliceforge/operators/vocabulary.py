@@ -113,50 +113,52 @@ def _slicer(array_col: str, columns: list[str], kind: pa.DataType):
     """Rows as slices, one row each: the rows as an Arrow stream in which an array is a
     list of places in the slice's distinct values, and these values."""
 
-    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        # A row counts as one more than its values, so that empty ones fill pieces too.
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(array_col)), 0).to_numpy() + 1, dtype=np.int64)
-        start = 0
-        while start < len(ends):
-            before = ends[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(ends, before + PIECE_VALUES, "right")))
-            yield batch.slice(start, end - start)
-            start = end
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A row counts as one more than its values, so that empty ones fill pieces too.
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(array_col)), 0).to_numpy() + 1, dtype=np.int64)
+            start = 0
+            while start < len(ends):
+                before = ends[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, before + PIECE_VALUES, "right")))
+                yield batch.slice(start, end - start)
+                start = end
+            del batch  # before the next one is read
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 33
-        held: list[pa.RecordBatch] = []
         values, n = pa.array([], kind), 0
+        sink = stream = None  # pieces are written as they come: a slice of one would keep its whole batch
 
         def whole() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for piece in held:
-                    out.write_batch(piece)
+            stream.close()
             lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), lists], ["slice", "rows", "values"]
-            )
-
-        for batch in batches:
-            for piece in pieces(batch):
-                arrays = piece.column(array_col)
-                coded = arrays.flatten().dictionary_encode()
-                known = pc.index_in(coded.dictionary, values)
-                new = coded.dictionary.filter(pc.is_null(known))
-                if held and (n + len(arrays) + len(coded) > SLICE_TOKENS or len(values) + len(new) > SLICE_VALUES):
-                    yield whole()
-                    name, held, values, n = name + 1, [], pa.array([], kind), 0
-                    known, new = pa.nulls(len(coded.dictionary), pa.int32()), coded.dictionary
-                place = known.to_numpy(zero_copy_only=False).astype(np.float64)  # a new value's is NaN
-                place[np.isnan(place)] = np.arange(len(values), len(values) + len(new))
-                values = pa.concat_arrays([values, new])
-                places = pa.array(place.astype(np.int32)).take(coded.indices)
-                ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(arrays), 0).to_numpy()], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), places, mask=arrays.is_null())
-                held.append(pa.RecordBatch.from_arrays([lists if c == array_col else piece.column(c) for c in columns], columns))
-                n += len(arrays) + len(coded)
-        if held:
+            rows = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), rows, lists], ["slice", "rows", "values"])
+
+        for piece in pieces(batches):
+            arrays = piece.column(array_col)
+            coded = arrays.flatten().dictionary_encode()
+            known = pc.index_in(coded.dictionary, values)
+            new = coded.dictionary.filter(pc.is_null(known))
+            if stream and (n + len(arrays) + len(coded) > SLICE_TOKENS or len(values) + len(new) > SLICE_VALUES):
+                yield whole()
+                name, stream, values, n = name + 1, None, pa.array([], kind), 0
+                known, new = pa.nulls(len(coded.dictionary), pa.int32()), coded.dictionary
+            place = known.to_numpy(zero_copy_only=False).astype(np.float64)  # a new value's is NaN
+            place[np.isnan(place)] = np.arange(len(values), len(values) + len(new))
+            values = pa.concat_arrays([values, new])
+            places = pa.array(place.astype(np.int32)).take(coded.indices)
+            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(arrays), 0).to_numpy()], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), places, mask=arrays.is_null())
+            coded_piece = pa.RecordBatch.from_arrays([lists if c == array_col else piece.column(c) for c in columns], columns)
+            if not stream:
+                sink = pa.BufferOutputStream()
+                stream = pa.ipc.new_stream(sink, coded_piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            stream.write_batch(coded_piece)
+            n += len(arrays) + len(coded)
+            del piece, arrays, coded, coded_piece
+        if stream:
             yield whole()
 
     return slices

@@ -608,11 +608,12 @@ def q_vocabulary_decode(spark, sf_dir):
     """C6 (vocabulary form): decode ids through the corpus vocabulary table."""
     c = corpus(spark, sf_dir)
     enc = c.select("doc_id", get_counter("regex").encode(F.col("text")).alias("ids"))
+    enc = enc.withColumn("n_tokens", F.size("ids").cast("bigint"))
     vocab = materialize(vocabulary(c), "vocabulary")  # a stored table, so Spark knows its size
-    # Only digests meet: a projection is not moved below a join by itself.
-    dec = decode_with_vocabulary(enc, vocab).select("doc_id", F.md5("decoded").alias("decoded_md5"))
-    n = enc.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
-    return dec.join(n, "doc_id").select("doc_id", "decoded_md5", "n_tokens")
+    # Only digests meet, and the texts are encoded and decoded once.
+    dec = decode_with_vocabulary(enc, vocab, keep=("n_tokens",))
+    digests = materialize(dec.select("doc_id", F.md5("decoded").alias("decoded_md5"), "n_tokens"), "digests")
+    return digests.drop("n_tokens").join(digests.drop("decoded_md5"), "doc_id").select("doc_id", "decoded_md5", "n_tokens")
 
 
 def q_vocabulary_ids(spark, sf_dir):
